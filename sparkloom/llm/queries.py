@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from sparkloom.llm import decontamination, licenses
+from sparkloom.llm.decontamination import op5_benchmark_decontamination
+from sparkloom.llm.licenses import op1_license_scan
 from sparkloom.llm.near_dedup import op7_minhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op5_benchmark_decontamination, op7_minhash_near_dedup)}
+SQL: dict[str, str] = {"op1_license_scan": licenses.SQL, "op5_benchmark_decontamination": decontamination.SQL}
