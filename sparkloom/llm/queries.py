@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontamination, licenses
+from sparkloom.llm import decontamination, licenses, merkle
 from sparkloom.llm.decontamination import op5_benchmark_decontamination
 from sparkloom.llm.licenses import op1_license_scan
+from sparkloom.llm.merkle import op10_merkle_fingerprint
 from sparkloom.llm.near_dedup import op7_minhash_near_dedup
+from sparkloom.llm.packing import op4_best_fit_packing
+from sparkloom.llm.url_filter import op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_benchmark_decontamination, op7_minhash_near_dedup)}
-SQL: dict[str, str] = {"op1_license_scan": licenses.SQL, "op5_benchmark_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op4_best_fit_packing, op5_benchmark_decontamination, op7_minhash_near_dedup, op10_merkle_fingerprint)}
+SQL: dict[str, str] = {"op1_license_scan": licenses.SQL, "op5_benchmark_decontamination": decontamination.SQL, "op10_merkle_fingerprint": merkle.SQL}
