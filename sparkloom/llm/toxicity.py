@@ -21,6 +21,9 @@ PREFIXES = (4, 5, 6, 7)
 #: Bounds: labelled texts that voters are mined from, voters, and vote patterns that the classifier is trained on.
 SAMPLE, VOTERS, PATTERNS = 40_000, 256, 100_000
 ROUNDS = 6
+#: A voter must be so much likelier than chance, in log-likelihood, that few of a million features pass by luck; votes
+#: that correlate less than this in a class count as independent.
+LEAST_SCORE, INDEPENDENT = 14.0, 0.3
 
 
 def features(text: str) -> set[str]:
@@ -70,7 +73,7 @@ def mine_voters(labelled: DataFrame, sample: int = SAMPLE, voters: int = VOTERS,
     term = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
     score = term(F.col("t"), share * toxic) + term(F.col("c"), share * clean) + term(toxic - F.col("t"), (1 - share) * toxic) + term(clean - F.col("c"), (1 - share) * clean)
     sure = (F.col("t") >= least) & ((F.col("t") + 0.5) / (toxic + 1.0) >= 5 * (F.col("c") + 0.5) / (clean + 1.0))
-    best = counts.filter(sure).select("feature", "t", "c", score.alias("score")).orderBy(F.desc("score"), F.length("feature"), "feature").limit(voters * 4).collect()
+    best = counts.filter(sure).select("feature", "t", "c", score.alias("score")).filter(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), F.length("feature"), "feature").limit(voters * 4).collect()
     kept: dict[tuple, str] = {}
     for row in best:
         stem = row.feature.rstrip("*")
@@ -153,7 +156,7 @@ def fit_label_model(patterns: DataFrame, n: int, rounds: int = ROUNDS) -> LabelM
         for row in pairs:  # at most one for each pair of voters
             a, b = rates[row.i, 1], rates[row.j, 1]
             r = (row.t / (toxic + 1) - a * b) / math.sqrt(a * (1 - a) * b * (1 - b))
-            together[[row.i, row.j]] += max(0.0, r)
+            together[[row.i, row.j]] += max(0.0, r - INDEPENDENT) / (1 - INDEPENDENT)
         model = LabelModel(prior, rates, 1 / (1 + together))
     return calibrated(model, labelled)
 
