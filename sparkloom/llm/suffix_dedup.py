@@ -231,6 +231,7 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     found = anchored(rows)
     twice = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("e") != F.max("e")).alias("mixed")).filter("n > 1").select("h", "mixed")
+    twice = save(twice, "twice")  # a written side lets Spark split the join's hot keys
     again = save(found.join(twice, "h"), "anchors")
     kinds = save(again.groupBy("h", "e", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("row", "cell")).alias("x")), "cells")
     whole = again.join(kinds.filter("n > 1").select("h", "e"), ["h", "e"]).select("row", F.shiftright("cell", 16).alias("first"), (F.shiftright("cell", 16) + F.shiftright("cell", 8).bitwiseAND(255) - 1).alias("last"))
