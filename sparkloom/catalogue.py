@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from sparkloom.operators.tree import DecisionTree
+from sparkloom.plans import prep_queries, tree_queries  # noqa: F401
+from sparkloom.plans.registry import QUERIES, SQL  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """A classification tree of depth 3 over lineitem, as its table of nodes."""
+    return DecisionTree("gini", depth_max=3).fit(tree_queries.lines(spark, sf_dir), tree_queries.FEATURES, "kind").to_df(spark)
