@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.operators.tree import DecisionTree
-from sparkloom.plans import prep_queries, tree_queries  # noqa: F401
+from sparkloom.plans import cluster_queries, model_queries, prep_queries, tree_queries  # noqa: F401
 from sparkloom.plans.registry import QUERIES, SQL  # noqa: F401
 
 
