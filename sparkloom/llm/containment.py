@@ -44,7 +44,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int =
     items = items.select("item_id", F.array_distinct("s").alias("s")).filter(F.size("s") > 0)
     items = save(items.select("item_id", "s", F.size("s").alias("n"), F.length(F.bin((F.size("s") - 1).cast("long"))).alias("class")), "items")
     classes = items.groupBy("class").agg(F.min("n").alias("n")).orderBy("class").collect()  # one row for each power of two
-    empty = docs.select("doc_id").limit(0).join(items.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).alias("n_item"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"))
+    empty = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).limit(0)
     if not classes:
         return empty
     total = items.agg(F.sum("n")).first()[0]

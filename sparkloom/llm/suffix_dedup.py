@@ -224,11 +224,11 @@ def counted(cut: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): docs with a column `row` for each distinct doc_id and text; and row, text, and the spans
-    (list of first and last starts of repeated strings) of the rows that have any."""
+    """(rows, spans): row (a hash of doc_id and text), doc (all columns of docs), doc_id and text; and row, text, and
+    the spans (list of first and last starts of repeated strings) of the rows that have any."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
     found = anchored(rows)
     twice = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("e") != F.max("e")).alias("mixed")).filter("n > 1").select("h", "mixed")
     twice = save(twice, "twice")  # a written side lets Spark split the join's hot keys
@@ -298,10 +298,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, with all its columns, whose texts lack the bytes that report() counts as removed; n_chars follows if there is one."""
     rows, spans = covered(docs)
     out = rows.join(cut_spans(spans, "text").select("row", "rest"), "row", "left")
-    out = out.withColumn("text", F.coalesce("rest", "text"))
+    new = {"text": F.coalesce("rest", "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("rest").isNotNull(), F.char_length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("rest").isNotNull(), F.char_length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
