@@ -19,8 +19,8 @@ CAPACITY = 2048
 END = 0
 #: Ranks within a length are counted in so many parts, so that one length with most pieces is no single task.
 PARTS = 64
-#: Words whose ids a task keeps at once.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a task keeps at once, texts that it tokenizes at once, and new words that go to the tokenizer at once.
+KEPT_WORDS, TEXTS, WORDS_AT_ONCE = 600_000, 1_000, 4_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -37,37 +37,75 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     tokenizer = tokenizer or tokenizer_path()
 
     def run(batches):
-        import re
         import zlib
 
         import pyarrow as pa
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        gaps = re.compile("[\x1c-\x1f]+")  # str.split() splits at these too, the tokenizer doesn't
-        known: dict[str, bytes] = {}
-
-        def ids(texts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch(texts, add_special_tokens=False)]
 
+        ids = word_ids(tokenizer)
+        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            split = [(t or "").split() if not gaps.search(t or "") else None for t in batch.column(1).to_pylist()]
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            new = list({w for words in split if words for w in words if w not in known})
-            known.update(zip(new, ids(new), strict=True))
-            out: list[list] = [[], [], [], [], [], []]
-            for i, (doc, words) in enumerate(zip(batch.column(0).to_pylist(), split, strict=True)):
-                data = (b"".join([known[w] for w in words]) if words is not None else ids([batch.column(1)[i].as_py()])[0]) + np.array([END], "<u4").tobytes()
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), batch.column(2)[i].as_py()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                out: list[list] = [[], [], [], [], [], []]
+                for doc, row, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), ids(part.column(1).to_pylist()), strict=True):
+                    data = words + end
+                    for k, first in enumerate(range(0, len(data), 4 * capacity)):
+                        piece = data[first : first + 4 * capacity]
+                        for column, value in zip(out, (doc, k, first // 4, len(piece) // 4, zlib.crc32(piece), row), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
+def word_ids(tokenizer: str):
+    """A function from texts to the bytes of their ids. New words go to the tokenizer as one text, with a mark between
+    them; a word's last punctuation marks are tokens of their own if a letter or digit stands before them."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    gaps = re.compile("[\x1c-\x1f]")  # str.split() splits at these too, the tokenizer doesn't
+    mark = "|"
+    bound = model.encode(mark, add_special_tokens=False).ids
+    known: dict[str, bytes] = {}
+    direct = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(words: list[str]) -> None:
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            found = np.array(model.encode_batch_fast([f" {mark} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(found == bound[0]) if len(bound) == 1 else []
+            if len(cuts) != len(some) - 1:
+                known.update((w, direct(w)) for w in some)
+                continue
+            data = found.tobytes()
+            firsts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
+            known.update(zip(some, [data[a:b] for a, b in zip(firsts, ends, strict=True)], strict=True))
+
+    def ids(texts: list) -> list[bytes]:
+        split = [None if gaps.search(t or "") else (t or "").split() for t in texts]
+        new = {w for words in split if words for w in words}.difference(known)
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+            new = {w for words in split if words for w in words}
+        parts = {}
+        for w in new:
+            core = w.rstrip(".,!?;:")
+            if core != w and core and core[-1].isalnum():
+                parts[w] = core, w[len(core) :]
+        whole = new.difference(parts) | {x for pair in parts.values() for x in pair}
+        plain = whole.difference(known)
+        odd = {w for w in plain if mark in w}
+        known.update((w, direct(w)) for w in odd)
+        learn(list(plain - odd))
+        known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
+        return [b"".join(map(known.__getitem__, words)) if words is not None else direct(t) for t, words in zip(texts, split, strict=True)]
+
+    return ids
+
+
 class Plan:
     """Bins of equal content are one group: (number of bins, ((length, pieces of it in each bin), ...))."""
 
