@@ -20,7 +20,7 @@ END = 0
 #: Ranks within a length are counted in so many parts, so that one length with most pieces is no single task.
 PARTS = 64
 #: Words whose ids a task keeps at once, texts that it tokenizes at once, and new words that go to the tokenizer at once.
-KEPT_WORDS, TEXTS, WORDS_AT_ONCE = 600_000, 1_000, 4_000
+KEPT_WORDS, TEXTS, WORDS_AT_ONCE = 600_000, 1_000, 250
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
