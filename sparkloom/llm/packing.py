@@ -69,7 +69,7 @@ def word_ids(tokenizer: str):
     gaps = re.compile("[\x1c-\x1f]")  # str.split() splits at these too, the tokenizer doesn't
     mark = "|"
     bound = model.encode(mark, add_special_tokens=False).ids
-    known: dict[str, bytes] = {}
+    known: dict[str, bytes] = {"": b""}
     direct = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(words: list[str]) -> None:
@@ -89,12 +89,15 @@ def word_ids(tokenizer: str):
         new = {w for words in split if words for w in words}.difference(known)
         if len(known) + len(new) > KEPT_WORDS:
             known.clear()
+            known[""] = b""
             new = {w for words in split if words for w in words}
         parts = {}
         for w in new:
             core = w.rstrip(".,!?;:")
-            if core != w and core and core[-1].isalnum():
-                parts[w] = core, w[len(core) :]
+            if core and mark not in w and (core == w or core[-1].isalnum()):
+                small = core.lower() if core.isascii() else core  # as the tokenizer does
+                if small != w:
+                    parts[w] = small, w[len(core) :]
         whole = new.difference(parts) | {x for pair in parts.values() for x in pair}
         plain = whole.difference(known)
         odd = {w for w in plain if mark in w}
