@@ -2,8 +2,8 @@
 
 Natural paragraphs are lines. Those of LEAST shingles or more (long ones) are banded by HyperMinHash registers; colliding ones are
 verified on exact shingle sets and clustered by components. Copies often lose their line breaks, and passages are
-pasted into longer lines, so texts are also cut into blocks at content-defined places, whatever the lines: each run of
-50 words that is repeated holds a whole block. Blocks and shorter lines are too short to be alike without being equal
+pasted into longer lines, so texts are also cut into blocks at content-defined places, whatever the lines: in each run
+of 50 words that is repeated, whole blocks cover 20 words or more in a row. Blocks and shorter lines are too short to be alike without being equal
 (a changed word is in five shingles), so they are matched by a digest of all their words."""
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ LEAST = 16
 #: at 0.9 with 0.00003. Sketches may be ERRORS standard errors below the threshold.
 BANDS, ROWS, ERRORS = 8, 3, 4.0
 SEEDS = mix(np.arange(1001, 1001 + BANDS * 4, dtype=np.uint64)) | np.uint64(1)
-#: Each WINDOW shingles in a row have a cut; blocks are STEP words or more apart.
-WINDOW, STEP = 20, 6
+#: Each WINDOW shingles in a row have a cut; a block ends STEP words or more after it starts. A repeated run of n words
+#: shares the cuts from its first window's to its last window's, so n - 2 * WINDOW - 4 words of blocks that touch (its
+#: ends can have STEP - 1 words in no block): with n = 50 the PASSAGE words that count.
+WINDOW, STEP = 13, 6
 #: Words of the shortest run of repeated units that counts as a passage.
 PASSAGE = 20
 

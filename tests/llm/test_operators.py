@@ -186,6 +186,16 @@ def test_every_run_of_fifty_words_holds_a_block():
         assert digests[0] & digests[1]
 
 
+def test_every_inline_passage_of_fifty_words_is_reported(spark):
+    rows = []
+    for i, n in enumerate([50] * 200 + [51, 52, 53, 54, 56, 60] * 25):
+        passage = prose(5000 + i, n)
+        rows += [(2 * i + side, f"{prose(10000 + 2 * i + side, 37)} {passage} {prose(20000 + 2 * i + side, 41)}") for side in (0, 1)]
+    found = {r.doc_id: r for r in substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [d for d, _ in rows if d not in found or d // 2 * 2 not in found[d].shared_with] == []
+    assert all(r.n_removed >= 20 for r in found.values() if r.doc_id % 2)
+
+
 # 1 and 5
 
 def brute_contained(docs, items, words=5):
