@@ -15,8 +15,8 @@ MANTISSA_BITS = 10
 BY_CHANCE = 0.169919487 * 2.0 ** (1 - MANTISSA_BITS)
 #: Bits of a set's parity bitmap.
 PARITY = 512
-#: A bucket may make so many pairs per member before its members must share a second band too.
-PAIRS_PER_MEMBER = 64
+#: A bucket may make so many pairs per member before it is dealt out in blocks of about so many members.
+PAIRS_PER_MEMBER, BLOCK = 64, 512
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -203,18 +203,18 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     members = members.join(alone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
     members = save(members.filter(F.col("common") * 100 >= F.col("n_shingles") * percent).drop("own"), "members")
     load = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")).filter("labels > 1")
-    load = save(load.select("key", ((F.col("n") * F.col("n") - F.col("within")) / 2 > F.col("n") * PAIRS_PER_MEMBER).alias("heavy")), "load")
+    heavy = (F.col("n") * F.col("n") - F.col("within")) / 2 > F.col("n") * PAIRS_PER_MEMBER
+    load = save(load.select("key", F.when(heavy, F.greatest(F.lit(2), F.ceil(F.col("n") / BLOCK))).otherwise(1).cast("long").alias("blocks")), "load")
     briefs = classes.select("rep", brief("sketch").alias("brief"), (F.size("sketch") * ROWS).alias("registers"))
     bits = parities(texts, members.select(F.col("rep").alias("doc_id")).distinct(), words)
     mixed = save(members.join(load, "key").join(briefs, "rep").join(bits, "rep"), "mixed")
-    side = ["rep", "n_shingles", "common", "label", "brief", "registers", "parity"]
-    light = mixed.filter("not heavy").select("key", F.lit(0).cast("long").alias("second"), *side)
-    heavy = mixed.filter("heavy").select("key", *side)
-    heavy = heavy.join(mixed.filter("heavy").select(F.col("key").alias("second"), "rep"), "rep").filter("key < second").select("key", "second", *side)
-    sides = light.union(heavy)
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("block"), other).alias("i"), F.greatest(F.col("block"), other).alias("j")))
+    sides = mixed.withColumn("block", block).withColumn("met", F.explode(met)).select("key", "met.i", "met.j", "block", "rep", "n_shingles", "common", "label", "brief", "registers", "parity")
+    once = (F.col("x.block") != F.col("y.block")) | (F.col("x.i") == F.col("x.j"))
     shared = F.least("x.common", "y.common")
     reachable = shared * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - shared) * percent
-    pairs = sides.alias("x").join(sides.alias("y"), ["key", "second"]).filter((F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & reachable & near("x", "y", percent) & agree("x", "y", percent / 100, errors))
+    pairs = sides.alias("x").join(sides.alias("y"), ["key", "i", "j"]).filter(once & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & reachable & near("x", "y", percent) & agree("x", "y", percent / 100, errors))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     second = save(confirmed(likely(pairs, classes, percent / 100, errors), texts, words, percent), "links")
     if not second.isEmpty():

@@ -93,6 +93,28 @@ def test_near_duplicates_in_a_crowded_group(spark, monkeypatch):
     assert found == dict(enumerate(parent))
 
 
+@pytest.mark.parametrize(("bands", "rows", "errors"), [(24, 4, 7.0), (8, 3, 4.0)])
+def test_pairs_in_one_crowded_bucket_only_are_linked(spark, monkeypatch, bands, rows, errors):
+    """Pairs 10, 11 and 12, 13 and ...: each shares one bucket, which is crowded by unlike texts."""
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_MEMBER", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4, raising=False)
+    draw = np.random.default_rng(5)
+    made, texts = [], [(i, prose(800 + i, 60)) for i in range(10)]
+    for i in range(10, 40, 2):
+        words = prose(900 + i, 60).split()
+        texts += [(i, " ".join(words)), (i + 1, " ".join([*words, "changed"]))]
+    for i, text in texts:
+        sketch = draw.integers(0, 1 << 16, (bands, 4), np.uint16) if i < 10 or i % 2 == 0 else sketch.copy()  # noqa: F821
+        if i >= 10 and i % 2:
+            sketch[1:, 0] ^= 1
+        sketch[0] = 7
+        made.append((i, len(shingles(text, 5)), sketch.view(np.int64).ravel().tolist()))
+    classes = spark.createDataFrame(made, "rep long, n_shingles long, sketch array<long>")
+    known = spark.createDataFrame(texts, "doc_id long, text string")
+    found = near_dedup.linked(classes, lambda wanted: known.join(wanted, "doc_id", "left_semi"), 5, 80, rows, errors)
+    assert {(r.node, r.component) for r in found.collect()} == {(i, i // 2 * 2) for i in range(10, 40)}
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_dedup.near_duplicates(none).count() == 0
 
