@@ -1,8 +1,10 @@
-"""Support vector machines. Each classifier is one group: its rows go to one task, which solves it by sequential
-minimal optimisation. `most` bounds the sample that a model learns from."""
+"""Support vector machines, by sequential minimal optimisation over all rows. Up to `most` rows are solved in one task for
+each classifier. Of more rows, each round solves the ones that violate the optimality conditions most, and Spark keeps
+every row's multiplier and gradient."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, dot, doubles, linear_kernel, number, polynomial_kernel, rbf_kernel, total
+from sparkloom.operators.cluster import _kept
 
 
 def gram(a: np.ndarray, b: np.ndarray, kernel: str, shift: float, degree: int, sigma: float) -> np.ndarray:
@@ -23,12 +26,13 @@ def gram(a: np.ndarray, b: np.ndarray, kernel: str, shift: float, degree: int, s
     return np.exp(-np.maximum(d, 0) / (2 * sigma * sigma))
 
 
-def solve(k: np.ndarray, y: np.ndarray, p: np.ndarray, c: float, tol: float, steps: int) -> tuple[np.ndarray, float]:
-    """alpha and b that minimise a'Qa / 2 + p'a with Q = y y' K, 0 <= a <= c and y'a = 0.
+def solve(k: np.ndarray, y: np.ndarray, p: np.ndarray, c: float, tol: float, steps: int, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """alpha and b that minimise a'Qa / 2 + p'a with Q = y y' K, 0 <= a <= c and y'a = 0. With a start, p is the gradient
+    there and y'a stays as it is.
 
     Each step moves the pair that violates the optimality conditions most, until no pair does by more than tol."""
     n = len(y)
-    alpha, grad = np.zeros(n), p.astype(float).copy()
+    alpha, grad = np.zeros(n) if start is None else start.astype(float).copy(), p.astype(float).copy()
     for _ in range(steps):
         v = -y * grad
         up = ((y > 0) & (alpha < c)) | ((y < 0) & (alpha > 0))
@@ -130,13 +134,12 @@ def split_classes(k: int) -> list[tuple[list[int], list[int], int, int]]:
 class SVM:
     """mode: ovr, tree or regression (with eps). kernel: linear, poly or rbf."""
 
-    def __init__(self, c: float = 1.0, kernel: str = "rbf", mode: str = "ovr", eps: float = 0.1, tol: float = 1e-2, steps: int = 10_000, shift: float = 1.0, degree: int = 3, sigma: float = 1.0, most: int = 2000) -> None:
+    def __init__(self, c: float = 1.0, kernel: str = "rbf", mode: str = "ovr", eps: float = 0.1, tol: float = 1e-2, steps: int = 10_000, shift: float = 1.0, degree: int = 3, sigma: float = 1.0, most: int = 2000, rounds: int = 200) -> None:
         self.c, self.kernel, self.mode, self.eps, self.tol, self.steps = c, kernel, mode, eps, tol, steps
-        self.shift, self.degree, self.sigma, self.most = shift, degree, sigma, most
+        self.shift, self.degree, self.sigma, self.most, self.rounds = shift, degree, sigma, most, rounds
 
     def fit(self, df: DataFrame, key: str, point: str, label: str) -> SVMModel:
-        """Learns from `most` rows at most, those of the smallest hashes of the key."""
-        df = df.orderBy(F.xxhash64(key), key).limit(self.most)
+        """Learns from all rows; those beyond `most` make it work in rounds."""
         classes, splits = None, []
         x = df.select(F.col(key).alias("key"), F.col(point).cast("array<double>").alias("x"), F.col(label).alias("label"))
         if self.mode == "regression":
@@ -171,11 +174,85 @@ class SVM:
             held = np.abs(weight) > 1e-9
             return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "x": [points[held].ravel().tolist()], "weight": [weight[held].tolist()], "b": [b]})
 
+        if len(x.select("key").head(self.most + 1)) > self.most:
+            return SVMModel(self.in_rounds(long_, regression), classes, mode, splits, self.kernel, self.shift, self.degree, self.sigma)
         made = {r.g: r for r in long_.groupBy("g").applyInPandas(one, "g int, x array<double>, weight array<double>, b double").collect()}
         width = len(x.select("x").first()[0])
         vectors = [(np.array(made[g].x, float).reshape(-1, width), np.array(made[g].weight, float), made[g].b) for g in sorted(made)]
         return SVMModel(vectors, classes, mode, splits, self.kernel, self.shift, self.degree, self.sigma)
 
+    def in_rounds(self, long_: DataFrame, regression: bool) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """The vectors of every classifier g over all rows (key, x, g, y). A round takes the `most` multipliers whose
+        pairs violate the conditions most, solves them in a task for each g and carries the others' gradients on."""
+        c, kernel, tol, steps, how, most = self.c, self.kernel, self.tol, self.steps, (self.shift, self.degree, self.sigma), max(2, self.most)
+        both = [F.struct(F.lit(1.0).alias("s"), (self.eps - F.col("y")).alias("p")), F.struct(F.lit(-1.0).alias("s"), (self.eps + F.col("y")).alias("p"))]
+        terms = F.array(*both) if regression else F.array(F.struct(F.col("y").alias("s"), F.lit(-1.0).alias("p")))
+        state = long_.withColumn("row", F.monotonically_increasing_id()).withColumn("t", F.explode(terms)).select("g", "row", "x", "t.s", F.lit(0.0).alias("alpha"), F.col("t.p").alias("grad"))
+        state = kept(state)
+        v = -F.col("s") * F.col("grad")
+        up = ((F.col("s") > 0) & (F.col("alpha") < c)) | ((F.col("s") < 0) & (F.col("alpha") > 0))
+        low = ((F.col("s") > 0) & (F.col("alpha") > 0)) | ((F.col("s") < 0) & (F.col("alpha") < c))
+        free = (F.col("alpha") > 1e-9) & (F.col("alpha") < c - 1e-9)
+
+        def one(pdf):
+            import pandas as pd
+
+            pdf = pdf.sort_values(["row", "s"])
+            points, s, alpha = np.stack(pdf["x"].to_numpy()).astype(float), pdf["s"].to_numpy(float), pdf["alpha"].to_numpy(float)
+            new, _ = solve(gram(points, points, kernel, *how), s, pdf["grad"].to_numpy(float), c, tol, steps, alpha)
+            moved = new != alpha
+            return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "row": [pdf["row"].to_numpy()[moved].tolist()], "s": [s[moved].tolist()], "alpha": [new[moved].tolist()], "step": [(s * (new - alpha))[moved].tolist()], "x": [points[moved].ravel().tolist()]})
+
+        for i in range(self.rounds + 1):
+            ends = {r.g: r for r in state.groupBy("g").agg(F.max(F.when(up, v)).alias("high"), F.min(F.when(low, v)).alias("low"), F.avg(F.when(free, v)).alias("free")).collect()}
+            apart = [g for g, r in ends.items() if r.high is not None and r.low is not None and r.high - r.low > tol]
+            if not apart or i == self.rounds:
+                break
+            parts = [state.filter((F.col("g") == g) & side).orderBy(order, "row", "s").limit(most // 2) for g in apart for side, order in ((up, v.desc()), (low, v.asc()))]
+            chosen = parts[0]
+            for part in parts[1:]:
+                chosen = chosen.union(part)
+            moves = {r.g: (dict(zip(zip(r.row, r.s, strict=True), r.alpha, strict=True)), np.array(r.step), np.array(r.x, float).reshape(len(r.step), -1)) for r in chosen.dropDuplicates(["g", "row", "s"]).groupBy("g").applyInPandas(one, "g int, row array<long>, s array<double>, alpha array<double>, step array<double>, x array<double>").collect() if r.step}
+
+            def carried(batches, moves=moves):
+                for pdf in batches:
+                    alpha, grad = pdf["alpha"].to_numpy(float).copy(), pdf["grad"].to_numpy(float).copy()
+                    for g, (new, step, points) in moves.items():
+                        at = np.flatnonzero(pdf["g"].to_numpy() == g)
+                        if len(at):
+                            here = pdf.iloc[at]
+                            s = here["s"].to_numpy(float)
+                            grad[at] += s * (gram(np.stack(here["x"].to_numpy()).astype(float), points, kernel, *how) @ step)
+                            alpha[at] = [new.get(k, a) for k, a in zip(zip(here["row"], s, strict=True), alpha[at], strict=True)]
+                    yield pdf.assign(alpha=alpha, grad=grad)
+
+            before, state = state, kept(state.mapInPandas(carried, state.schema))
+            before.unpersist()
+        if apart:
+            warnings.warn(f"not at the optimum after {self.rounds} rounds", stacklevel=3)
+        weights = state.groupBy("g", "row").agg(F.first("x").alias("x"), F.sum(F.col("s") * F.col("alpha")).alias("weight")).filter("abs(weight) > 1e-9")
+        if kernel == "linear":
+            sums = weights.select("g", "weight", F.posexplode("x").alias("i", "x")).groupBy("g", "i").agg(F.sum(F.col("weight") * F.col("x")).alias("w")).collect()
+            held = {g: [(1.0, [r.w for r in sorted((r for r in sums if r.g == g), key=lambda r: r.i)])] for g in {r.g for r in sums}}
+        else:
+            held = {}
+            for r in weights.orderBy("g", "row").collect():
+                held.setdefault(r.g, []).append((r.weight, r.x))
+        out = []
+        for g, r in sorted(ends.items()):
+            found = [e for e in (r.high, r.low) if e is not None]
+            b = r.free if r.free is not None else float(np.mean(found)) if found else 0.0
+            rows = held.get(g, [])
+            out.append((np.array([x for _, x in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 1)), np.array([a for a, _ in rows], float), b))
+        return out
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Made at once, and checkpointed or cached."""
+    out = _kept(df)
+    out.count()
+    return out
+
 
 def argmax_of(text: Column, classes: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in classes]), text).cast("int") - 1

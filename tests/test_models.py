@@ -88,6 +88,19 @@ def test_svm_meets_its_conditions(spark):
     assert model.transform(df, "x").filter("prediction = y").count() >= 58
 
 
+@pytest.mark.parametrize(("kernel", "mode"), [("linear", "regression"), ("linear", "ovr")])
+def test_svm_learns_from_more_rows_than_a_task_solves(spark, kernel, mode):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(150, 2))
+    t = x @ [3.0, 1.0] + 0.5 + draw.normal(size=150) / 5
+    df = spark.createDataFrame([(i, list(map(float, p)), float(v), "left" if v < 0 else "right") for i, (p, v) in enumerate(zip(x, t, strict=True))], "id int, x array<double>, t double, y string")
+    found = []
+    for most in (100, 150):
+        model = svm.SVM(1.0, kernel, mode, most=most).fit(df, "id", "x", "t" if mode == "regression" else "y")
+        found.append([r.u for r in df.orderBy("id").select(model.decision(F.col("x")).alias("u")).collect()])
+    assert found[0] == pytest.approx(found[1], abs=0.05)
+
+
 def test_svm_classes_keep_whole_names_in_a_tree(spark):
     df = spark.createDataFrame([(i, [float(i % 4) * 3, 0.1 * (i // 4)], ["north", "east", "south", "west"][i % 4]) for i in range(24)], "id int, x array<double>, y string")
     model = svm.SVM(10.0, "rbf", "tree").fit(df, "id", "x", "y")
