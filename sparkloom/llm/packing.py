@@ -19,8 +19,17 @@ CAPACITY = 2048
 END = 0
 #: Ranks within a length are counted in so many parts, so that one length with most pieces is no single task.
 PARTS = 64
-#: Words whose ids a task keeps at once, texts that it tokenizes at once, and new words that go to the tokenizer at once.
-KEPT_WORDS, TEXTS, WORDS_AT_ONCE = 600_000, 1_000, 250
+#: Words whose ids a task keeps at once, and texts that it tokenizes at once.
+KEPT_WORDS, TEXTS = 600_000, 1_000
+#: The normalizer and the pre-tokenizer of the vocabulary whose words can be looked up one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -32,8 +41,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, row: documents' token ids, cut only where longer than the capacity.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, so each word between white space
-    is tokenized once per task and its ids are reused."""
+    Where the vocabulary's rules allow, each word is tokenized once per task and its ids are reused (see word_ids).
+    doc_id is cast to long; null and empty texts are one piece, the end token; repeated rows are pieces each."""
     tokenizer = tokenizer or tokenizer_path()
 
     def run(batches):
@@ -59,52 +68,63 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 
 def word_ids(tokenizer: str):
-    """A function from texts to the bytes of their ids. New words go to the tokenizer as one text, with a mark between
-    them; a word's last punctuation marks are tokens of their own if a letter or digit stands before them."""
+    """A function from texts to the bytes of their ids, the same as the tokenizer's for whole texts.
+
+    Under the rules above no token reaches across white space, letters are one run and marks around them another, so a
+    word of Latin letters with marks before or behind is looked up as three parts. Its letters have one lower case and
+    no shorter form, so the model itself takes them, in the byte-level alphabet. Every other word goes through the
+    whole tokenizer as it is. Under other rules every text does."""
+    import json
     import re
+    from array import array
 
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    model = Tokenizer.from_file(tokenizer)
+    whole = Tokenizer.from_file(tokenizer)
+    rules = json.loads(whole.to_str())
+    encoded = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    if (rules["normalizer"], rules["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER):
+        return lambda texts: encoded([t or "" for t in texts])
     gaps = re.compile("[\x1c-\x1f]")  # str.split() splits at these too, the tokenizer doesn't
-    mark = "|"
-    bound = model.encode(mark, add_special_tokens=False).ids
-    known: dict[str, bytes] = {"": b""}
-    direct = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(words: list[str]) -> None:
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
-            found = np.array(model.encode_batch_fast([f" {mark} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(found == bound[0]) if len(bound) == 1 else []
-            if len(cuts) != len(some) - 1:
-                known.update((w, direct(w)) for w in some)
+    latin = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+    model, level = whole.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    in_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+    known: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {"": b""}
+
+    def part(letters: str) -> bytes:
+        found = parts.get(letters)
+        if found is None:
+            found = parts[letters] = array("I", [t.id for t in model.tokenize(letters if letters.isascii() else letters.translate(in_bytes))]).tobytes()
+        return found
+
+    def marks(text: str) -> bytes:
+        if text not in parts:
+            parts[text] = encoded([text])[0]
+        return parts[text]
+
+    def learn(words: set[str]) -> None:
+        odd = []
+        for w in words:
+            m = latin(w)
+            if m is None or "<|" in w:  # special tokens begin so
+                odd.append(w)
                 continue
-            data = found.tobytes()
-            firsts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
-            known.update(zip(some, [data[a:b] for a, b in zip(firsts, ends, strict=True)], strict=True))
+            before, letters, after = m.groups()
+            ids = part(letters.lower())
+            known[w] = marks(before) + ids + marks(after) if before or after else ids
+        known.update(zip(odd, encoded(odd), strict=True))
 
     def ids(texts: list) -> list[bytes]:
         split = [None if gaps.search(t or "") else (t or "").split() for t in texts]
         new = {w for words in split if words for w in words}.difference(known)
         if len(known) + len(new) > KEPT_WORDS:
             known.clear()
-            known[""] = b""
+            parts.clear()
+            parts[""] = b""
             new = {w for words in split if words for w in words}
-        parts = {}
-        for w in new:
-            core = w.rstrip(".,!?;:")
-            if core and mark not in w and (core == w or core[-1].isalnum()):
-                small = core.lower() if core.isascii() else core  # as the tokenizer does
-                if small != w:
-                    parts[w] = small, w[len(core) :]
-        whole = new.difference(parts) | {x for pair in parts.values() for x in pair}
-        plain = whole.difference(known)
-        odd = {w for w in plain if mark in w}
-        known.update((w, direct(w)) for w in odd)
-        learn(list(plain - odd))
-        known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
-        return [b"".join(map(known.__getitem__, words)) if words is not None else direct(t) for t, words in zip(texts, split, strict=True)]
+        learn(new)
+        return [b"".join(map(known.__getitem__, words)) if words is not None else encoded([t])[0] for t, words in zip(texts, split, strict=True)]
 
     return ids
 
@@ -122,35 +142,36 @@ class Plan:
 
 
 def reduce_by_dominance(left: Counter, plan: Plan) -> None:
-    """Martello and Toth: fixes bins that are at least as good as any other bin for their largest piece.
-
-    From the largest piece j down: j alone if nothing fits with it; {j, k} if k fills the bin exactly, or if k is the
-    largest that fits and no two pieces fit with j together; three pieces are never worth fixing here, since the
-    exact pair or best fit follows. left keeps the rest."""
-    lengths = sorted(x for x in left if left[x] > 0)
-    for j in reversed(list(lengths)):
-        while left[j] > 0:
+    """Martello and Toth: fixes bins that are at least as good as any other bin for one of their pieces.
+
+    Let k be the longest piece that fits into a bin with piece j (0 if none does). If no set of the other pieces has a
+    total above k that still fits beside j, then whatever lies beside j in an optimal packing fits into the place of
+    k, so the two can be swapped: {j, k} dominates every bin that j can be in, and is fixed. That is so for each
+    further j and k as well, since fewer pieces have fewer totals. Totals are kept as the bits of a number, over the pieces
+    that were left when a pass began: a superset, which fixes less but nothing wrong. left keeps the rest."""
+    changed = True
+    while changed:
+        changed = False
+        totals, lengths = 1, sorted(x for x in left if left[x] > 0)
+        added = 0
+        for j in reversed(lengths):
             room = plan.capacity - j
-            left[j] -= 1
-            while lengths and not left[lengths[0]]:
-                lengths.pop(0)
+            while added < len(lengths) and lengths[added] <= room:
+                x, copies = lengths[added], min(left[lengths[added]], plan.capacity // lengths[added])
+                added, step = added + 1, 1
+                while copies > 0:  # 1, 2, 4, ... copies at once
+                    totals |= totals << x * min(step, copies)
+                    copies, step = copies - step, step * 2
             at = bisect.bisect_right(lengths, room) - 1
-            while at >= 0 and not left[lengths[at]]:
-                lengths.pop(at)
-                at -= 1
-            k = lengths[at] if at >= 0 and lengths else 0
-            small = lengths[0] if lengths else room + 1
-            two = small * 2 if lengths and left[small] > 1 else small + next((x for x in lengths[1:] if left[x]), room + 1)
-            left[j] += 1
-            if not k:
-                plan.fix(left, left[j], {j: 1})
-            elif k == room or two > room:
-                bins = left[j] // 2 if k == j else min(left[j], left[k])
-                if not bins:
+            while left[j] > 0:
+                while at >= 0 and left[lengths[at]] - (lengths[at] == j) <= 0:
+                    at -= 1
+                k = lengths[at] if at >= 0 else 0
+                if totals >> (k + 1) & ((1 << (room - k)) - 1):
                     break
-                plan.fix(left, bins, {j: 2} if k == j else {j: 1, k: 1})
-            else:
-                break
+                bins = left[j] if not k else left[j] // 2 if k == j else min(left[j], left[k])
+                plan.fix(left, bins, {j: 1} if not k else {j: 2} if k == j else {j: 1, k: 1})
+                changed = True
 
 
 def best_fit(left: Counter, plan: Plan) -> None:
@@ -252,4 +273,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents. Null and empty texts are one token, repeated rows are packed each, no rows give none."""
     return pack(read(spark, sf_dir, "documents"))

@@ -339,20 +339,80 @@ def test_words_are_tokenized_as_texts_are(spark, text):
     assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
-def test_plans_hold_every_piece_and_are_near_the_bound():
+def test_ids_are_the_tokenizers_on_fuzzed_texts():
+    from tokenizers import Tokenizer
+
+    path, draw = packing.tokenizer_path(), random.Random(1)
+    model, ids = Tokenizer.from_file(path), packing.word_ids(path)
+    alphabet = [*"aZ'stbİıſﬁΣσςßéÉ\u0301\u0307 \n.,!?;:|<>-_#0½Ⅷªµ日ÅK\u200b\xa0\x85\x1d🙂×÷Ÿ", "'s", "'LL", "<|endoftext|>", "<|", "|>", "ǅ", "…"]
+    texts = [None, *("".join(draw.choice(alphabet) for _ in range(draw.randint(0, 12))) for _ in range(30_000))]
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, ids(texts), wanted, strict=True) if a != b] == []
+
+
+def test_other_vocabularies_tokenize_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    texts = ["Hello,  world's\n\n x", "", "é ü|"]
+    assert packing.word_ids(path)(texts) == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def fewest_bins(pieces: list[int], capacity: int) -> int:
+    """Exhaustive search."""
+    pieces, best, bins = sorted(pieces, reverse=True), len(pieces), []
+
+    def place(i: int) -> None:
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(pieces):
+            best = len(bins)
+            return
+        for b in {full: b for b, full in enumerate(bins) if full + pieces[i] <= capacity}.values():
+            bins[b] += pieces[i]
+            place(i + 1)
+            bins[b] -= pieces[i]
+        bins.append(pieces[i])
+        place(i + 1)
+        bins.pop()
+
+    place(0)
+    return best
+
+
+def test_dominance_never_costs_a_bin():
+    draw, fixed = random.Random(7), 0
+    cases = [(20, [4, 5, 8, 9, 9, 11, 11]), (12, [3, 3, 4, 5, 9, 10, 12]), (10, []), (10, [10, 10]), (10, [5, 5, 5])]
+    for _ in range(4000):
+        capacity = draw.choice([10, 12, 20, 30])
+        cases.append((capacity, [draw.randint(1, capacity) for _ in range(draw.randint(1, 9))]))
+    for capacity, lengths in cases:
+        left, plan = Counter(lengths), packing.Plan(capacity)
+        packing.reduce_by_dominance(left, plan)
+        bins = sum(b for b, _ in plan.groups)
+        fixed += bins
+        assert bins + fewest_bins(list(left.elements()), capacity) == fewest_bins(lengths, capacity), (capacity, lengths)
+    assert fixed > 4000
+
+
+def test_plans_hold_every_piece_and_meet_the_bound():
+    over = 0
     for seed in range(60):
         draw = random.Random(seed)
-        cap = draw.choice([10, 30, 100])
-        lengths = Counter(draw.randint(1, cap) for _ in range(draw.randint(1, 400)))
-        plan, used = packing.plan_bins(dict(lengths), cap), Counter()
+        capacity = draw.choice([10, 30, 100])
+        lengths = Counter(draw.randint(1, capacity) for _ in range(draw.randint(1, 400)))
+        plan, used = packing.plan_bins(dict(lengths), capacity), Counter()
         for bins, content in plan.groups:
-            assert bins > 0 and sum(a * n for a, n in content) <= cap
+            assert bins > 0 and sum(a * n for a, n in content) <= capacity
             for a, n in content:
                 used[a] += bins * n
         assert used == lengths
-        big = sum(n for a, n in lengths.items() if 2 * a > cap)
-        bound = max(big, -(-sum(a * n for a, n in lengths.items()) // cap))
-        assert sum(b for b, _ in plan.groups) <= bound * 1.08 + 2
+        big = sum(n for a, n in lengths.items() if 2 * a > capacity)
+        bound = max(big, -(-sum(a * n for a, n in lengths.items()) // capacity))
+        over += sum(b for b, _ in plan.groups) - bound
+        assert sum(b for b, _ in plan.groups) <= bound + max(2, bound // 25)
+    assert over <= 60
 
 
 # 6
