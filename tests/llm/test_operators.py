@@ -490,6 +490,71 @@ def test_toxicity_on_held_out_rows(spark):
     assert None in kept and 9001 in kept and 1 in kept and 0 not in kept
 
 
+def test_label_model_and_classifier_follow_brute_force(spark):
+    """Expectation maximisation and logistic regression written out in numpy, over every row."""
+    draw = np.random.default_rng(5)
+    n, toxic = 4, draw.random(400) < 0.3
+    x = draw.random((400, n)) < np.where(toxic[:, None], [0.7, 0.5, 0.4, 0.2], [0.02, 0.1, 0.05, 0.2])
+    x[:, 1] |= x[:, 0] & (draw.random(400) < 0.8)
+    label = np.where(draw.random(400) < 0.25, toxic.astype(float), np.nan)
+    rows = [(np.flatnonzero(v).tolist(), None if np.isnan(t) else int(t), 1) for v, t in zip(x, label, strict=True)]
+    patterns = spark.createDataFrame(rows, "votes array<int>, toxic int, docs long").groupBy("votes", "toxic").agg(F.sum("docs").alias("docs"))
+    model = toxicity.fit_label_model(patterns, n, rounds=3)
+
+    p, known = np.where(np.isnan(label), 0, label), ~np.isnan(label)
+    use = known
+    for step in range(4):
+        t, c = (p * use).sum(), ((1 - p) * use).sum()
+        rates = np.stack([(((1 - p) * use) @ x + 0.5) / (c + 1), ((p * use) @ x + 0.5) / (t + 1)], 1)
+        prior, weight = (t + 0.5) / (t + c + 1), np.ones(n)
+        if step:
+            for i in range(n):
+                for j in range(n):
+                    if i != j:
+                        both = x[:, i] & x[:, j]
+                        joint = np.array([((1 - p) * both).sum(), (p * both).sum()])
+                        a, b = rates[i], rates[j]
+                        r = (joint / (np.array([c, t]) + 1) - a * b) / np.sqrt(a * (1 - a) * b * (1 - b))
+                        weight[i] += max(0.0, (joint * r).sum() / (joint.sum() + 1e-9) - toxicity.INDEPENDENT) / (1 - toxicity.INDEPENDENT)
+        weight = 1 / weight
+        odds = np.log(prior / (1 - prior)) + (weight * np.where(x, np.log(rates[:, 1] / rates[:, 0]), np.log((1 - rates[:, 1]) / (1 - rates[:, 0])))).sum(1)
+        p, use = np.where(known, np.nan_to_num(label), 1 / (1 + np.exp(-odds))), np.ones(400)
+    assert model.prior == pytest.approx(prior) and model.rates == pytest.approx(rates) and model.weight == pytest.approx(weight)
+
+    def logistic_regression(x, y):
+        theta = np.zeros(x.shape[1])
+        for _ in range(50):
+            g = 1 / (1 + np.exp(-x @ theta))
+            theta -= np.linalg.solve((x * (g * (1 - g))[:, None]).T @ x + 0.05 * np.eye(len(theta)), x.T @ (g - y) + 0.05 * theta)
+        return theta
+
+    assert (model.scale, model.shift) == pytest.approx(tuple(logistic_regression(np.stack([odds[known], np.ones(known.sum())], 1), label[known])), rel=1e-3)
+    posterior = 1 / (1 + np.exp(-(model.scale * odds + model.shift)))
+    bias, weights = toxicity.fit_classifier(patterns, model, n)
+    assert [*weights, bias] == pytest.approx(logistic_regression(np.concatenate([x, np.ones((400, 1))], 1).astype(float), posterior), rel=1e-3, abs=1e-3)
+
+
+def test_training_rows_are_bounded_and_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i % 900, f"text {i % 1000}", "x") for i in range(3000)], "doc_id long, text string, toxic string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")
+    found = [sorted(map(tuple, toxicity.sampled(docs.repartition(n), marks, 100).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and 60 <= len(found[0]) <= 100
+    every = toxicity.sampled(docs, marks, 10_000).collect()
+    assert len(every) == len({(i % 900, f"text {i % 1000}") for i in range(3000) if i % 900 < 800})
+
+
+def test_toxicity_judges_rows_by_their_texts(spark):
+    """Repeated rows, rows that share a doc_id or lack one, very long texts and columns with clashing names."""
+    train = [(i, prose(1000 + i, 40) + (" scum moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    odd = [(9000, "nice words here"), (9000, "scum moron you scum"), (9001, "scum moron"), (9001, "scum moron"), (None, "moron scum"), (None, "fine"), (9002, prose(5, 60_000)), (9003, prose(6, 60_000) + " scum moron"), (9004, None), (9005, "")]
+    docs = spark.createDataFrame([(d, t, "v", 0.0) for d, t, *_ in [*train, *odd]], "doc_id long, text string, votes string, score double")
+    labels = spark.createDataFrame([(d, t) for d, _, t in train] + [(9004, 0), (None, 1)], "doc_id long, toxic int")
+    kept = sorted((r.doc_id or 0, len(r.text or "")) for r in toxicity.clean(docs, labels).collect() if r.doc_id is None or r.doc_id >= 9000)
+    assert kept == sorted((d or 0, len(t or "")) for d, t in odd if "scum" not in (t or ""))
+    assert toxicity.score(docs, labels).count() == len(train) + len(odd)
+    assert toxicity.score(docs.limit(0), labels).count() == 0 and toxicity.clean(docs.limit(0), labels).count() == 0
+
+
 def test_held_out_is_crc_of_the_id(spark):
     rows = spark.range(50).select("id", toxicity.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
