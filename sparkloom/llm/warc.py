@@ -9,7 +9,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import new_folder, read, save, shuffle_partitions
@@ -20,6 +20,8 @@ FULL_16, FULL_32 = 0xFFFF, 0xFFFFFFFF
 RECORDS, INDEX = "archive/data.warc", "indexes/index.cdx"
 #: Ranges that lie so near to each other are read at once, up to so many bytes.
 GAP, MOST = 1 << 16, 1 << 23
+#: Bits of the bitmap over repeated digests, at most. If they are very many, more payloads are shuffled than need be.
+BITS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -119,14 +121,14 @@ class Writer:
         self.write(struct.pack("<IHHHHIIH", END, 0, 0, FULL_16, FULL_16, FULL_32, FULL_32, 0))
 
 
-def record(page_id, url: str, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """A WARC/1.1 record; a revisit has no payload, its headers say which record has it."""
-    body = payload if kind == "response" else b""
+def record(page_id, url: str, payload: bytes, n_bytes: int, digest: str, refers_to) -> bytes:
+    """A WARC/1.1 record; a revisit (with refers_to) has no payload, its headers say which record has it."""
+    kind = "response" if refers_to is None else "revisit"
     clean = "".join(c for c in url if c >= " ")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n_bytes}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+    return "\r\n".join([*head, f"Content-Length: {len(payload)}", "", ""]).encode() + payload + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -146,21 +148,65 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, response (the page_id that holds the payload): of equal payloads of at least so many bytes
-    the largest page_id is the response, smaller payloads are all responses."""
-    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    last = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(last.select("digest", "response"), "digest", "left").select("page_id", "url", "html", F.coalesce("response", "page_id").alias("response"))
+def bitmap(keys: DataFrame, bits: int) -> Column:
+    """A test of the column key that is true for each key (a long) in keys, and for few others if they are few for the
+    bits. Its bits are the only thing that goes through the driver."""
+    place = lambda x: x.bitwiseAND(bits - 1)
+    marks = keys.select(F.shiftright(place(F.col("key")), 6).alias("i"), F.expr(f"shiftleft(1L, cast(key & {bits - 1} & 63 as int))").alias("b"))
+    words = [0] * (bits // 64)
+    for row in marks.groupBy("i").agg(F.bit_or("b").alias("b")).collect():
+        words[row.i] = row.b
+    held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    at = place(F.col("key"))
+    return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """path, n_bytes, n_records of the archives of pages (page_id, url, html, response), one for each partition.
+def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, url, payload, n_bytes, digest (hexadecimal SHA-1), refers_to of each record to write.
+
+    Of the rows with one payload of at least so many bytes, that with the largest page_id is the response; of several
+    such rows the one with the last url, and of rows that are equal in all this, one. The others are revisits: they have no payload and
+    refer to its page_id. Smaller payloads, and rows without page_id, are responses all.
+
+    Payloads that occur once are the most. They stay where they were read: only digests are grouped, and a bitmap of
+    BITS bits at most over the repeated ones tells which rows can have one. Those alone are shuffled, by digest, page
+    and url, and revisits come from the groups, without their payloads."""
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"))
+    rows = rows.select("*", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("digest"))
+    joinable = (F.col("n_bytes") >= least) & F.col("page_id").isNotNull()
+    each = rows.filter(joinable).groupBy("digest", "page_id", "url", "n_bytes").agg(F.count("*").alias("n"))
+    each = save(each, "records")
+    groups = each.groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.struct("page_id", "url")).alias("last")).filter("n > 1")
+    groups = save(groups.select("digest", "last"), "groups")
+
+    key = F.xxhash64("digest").alias("key")
+    bits = 1 << min(max(12, (32 * groups.count()).bit_length()), BITS.bit_length() - 1)
+    rows = rows.withColumn("key", key)
+    again = joinable & bitmap(groups.select(key), bits)
+    nothing = F.lit(None).cast("long").alias("refers_to")
+    out = ["page_id", "url", "payload", "n_bytes", "digest"]
+    single = rows.filter(~again | F.col("page_id").isNull()).select(*out, nothing)
+
+    members = each.join(groups, "digest")
+    first = (F.col("page_id") == F.col("last.page_id")) & (F.col("url") == F.col("last.url"))
+    others = members.filter(~first).select("digest", "page_id", "url")
+    kept = rows.filter(again).join(others, ["digest", "page_id", "url"], "left_anti")
+    kept = kept.groupBy("digest", "page_id", "url", "n_bytes").agg(F.first("payload").alias("payload")).select(*out, nothing)
+    times = F.col("n") - F.when(first, 1).otherwise(0)
+    revisits = members.select("*", times.alias("times")).filter("times > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    revisits = revisits.select("page_id", "url", F.lit(b"").alias("payload"), "n_bytes", "digest", F.col("last.page_id").alias("refers_to"))
+    return single.unionByName(kept).unionByName(revisits)
+
+
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """path, n_bytes, n_records of the archives of records (as deduplicated() gives them), one for each partition.
 
     A task that runs again writes another file; the returned table names the files of those that ended well."""
 
     def run(batches):
+        import base64
+
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -168,31 +214,26 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         name = f"{folder}/pages-{at.partitionId():05d}-{at.taskAttemptId()}.zip"
         store, path = open_store(name)
         index: list[str] = []
-        seen: set = set()
 
-        def records() -> Iterator[bytes]:
+        def written() -> Iterator[bytes]:
             offset = 0
             for batch in batches:
                 for row in batch.to_pylist():
-                    page, payload = row["page_id"], row["html"]
-                    first = page == row["response"] and page not in seen
-                    if first and page is not None:
-                        seen.add(page)
-                    kind = "response" if first or row["response"] is None else "revisit"
-                    data = record(page, row["url"], payload, base32_sha1(payload), kind, row["response"])
-                    index.append(f"{page}\t{offset}\t{len(data)}\n")
+                    digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
+                    data = record(row["page_id"], row["url"], row["payload"], row["n_bytes"], digest, row["refers_to"])
+                    index.append(f"{row['page_id']}\t{offset}\t{len(data)}\n")
                     offset += len(data)
                     yield data
 
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(path) as out:
             zipped = Writer(out)
-            zipped.member(RECORDS, records())
+            zipped.member(RECORDS, written())
             zipped.member(INDEX, (line.encode() for line in index))
             zipped.close()
         yield pa.RecordBatch.from_pydict({"path": [name], "n_bytes": [zipped.at], "n_records": [len(index)]})
 
-    return save(pages.mapInArrow(run, "path string, n_bytes long, n_records long"), "archives")
+    return save(records.mapInArrow(run, "path string, n_bytes long, n_records long"), "archives")
 
 
 def read_index(archives: DataFrame) -> DataFrame:
@@ -266,8 +307,8 @@ def read_records(index: DataFrame) -> DataFrame:
 def archive_and_read(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC records in ZIP archives in the shared folder and reads them back.
 
-    Null html and url are empty. Of repeated rows of a page_id and payload one is the response and the others
-    revisit it; rows without page_id are responses. An empty table makes archives without records."""
+    Null html and url are empty. See deduplicated() for which records are responses; repeated rows are records each.
+    An empty table makes no records."""
     spark = pages.sparkSession
     archives = write_archives(deduplicated(pages, least), new_folder(spark, "archives"))
     index = read_index(archives.repartition(shuffle_partitions(spark), "path"))
@@ -275,4 +316,6 @@ def archive_and_read(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archive_and_read() of all pages, without payloads. Null and empty html are payloads of no bytes, which are
+    equal; repeated rows are records each, one of them the response; no rows give none."""
     return archive_and_read(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -441,6 +441,35 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_repeated_pages_have_one_response_on_every_plan(spark, tmp_path):
+    """Equal rows, equal page_ids with other payloads or urls, lost page_ids and a hot payload."""
+    rows = [(i, f"u{i}", f"page {i}") for i in range(60)] * 2 + [(i, "v", "hot") for i in range(100, 160)] + [(159, "w", "hot")] * 3 + [(None, "n", "hot"), (None, "n", None), (7, "other", "page 7"), (500, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(8).write.parquet(f"{tmp_path}/pages")
+    seen = Counter((i, u or "", h or "") for i, u, h in rows)
+    wanted = Counter()
+    for (i, u, h), n in seen.items():
+        last = max(((j, v) for j, v, x in seen if x == h and j is not None), default=None)
+        if i is None or (i, u) == last:
+            wanted[i, u, len(h), "response", None] += n if i is None else 1
+            n = 0 if i is None else n - 1
+        if n:
+            wanted[i, u, len(h), "revisit", last[0]] += n
+    for table in (pages.repartition(1), pages.repartition(8), spark.read.parquet(f"{tmp_path}/pages")):
+        found = Counter((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_and_read(table).collect())
+        assert found == wanted
+    alike = warc.archive_and_read(pages, least=5).filter("page_id between 100 and 160")
+    assert alike.filter("record_type <> 'response'").count() == 0 and alike.count() == 63
+
+
+def test_full_bitmaps_only_cost_time(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"page {i % 90}") for i in range(120)], "page_id long, url string, html string")
+    found = [sorted(tuple(r[:6]) for r in warc.archive_and_read(pages).collect())]
+    monkeypatch.setattr(warc, "BITS", 64)
+    found.append(sorted(tuple(r[:6]) for r in warc.archive_and_read(pages).collect()))
+    assert found[0] == found[1] and len(found[0]) == 120
+
+
 def test_directories_agree_with_another_writer(tmp_path):
     import io
     import zipfile
