@@ -1,22 +1,29 @@
 """Repeated passages: paragraphs that are alike by MinHash banding, and equal passages inside longer paragraphs.
 
-Natural paragraphs are lines. Those of LEAST shingles or more (long ones) are banded by HyperMinHash registers; colliding ones are
-verified on exact shingle sets and clustered by components. Copies often lose their line breaks, and passages are
-pasted into longer lines, so texts are also cut into blocks at content-defined places, whatever the lines: in each run
-of 50 words that is repeated, whole blocks cover 20 words or more in a row. Blocks and shorter lines are too short to be alike without being equal
-(a changed word is in five shingles), so they are matched by a digest of all their words."""
+Paragraphs are lines. Equal ones are one class; classes are banded by HyperMinHash registers, colliding ones are verified
+on exact shingle sets, and components of links are clusters, of which one place stays and the others are removals. Sets
+of fewer than LEAST shingles can't be alike without being equal, all others are banded.
+
+Copies often lose their line breaks, and passages are pasted into longer lines. No paragraph then holds the passage
+alone and the Jaccard similarity says nothing, so texts are also cut into blocks at content-defined places, whatever
+the lines: in each run of 50 words that is repeated, whole blocks cover 20 words or more in a row. A block has at most
+18 shingles and a changed word is in five of them, so blocks are alike if they are equal. Words of equal units are
+compared by a cryptographic digest beside the polynomial one that finds them."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import INVERSE, hashed_shingles, hashed_words, mix, powers, read, save, utf8
+from sparkloom.llm.common import INVERSE, LOWER, SPACE, hashed_shingles, hashed_words, mix, powers, read, save, utf8
 from sparkloom.llm.near_dedup import compressed, linked
 
 WORDS, PERCENT = 5, 80
-LEAST = 16
+#: Two different sets of which one has fewer shingles are less alike: 3 / 4 at most.
+LEAST = 4
 #: 8 bands whose keys are 3 of their 4 registers: a pair at 0.8 shares none with probability (1 - 0.8**3)**8 = 0.003,
 #: at 0.9 with 0.00003. Sketches may be ERRORS standard errors below the threshold.
 BANDS, ROWS, ERRORS = 8, 3, 4.0
@@ -50,41 +57,55 @@ def lines(data: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return edges[:-1], edges[1:]
 
 
+def normal(data: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words in lower case (A-Z) with one space between them, and the place of each word in that, then its end."""
+    gap = SPACE[data]
+    held = ~gap | np.concatenate([[False], ~gap[:-1]])[: len(data)]
+    text = LOWER[data[held]]
+    text[gap[held]] = 32
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap[held]]).astype(np.int8)) < 0)
+    return text.tobytes(), np.append(edge, len(text) + (not len(gap) or not gap[-1]))
+
+
 def units(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first word, number of words, is it long, digest of its words) of a text's paragraphs and blocks."""
+    """Of a text's lines and blocks: first word, number of words, number of shingles (0: a block), two digests of the
+    words, and registers (of lines of LEAST shingles or more)."""
     words, at = hashed_words(data)
-    if len(words) < WORDS:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int64))
+    if not len(words):
+        return (*(np.zeros(0, np.int64) for _ in range(5)), np.zeros((0, BANDS), np.int64))
     first, end = lines(data, words, at)
-    first, end = first[end - first >= WORDS], end[end - first >= WORDS]
-    long_ = end - first >= LEAST + WORDS - 1
-    place = cuts(hashed_shingles(words, WORDS))
+    first, end = first[end > first], end[end > first]
+    shingles = hashed_shingles(words, WORDS)
+    n = np.ones(len(first), np.int64)
+    sketch = np.zeros((len(first), BANDS), np.int64)
+    long_ = np.flatnonzero(end - first >= WORDS)
+    if len(long_):
+        n[long_], low = distinct(shingles, first[long_], end[long_] - first[long_] - WORDS + 1)
+        sketch[long_] = compressed(low).T.copy().view(np.int64)
+    place = cuts(shingles) if len(words) >= WORDS else np.zeros(0, np.int64)
     if len(place) > 1:
         then = np.searchsorted(place, place + STEP)
         place, then = place[then < len(place)], place[then[then < len(place)]] + WORDS - 1
-        first, end, long_ = np.concatenate([first, place]), np.concatenate([end, then]), np.concatenate([long_, np.zeros(len(place), bool)])
-    return first, end - first, long_, digests(words, first, end)
+        first, end, n = np.concatenate([first, place]), np.concatenate([end, then]), np.concatenate([n, np.zeros(len(place), np.int64)])
+        sketch = np.concatenate([sketch, np.zeros((len(place), BANDS), np.int64)])
+    text, edge = normal(data)
+    check = b"".join([blake2b(text[a:b], digest_size=8).digest() for a, b in zip(edge[first].tolist(), (edge[end] - 1).tolist(), strict=True)])
+    return first, end - first, n, digests(words, first, end), np.frombuffer(check, np.int64), sketch
 
 
-def sketched(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first word, number of distinct shingles, digest, registers) of a text's long lines."""
-    words, at = hashed_words(data)
-    first, end = lines(data, words, at) if len(words) >= WORDS else (np.zeros(0, np.int64),) * 2
-    first, end = first[end - first >= LEAST + WORDS - 1], end[end - first >= LEAST + WORDS - 1]
-    if not len(first):
-        return first, first, first, np.zeros((0, BANDS), np.int64)
-    n = end - first - WORDS + 1
+def distinct(shingles: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of n shingles from first: how many are distinct, and the smallest hash under each seed."""
     start = np.cumsum(n) - n
     line = np.repeat(np.arange(len(n)), n)
-    values = hashed_shingles(words, WORDS)[np.arange(n.sum()) - np.repeat(start - first, n)]
+    values = shingles[np.arange(n.sum()) - np.repeat(start - first, n)]
     order = np.lexsort((values, line))
     new = np.concatenate([[True], (np.diff(line[order]) != 0) | (np.diff(values[order]) != 0)])
     low = np.array([np.minimum.reduceat((values ^ (seed >> np.uint64(7))) * seed, start) for seed in SEEDS])
-    return first, np.bincount(line[order][new], minlength=len(n)), digests(words, first, end), compressed(low).T.copy().view(np.int64)
+    return np.bincount(line[order][new], minlength=len(n)), low
 
 
 def all_units(docs: DataFrame) -> DataFrame:
-    """doc_id, first, n_words, long, key of every unit of docs."""
+    """doc_id, first, n_words, n_shingles (0 for blocks), key, check, sketch (null for blocks and short lines)."""
 
     def run(batches):
         import pyarrow as pa
@@ -92,10 +113,14 @@ def all_units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for ids, texts in parts(batch):
                 found = [units(data) for data in texts]
-                columns = [np.concatenate([f[i] for f in found]) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([repeated_ids(pa, ids, [len(f[0]) for f in found]), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.int64())], ["doc_id", "first", "n_words", "long", "key"])
+                first, n_words, n, key, check = (np.concatenate([f[i] for f in found]) for i in range(5))
+                held = n >= LEAST
+                sizes = np.where(held, BANDS, 0)
+                flat = np.concatenate([f[5] for f in found])[held].ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([repeated_ids(pa, ids, [len(f[0]) for f in found]), *(pa.array(c, pa.int64()) for c in (first, n_words, n, key, check)), lists], ["doc_id", "first", "n_words", "n_shingles", "key", "check", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, first long, n_words long, long boolean, key long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, first long, n_words long, n_shingles long, key long, check long, sketch array<long>")
 
 
 def parts(batch, size: int = 500):
@@ -109,25 +134,8 @@ def repeated_ids(pa, ids, counts: list[int]):
     return ids.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
 
 
-def long_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, first, n_shingles, key, sketch of every long line of docs."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for ids, texts in parts(batch):
-                found = [sketched(data) for data in texts]
-                first, n, key = (np.concatenate([f[i] for f in found]) for i in range(3))
-                flat = np.concatenate([f[3] for f in found]).ravel()
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([repeated_ids(pa, ids, [len(f[0]) for f in found]), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), sketch], ["doc_id", "first", "n_shingles", "key", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, first long, n_shingles long, key long, sketch array<long>")
-
-
 def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id (a long line's digest) and its text, for the digests in wanted (doc_id)."""
+    """doc_id (a line's key) and its words, for the keys in wanted (doc_id)."""
 
     def run(batches):
         import pyarrow as pa
@@ -139,40 +147,40 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 first, end = lines(data, words, at)
                 held = np.flatnonzero(end - first >= LEAST + WORDS - 1)
                 if len(held):
-                    breaks = np.concatenate([[0], np.flatnonzero(data == 10), [len(data)]])
+                    text, edge = normal(data)
                     keys += digests(words, first[held], end[held]).tolist()
-                    texts += [data[breaks[i] : breaks[i + 1]].tobytes() for i in held]
+                    texts += [text[a:b] for a, b in zip(edge[first[held]].tolist(), (edge[end[held]] - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return docs.select("text").mapInArrow(run, "doc_id long, text string").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.select("text").mapInArrow(run, "doc_id long, text string").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, first, n_words, cluster, keeper, keeper_first, removed: each unit of docs (doc_id, text) that is in a
-    cluster of two or more. The keeper is the place with the smallest doc_id, then the first word; removed is true
-    everywhere else."""
+    """doc_id, first, n_words, paragraph, cluster, keeper, keeper_first, removed: each unit of docs (doc_id, text) that is
+    in a cluster of two or more, of whatever length; paragraph is false for blocks. The keeper is the place with the
+    smallest doc_id, then the first word; removed is true everywhere else."""
+    found = save(all_units(docs), "units")
     place = F.min(F.struct("doc_id", "first")).alias("keeper")
-    classes = save(long_lines(docs).groupBy(F.col("key").alias("rep"), "n_shingles").agg(F.first("sketch").alias("sketch"), F.count("*").alias("n"), place), "classes")
-    alike = linked(classes, lambda wanted: paragraph_texts(docs, wanted), WORDS, PERCENT, ROWS, ERRORS)
-    clusters = classes.join(alike, classes["rep"] == alike["node"], "left").select("rep", F.coalesce("component", "rep").alias("cluster"), "n", "keeper")
-    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("keeper").alias("keeper")).filter("n > 1")
-    near = save(clusters.select("rep", "cluster").join(sizes.drop("n"), "cluster").select(F.col("rep").alias("key"), F.lit(True).alias("long"), "cluster", "keeper"), "clusters")
-    found = all_units(docs)
-    equal = found.filter("not long").groupBy("key").agg(F.count("*").alias("n"), place).filter("n > 1").select("key", F.lit(False).alias("long"), F.col("key").alias("cluster"), "keeper")
-    groups = save(near.union(equal), "clusters")
-    out = found.join(groups, ["key", "long"])
+    groups = found.groupBy("key", "check", (F.col("n_shingles") > 0).alias("paragraph"))
+    groups = save(groups.agg(F.count("*").alias("n"), place, F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")).filter("paragraph or n > 1"), "groups")
+    banded = groups.filter(f"n_shingles >= {LEAST}").select(F.col("key").alias("rep"), "n_shingles", "sketch")
+    alike = linked(banded, lambda wanted: paragraph_texts(docs, wanted), WORDS, PERCENT, ROWS, ERRORS)
+    clusters = groups.drop("sketch").join(alike.withColumnRenamed("node", "key").withColumn("paragraph", F.lit(True)), ["key", "paragraph"], "left").withColumn("cluster", F.coalesce("component", F.xxhash64("key", "check")))
+    sizes = clusters.groupBy("cluster", "paragraph").agg(F.sum("n").alias("total"), F.min("keeper").alias("kept")).filter("total > 1")
+    known = save(clusters.join(sizes, ["cluster", "paragraph"]).select("key", "check", "paragraph", "cluster", F.col("kept").alias("keeper")), "clusters")
+    out = found.drop("sketch").withColumn("paragraph", F.col("n_shingles") > 0).join(known, ["key", "check", "paragraph"])
     here = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("first") == F.col("keeper.first"))
-    return out.select("doc_id", "first", "n_words", "cluster", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.first").alias("keeper_first"), (~here).alias("removed"))
+    return out.select("doc_id", "first", "n_words", "paragraph", "cluster", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.first").alias("keeper_first"), (~here).alias("removed"))
 
 
 def report(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """One row for each document with repeated passages: doc_id, class_id, n_passages, n_removed, removed, shared_with.
+    """One row for each document: doc_id, class_id, n_passages, n_removed, removed, shared_with.
 
     A passage is a run of repeated units of `passage` words or more; shorter runs, like a stock phrase or a license
-    line, don't count. shared_with lists the doc_ids that keep units of the passages and class_id is the smallest.
-    n_removed counts the passages' words that are kept elsewhere and removed lists their spans (first, last word).
-    Null, empty and short texts have no passages; one repeated inside a document counts too. Rows that repeat a doc_id
-    are one document."""
+    line, don't count here (repeats() lists them). shared_with lists the doc_ids that keep units of the passages and
+    class_id is the smallest of them; a document without passages is its own class. n_removed counts the passages' words that are kept
+    elsewhere and removed lists their spans (first, last word). A passage repeated inside a document counts too. Null,
+    empty and blank texts have no passages. Rows that repeat a doc_id are one document; so are rows without one."""
     listed = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", (F.col("first") + F.col("n_words") - 1).alias("last"), "removed", "keeper")).alias("units"))
 
     def merged(spans: list[tuple]) -> list[list]:
@@ -201,8 +209,14 @@ def report(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             kind = pa.schema([("doc_id", pa.int64()), ("class_id", pa.int64()), ("n_passages", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("shared_with", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return listed.mapInArrow(run, "doc_id long, class_id long, n_passages long, n_removed long, removed array<struct<first:long,last:long>>, shared_with array<long>")
+    spans = "array<struct<first:long,last:long>>"
+    found = listed.mapInArrow(run, f"doc_id long, class_id long, n_passages long, n_removed long, removed {spans}, shared_with array<long>")
+    every = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
+    zero = lambda c, kind: F.coalesce(c, F.lit(0).cast("long") if kind == "long" else F.array().cast(kind)).alias(c)
+    return every.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), zero("n_passages", "long"), zero("n_removed", "long"), zero("removed", spans), zero("shared_with", "array<long>"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report() of all documents: null, empty and blank texts have no passages, repeated rows are one document, no
+    rows give none."""
     return report(read(spark, sf_dir, "documents"))

@@ -191,21 +191,99 @@ def test_order_is_that_of_the_bytes():
 
 def test_passages(docs, none):
     found = {r.doc_id: r for r in substring_dedup.report(docs).collect()}
-    assert {1, 2, 3, 4, 5, 14, 16, *range(20, 26)} <= set(found) and not {6, 7, 8, 9, 10, 13, 15} & set(found)
+    assert set(found) == {d for d, _ in awkward()}
+    repeated = {d for d, r in found.items() if r.n_passages}
+    assert {1, 2, 3, 4, 5, 14, 16, *range(20, 26)} <= repeated and not {6, 7, 8, 9, 10, 13, 15} & repeated
     assert found[1].class_id == 1 and 1 in found[2].shared_with and found[20].n_removed == 0 and found[25].n_removed >= 40
     assert all(20 in found[i].shared_with for i in range(20, 26))
+    assert (found[7].class_id, found[7].n_removed, found[7].removed, found[7].shared_with) == (7, 0, [], [])
     assert substring_dedup.report(none).count() == 0
 
 
+def paragraph_clusters(rows):
+    """(doc_id, line's first word): cluster by brute force, as the set of its places; lines of repeated or similar words."""
+    places = []
+    for d, t in rows:
+        at = 0
+        for line in (t or "").split("\n"):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if n:
+                places.append(((d, at), shingles(line, 5), re.findall(r"[^\x20\x09-\x0D]+", line.lower())))
+            at += n
+    parent = list(range(len(places)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a, u) in enumerate(places):
+        for j in range(i):
+            _, b, v = places[j]
+            if u == v or 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    groups = defaultdict(set)
+    for i, (place, _, _) in enumerate(places):
+        groups[root(i)].add(place)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def found_clusters(rows):
+    groups = defaultdict(set)
+    for r in rows:
+        if r.paragraph:
+            groups[r.cluster].add((r.doc_id, r.first))
+    return {frozenset(g) for g in groups.values()}
+
+
+LENGTHS = [*range(1, 31), 13, 14, 16, 18, 19, 40, 45, 50, 55, 60, 70] * 3
+
+
+def similar_lines():
+    """Pairs of lines of each length that differ at an end or in the middle, among unlike lines; words of one to 70."""
+    rows = []
+    for i, n in enumerate(LENGTHS):
+        words = prose(30_000 + i, n).split()
+        where = (n - 1, 0, n // 2)[i % 3]
+        other = [*words[:where], "changed", *words[where + 1 :]]
+        rows += [(2 * i, prose(40_000 + i, 9) + "\n" + " ".join(words) + "\n" + prose(50_000 + i, 25)), (2 * i + 1, "  ".join(other).upper() + "\n\n" + prose(60_000 + i, 12))]
+    return rows
+
+
+def test_paragraphs_of_every_length_are_linked(spark):
+    rows = similar_lines()
+    wanted = paragraph_clusters(rows)
+    units = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = found_clusters(units)
+    pairs = lambda clusters: {(a, b) for g in clusters for a in g for b in g if a < b}
+    assert pairs(found) <= pairs(wanted)
+    assert len(pairs(wanted) - pairs(found)) <= 0.02 * len(pairs(wanted)) and len(wanted) > 60
+    for n in set(LENGTHS):
+        held = {(a, b) for a, b in pairs(wanted) if a[0] // 2 == b[0] // 2 and LENGTHS[a[0] // 2] == n}
+        assert len(held & pairs(found)) >= 0.9 * len(held), n
+        assert held or n < 13, n  # in shorter lines a changed word at an end leaves less than 0.8
+
+
+def test_awkward_paragraphs_agree_with_brute_force(spark, docs):
+    assert found_clusters(substring_dedup.repeats(docs).filter("doc_id is not null").collect()) == paragraph_clusters([r for r in awkward() if r[0] is not None])
+
+
+def test_words_are_compared_where_digests_collide(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "digests", lambda words, first, end: (end - first).astype(np.int64))
+    rows = [(i, prose(70_000 + i // 2, 20 + i // 2 % 3)) for i in range(24)]
+    assert found_clusters(substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == {frozenset({(i, 0), (i + 1, 0)}) for i in range(0, 24, 2)}
+
+
 def test_every_run_of_fifty_words_holds_a_block():
     passage = prose(77, 50)
     for seed in range(40):
-        digests = []
+        found = []
         for side in (0, 1):
             text = f"{prose(100 + 2 * seed + side, 33)} {passage} {prose(300 + 2 * seed + side, 41)}"
-            _, _, long_, digest = substring_dedup.units(np.frombuffer(text.encode(), np.uint8))
-            digests.append(set(digest[~long_].tolist()))
-        assert digests[0] & digests[1]
+            _, _, n, key, check, _ = substring_dedup.units(np.frombuffer(text.encode(), np.uint8))
+            found.append(set(zip(key[n == 0].tolist(), check[n == 0].tolist(), strict=True)))
+        assert found[0] & found[1]
 
 
 def test_every_inline_passage_of_fifty_words_is_reported(spark):
