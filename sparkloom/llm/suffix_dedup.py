@@ -2,26 +2,32 @@
 
 Not every suffix is sorted. Each string of LENGTH bytes has an anchor, the place of its smallest hash of K bytes, which
 depends on the string alone: equal strings have equal anchors. The starts whose strings share one anchor are a cell,
-about 85 on average. Cells with equal bytes elsewhere are repeated as a whole. Of the other cells, those whose
-anchor occurs elsewhere are compared: the texts after and before their anchors are sorted by a merge sort, which compares
-by the longest common extension, found by binary search over polynomial prefix hashes; common extensions of
-neighbours are verified on the bytes, and runs of them say which strings are equal."""
+about 85 on average. Cells whose bytes are equal elsewhere, by a polynomial and a cryptographic digest, are repeated as a
+whole and one of them stands for all. Of the different cells of one anchor, the texts after and before their anchors are
+sorted by a merge sort, which compares by the longest common extension, found by binary search over polynomial prefix
+hashes; common extensions of neighbours are verified on the bytes, and runs of them say which strings are equal.
+
+An anchor with very many different cells is no single task: all strings that hold the anchor at a place from lo to hi
+have the bytes between in common, so crowded groups are split by halves of that range and by those bytes, until they
+are small or each is one string."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BYTE, INVERSE, mix, powers, read, save, shuffle_partitions, utf8
+from sparkloom.llm.common import BYTE, INVERSE, mix, powers, read, save, shuffle_partitions, union_all, utf8
 
 LENGTH, K = 200, 32
 WINDOW = LENGTH - K + 1
 #: Texts are scanned in parts of so many starts.
 PART = 1 << 22
 PLACE_BITS = np.uint64(23)
-#: Cells that are compared at once in a task; an anchor with more cells is counted by Spark, string by string.
-TOGETHER, CROWDED = 8_000, 100_000
+#: Cells that are compared at once in a task; groups with more are split.
+TOGETHER = 8_000
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -35,9 +41,14 @@ def hashes(sums: np.ndarray, first: np.ndarray, length) -> np.ndarray:
     return (sums[first + length] - sums[first]) * powers(len(sums), INVERSE)[first]
 
 
+def cell_hashes(sums: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(hashes(sums, first, size - 1 + LENGTH) + (size * 256 + place).astype(np.uint64))
+
+
 def cells(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, cell hash, first start, number of starts, anchor - first start) of a text's cells."""
+    """(anchor hash, two hashes of the cell, first start, number of starts, anchor - first start) of a text's cells."""
     out = []
+    raw = data.tobytes()
     for at in range(0, max(0, len(data) - LENGTH + 1), PART):
         part = data[at : at + PART + LENGTH - 1]
         sums = prefix_sums(part)
@@ -53,13 +64,15 @@ def cells(data: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         size = np.diff(first, append=n)
         place = anchor[first] - first
-        whole = mix(hashes(sums, first, size - 1 + LENGTH) + (size * 256 + place).astype(np.uint64))
-        out.append((g[anchor[first]], whole, first + at, size, place))
-    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        whole = cell_hashes(sums, first, size, place)
+        begin = first + at
+        check = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), (begin + size - 1 + LENGTH).tolist(), strict=True)])
+        out.append((g[anchor[first]], whole, np.frombuffer(check, np.uint64), begin, size, place))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.zeros(0, t) for t in (np.uint64,) * 3 + (np.int64,) * 3)
 
 
 def anchored(rows: DataFrame) -> DataFrame:
-    """row, h (anchor hash), e (cell hash), cell (first start, number of starts and anchor's place in 8 bits each)."""
+    """row, h (anchor hash), e and f (cell hashes), cell (first start, number of starts and anchor's place in 8 bits each)."""
 
     def run(batches):
         import pyarrow as pa
@@ -67,11 +80,11 @@ def anchored(rows: DataFrame) -> DataFrame:
         for batch in batches:
             found = [cells(data) for data in utf8(batch.column(1))]
             counts = [len(x[0]) for x in found]
-            h, e, first, size, place = (np.concatenate([x[i] for x in found]) for i in range(5)) if found else [np.zeros(0, np.int64)] * 5
+            h, e, f, first, size, place = (np.concatenate([x[i] for x in found]) for i in range(6)) if found else [np.zeros(0, np.int64)] * 6
             row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, h.view(np.int64), e.view(np.int64), first << 16 | size << 8 | place)], ["row", "h", "e", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, h.view(np.int64), e.view(np.int64), f.view(np.int64), first << 16 | size << 8 | place)], ["row", "h", "e", "f", "cell"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, h long, e long, cell long")
+    return rows.select("row", "text").mapInArrow(run, "row long, h long, e long, f long, cell long")
 
 
 def common_extension(sums: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
@@ -139,8 +152,9 @@ def verified(data, order, group, at, same, back: bool) -> np.ndarray:
     return out
 
 
-def repeated(group: np.ndarray, texts: list[np.ndarray], size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(cell, first start, last start) of the runs of starts, from 0 in each cell, whose strings two cells of a group have."""
+def repeated(group: np.ndarray, texts: list[np.ndarray], size: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(cell, first start, last start) of the runs of starts, from 0 in each cell, whose strings two cells of a group
+    have. Only strings with the anchor from lo to hi count."""
     data = np.concatenate(texts)
     sums = prefix_sums(data)
     begin = np.cumsum([0, *map(len, texts)])[:-1]
@@ -155,7 +169,7 @@ def repeated(group: np.ndarray, texts: list[np.ndarray], size: np.ndarray, place
     n = len(texts)
     flags = np.zeros((WINDOW + 1, n), bool)  # by start minus anchor, from -(WINDOW - 1) to 0
     for back in range(WINDOW):
-        inside = np.flatnonzero((place >= back) & (place - size < back))
+        inside = np.flatnonzero((place >= back) & (place - size < back) & (lo <= back) & (back <= hi))
         if len(inside) < 2:
             continue
         kinds = []
@@ -174,7 +188,7 @@ def repeated(group: np.ndarray, texts: list[np.ndarray], size: np.ndarray, place
 
 
 def compared(cut: DataFrame, n: int) -> DataFrame:
-    """row, first, last of repeated starts, from cut (h, row, cell, bytes)."""
+    """row, first, last of repeated starts, from cut (g, lo, hi, row, cell, bytes), whose groups g are small."""
 
     def run(batches):
         import pyarrow as pa
@@ -182,15 +196,15 @@ def compared(cut: DataFrame, n: int) -> DataFrame:
         held: list[tuple] = []
 
         def told(rows):
-            h, row, cell, texts = (list(x) for x in zip(*rows, strict=True))
+            g, lo, hi, row, cell, texts = (list(x) for x in zip(*rows, strict=True))
             cell = np.array(cell)
-            group = np.concatenate([[0], np.cumsum(np.diff(h) != 0)])
-            found, first, last = repeated(group, [np.frombuffer(t, np.uint8) for t in texts], cell >> 8 & 255, cell & 255)
+            group = np.concatenate([[0], np.cumsum(np.diff(g) != 0)])
+            found, first, last = repeated(group, [np.frombuffer(t, np.uint8) for t in texts], cell >> 8 & 255, cell & 255, np.array(lo), np.array(hi))
             base = (cell >> 16)[found]
             return pa.RecordBatch.from_arrays([pa.array(np.array(row)[found], pa.int64()), pa.array(base + first, pa.int64()), pa.array(base + last, pa.int64())], ["row", "first", "last"])
 
         for batch in batches:
-            held += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            held += zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
             while len(held) > TOGETHER:  # whole groups only
                 end = next((i for i in range(TOGETHER, 0, -1) if held[i][0] != held[i - 1][0]), None)
                 if end is None:
@@ -202,49 +216,67 @@ def compared(cut: DataFrame, n: int) -> DataFrame:
         if held:
             yield told(held)
 
-    return cut.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "row long, first long, last long")
+    return cut.select("g", "lo", "hi", "row", "cell", "bytes").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "row long, first long, last long")
 
 
-def counted(cut: DataFrame) -> DataFrame:
-    """As compared(), for anchors with very many cells: every string is counted by Spark, under its SHA-256."""
+def halves(cut: DataFrame) -> DataFrame:
+    """The rows of cut for either half of their ranges from lo to hi, where the cell has strings in it, and the groups of
+    those that agree in all bytes that strings of that half have in common."""
+    size, place = F.shiftright("cell", 8).bitwiseAND(255), F.col("cell").bitwiseAND(255)
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("long")
+    both = F.array(F.struct(F.col("lo").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("hi").alias("b")))
+    rows = cut.select("row", "cell", "bytes", F.explode(both).alias("x")).select("row", "cell", "bytes", F.col("x.a").alias("lo"), F.col("x.b").alias("hi"))
+    rows = rows.filter((place >= F.col("lo")) & (place - size < F.col("hi")))
+    common = F.substring("bytes", (place - F.col("lo") + 1).cast("int"), (LENGTH - F.col("hi") + F.col("lo")).cast("int"))
+    return rows.withColumn("common", common).withColumn("g", F.xxhash64("lo", "hi", "common"))
 
-    def run(batches):
-        import hashlib
 
-        import pyarrow as pa
-
-        for batch in batches:
-            for row, cell, text in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
-                n = cell >> 8 & 255
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(cell >> 16, (cell >> 16) + n), pa.int64()), pa.array([hashlib.sha256(text[i : i + LENGTH]).digest() for i in range(n)], pa.binary())], ["row", "first", "digest"])
-
-    rows = cut.select("h", "row", "cell", "bytes").mapInArrow(run, "row long, first long, digest binary")
-    twice = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(twice, "digest").select("row", "first", F.col("first").alias("last"))
+def repeated_starts(cut: DataFrame, crowded: DataFrame, n: int) -> DataFrame:
+    """row, first, last of repeated starts, from cut (g, lo, hi, row, cell, bytes); crowded (g) are its large groups."""
+    out = []
+    while not crowded.isEmpty():
+        out.append(compared(cut.join(crowded, "g", "left_anti"), n))
+        cut = save(halves(cut.join(crowded, "g", "left_semi")), "halves")
+        one = cut.filter("lo = hi")  # strings: those with equal bytes are counted
+        counts = one.groupBy("lo", "common").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        start = F.shiftright("cell", 16) + F.col("cell").bitwiseAND(255) - F.col("lo")
+        out.append(one.join(counts, ["lo", "common"], "left_semi").select("row", start.alias("first"), start.alias("last")))
+        cut = cut.filter("lo < hi")
+        crowded = save(cut.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select("g"), "crowded")
+    return union_all([*out, compared(cut, n)])
+
+
+def row_key(docs: DataFrame, hashed=F.xxhash64) -> Column:
+    """A hash of doc_id and text that no two different rows of docs share: one that they do is replaced."""
+    seed = 0
+    while True:
+        key = hashed(F.lit(seed), "doc_id", "text")
+        twice = docs.select(key.alias("a"), F.xxhash64("text", "doc_id", F.lit(seed)).alias("b")).distinct().groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+        if twice.isEmpty():
+            return key
+        seed += 1
 
 
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): row (a hash of doc_id and text), doc (all columns of docs), doc_id and text; and row, text, and
+    """(rows, spans): row (a key of doc_id and text), doc (all columns of docs), doc_id and text; and row, text, and
     the spans (list of first and last starts of repeated strings) of the rows that have any."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(row_key(docs).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
     found = anchored(rows)
-    twice = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("e") != F.max("e")).alias("mixed")).filter("n > 1").select("h", "mixed")
+    mixed = (F.min("e") != F.max("e")) | (F.min("f") != F.max("f"))
+    twice = found.groupBy("h").agg(F.count("*").alias("n"), mixed.alias("mixed")).filter("n > 1").select("h", "mixed")
     twice = save(twice, "twice")  # a written side lets Spark split the join's hot keys
     again = save(found.join(twice, "h"), "anchors")
-    kinds = save(again.groupBy("h", "e", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("row", "cell")).alias("x")), "cells")
-    whole = again.join(kinds.filter("n > 1").select("h", "e"), ["h", "e"]).select("row", F.shiftright("cell", 16).alias("first"), (F.shiftright("cell", 16) + F.shiftright("cell", 8).bitwiseAND(255) - 1).alias("last"))
-    texts = save(rows.select("row", "text").join(again.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]), "texts")
-    apart = kinds.filter("mixed").select("h", "x.row", "x.cell")
+    kinds = save(again.groupBy("h", "e", "f", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("row", "cell")).alias("x")), "cells")
     first = F.shiftright("cell", 16)
-    cut = apart.join(texts, "row").select("h", "row", "cell", F.substring(F.col("text").cast("binary"), (first + 1).cast("int"), (F.shiftright("cell", 8).bitwiseAND(255) - 1 + LENGTH).cast("int")).alias("bytes"))
-    load = apart.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("h")
-    if load.isEmpty():
-        spans = whole.union(compared(cut, n))
-    else:
-        spans = whole.union(compared(cut.join(load, "h", "left_anti"), n)).union(counted(cut.join(load, "h", "left_semi")))
-    by_row = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    starts = F.shiftright("cell", 8).bitwiseAND(255) - 1
+    whole = again.join(kinds.filter("n > 1").select("h", "e", "f"), ["h", "e", "f"]).select("row", first.alias("first"), (first + starts).alias("last"))
+    texts = save(rows.select("row", "text").join(again.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]), "texts")
+    apart = kinds.filter("mixed").select(F.col("h").alias("g"), "x.row", "x.cell")
+    wide = F.substring(F.col("text").cast("binary"), (first + 1).cast("int"), (starts + LENGTH).cast("int"))
+    cut = apart.join(texts, "row").select("g", F.lit(0).cast("long").alias("lo"), F.lit(WINDOW - 1).cast("long").alias("hi"), "row", "cell", wide.alias("bytes"))
+    crowded = save(apart.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select("g"), "crowded")
+    by_row = whole.union(repeated_starts(cut, crowded, n)).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return rows, by_row.join(texts, "row")
 
 
@@ -305,4 +337,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report() of all documents: null and empty texts have no bytes, equal rows are two texts, no rows give none."""
     return report(read(spark, sf_dir, "documents"))

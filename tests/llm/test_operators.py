@@ -162,9 +162,10 @@ def crowd(seed):
     return rows + ["ab" * 150, "ba" * 150 + "c"]
 
 
-@pytest.mark.parametrize("crowded", [suffix_dedup.CROWDED, 1])
-def test_repeated_strings(spark, docs, monkeypatch, crowded):
-    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+@pytest.mark.parametrize("together", [suffix_dedup.TOGETHER, 12, 1])
+def test_repeated_strings(spark, docs, monkeypatch, together):
+    """With small groups, crowded ones are split, down to single strings."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
     texts = [(d, t) for d, t in awkward()] + [(1000 + i, t) for i, t in enumerate(crowd(5))]
     df = spark.createDataFrame([(*r, 5) for r in texts], "doc_id long, text string, rest int")
     data = [(t or "").encode() for _, t in texts]
@@ -175,6 +176,17 @@ def test_repeated_strings(spark, docs, monkeypatch, crowded):
     assert cut.columns == df.columns and cut.filter("rest <> 5").count() == 0 and cut.count() == len(texts)
 
 
+def test_colliding_hashes_remove_nothing_else(spark, monkeypatch):
+    """Polynomial hashes of whole cells that all collide, and keys of rows that do at first."""
+    monkeypatch.setattr(suffix_dedup, "cell_hashes", lambda sums, first, size, place: np.zeros(len(first), np.uint64))
+    texts = [*crowd(6), prose(900, 100), prose(900, 100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = [int(g.sum()) for g in removed([t.encode() for t in texts])]
+    assert [r.n_removed for r in suffix_dedup.report(df).orderBy("doc_id").collect()] == wanted
+    weak = lambda seed, *columns: F.when(seed == 0, F.lit(7)).otherwise(F.xxhash64(seed, *columns))
+    assert df.select(suffix_dedup.row_key(df, weak).alias("k")).distinct().count() == len({*enumerate(texts)})
+
+
 def test_order_is_that_of_the_bytes():
     draw = random.Random(4)
     texts = [("".join(draw.choice("ab") for _ in range(draw.randint(0, 30)))).encode() for _ in range(60)]
