@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import doubles, number, squared_distance
+from sparkloom.operators.keep import kept
 from sparkloom.operators.stats import jaccard  # noqa: F401  the outer metric
 
 #: Rows of a block: pairwise work is done block against block.
@@ -73,26 +74,50 @@ class KMeans:
         return df.agg(F.avg(assign(point, self.centers)[1])).first()[0]
 
 
-def block_pairs(df: DataFrame, key: str, point: str, *keep: str) -> DataFrame:
-    """All pairs of rows (a_, b_) with a's key below b's: rows are dealt into blocks, and each pair of blocks meets in
-    one join key, so the work spreads evenly. The number of pairs grows with the square of the rows."""
-    n = max(1, -(-df.count() // BLOCK))
-    blocked = df.select(key, point, *keep, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_block"))
-    names = [key, point, *keep]
-    side = lambda mark, pairs: blocked.select(*[F.col(c).alias(f"{mark}_{c}") for c in names], F.explode(pairs).alias("_x")).select(*[f"{mark}_{c}" for c in names], "_x.i", "_x.j")
-    left = side("a", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.col("_block").alias("i"), j.alias("j"))))
-    right = side("b", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.col("_block").alias("j"))))
-    return left.join(right, ["i", "j"]).filter(F.col(f"a_{key}") < F.col(f"b_{key}")).drop("i", "j")
-
-
-def distances(df: DataFrame, key: str, point: str, *keep: str) -> DataFrame:
-    """As block_pairs, with distance d."""
-    return block_pairs(df, key, point, *keep).withColumn("d", distance(F.col(f"a_{point}"), F.col(f"b_{point}"))).drop(f"a_{point}", f"b_{point}")
-
-
-def both_ways(pairs: DataFrame, *names: str) -> DataFrame:
-    other = [F.col(f"b_{n}").alias(f"a_{n}") for n in names] + [F.col(f"a_{n}").alias(f"b_{n}") for n in names]
-    return pairs.select(*[f"a_{n}" for n in names], *[f"b_{n}" for n in names], "d").union(pairs.select(*other, "d"))
+def block_pairs(df: DataFrame, key: str, point: str, group: str | None, fold, schema: str, eps: float | None = None) -> DataFrame:
+    """fold(a, b, d) of all pairs of blocks of rows: a and b have key and group, d is the matrix of their distances.
+
+    Pairs meet in one orientation only, and a row never meets itself (nan). Distances are computed block against
+    block, and pairs leave a block only as rows of what fold returns. The number of pairs grows with the square of
+    the rows. With eps only those that can be within eps need meet: rows lie in cells of that width along the two
+    coordinates that vary most, and a difference in one coordinate is no more than the distance, so cells meet their
+    neighbours alone. A cell with many rows is dealt out in several blocks."""
+    rows = df.select(F.col(key).alias("key"), F.col(point).cast("array<double>").alias("point"), (F.col(group) if group else F.lit(0)).alias("group"))
+    axes = _widest(rows) if eps else []
+    rows = rows.withColumn("cell", F.array(*[F.floor(F.get("point", F.lit(i)) / float(eps)).cast("long") for i in axes]).cast("array<long>"))
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n"))
+    rows = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")))
+    met = counts.withColumn("other", F.col("cell"))
+    beside = lambda i, step: F.transform("other", lambda x, at: F.when(at == i, x + step).otherwise(x))
+    for i in range(len(axes)):
+        met = met.withColumn("other", F.explode(F.array(*[beside(i, step) for step in (-1, 0, 1)])))
+    sizes = rows.select(F.col("cell").alias("other"), F.col("n").alias("m")).distinct()
+    met = met.join(sizes, "other").filter(F.col("cell") <= F.col("other"))
+    met = met.select("cell", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"), "m").select("cell", "other", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
+    met = met.filter((F.col("cell") != F.col("other")) | (F.col("i") <= F.col("j"))).withColumn("task", F.struct("cell", "i", "other", "j"))
+    side = lambda cell, block, mark: rows.join(met.select(F.col(cell).alias("cell"), F.col(block).alias("block"), "task"), ["cell", "block"]).select("task", "key", "point", "group", F.lit(mark).alias("side"))
+
+    def run(pdf):
+        import pandas as pd
+
+        task = pdf["task"].iloc[0]
+        one = (list(task["cell"]), task["i"]) == (list(task["other"]), task["j"])
+        a, b = (pdf[pdf["side"] == m].sort_values("key").reset_index(drop=True) for m in (0, 1))
+        x, y = (np.stack(s["point"].to_numpy()).astype(float) for s in (a, b))
+        d = np.empty((len(x), len(y)))
+        for at in range(0, len(x), 64):
+            d[at : at + 64] = np.sqrt(((x[at : at + 64, None] - y[None]) ** 2).sum(2))
+        if one:
+            d[np.tril_indices(len(d))] = np.nan
+        return pd.DataFrame(fold(a[["key", "group"]], b[["key", "group"]], d))
+
+    return side("cell", "i", 0).union(side("other", "j", 1)).groupBy("task").applyInPandas(run, schema)
+
+
+def _widest(rows: DataFrame, most: int = 2) -> list[int]:
+    """Numbers of the coordinates that vary most."""
+    spread = rows.select(F.posexplode("point").alias("i", "x")).groupBy("i").agg(F.variance("x").alias("v")).orderBy(F.desc("v"), "i").limit(most).collect()
+    return [r.i for r in spread]
 
 
 def davies_bouldin(df: DataFrame, point: str, group: str) -> DataFrame:
@@ -108,25 +133,70 @@ def davies_bouldin(df: DataFrame, point: str, group: str) -> DataFrame:
 
 def dunn(df: DataFrame, key: str, point: str, group: str) -> DataFrame:
     """dunn: smallest distance between clusters over largest distance within one."""
-    same = F.col(f"a_{group}") == F.col(f"b_{group}")
-    return distances(df, key, point, group).agg(F.try_divide(F.min(F.when(~same, F.col("d"))), F.max(F.when(same, F.col("d")))).alias("dunn"))
+
+    def fold(a, b, d):
+        same = a["group"].to_numpy()[:, None] == b["group"].to_numpy()[None]
+        return {"between": [np.where(same | np.isnan(d), np.inf, d).min(initial=np.inf)], "within": [np.where(~same | np.isnan(d), -np.inf, d).max(initial=-np.inf)]}
+
+    found = block_pairs(df, key, point, group, fold, "between double, within double").agg(F.min("between").alias("b"), F.max("within").alias("w"))
+    real = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+    return found.select(F.try_divide(real("b"), real("w")).alias("dunn"))
+
+
+def group_sums(a, b, d) -> dict:
+    """For each row of either side: the sum and number of its distances to each group of the other."""
+    out: dict[str, list] = {"key": [], "own": [], "other": [], "total": [], "n": []}
+    known = ~np.isnan(d)
+    for one, two, x, k in ((a, b, np.where(known, d, 0), known), (b, a, np.where(known, d, 0).T, known.T)):
+        groups = two["group"].to_numpy()
+        for g in sorted(set(groups.tolist())):
+            inside = groups == g
+            n = k[:, inside].sum(1)
+            held = n > 0
+            out["key"] += one["key"].to_numpy()[held].tolist()
+            out["own"] += one["group"].to_numpy()[held].tolist()
+            out["other"] += [g] * int(held.sum())
+            out["total"] += x[:, inside].sum(1)[held].tolist()
+            out["n"] += n[held].tolist()
+    return out
 
 
 def silhouette(df: DataFrame, key: str, point: str, group: str) -> DataFrame:
     """key, silhouette: (b - a) / max(a, b) of each row; null for the only row of a cluster."""
-    sums = both_ways(distances(df, key, point, group), key, group).groupBy(F.col(f"a_{key}").alias(key), F.col(f"a_{group}").alias("own"), F.col(f"b_{group}").alias("other")).agg(F.avg("d").alias("d"))
-    ab = sums.groupBy(key).agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
+    kinds = dict(df.dtypes)
+    parts = block_pairs(df, key, point, group, group_sums, f"key {kinds[key]}, own {kinds[group]}, other {kinds[group]}, total double, n long")
+    sums = parts.groupBy("key", "own", "other").agg((F.sum("total") / F.sum("n")).alias("d"))
+    ab = sums.groupBy(F.col("key").alias(key)).agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
     return ab.select(key, F.when(F.col("a").isNotNull(), F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("silhouette"))
 
 
 def compactness(df: DataFrame, key: str, point: str, group: str) -> DataFrame:
     """compactness (mean distance within clusters) and separation (mean distance between centers)."""
-    inner = distances(df, key, point, group).filter(F.col(f"a_{group}") == F.col(f"b_{group}")).groupBy(f"a_{group}").agg(F.avg("d").alias("d")).agg(F.avg("d").alias("compactness"))
+    kind = dict(df.dtypes)[group]
+
+    def fold(a, b, d):
+        same = (a["group"].to_numpy()[:, None] == b["group"].to_numpy()[None]) & ~np.isnan(d)
+        groups = sorted(set(a["group"].tolist()))
+        inside = [same & (a["group"].to_numpy() == g)[:, None] for g in groups]
+        return {"own": groups, "total": [float(d[x].sum()) for x in inside], "n": [int(x.sum()) for x in inside]}
+
+    inner = block_pairs(df, key, point, group, fold, f"own {kind}, total double, n long").groupBy("own").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("d")).agg(F.avg("d").alias("compactness"))
     c = np.array(list(centers_of(df, point, group).values()))
     d = [float(np.linalg.norm(c[i] - c[j])) for i in range(len(c)) for j in range(i)]
     return inner.withColumn("separation", F.lit(float(np.mean(d)) if d else None).cast("double"))
 
 
+def assess_inner(df: DataFrame, key: str, point: str, group: str, how: str = "dbi"):
+    """An inner metric by name: dbi (lower is better), dvi (Dunn index), sc (silhouette; the mean over the rows) or cp_sp
+    (compactness and separation)."""
+    if how == "sc":
+        return silhouette(df, key, point, group).agg(F.avg("silhouette")).first()[0]
+    if how not in ("dbi", "dvi", "cp_sp"):
+        raise ValueError("how is dbi, dvi, sc or cp_sp")
+    found = {"dbi": lambda: davies_bouldin(df, point, group), "dvi": lambda: dunn(df, key, point, group), "cp_sp": lambda: compactness(df, key, point, group)}[how]().first()
+    return tuple(found) if how == "cp_sp" else found[0]
+
+
 class DBSCAN:
     """Density clusters: a row with `least` others (itself too if count_self) within eps is a core; cores that are near
     are one cluster; a row near a core joins the cluster of the nearest one (the smaller key of equally near ones).
@@ -136,11 +206,19 @@ class DBSCAN:
         self.eps, self.least, self.count_self = eps, least, count_self
 
     def neighbours(self, df: DataFrame, key: str, point: str) -> DataFrame:
-        return both_ways(distances(df, key, point).filter(F.col("d") <= self.eps), key)
+        """a_key, b_key, d of the pairs within eps, both ways."""
+        eps, kind = self.eps, dict(df.dtypes)[key]
+
+        def fold(a, b, d):
+            x, y = np.nonzero(d <= eps)
+            one, two = a["key"].to_numpy()[x], b["key"].to_numpy()[y]
+            return {"a": np.concatenate([one, two]), "b": np.concatenate([two, one]), "d": np.tile(d[x, y], 2)}
+
+        return block_pairs(df, key, point, None, fold, f"a {kind}, b {kind}, d double", eps).select(F.col("a").alias(f"a_{key}"), F.col("b").alias(f"b_{key}"), "d")
 
     def fit_predict(self, df: DataFrame, key: str, point: str) -> DataFrame:
         """key, n (neighbours), core, prediction."""
-        near = _kept(self.neighbours(df, key, point))
+        near = kept(self.neighbours(df, key, point))
         counts = near.groupBy(F.col(f"a_{key}").alias(key)).agg(F.count("*").alias("n"))
         rows = df.select(key).join(counts, key, "left").select(key, (F.coalesce("n", F.lit(0)) + int(self.count_self)).alias("n"))
         rows = rows.withColumn("core", F.col("n") >= self.least)
@@ -152,31 +230,40 @@ class DBSCAN:
 
     def noise_to_nearest(self, df: DataFrame, labelled: DataFrame, key: str, point: str) -> DataFrame:
         """key, prediction with noise in the cluster of its nearest row that is none."""
-        joined = df.select(key, point).join(labelled.select(key, "prediction"), key)
-        pairs = both_ways(distances(joined, key, point, "prediction"), key, "prediction").filter("a_prediction = -1 and b_prediction <> -1")
-        best = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(F.min(F.struct("d", f"b_{key}", "b_prediction")).alias("x")).select(key, F.col("x.b_prediction").alias("to"))
+        kind = dict(df.dtypes)[key]
+        joined = df.select(key, point).join(labelled.select(key, F.col("prediction").cast("long").alias("prediction")), key)
+
+        def fold(a, b, d):
+            out: dict[str, list] = {"key": [], "d": [], "near": [], "to": []}
+            for one, two, x in ((a, b, d), (b, a, d.T)):
+                noise, other = np.flatnonzero(one["group"] == -1), np.flatnonzero(two["group"] != -1)
+                x = np.where(np.isnan(x), np.inf, x)[np.ix_(noise, other)]
+                if not x.size:
+                    continue
+                at = x.argmin(1)  # rows are in order of their keys
+                held = np.isfinite(x[np.arange(len(x)), at])
+                for column, values in zip(out.values(), (one["key"].to_numpy()[noise], x[np.arange(len(x)), at], two["key"].to_numpy()[other[at]], two["group"].to_numpy()[other[at]]), strict=True):
+                    column += values[held].tolist()
+            return out
+
+        found = block_pairs(joined, key, point, "prediction", fold, f"key {kind}, d double, near {kind}, to long")
+        best = found.groupBy(F.col("key").alias(key)).agg(F.min(F.struct("d", "near", "to")).alias("x")).select(key, F.col("x.to").alias("to"))
         return labelled.join(best, key, "left").select(key, F.coalesce("to", "prediction").alias("prediction"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint where the session has a folder for it; else cached."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
-
-
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable. edges (a, b) go both ways. Labels jump through their labels, so
     rounds grow with the logarithm of the longest chain."""
-    labels = nodes.select("node", F.col("node").alias("component"))
+    labels, before = nodes.select("node", F.col("node").alias("component")), None
     while True:
         heard = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         new = labels.join(heard, "node", "left").select("node", F.least("component", F.coalesce("heard", "component")).alias("component"), F.col("component").alias("before"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = _kept(new.join(jump, "component").select("node", F.least("component", "far").alias("component"), "before"))
-        changed = new.filter("component <> before").limit(1).count()
-        labels = new.select("node", "component")
+        new = kept(new.join(jump, "component").select("node", F.least("component", "far").alias("component"), "before"))
+        changed = new.filter("component <> before").count()
+        if before is not None:
+            before.unpersist()
+        labels, before = new.select("node", "component"), new
         if not changed:
             return labels
 

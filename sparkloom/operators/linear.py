@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, number, sigmoid, total
+from sparkloom.operators.keep import kept
 from sparkloom.operators.optimizers import Optimizer
 
 PATIENCE = 10
@@ -61,14 +62,18 @@ def batch(df: DataFrame, key: str | None, seed: int, step: int, share: float) ->
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit(step), key), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def descend(df: DataFrame, names: Sequence[str], targets: Sequence[Column], link, cost, how: Optimizer, steps: int, l2: float, key: str | None, seed: int, share: float, penalise_constant: bool = True) -> tuple[np.ndarray, list[dict]]:
-    """theta (target x feature) by gradient steps: all targets' gradients and costs of a step are one aggregate.
+def descend(df: DataFrame, names: Sequence[str], wanted: Sequence[Column], link, cost, how: Optimizer, steps: int, l2: float, key: str | None, seed: int, share: float, penalise_constant: bool = True) -> tuple[np.ndarray, list[dict]]:
+    """theta (target x feature) by gradient steps: all targets' gradients and costs of a step are one aggregate over the
+    projected columns, which are kept between the steps.
 
     Ends after PATIENCE steps without a lower cost, or when the cost is not finite; the best theta is returned."""
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
-    k, n = len(targets), len(x)
+    k, n = len(wanted), len(x)
     theta, history = np.zeros((k, n)), []
     best, least, since = theta, np.inf, 0
+    names, targets = [f"x{i}" for i in range(1, n)], [F.col(f"y{j}") for j in range(k)]
+    df = kept(df.select(*([key] if key else []), *[c.alias(a) for a, c in zip(names, x[1:], strict=True)], *[y.cast("double").alias(f"y{j}") for j, y in enumerate(wanted)]))
+    x = [F.lit(1.0), *map(F.col, names)]
     for i in range(steps + 1):
         at = how.point(theta)
         made = []
@@ -91,6 +96,7 @@ def descend(df: DataFrame, names: Sequence[str], targets: Sequence[Column], link
         if not penalise_constant:
             ridge[:, 0] = 0
         theta = how.step(theta, parts[:, :n] + ridge)
+    df.unpersist()
     return best, history
 
 
@@ -134,6 +140,8 @@ class LogisticModel:
     def predict_proba(self) -> Column:
         """Shares of the classes; for pairs, each classifier gives p to its first class and 1 - p to its second."""
         p = [sigmoid(dot_product(t, self.names)) for t in self.theta]
+        if len(self.classes) == 1:
+            return F.array(F.lit(1.0))
         if self.mode == "ovr":
             votes = p if len(self.classes) > 2 else [1 - p[0], p[0]]
         else:
@@ -150,19 +158,25 @@ class LogisticModel:
 
 
 class LogisticRegression:
-    """mode ovr or ovo. Pairwise classifiers see all rows; those of other classes have the soft target 0.5."""
+    """mode ovr or ovo. Pairwise classifiers see all rows; those of other classes have the soft target 0.5.
+
+    Of two classes ovr has a classifier for the second. With one class, which is predicted always, either mode has one
+    classifier for it. Rows without a label are left out; without labelled rows fit raises ValueError."""
 
     def __init__(self, mode: str = "ovo", l2: float = 0.0, optimizer: Optimizer | None = None, steps: int = 100, key: str | None = None, share: float = 1.0, seed: int = 0) -> None:
         self.mode, self.l2, self.how, self.steps, self.key, self.share, self.seed = mode, l2, optimizer or Optimizer(rate=0.1), steps, key, share, seed
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> LogisticModel:
         y = F.col(label).cast("string")
+        df = df.filter(y.isNotNull())
         classes = sorted(r[0] for r in df.select(y).distinct().collect())
         k = len(classes)
+        if not k:
+            raise ValueError("no row has a label")
         pairs = [(i, j) for i in range(k) for j in range(i + 1, k)] if self.mode == "ovo" else []
         if pairs:
             targets = [F.when(y == classes[i], 1.0).when(y == classes[j], 0.0).otherwise(0.5) for i, j in pairs]
         else:
-            targets = [(y == c).cast("double") for c in (classes if k > 2 else classes[1:])]
+            targets = [(y == c).cast("double") for c in (classes[1:] if k == 2 else classes)]
         theta, history = descend(df, list(features), targets, sigmoid, log_loss, self.how, self.steps, self.l2, self.key, self.seed, self.share)
         return LogisticModel(list(features), classes, self.mode, pairs, theta, history)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, dot, doubles, linear_kernel, number, polynomial_kernel, rbf_kernel, total
-from sparkloom.operators.cluster import _kept
+from sparkloom.operators.keep import kept
 
 
 def gram(a: np.ndarray, b: np.ndarray, kernel: str, shift: float, degree: int, sigma: float) -> np.ndarray:
@@ -188,7 +188,7 @@ class SVM:
         both = [F.struct(F.lit(1.0).alias("s"), (self.eps - F.col("y")).alias("p")), F.struct(F.lit(-1.0).alias("s"), (self.eps + F.col("y")).alias("p"))]
         terms = F.array(*both) if regression else F.array(F.struct(F.col("y").alias("s"), F.lit(-1.0).alias("p")))
         state = long_.withColumn("row", F.monotonically_increasing_id()).withColumn("t", F.explode(terms)).select("g", "row", "x", "t.s", F.lit(0.0).alias("alpha"), F.col("t.p").alias("grad"))
-        state = kept(state)
+        state = made(state)
         v = -F.col("s") * F.col("grad")
         up = ((F.col("s") > 0) & (F.col("alpha") < c)) | ((F.col("s") < 0) & (F.col("alpha") > 0))
         low = ((F.col("s") > 0) & (F.col("alpha") > 0)) | ((F.col("s") < 0) & (F.col("alpha") < c))
@@ -226,7 +226,7 @@ class SVM:
                             alpha[at] = [new.get(k, a) for k, a in zip(zip(here["row"], s, strict=True), alpha[at], strict=True)]
                     yield pdf.assign(alpha=alpha, grad=grad)
 
-            before, state = state, kept(state.mapInPandas(carried, state.schema))
+            before, state = state, made(state.mapInPandas(carried, state.schema))
             before.unpersist()
         if apart:
             warnings.warn(f"not at the optimum after {self.rounds} rounds", stacklevel=3)
@@ -247,9 +247,9 @@ class SVM:
         return out
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Made at once, and checkpointed or cached."""
-    out = _kept(df)
+def made(df: DataFrame) -> DataFrame:
+    """kept(), at once."""
+    out = kept(df)
     out.count()
     return out
 
