@@ -5,10 +5,11 @@ on exact shingle sets, and components of links are clusters, of which one place
 of fewer than LEAST shingles can't be alike without being equal, all others are banded.
 
 Copies often lose their line breaks, and passages are pasted into longer lines. No paragraph then holds the passage
-alone and the Jaccard similarity says nothing, so texts are also cut into blocks at content-defined places, whatever
-the lines: in each run of 50 words that is repeated, whole blocks cover 20 words or more in a row. A block has at most
-18 shingles and a changed word is in five of them, so blocks are alike if they are equal. Words of equal units are
-compared by a cryptographic digest beside the polynomial one that finds them."""
+alone and the Jaccard similarity says nothing, so repeated runs of 50 words are also found whatever the lines. Each run
+of SPARSE shingles has an anchor, its smallest hash, so repeated runs have anchors that are repeated. Around those,
+texts are cut into blocks at content-defined places: of a repeated run of 50 words, whole blocks cover 20 words or more
+in a row. A block has at most 18 shingles and a changed word is in five of them, so blocks are alike if they are equal.
+Words of equal units are compared by a cryptographic digest beside the polynomial one that finds them."""
 
 from __future__ import annotations
 
@@ -36,12 +37,28 @@ WINDOW, STEP = 13, 6
 PASSAGE = 20
 
 
-def cuts(shingles: np.ndarray) -> np.ndarray:
-    """The places of the smallest hash (the first of equal ones) in each run of WINDOW shingles."""
-    if len(shingles) < WINDOW:
+#: Shingles in whose each run an anchor lies: as many as a run of 50 words has. Blocks are cut so many words around anchors.
+SPARSE = 50 - WORDS + 1
+AROUND = SPARSE + WORDS
+
+
+def cuts(shingles: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The places of the smallest hash in each run of `window` shingles. Hashes that agree in all but their last 20
+    bits count as equal, and of equal ones the first is taken."""
+    if len(shingles) < window:
         return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(shingles, WINDOW)
-    return np.unique(view.argmin(1) + np.arange(len(view)))
+    if len(shingles) > 1 << 20:  # in parts, so that a place has 20 bits
+        step = (1 << 20) - window + 1
+        return np.unique(np.concatenate([at + cuts(shingles[at : at + (1 << 20)], window) for at in range(0, len(shingles) - window + 1, step)]))
+    bits = np.uint64(20)
+    key = np.full(-(-len(shingles) // window) * window, 2**64 - 1, np.uint64)
+    key[: len(shingles)] = (shingles >> bits << bits) | np.arange(len(shingles), dtype=np.uint64)
+    blocks = key.reshape(-1, window)
+    down = np.minimum.accumulate(blocks, 1).ravel()
+    up = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    n = len(shingles) - window + 1
+    low = np.minimum(up[:n], down[window - 1 : window - 1 + n]) & ((np.uint64(1) << bits) - np.uint64(1))
+    return low[np.concatenate([[True], low[1:] != low[:-1]])].astype(np.int64)
 
 
 def digests(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -67,30 +84,59 @@ def normal(data: np.ndarray) -> tuple[bytes, np.ndarray]:
     return text.tobytes(), np.append(edge, len(text) + (not len(gap) or not gap[-1]))
 
 
-def units(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a text's lines and blocks: first word, number of words, number of shingles (0: a block), two digests of the
-    words, and registers (of lines of LEAST shingles or more)."""
-    words, at = hashed_words(data)
-    if not len(words):
-        return (*(np.zeros(0, np.int64) for _ in range(5)), np.zeros((0, BANDS), np.int64))
-    first, end = lines(data, words, at)
-    first, end = first[end > first], end[end > first]
-    shingles = hashed_shingles(words, WORDS)
-    n = np.ones(len(first), np.int64)
+def checks(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(text[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64)
+
+
+def paragraphs(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of the lines of texts: text, first word, number of words, number of shingles, two digests of the words, and registers
+    (zero for lines of fewer than LEAST shingles). Anchors follow: text, first word, no words, no shingles, hash, 0."""
+    found: list[tuple] = []
+    runs, size = [], 0
+    for i, data in enumerate(texts):
+        words, at = hashed_words(data)
+        if not len(words):
+            continue
+        first, end = lines(data, words, at)
+        first, end = first[end > first], end[end > first]
+        shingles = hashed_shingles(words, WORDS)
+        text, edge = normal(data)
+        n = np.maximum(end - first - WORDS + 1, 0)
+        place = cuts(shingles, SPARSE)
+        found.append((i, first, end - first, n, size + first, digests(words, first, end), checks(text, edge[first], edge[end] - 1), place, shingles[place].view(np.int64)))
+        runs.append(shingles)
+        size += len(shingles)
+    if not found:
+        return (*(np.zeros(0, np.int64) for _ in range(6)), np.zeros((0, BANDS), np.int64))
+    first, n_words, n, at, key, check, place, value = (np.concatenate([f[i] for f in found]) for i in range(1, 9))
+    text = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
     sketch = np.zeros((len(first), BANDS), np.int64)
-    long_ = np.flatnonzero(end - first >= WORDS)
+    long_ = np.flatnonzero(n)
+    n_shingles = np.ones(len(first), np.int64)
     if len(long_):
-        n[long_], low = distinct(shingles, first[long_], end[long_] - first[long_] - WORDS + 1)
+        n_shingles[long_], low = distinct(np.concatenate(runs), at[long_], n[long_])
         sketch[long_] = compressed(low).T.copy().view(np.int64)
-    place = cuts(shingles) if len(words) >= WORDS else np.zeros(0, np.int64)
-    if len(place) > 1:
-        then = np.searchsorted(place, place + STEP)
-        place, then = place[then < len(place)], place[then[then < len(place)]] + WORDS - 1
-        first, end, n = np.concatenate([first, place]), np.concatenate([end, then]), np.concatenate([n, np.zeros(len(place), np.int64)])
-        sketch = np.concatenate([sketch, np.zeros((len(place), BANDS), np.int64)])
+    anchors = np.repeat([f[0] for f in found], [len(f[7]) for f in found])
+    none = np.zeros(len(place), np.int64)
+    return tuple(np.concatenate(x) for x in ((text, anchors), (first, place), (n_words, none), (n_shingles, none), (key, value), (check, none), (sketch, np.zeros((len(place), BANDS), np.int64))))
+
+
+def blocks(data: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First word, number of words and two digests of the blocks of a text that lie near the spots (words)."""
+    words, _ = hashed_words(data)
+    place = cuts(hashed_shingles(words, WORDS)) if len(words) >= WORDS else np.zeros(0, np.int64)
+    then = np.searchsorted(place, place + STEP)
+    first, end = place[then < len(place)], place[then[then < len(place)]] + WORDS - 1
+    near = np.zeros(len(words) + 1, np.int32)
+    np.add.at(near, np.clip(spots - AROUND, 0, len(words)), 1)
+    np.add.at(near, np.clip(spots + AROUND, 0, len(words)), -1)
+    near = np.cumsum(near) > 0
+    held = near[first] & near[np.maximum(end - 1, 0)]
+    first, end = first[held], end[held]
+    if not len(first):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     text, edge = normal(data)
-    check = b"".join([blake2b(text[a:b], digest_size=8).digest() for a, b in zip(edge[first].tolist(), (edge[end] - 1).tolist(), strict=True)])
-    return first, end - first, n, digests(words, first, end), np.frombuffer(check, np.int64), sketch
+    return first, end - first, digests(words, first, end), checks(text, edge[first], edge[end] - 1)
 
 
 def distinct(shingles: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,25 +150,44 @@ def distinct(shingles: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np
     return np.bincount(line[order][new], minlength=len(n)), low
 
 
-def all_units(docs: DataFrame) -> DataFrame:
-    """doc_id, first, n_words, n_shingles (0 for blocks), key, check, sketch (null for blocks and short lines)."""
+def all_paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, first, n_words, n_shingles (0 for anchors), key, check, sketch (null for anchors and short lines)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for ids, texts in parts(batch):
-                found = [units(data) for data in texts]
-                first, n_words, n, key, check = (np.concatenate([f[i] for f in found]) for i in range(5))
+                text, first, n_words, n, key, check, sketch = paragraphs(texts)
                 held = n >= LEAST
-                sizes = np.where(held, BANDS, 0)
-                flat = np.concatenate([f[5] for f in found])[held].ravel()
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([repeated_ids(pa, ids, [len(f[0]) for f in found]), *(pa.array(c, pa.int64()) for c in (first, n_words, n, key, check)), lists], ["doc_id", "first", "n_words", "n_shingles", "key", "check", "sketch"])
+                offsets = np.concatenate([[0], np.cumsum(np.where(held, BANDS, 0))])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sketch[held].ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), *(pa.array(c, pa.int64()) for c in (first, n_words, n, key, check)), lists], ["doc_id", "first", "n_words", "n_shingles", "key", "check", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, first long, n_words long, n_shingles long, key long, check long, sketch array<long>")
 
 
+def all_blocks(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """doc_id, first, n_words, key, check of the blocks near anchors (doc_id, first, key) that are repeated."""
+    again = anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    spots = anchors.join(save(again, "again"), "key", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("first").alias("spots"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found, at = [], batch.column(1)
+            offsets, values = at.offsets.to_numpy(), at.values.to_numpy(zero_copy_only=False)
+            for i, data in enumerate(utf8(batch.column(2))):
+                found.append(blocks(data, values[offsets[i] : offsets[i + 1]]))
+            columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([repeated_ids(pa, batch.column(0), [len(f[0]) for f in found]), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "first", "n_words", "key", "check"])
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = known.join(spots, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "spots", "text")
+    return near.mapInArrow(run, "doc_id long, first long, n_words long, key long, check long")
+
+
 def parts(batch, size: int = 500):
     """(ids, texts) of a batch, so many rows at once."""
     texts = utf8(batch.column(1))
@@ -159,16 +224,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, first, n_words, paragraph, cluster, keeper, keeper_first, removed: each unit of docs (doc_id, text) that is
     in a cluster of two or more, of whatever length; paragraph is false for blocks. The keeper is the place with the
     smallest doc_id, then the first word; removed is true everywhere else."""
-    found = save(all_units(docs), "units")
+    lines_ = save(all_paragraphs(docs), "paragraphs")
     place = F.min(F.struct("doc_id", "first")).alias("keeper")
-    groups = found.groupBy("key", "check", (F.col("n_shingles") > 0).alias("paragraph"))
-    groups = save(groups.agg(F.count("*").alias("n"), place, F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")).filter("paragraph or n > 1"), "groups")
+    cut = save(all_blocks(docs, lines_.filter("n_shingles = 0").select("doc_id", "first", "key")), "blocks")
+    lines_ = lines_.filter("n_shingles > 0")
+    equal = cut.groupBy("key", "check").agg(F.count("*").alias("n"), place).filter("n > 1").select("key", "check", "n", "keeper", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("array<long>").alias("sketch"))
+    groups = lines_.groupBy("key", "check").agg(F.count("*").alias("n"), place, F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    groups = save(groups.unionByName(equal).withColumn("paragraph", F.col("n_shingles") > 0), "groups")
     banded = groups.filter(f"n_shingles >= {LEAST}").select(F.col("key").alias("rep"), "n_shingles", "sketch")
     alike = linked(banded, lambda wanted: paragraph_texts(docs, wanted), WORDS, PERCENT, ROWS, ERRORS)
     clusters = groups.drop("sketch").join(alike.withColumnRenamed("node", "key").withColumn("paragraph", F.lit(True)), ["key", "paragraph"], "left").withColumn("cluster", F.coalesce("component", F.xxhash64("key", "check")))
     sizes = clusters.groupBy("cluster", "paragraph").agg(F.sum("n").alias("total"), F.min("keeper").alias("kept")).filter("total > 1")
     known = save(clusters.join(sizes, ["cluster", "paragraph"]).select("key", "check", "paragraph", "cluster", F.col("kept").alias("keeper")), "clusters")
-    out = found.drop("sketch").withColumn("paragraph", F.col("n_shingles") > 0).join(known, ["key", "check", "paragraph"])
+    placed = ["doc_id", "first", "n_words", "key", "check"]
+    found = lines_.select(*placed, F.lit(True).alias("paragraph")).union(cut.select(*placed, F.lit(False)))
+    out = found.join(known, ["key", "check", "paragraph"])
     here = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("first") == F.col("keeper.first"))
     return out.select("doc_id", "first", "n_words", "paragraph", "cluster", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.first").alias("keeper_first"), (~here).alias("removed"))
 

@@ -290,11 +290,19 @@ def test_words_are_compared_where_digests_collide(spark, monkeypatch):
 def test_every_run_of_fifty_words_holds_a_block():
     passage = prose(77, 50)
     for seed in range(40):
-        found = []
+        found, texts, anchors = [], [], []
         for side in (0, 1):
             text = f"{prose(100 + 2 * seed + side, 33)} {passage} {prose(300 + 2 * seed + side, 41)}"
-            _, _, n, key, check, _ = substring_dedup.units(np.frombuffer(text.encode(), np.uint8))
-            found.append(set(zip(key[n == 0].tolist(), check[n == 0].tolist(), strict=True)))
+            data = np.frombuffer(text.encode(), np.uint8)
+            _, spots, _, n, keys, _, _ = substring_dedup.paragraphs([data])
+            anchors.append(dict(zip(keys[n == 0].tolist(), spots[n == 0].tolist(), strict=True)))
+            texts.append(data)
+        shared = set(anchors[0]) & set(anchors[1])
+        assert shared
+        for data, known in zip(texts, anchors, strict=True):
+            first, size, key, check = substring_dedup.blocks(data, np.array([known[x] for x in shared]))
+            assert size.max() <= 22 and size.min() >= 10
+            found.append(set(zip(key.tolist(), check.tolist(), strict=True)))
         assert found[0] & found[1]
 
 
