@@ -17,7 +17,7 @@ from sparkloom.llm.common import save
 BANDS = 64
 WORD_GAP = r"[^\p{L}\p{N}]+"
 #: At most so many bits in the bitmap, whatever the number of short texts.
-MAX_BITS = 1 << 19
+MAX_BITS = 1 << 21
 #: The short texts' bands are broadcast up to so many rows, and shuffled beyond.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -33,18 +33,19 @@ def signature(values: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda seed: F.array_min(F.transform(values, lambda x: F.xxhash64(x, seed))))
 
 
-def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, evidence: bool = False) -> DataFrame:
     """doc_id, item_id, n_item, n_found, containment, first_word for each item found in a document.
 
     docs has doc_id and text, items has item_id and text; other columns are ignored. n_item is the item's number of
     distinct shingles, n_found how many of them the best window holds (the first, if several do), first_word where
     that window begins. A pair is returned if 100 * n_found >= percent * n_item. Null, empty and short texts on either
-    side have no shingles and match nothing. Rows that repeat a doc_id or item_id count as one with the best match."""
+    side have no shingles and match nothing. Rows that repeat a doc_id or item_id count as one with the best match.
+    evidence: also return the found shingles' hashes, as an array."""
     items = shingle_hashes(items.select("item_id", "text"), words, "item_id")
     items = items.select("item_id", F.array_distinct("s").alias("s")).filter(F.size("s") > 0)
     items = save(items.select("item_id", "s", F.size("s").alias("n"), F.length(F.bin((F.size("s") - 1).cast("long"))).alias("class")), "items")
     classes = items.groupBy("class").agg(F.min("n").alias("n")).orderBy("class").collect()  # one row for each power of two
-    empty = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).limit(0)
+    empty = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), *([F.array().cast("array<long>").alias("evidence")] if evidence else [])).limit(0)
     if not classes:
         return empty
     total = items.agg(F.sum("n")).first()[0]
@@ -75,18 +76,18 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int =
     texts = items.select("item_id", F.col("s").alias("of_item"), F.col("n").alias("n_item"))
     if items.count() * BANDS <= MAX_BROADCAST_ROWS:
         bands, texts = F.broadcast(bands), F.broadcast(texts)
-    found = signed.join(bands, ["class", "band", "key"]).join(texts, "item_id").withColumn("n_found", F.size(F.array_intersect("hits", "of_item")))
-    best = found.filter(F.col("n_found") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_found") / F.col("n_item"), "n_item", "n_found", -F.col("first_word"))).alias("x"))
-    return best.select("doc_id", "item_id", "x.n_item", "x.n_found", F.col("x.col1").alias("containment"), (-F.col("x.col4")).alias("first_word"))
+    found = signed.join(bands, ["class", "band", "key"]).join(texts, "item_id").withColumn("evidence", F.array_intersect("hits", "of_item")).withColumn("n_found", F.size("evidence"))
+    best = found.filter(F.col("n_found") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_found") / F.col("n_item"), "n_item", "n_found", -F.col("first_word"), *(["evidence"] if evidence else []))).alias("x"))
+    return best.select("doc_id", "item_id", "x.n_item", "x.n_found", F.col("x.col1").alias("containment"), (-F.col("x.col4")).alias("first_word"), *(["x.evidence"] if evidence else []))
 
 
-def sql(items: str, words: int = 5, percent: int = 80) -> str:
+def sql(items: str, words: int = 5, percent: int = 80, evidence: bool = False) -> str:
     """DuckDB SQL for contained() of documents and a subquery that has item_id and text."""
     split = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     runs = lambda key, table: f"SELECT {key}, p, array_to_string(w[p + 1:p + {words}], ' ') AS s FROM (SELECT {key}, w, unnest(range(len(w) - {words - 1})) AS p FROM (SELECT {key}, {split} AS w FROM {table}))"
     return f"""WITH i AS (SELECT DISTINCT item_id, s FROM ({runs('item_id', items)})),
 n AS (SELECT item_id, count(*) AS n_item, (1 << length(bin(count(*) - 1)))::BIGINT AS m FROM i GROUP BY 1),
 hit AS (SELECT d.doc_id, i.item_id, d.p // m AS k, n_item, m, d.s FROM ({runs('doc_id', 'documents')}) d JOIN i ON d.s = i.s JOIN n ON n.item_id = i.item_id),
-win AS (SELECT doc_id, item_id, k - o AS k, n_item, m, count(DISTINCT s) AS n_found FROM hit, (VALUES (0), (1)) AS v(o) WHERE k >= o GROUP BY ALL),
+win AS (SELECT doc_id, item_id, k - o AS k, n_item, m, count(DISTINCT s) AS n_found{', list(DISTINCT s) AS evidence' if evidence else ''} FROM hit, (VALUES (0), (1)) AS v(o) WHERE k >= o GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_found DESC, k) AS r FROM win WHERE 100 * n_found >= {percent} * n_item)
-SELECT doc_id, item_id, n_item::INTEGER AS n_item, n_found::INTEGER AS n_found, n_found / n_item AS containment, (k * m)::BIGINT AS first_word FROM best WHERE r = 1"""
+SELECT doc_id, item_id, n_item::INTEGER AS n_item, n_found::INTEGER AS n_found, n_found / n_item AS containment, (k * m)::BIGINT AS first_word{', evidence' if evidence else ''} FROM best WHERE r = 1"""

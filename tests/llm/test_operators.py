@@ -360,6 +360,23 @@ def test_licenses(spark):
     assert found == {(1, "Apache-2.0"), (2, "MIT"), (5, "MIT")}
 
 
+def test_only_the_best_license_of_a_place_is_reported(spark):
+    """Full texts, headers and sentences of one family, alone and together."""
+    at = {(name, text): i for i, (name, text) in enumerate(licenses.templates())}
+    full = {name: text for name, text in licenses.templates()}
+    headers = [text for name, text in licenses.NOTICES if name.startswith(("GPL-", "LGPL-", "AGPL-")) and "free software" in text]
+    texts = [full["GPL-3.0"], full["GPL-2.0"], full["LGPL-2.1"], full["Apache-2.0"], full["BSD-2-Clause"], full["BSD-3-Clause"], full["ISC"], full["MPL-2.0"], *headers]
+    texts = [f"{prose(90_000 + i, 50)}\n{t}\n{prose(91_000 + i, 50)}" for i, t in enumerate(texts)]
+    wanted = [{"GPL-3.0"}, {"GPL-2.0"}, {"LGPL-2.1"}, {"Apache-2.0"}, {"BSD-2-Clause"}, {"BSD-3-Clause"}, {"ISC"}, {"MPL-2.0"}, *({name} for name, text in licenses.NOTICES if text in headers)]
+    texts += [texts[8] + " " + texts[9], "It is licensed under the GNU General Public License, version 2, so this work is licensed under the GNU General Public License, version 2."]
+    wanted += [wanted[8] | wanted[9], {"GPL-2.0"}]
+    assert len(at) == len(licenses.templates()) and len(headers) >= 5
+    found = defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found[r.doc_id].add(r.license)
+    assert [found[i] for i in range(len(texts))] == wanted
+
+
 # 2
 
 RULES = url_filter.RULES
