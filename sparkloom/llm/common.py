@@ -37,11 +37,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting by which a statement's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors. The shuffle files
+    behind the written table are deleted, so that a long job holds those of one step at a time."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

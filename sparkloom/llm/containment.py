@@ -41,7 +41,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int =
     that window begins. A pair is returned if 100 * n_found >= percent * n_item. Null, empty and short texts on either
     side have no shingles and match nothing. Rows that repeat a doc_id or item_id count as one with the best match.
     evidence: also return the found shingles' hashes, as an array."""
-    items = shingle_hashes(items.select("item_id", "text"), words, "item_id")
+    items = save(shingle_hashes(items.select("item_id", "text"), words, "item_id"), "shingles")  # a filter would hash the words anew for each shingle
     items = items.select("item_id", F.array_distinct("s").alias("s")).filter(F.size("s") > 0)
     items = save(items.select("item_id", "s", F.size("s").alias("n"), F.length(F.bin((F.size("s") - 1).cast("long"))).alias("class")), "items")
     classes = items.groupBy("class").agg(F.min("n").alias("n")).orderBy("class").collect()  # one row for each power of two

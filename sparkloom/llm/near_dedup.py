@@ -181,18 +181,19 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     to the smallest one; what is still apart then is compared across components only, so a group of near copies makes
     no square of pairs. A shingle that only one of those left has is in no intersection: classes with too many of them
     for any link leave before pairs are made, and pairs must be able to share enough of the others and have parity
-    bitmaps that differ in few enough bits; both tests are exact. In buckets with very many such pairs, both must share a second band too, or a band of few such
-    pairs (missed: 6e-5 at most, at a similarity of 0.8 and 24 bands). rows: registers of a band that make its key;
+    bitmaps that differ in few enough bits; both tests are exact. Buckets with very many such pairs are dealt out in
+    blocks, and each pair of blocks is compared in a task of its own. rows: registers of a band that make its key;
     errors: how many standard errors below the threshold a sketch may be."""
     banded = classes.select("rep", "n_shingles", F.posexplode("sketch").alias("i", "v")).select("rep", "n_shingles", F.xxhash64("i", F.col("v").bitwiseAND((1 << 16 * rows) - 1 if rows < ROWS else -1)).alias("key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("star")).filter("n > 1").select("key", "star")
+    full = banded.select("key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     full = save(full, "full")  # a written side lets Spark split the join's hot keys
     buckets = save(banded.join(full, "key"), "buckets")
+    star = save(buckets.groupBy("key").agg(F.min("rep").alias("star")), "stars")
     texts = save(texts_of(buckets.select(F.col("rep").alias("doc_id")).distinct()), "texts")
 
     apart = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     sized = classes.select(F.col("rep").alias("star"), F.col("n_shingles").alias("n_star")).distinct()
-    stars = buckets.filter("rep <> star").select(F.col("rep").alias("a"), "star", "n_shingles").distinct().join(sized, "star").filter(apart(F.col("n_shingles"), F.col("n_star"))).select("a", F.col("star").alias("b"))
+    stars = buckets.join(star, "key").filter("rep <> star").select(F.col("rep").alias("a"), "star", "n_shingles").distinct().join(sized, "star").filter(apart(F.col("n_shingles"), F.col("n_star"))).select("a", F.col("star").alias("b"))
     first = save(confirmed(likely(stars, classes, percent / 100, errors), texts, words, percent), "links")
     found = components(first)
 
@@ -243,4 +244,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents with shingles of four words: null, empty and blank texts are linked with
+    nothing, rows that repeat a doc_id are one document in links, no rows give none."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=4)
