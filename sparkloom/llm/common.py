@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hashing constants. Odd multipliers, so that they can be inverted modulo 2**64.
@@ -18,10 +18,13 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all tasks run on this
+    machine, as in tests, a new local one; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
@@ -66,6 +69,10 @@ def drop_written() -> None:
     _written.clear()
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -86,6 +86,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edited text and their likeness to it and the next document. Null is the empty text,
+    whose fingerprint is that of one empty paragraph; repeated rows follow each other by text; no rows give none."""
     rows = with_next(read(spark, sf_dir, "documents")).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.substring("next", F.lit(1), cut)))

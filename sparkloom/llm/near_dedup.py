@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, hashed_shingles, hashed_words, mix, read, save, utf8
+from sparkloom.llm.common import all_columns, components, hashed_shingles, hashed_words, mix, read, save, utf8
 
 #: 24 bands of 4 registers: a pair with Jaccard similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 BANDS, ROWS = 24, 4
@@ -243,6 +243,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_repeated_rows(docs: DataFrame) -> DataFrame:
+    """docs, with all its columns, where rows with the same doc_id and text are one: that whose JSON is the first.
+
+    Only the hashes of rows are grouped, unless rows do repeat; rows without doc_id all stay."""
+    key = lambda: F.array(F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id"))
+    twice = docs.filter("doc_id is not null").select(key().alias("repeated_key")).groupBy("repeated_key").agg(F.count("*").alias("n")).filter("n > 1").select("repeated_key")
+    twice = save(twice, "twice")
+    if twice.isEmpty():
+        return docs
+    match = key() == F.col("repeated_key")
+    whole = F.struct(*all_columns(docs))
+    again = docs.join(twice, match, "left_semi").select(key().alias("k"), whole.alias("row")).groupBy("k").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return docs.join(twice, match, "left_anti").select(all_columns(docs)).union(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs, with all its columns, less the rows that near_duplicates() does not keep and those that repeat another.
+
+    A doc_id names a document: rows with one doc_id and different texts stay or go together."""
+    docs = without_repeated_rows(docs)
+    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(all_columns(docs))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_duplicates() of all documents with shingles of four words: null, empty and blank texts are linked with
     nothing, rows that repeat a doc_id are one document in links, no rows give none."""

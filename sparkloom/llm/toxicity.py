@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import read, save
+from sparkloom.llm.common import all_columns, read, save
 
 #: Word beginnings of these lengths are patterns.
 PREFIXES = (4, 5, 6, 7)
@@ -277,7 +277,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     same = lambda: F.array(F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id"))
     rows, found = learnt(docs, labels, same().alias("same_row"))
     toxic = rows.filter(found >= 0.5).select(F.col("same_row").alias("toxic_row")).distinct()
-    return docs.join(toxic, same() == F.col("toxic_row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(toxic, same() == F.col("toxic_row"), "left_anti").select(all_columns(docs))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
