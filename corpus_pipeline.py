@@ -1,7 +1,9 @@
 """A corpus pipeline: toxic texts, near copies, repeated strings and benchmark leaks go, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir), with docs the table that the stage before it wrote, and works on all of it.
-All stages but the last return the columns of documents; the last returns the packed pieces."""
+All stages but the last return the columns of documents, whatever these are; the last returns the packed pieces. Null and
+empty texts pass through all stages and are packed as one token. Rows without doc_id are never dropped as copies or
+leaks. Empty tables stay empty."""
 
 from __future__ import annotations
 
@@ -12,14 +14,14 @@ from sparkloom.llm.common import new_folder, read
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.5 or more. Learns from labels outside the held-out fifth."""
+    """Drops rows that score 0.5 or more, each by its own text. Learns from labels outside the held-out fifth."""
     return toxicity.clean(docs, read(spark, sf_dir, "labels").filter(~toxicity.held_out()))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies: five words, similarity 0.8."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps the document with the smallest doc_id of each group of near copies: five words, similarity 0.8. Of rows that
+    are equal in doc_id and text one stays; those with one doc_id and other texts stay or go together."""
+    return near_dedup.without_near_duplicates(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
