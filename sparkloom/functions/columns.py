@@ -134,3 +134,8 @@ def argmax(x: Column) -> Column:
 
 def finite(x: float) -> bool:
     return math.isfinite(x)
+
+
+def round_even(x: Column, digits: int = 0) -> Column:
+    """Rounded to so many digits; halves go to the even neighbour."""
+    return F.bround(x, digits)

@@ -82,7 +82,7 @@ def sum_columns(label: str, weight: Column, classes: Sequence[str] | None) -> li
 
 
 def split_scan(values: DataFrame, keys: Sequence[str], sums: Sequence[str], criterion: str) -> DataFrame:
-    """keys, score, threshold, n_left, left: the best binary split of each key's rows, from values (keys, value, n, sums).
+    """keys, score, threshold, n_left, left, thresholds (how many there are): the best binary split of each key's rows, from values (keys, value, n, sums).
 
     Thresholds lie midway between neighbouring values; of equal scores (to ten digits) the lowest threshold wins."""
     by = Window.partitionBy(*keys)
@@ -91,8 +91,8 @@ def split_scan(values: DataFrame, keys: Sequence[str], sums: Sequence[str], crit
     criterion = "entropy" if criterion in ("id3", "c45") else criterion
     (wl, il), (wr, ir) = (impurity_column(x, criterion) for x in ([F.col(f"l_{s}") for s in sums], [F.col(f"t_{s}") - F.col(f"l_{s}") for s in sums]))
     score = F.round(F.try_divide(wl * il + wr * ir, wl + wr), 10)
-    best = scan.groupBy(*keys).agg(F.min(F.struct(score.alias("score"), ((F.col("value") + F.col("after")) / 2).alias("threshold"), "n_left", F.array(*[F.col(f"l_{s}") for s in sums]).alias("left"))).alias("x"))
-    return best.select(*keys, "x.*")
+    best = scan.groupBy(*keys).agg(F.min(F.struct(score.alias("score"), ((F.col("value") + F.col("after")) / 2).alias("threshold"), "n_left", F.array(*[F.col(f"l_{s}") for s in sums]).alias("left"))).alias("x"), F.count("*").alias("thresholds"))
+    return best.select(*keys, "x.*", "thresholds")
 
 
 class TreeModel:
@@ -204,7 +204,8 @@ class TreeModel:
 class Growth:
     """How trees grow. criterion: id3 (information gain, each category a child), c45 (gain ratio), gini or variance.
     features_use: all, sqrt, log2, a share or a number of features that each node may use, drawn by hash of seed, tree
-    and node. subsets: try all two-part divisions of up to 12 categories instead of one against the rest."""
+    and node. subsets: try all two-part divisions instead of one against the rest; more than 12 categories raise.
+    mdl_penalty: c45's gain on a number is less by the bits that name its threshold, log2(thresholds) / rows."""
 
     criterion: str = "gini"
     depth_max: int = 5
@@ -215,6 +216,7 @@ class Growth:
     subsets: bool = False
     max_bins: int | None = None
     seed: int = 0
+    mdl_penalty: bool = False
 
     def count(self, n: int) -> int:
         use = self.features_use
@@ -319,7 +321,9 @@ def divisions(values: list[tuple], how: Growth, measure: str):
         yield [("in", [v], n, s) for v, n, s in values]
         return
     k = len(values)
-    masks = range(1, 1 << (k - 1)) if how.subsets and k <= MAX_SUBSET_CATEGORIES else [1 << i for i in range(k if k > 2 else 1)]
+    if how.subsets and k > MAX_SUBSET_CATEGORIES:
+        raise ValueError(f"all divisions are tried for {MAX_SUBSET_CATEGORIES} categories at most, not {k}")
+    masks = range(1, 1 << (k - 1)) if how.subsets else [1 << i for i in range(k if k > 2 else 1)]
     for mask in masks:
         inside = [v for i, v in enumerate(values) if mask >> i & 1]
         outside = [v for i, v in enumerate(values) if not mask >> i & 1]
@@ -331,15 +335,17 @@ def choose(node: Node, nid: int, t: int, allowed: Sequence[str], found: dict, ca
     best, top = None, None
     before = impurity(node.sums, measure)
     for f in allowed:
-        options = []
+        options, penalty = [], 0.0
         if (t, nid, f) in found:
             r = found[t, nid, f]
+            if how.criterion == "c45" and how.mdl_penalty:
+                penalty = math.log2(r.thresholds) / node.sample_n
             left = tuple(r.left)
             options = [[("<=", r.threshold, r.n_left, left), (">", r.threshold, node.sample_n - r.n_left, tuple(a - b for a, b in zip(node.sums, left, strict=True)))]]
         elif len(cats.get((t, nid, f), ())) > 1:
             options = divisions(cats[t, nid, f], how, measure)
         for parts in options:
-            gain = before - children_impurity([p[3] for p in parts], measure)
+            gain = before - children_impurity([p[3] for p in parts], measure) - penalty
             if how.criterion == "c45":
                 h = impurity([p[3][0] if measure == "variance" else sum(p[3]) for p in parts], "entropy")
                 if h <= 0:
@@ -457,6 +463,17 @@ def prune_ccp(model: TreeModel, test: DataFrame, label: str) -> TreeModel:
         cuts.add(min(links)[2])
 
 
+def prune(model: TreeModel, how: str = "rep", test: DataFrame | None = None, label: str | None = None, penalty: float = 0.5) -> TreeModel:
+    """A pruned copy of the tree, by name: rep and ccp judge by the test rows, pep needs none."""
+    if how == "pep":
+        return prune_pep(model, penalty)
+    if how not in ("rep", "ccp"):
+        raise ValueError("how is rep, pep or ccp")
+    if test is None or label is None:
+        raise ValueError(f"{how} needs test rows and their label")
+    return {"rep": prune_rep, "ccp": prune_ccp}[how](model, test, label)
+
+
 def cut_all(model: TreeModel, cuts: set[int]) -> TreeModel:
     """Cuts several nodes; those below another cut go with it."""
     kept, queue = [], [0]

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
-from sparkloom.operators import ensemble, isolation, linear, mlp, svm
+from sparkloom.operators import ensemble, isolation, linear, mesh, mlp, svm
 from sparkloom.operators.bayes import NaiveBayes
 from sparkloom.operators.optimizers import NAMES, Optimizer, minimise
 from sparkloom.plans.registry import query, table
@@ -389,3 +389,11 @@ def iforest_fit(spark, d):
     rows = table(spark, d, "events")
     model = isolation.IsolationForest(10, 128, 3).fit(rows, ["value"], "event_id")
     return rows.select("event_id", F.round(model.score(), 6).alias("score"), F.round(model.score(classic=True), 6).alias("classic"))
+
+
+@query("""WITH b AS (SELECT min(l_quantity) - 0.2 AS x0, max(l_quantity) + 0.2 AS x1, min(l_discount) - 0.2 AS y0, max(l_discount) + 0.2 AS y1 FROM lineitem)
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(0.5 + 0.1 * (x0 + i * ((x1 - x0) / 20)) - 2 * (y0 + j * ((y1 - y0) / 20)), 6) AS z FROM b, range(21) AS a(i), range(21) AS c(j)""")
+def mesh_predict(spark, d):
+    model = linear.LinearModel(["l_quantity", "l_discount"], np.array([0.5, 0.1, -2.0]))
+    points = mesh.around(table(spark, d, "lineitem"), "l_quantity", "l_discount", 21)
+    return mesh.grid_predict(points, F.round(model.predict(), 6)).select("i", "j", "z")

@@ -218,3 +218,8 @@ c AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT count(*) AS n FROM x GROUP B
 SELECT c.v::DOUBLE AS both, (a.v - c.v)::DOUBLE AS only_y, (b.v - c.v)::DOUBLE AS only_p, (t - a.v - b.v + c.v)::DOUBLE AS neither FROM n, a, b, c""")
 def stat_pair_counts(spark, d):
     return stats.pair_counts(table(spark, d, "orders").withColumn("p", F.expr(RULE)), "o_orderstatus", "p")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round_even((l_orderkey % 1000) / 8.0::DOUBLE, 1) AS rounded FROM lineitem""")
+def prep_round_even(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.round_even((F.col("l_orderkey") % 1000) / F.lit(8.0), 1).alias("rounded"))

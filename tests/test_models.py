@@ -212,3 +212,124 @@ def test_table_checks(spark):
 def test_cross_terms(spark):
     row = spark.createDataFrame([(2.0, 3.0)], "a double, b double").select(*C.polynomials(["a", "b"], 3, cross=True)).first().asDict()
     assert row == {"a^2": 4.0, "a^3": 8.0, "b^2": 9.0, "b^3": 27.0, "a^1_b^1": 6.0, "a^1_b^2": 18.0, "a^2_b^1": 12.0}
+
+
+# sources, streams and checks
+
+def test_databases_are_read_and_written(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/store;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = tables.literal(spark, [(1, "a"), (2, None)], "k int, v string")
+    tables.write_sql(rows, url, "things", "overwrite", **driver)
+    tables.write_sql(rows, url, "things", **driver)
+    found = tables.read_sql(spark, url, 'SELECT "k", "v" FROM things WHERE "k" > 1', **driver)
+    assert [tuple(r) for r in found.collect()] == [(2, None), (2, None)]
+
+
+def test_catalogue_and_literals(spark):
+    tables.literal(spark, [(1, "a")], "k int, v string").createOrReplaceTempView("catalogued")
+    assert "default" in {r[0] for r in tables.databases(spark).collect()}
+    assert ("catalogued", True) in {(r.name, r.temporary) for r in tables.tables(spark).collect()}
+    assert [tuple(r) for r in tables.columns(spark, "catalogued").collect()] == [("k", "int", True), ("v", "string", True)]
+    assert tables.literal(spark, [], "k int").count() == 0
+
+
+def test_drift_counts_predictions_by_window(spark, tmp_path):
+    from sparkloom.operators import linear
+    from sparkloom.streaming import scoring
+
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", float(m)) for h in range(4) for m in (0, 20, 40)]
+    frame = spark.createDataFrame(rows, "t string, x double").select(F.col("t").cast("timestamp").alias("t"), "x")
+    frame.write.parquet(f"{tmp_path}/in")
+    model = linear.LinearModel(["x"], np.array([0.0, 1.0]))
+    stream = scoring.score_stream(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), model)
+    drift = scoring.score_drift(stream.withColumn("prediction", F.col("prediction") > 30), "t")
+    query = drift.writeStream.outputMode("complete").format("memory").queryName("drift").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    found = {(r.start.hour, r.prediction): r.n for r in spark.table("drift").collect()}
+    assert found == {(h, p): 1 if p else 2 for h in range(4) for p in (True, False)}
+
+
+def test_columns_are_matched(spark):
+    from sparkloom import validate
+
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    for how, good, bad in (("len", ["x", "y"], ["a"]), ("left", ["a", "b", "c"], ["a"]), ("right", ["a"], ["c"]), ("equal", ["b", "a"], ["a"])):
+        validate.columns(df, good, how)
+        with pytest.raises(ValueError):
+            validate.columns(df, bad, how)
+
+
+def test_one_class_is_predicted_always(spark):
+    from sparkloom.operators import linear
+    from sparkloom.operators.optimizers import Optimizer
+
+    rows = spark.createDataFrame([(float(i), "only") for i in range(5)] + [(9.0, None)], "x double, y string")
+    for mode in ("ovr", "ovo"):
+        model = linear.LogisticRegression(mode, optimizer=Optimizer("sgd", 0.5), steps=2).fit(rows, ["x"], "y")
+        assert {r[0] for r in model.transform(rows).select("prediction").collect()} == {"only"} and model.theta.shape == (1, 2)
+        with pytest.raises(ValueError):
+            linear.LogisticRegression(mode).fit(rows.filter("y is null"), ["x"], "y")
+
+
+def test_inner_metrics_by_name(spark):
+    from sparkloom.operators import cluster
+
+    draw = np.random.default_rng(3)
+    points = [(i, (draw.normal(size=3) + 6 * (i % 3)).tolist(), i % 3) for i in range(60)]
+    df = spark.createDataFrame(points, "k long, p array<double>, g int")
+    x, g = np.array([p for _, p, _ in points]), np.array([c for _, _, c in points])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    same = g[:, None] == g[None]
+    assert cluster.assess_inner(df, "k", "p", "g", "dvi") == pytest.approx(d[~same].min() / d[same].max())
+    a = np.array([d[i][same[i]].sum() / (same[i].sum() - 1) for i in range(60)])
+    b = np.array([min(d[i][g == c].mean() for c in range(3) if c != g[i]) for i in range(60)])
+    assert cluster.assess_inner(df, "k", "p", "g", "sc") == pytest.approx(((b - a) / np.maximum(a, b)).mean())
+    assert cluster.assess_inner(df, "k", "p", "g", "cp_sp")[0] == pytest.approx(np.mean([d[np.ix_(g == c, g == c)][np.triu_indices(20, 1)].mean() for c in range(3)]))
+    with pytest.raises(ValueError):
+        cluster.assess_inner(df, "k", "p", "g", "other")
+
+
+@pytest.mark.parametrize("eps", [0.3, 0.9, 2.5, 40.0])
+def test_neighbours_in_cells_are_all_neighbours(spark, monkeypatch, eps):
+    """Cells and blocks lose no pair, on negative and repeated coordinates and in crowded cells."""
+    from sparkloom.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(size=(50, 3)) * 2, np.repeat([[1.0, -1.0, 0.5]], 12, 0)])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "k long, p array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    found = [(r.a_k, r.b_k) for r in cluster.DBSCAN(eps).neighbours(df, "k", "p").collect()]
+    assert sorted(found) == [(i, j) for i in range(62) for j in range(62) if i != j and d[i, j] <= eps]
+
+
+def test_description_length_counts_against_thresholds(spark):
+    """The number and the name separate the classes equally well, but the number has many thresholds to name."""
+    from sparkloom.operators import tree
+
+    rows = [(float(i), "u" if (i < 10) != (i == 3) else "v", int(i < 10)) for i in range(20)]
+    rows = [(x if i not in (4,) else 19.5, n, y) for i, (x, n, y) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "x double, n string, y int")
+    plain = tree.DecisionTree("c45", depth_max=1).fit(df, ["x", "n"], "y")
+    less = tree.DecisionTree("c45", depth_max=1, mdl_penalty=True).fit(df, ["x", "n"], "y")
+    assert plain.nodes[1].feature == "x" and less.nodes[1].feature == "n"
+    wide = spark.createDataFrame([(f"c{i % 13}", i % 2) for i in range(52)], "n string, y int")
+    with pytest.raises(ValueError):
+        tree.DecisionTree("gini", subsets=True).fit(wide, ["n"], "y")
+
+
+def test_pruning_by_name(spark):
+    from sparkloom.operators import tree
+
+    draw = np.random.default_rng(5)
+    rows = [(float(v), int((v > 0.5) != (draw.random() < 0.2))) for v in draw.random(120)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    model = tree.DecisionTree("gini", depth_max=4).fit(df, ["x"], "y")
+    for how, direct in (("rep", tree.prune_rep(model, df, "y")), ("ccp", tree.prune_ccp(model, df, "y")), ("pep", tree.prune_pep(model))):
+        cut = tree.prune(model, how, df, "y")
+        assert len(cut.nodes) == len(direct.nodes) and cut is not model
+    with pytest.raises(ValueError):
+        tree.prune(model, "rep")
+    with pytest.raises(ValueError):
+        tree.prune(model, "none", df, "y")
