@@ -194,13 +194,13 @@ def io_whitespace(spark, d):
     return spark.createDataFrame(rows, "a double, b int")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('r_regionkey', 'int', true), ('r_name', 'string', true)) AS t(name, type, nullable)")
 def io_catalog(spark, d):
     table(spark, d, "region").createOrReplaceTempView("catalog_region")
     return tables.columns(spark, "catalog_region")
 
 
-@query()
+@query("SELECT CASE WHEN value <= 50 THEN 'low' ELSE 'high' END AS prediction, count(*) AS n FROM events GROUP BY 1")
 def stream_scores(spark, d):
     """A fixed tree over events as a stream: windows by event time, in append mode to memory."""
     from sparkloom.operators.tree import Node, TreeModel

@@ -208,17 +208,19 @@ def nb_conditionals(spark, d):
     return NaiveBayes().fit(rated(spark, d), ["lang", "source"], "y").conditionals.select("feature", "value", "class", F.round("p", 8).alias("p"), "n")
 
 
-@query(f"""WITH l AS {LONG}, c AS (SELECT y, count(*) AS n FROM {JOINED} GROUP BY 1), t AS (SELECT count(*) AS t FROM {JOINED}),
+POSTERIOR = f"""WITH l AS {LONG}, c AS (SELECT y, count(*) AS n FROM {JOINED} GROUP BY 1), t AS (SELECT count(*) AS t FROM {JOINED}),
 xy AS (SELECT feature, value, l.y, count(*) / max(c.n) AS p FROM l JOIN c ON c.y = l.y GROUP BY ALL), x AS (SELECT feature, value, count(*) / max(t) AS p FROM l, t GROUP BY ALL),
 r AS (SELECT l.doc_id, c.y, bool_or(xy.p IS NULL) AS gone, sum(ln(xy.p / x.p)) + ln(max(c.n / t)) AS s FROM l JOIN x USING (feature, value) CROSS JOIN c CROSS JOIN t LEFT JOIN xy ON xy.feature = l.feature AND xy.value = l.value AND xy.y = c.y GROUP BY ALL),
-q AS (SELECT doc_id, y, CASE WHEN gone THEN 0 ELSE exp(s) END AS s FROM r), p AS (SELECT doc_id, y, coalesce(s / nullif(sum(s) OVER (PARTITION BY doc_id), 0), 1 / count(*) OVER (PARTITION BY doc_id)) AS p FROM q)
-SELECT doc_id, y AS class, round(p, 6) AS p FROM p""")
+q AS (SELECT doc_id, y, CASE WHEN gone THEN 0 ELSE exp(s) END AS s FROM r), p AS (SELECT doc_id, y, coalesce(s / nullif(sum(s) OVER (PARTITION BY doc_id), 0), 1 / count(*) OVER (PARTITION BY doc_id)) AS p FROM q)"""
+
+
+@query(f"{POSTERIOR} SELECT doc_id, y AS class, round(p, 6) AS p FROM p")
 def nb_predict(spark, d):
     rows = rated(spark, d)
     return NaiveBayes().fit(rows, ["lang", "source"], "y").predict_proba(rows, "doc_id").select("doc_id", "class", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(f"{POSTERIOR} SELECT y AS prediction, count(*) AS n FROM (SELECT y, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 10) DESC, y) AS r FROM p) WHERE r = 1 GROUP BY 1")
 def nb_classes(spark, d):
     rows = rated(spark, d)
     return NaiveBayes().fit(rows, ["lang", "source"], "y").predict(rows, "doc_id").groupBy("prediction").agg(F.count("*").alias("n"))

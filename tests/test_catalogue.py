@@ -7,8 +7,6 @@ from sparkloom.catalogue import QUERIES, SQL, flagship
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-#: Need rows that the smallest tables lack, or only repeat others at length.
-SLOW = {"svm_fit_tree", "forest_select", "rec_user_cf", "log_fit_ovo"}
 
 
 def rows(table):
@@ -17,7 +15,7 @@ def rows(table):
     return sorted(tuple(key(v) for v in r) for r in table[names].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(SQL)))
 def test_query_agrees_with_sql(spark, name):
     connection = duckdb.connect()
     for t in TABLES:
@@ -27,7 +25,7 @@ def test_query_agrees_with_sql(spark, name):
     assert rows(found) == rows(wanted)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_gives_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
