@@ -15,8 +15,9 @@ MANTISSA_BITS = 10
 BY_CHANCE = 0.169919487 * 2.0 ** (1 - MANTISSA_BITS)
 #: Bits of a set's parity bitmap.
 PARITY = 512
-#: A bucket may make so many pairs per member before it is dealt out in blocks of about so many members.
-PAIRS_PER_MEMBER, BLOCK = 64, 512
+#: A bucket may make so many pairs per member before its members are linked to further ones in turns, at most so many, and
+#: it is dealt out in blocks of about so many members.
+PAIRS_PER_MEMBER, TURNS, BLOCK = 64, 8, 512
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -178,8 +179,8 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     """(node, component) of the classes (rep, n_shingles, sketch) that are linked with others.
 
     texts_of takes a table of doc_id, which are reps, and gives doc_id and text for each. Buckets link their members
-    to the smallest one; what is still apart then is compared across components only, so a group of near copies makes
-    no square of pairs. A shingle that only one of those left has is in no intersection: classes with too many of them
+    to the smallest one, and where very many pairs are still apart to further members in turns; what is apart then is
+    compared across components only, so a group of near copies makes no square of pairs. A shingle that only one of those left has is in no intersection: classes with too many of them
     for any link leave before pairs are made, and pairs must be able to share enough of the others and have parity
     bitmaps that differ in few enough bits; both tests are exact. Buckets with very many such pairs are dealt out in
     blocks, and each pair of blocks is compared in a task of its own. rows: registers of a band that make its key;
@@ -197,15 +198,30 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     first = save(confirmed(likely(stars, classes, percent / 100, errors), texts, words, percent), "links")
     found = components(first)
 
-    placed = buckets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"))
+    labelled = lambda: buckets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"))
+    heavy = (F.col("n") * F.col("n") - F.col("within")) / 2 > F.col("n") * PAIRS_PER_MEMBER
+    counted = lambda rows: rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")).filter("labels > 1")
+    joined = lambda more: components(found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    for turn in range(TURNS):
+        crowded = save(counted(labelled()).filter(heavy).select("key"), "crowded")
+        if crowded.isEmpty():
+            break
+        inside = save(labelled().join(crowded, "key"), "crowd")
+        other = inside.groupBy("key").agg(F.min_by(F.struct("rep", "n_shingles", "label"), F.xxhash64(F.lit(turn), "rep")).alias("o"))
+        near_other = inside.join(other, "key").filter((F.col("label") != F.col("o.label")) & apart(F.col("n_shingles"), F.col("o.n_shingles")))
+        tried = near_other.select(F.greatest("rep", "o.rep").alias("a"), F.least("rep", "o.rep").alias("b")).distinct()
+        more = save(confirmed(likely(tried, classes, percent / 100, errors), texts, words, percent), "links")
+        if more.isEmpty():
+            break
+        found = joined(more)
+
+    placed = labelled()
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     members = save(placed.join(save(mixed, "mixed"), "key"), "members")
     alone = own_shingles(texts, members.select(F.col("rep").alias("doc_id")).distinct(), words)
     members = members.join(alone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
     members = save(members.filter(F.col("common") * 100 >= F.col("n_shingles") * percent).drop("own"), "members")
-    load = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")).filter("labels > 1")
-    heavy = (F.col("n") * F.col("n") - F.col("within")) / 2 > F.col("n") * PAIRS_PER_MEMBER
-    load = save(load.select("key", F.when(heavy, F.greatest(F.lit(2), F.ceil(F.col("n") / BLOCK))).otherwise(1).cast("long").alias("blocks")), "load")
+    load = save(counted(members).select("key", F.when(heavy, F.greatest(F.lit(2), F.ceil(F.col("n") / BLOCK))).otherwise(1).cast("long").alias("blocks")), "load")
     briefs = classes.select("rep", brief("sketch").alias("brief"), (F.size("sketch") * ROWS).alias("registers"))
     bits = parities(texts, members.select(F.col("rep").alias("doc_id")).distinct(), words)
     mixed = save(members.join(load, "key").join(briefs, "rep").join(bits, "rep"), "mixed")
@@ -219,7 +235,7 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     second = save(confirmed(likely(pairs, classes, percent / 100, errors), texts, words, percent), "links")
     if not second.isEmpty():
-        found = components(found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
+        found = joined(second)
     return found
 
 
