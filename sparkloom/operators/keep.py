@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint, which cuts its lineage, where the session has a folder for it; else cached. Callers
-    unpersist what they no longer read; on a checkpoint that does nothing."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    """df behind a reliable checkpoint, which cuts its lineage; plans of iterations would grow with every round otherwise.
+
+    The folder is spark.checkpoint.dir. Where that is unset and all tasks run on this machine, as in tests, it is a new
+    local one; on a cluster without such a folder the table is cached instead. Callers unpersist what they no longer read."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="sparkloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        if folder:
+            context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()

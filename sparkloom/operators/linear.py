@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, number, sigmoid, total
-from sparkloom.operators.keep import kept
 from sparkloom.operators.optimizers import Optimizer
 
 PATIENCE = 10
@@ -64,24 +64,26 @@ def batch(df: DataFrame, key: str | None, seed: int, step: int, share: float) ->
 
 def descend(df: DataFrame, names: Sequence[str], wanted: Sequence[Column], link, cost, how: Optimizer, steps: int, l2: float, key: str | None, seed: int, share: float, penalise_constant: bool = True) -> tuple[np.ndarray, list[dict]]:
     """theta (target x feature) by gradient steps: all targets' gradients and costs of a step are one aggregate over the
-    projected columns, which are kept between the steps.
+    projected columns, which are kept between the steps. theta comes as one broadcast row, so every step has the same
+    plan and compiled code.
 
     Ends after PATIENCE steps without a lower cost, or when the cost is not finite; the best theta is returned."""
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
     k, n = len(wanted), len(x)
     theta, history = np.zeros((k, n)), []
     best, least, since = theta, np.inf, 0
-    names, targets = [f"x{i}" for i in range(1, n)], [F.col(f"y{j}") for j in range(k)]
-    df = kept(df.select(*([key] if key else []), *[c.alias(a) for a, c in zip(names, x[1:], strict=True)], *[y.cast("double").alias(f"y{j}") for j, y in enumerate(wanted)]))
-    x = [F.lit(1.0), *map(F.col, names)]
+    targets = [F.col(f"_y{j}") for j in range(k)]
+    df = df.select(*([F.col(key).alias("_key")] if key else []), *[c.alias(f"_x{i}") for i, c in enumerate(x) if i], *[y.cast("double").alias(f"_y{j}") for j, y in enumerate(wanted)]).persist()
+    x = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(1, n)]]
     for i in range(steps + 1):
         at = how.point(theta)
         made = []
+        row = df.sparkSession.createDataFrame([tuple(at.ravel().tolist())], ", ".join(f"_w{j}_{m} double" for j in range(k) for m in range(n)))
         for j, y in enumerate(targets):
-            p = link(dot_product(at[j], names))
+            p = link(reduce(lambda s, m: s + F.col(f"_w{j}_{m}") * x[m], range(1, n), F.col(f"_w{j}_0")))
             made += [F.sum((p - y) * c).alias(f"g{j}_{m}") for m, c in enumerate(x)]
             made.append(F.sum(cost(p, y)).alias(f"c{j}"))
-        row = batch(df, key, seed, i, share).agg(F.count("*").alias("n"), *made).first()
+        row = batch(df, key and "_key", seed, i, share).crossJoin(F.broadcast(row)).agg(F.count("*").alias("n"), *made).first()
         if not row.n:
             continue
         parts = np.array([v if v is not None else np.nan for v in row[1:]], float).reshape(k, n + 1) / row.n
