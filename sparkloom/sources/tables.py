@@ -15,8 +15,13 @@ def read_delimited(spark: SparkSession, path: str, schema: str, separator: str =
 
 def read_whitespace(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Columns separated by runs of spaces or tabs; blank lines are skipped."""
+    return split_whitespace(spark.read.text(path), schema)
+
+
+def split_whitespace(lines: DataFrame, schema: str) -> DataFrame:
+    """As read_whitespace, from a table of lines (value)."""
     fields = T.StructType.fromDDL(schema).fields
-    cells = spark.read.text(path).filter(F.trim("value") != "").select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("c"))
+    cells = lines.filter(F.trim("value") != "").select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("c"))
     return cells.select(*[F.get("c", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 

@@ -226,6 +226,12 @@ def test_databases_are_read_and_written(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(2, None), (2, None)]
 
 
+def test_white_space_separates_columns(spark, tmp_path):
+    (tmp_path / "rows.txt").write_text("1.5\t\t2\n  3.25 4 \n\n-1.0 \t 0\nx 7\n")
+    found = tables.read_whitespace(spark, f"{tmp_path}/rows.txt", "a double, b int").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1.5, 2), (3.25, 4), (-1.0, 0), (None, 7)], key=str)
+
+
 def test_catalogue_and_literals(spark):
     tables.literal(spark, [(1, "a")], "k int, v string").createOrReplaceTempView("catalogued")
     assert "default" in {r[0] for r in tables.databases(spark).collect()}
