@@ -1,11 +1,13 @@
 """Token counts, phrases and manifests against brute force, on awkward rows."""
 
+import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import token_counts
+from sparkloom.llm import manifest, token_counts
 from tests.llm.test_operators import awkward, prose
 
 
@@ -68,3 +70,74 @@ def test_op11(spark, library):
         n = len(library.encode(r.text or ""))
         assert (out[r.doc_id].n_tokens, out[r.doc_id].n_bytes, out[r.doc_id].over_limit) == (n, len((r.text or "").encode()), n > 4096)
         assert len(library.encode((r.text or "")[: out[r.doc_id].fit_chars])) <= 4096
+
+
+# 13
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(*values):
+    return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def levels(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([digest(*out[-1][i : i + 2]) for i in range(0, len(out[-1]), 2)])
+    return out
+
+
+def climb(tree, at, start):
+    proof, h = [], start
+    for level in tree[:-1]:
+        other = at ^ 1
+        if other < len(level):
+            proof.append(level[other])
+        h = digest(level[other], h) if other < at else digest(h, *level[other : other + 1])
+        at //= 2
+    return proof, h
+
+
+def brute_manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text)."""
+    low = lambda v: (v is not None, v if v is not None else 0)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append((low(r[0]), leaf(*r), r))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    made = {g: levels([h for _, h, _ in sorted(groups[g], key=lambda x: x[:2])]) for g in names}
+    top = levels([made[g][-1][0] for g in names])
+    out = []
+    for g in names:
+        for i, (_, h, r) in enumerate(sorted(groups[g], key=lambda x: x[:2])):
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[3] is not None
+            start = leaf(*r[:3], r[3] + 1, r[4]) if hit else h
+            proof, sub = climb(made[g], i, start)
+            more, root = climb(top, names.index(g), sub)
+            out.append((r[0], h, made[g][-1][0], top[-1][0], digest(*proof, *more), root, root == top[-1][0]))
+    return out
+
+
+def test_manifest(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(i, draw.choice(["a", None, ""]), draw.choice(["en", "en", "en", "de", None, "", "é", "z"]), draw.choice([5, None, i]), draw.choice(["x", "", None, "中🙂" * 3])) for i in range(300)]
+    rows += [(3, "a", "en", 1, "x"), (3, "a", "en", 1, "x"), (3, "b", "en", None, "x"), (None, "a", "en", 7, "x"), (None, None, None, None, None), (8, "a", "alone", 4, "y" * 5000)]
+    key = lambda r: str(r)
+    columns = "doc_id long, source string, lang string, n_chars long, text string"
+    wanted = sorted(brute_manifest(rows), key=key)
+    spark.createDataFrame([(*r, 1, 2) for r in rows], columns + ", hash int, tree int").repartition(5).createOrReplaceTempView("rows_of_13")
+    docs = spark.table("rows_of_13")
+    monkeypatch.setattr(manifest, "CLIMBERS", 4)
+    monkeypatch.setattr(manifest, "read", lambda *_: docs)
+    assert sorted([tuple(r) for r in manifest.op13_merkle_manifest(spark, "").collect()], key=key) == wanted
+    for stride in (1, 3):
+        plain = manifest.manifest(docs, manifest.COLUMNS, "lang", "doc_id", stride=stride).collect()
+        assert sorted([tuple(r)[:5] for r in plain], key=key) == sorted([r[:5] for r in wanted], key=key)
+        assert all(r.verified and r.folded_root == r.root for r in plain)
+    for few in (rows[:1], rows[:2]):
+        docs = spark.createDataFrame(few, columns)
+        assert sorted([tuple(r) for r in manifest.op13_merkle_manifest(spark, "").collect()], key=key) == sorted(brute_manifest(few), key=key)
+    docs = docs.limit(0)
+    assert manifest.op13_merkle_manifest(spark, "").count() == 0
