@@ -57,6 +57,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that save() gave and that is read no more."""
+    spark, folders = df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()}
+    for path in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def drop_written() -> None:
     """Deletes the intermediate tables of this process."""

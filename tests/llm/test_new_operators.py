@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import manifest, token_counts
+from sparkloom.llm import manifest, phrases, token_counts
 from tests.llm.test_operators import awkward, prose
 
 
@@ -72,6 +74,66 @@ def test_op11(spark, library):
         assert len(library.encode((r.text or "")[: out[r.doc_id].fit_chars])) <= 4096
 
 
+# 12
+
+def brute_phrases(rows, least, percent, first):
+    """rows: (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    found = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    held = Counter()
+    for p, a in found.items():
+        for k in range(2, len(p) - 1):
+            for i in range(1, len(p) - k + 1):
+                held[p[0], *p[i : i + k]] = max(held[p[0], *p[i : i + k]], a)
+    out = {}
+    for p, a in found.items():
+        if 100 * held[p] < percent * a:
+            score, _, left, right = min((2_000_000 * a // (f[p[: 1 + k]] + f[p[0], *p[1 + k :]]), k, f[p[: 1 + k]], f[p[0], *p[1 + k :]]) for k in range(1, len(p) - 1))
+            out.setdefault(p[0], []).append((-score, -a, " ".join(p[1:]).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -score) for lang, x in out.items() for i, (score, a, p, left, right) in enumerate(sorted(x)[:first]))
+
+
+def phrase_rows():
+    draw, words = random.Random(8), ["A", "b", "é", "of", "The", "中", "x\u00a0y", "don't", "z"]
+    text = lambda n: "".join(draw.choice(words) + draw.choice([" ", " ", " ", "  ", "\t", ". ", "\n", " ,"]) for _ in range(n))
+    rows = [(draw.choice(["en", "en", "en", "de", None, ""]), text(draw.randint(0, 80))) for _ in range(120)]
+    return rows + [("en", "a b " * 300), ("en", None), ("fr", ""), ("one", "a"), ("two", "a b"), *[("en", "copied words stand here")] * 40]
+
+
+@pytest.mark.parametrize(("shards", "slots", "together"), [(4, 1 << 16, 1 << 20), (1, 1 << 16, 7), (3, 64, 50)])
+def test_phrases(spark, monkeypatch, shards, slots, together):
+    monkeypatch.setattr(phrases, "TOGETHER", together)
+    rows = phrase_rows()
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "lang string, text string, n int, shard int").repartition(3)
+    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    for least, percent, first in ((5, 80, 2000), (2, 50, 7)):
+        found = phrases.collocations(docs, least, percent, first, shards, slots)
+        assert found.columns == columns
+        assert sorted(map(tuple, found.collect())) == brute_phrases(rows, least, percent, first)
+
+
+def test_phrases_of_nothing(spark):
+    docs = spark.createDataFrame([], "lang string, text string")
+    assert phrases.collocations(docs).count() == 0
+    assert phrases.collocations(spark.createDataFrame([("en", None), (None, " . ")], "lang string, text string")).count() == 0
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    text = np.frombuffer(b"one two one two three", np.uint8)
+    real = phrases.word_hashes
+    monkeypatch.setattr(phrases, "word_hashes", lambda *a: real(*a) if a[3] == phrases.OTHER else np.zeros(len(a[1]), np.uint64))
+    found = {tuple(texts[w[i]] for w in words): int(n[i]) for k, words, n, _, texts in phrases.counted(text, 0, 0, np.full(64, 255, np.uint8), 1) for i in range(len(n))}
+    assert found == {(b"one",): 2, (b"two",): 2, (b"three",): 1}
+
+
 # 13
 
 def digest(*parts):
