@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.keep import kept
+
+#: Rows of a block: similarities of users are computed block against block.
+BLOCK = 2048
+#: Similarities are compared to so many digits.
+DIGITS = 10
+
 
 def similarities(ratings: DataFrame, of: str, over: str, kind: str = "cosine") -> DataFrame:
     """x, y, s for pairs of `of` that share an `over`: cosine, or 1 / (1 + Euclidean distance) of the sparse rows.
@@ -24,33 +32,137 @@ def similarities(ratings: DataFrame, of: str, over: str, kind: str = "cosine") -
 
 def top(similar: DataFrame, n: int) -> DataFrame:
     """The n most similar y of each x; the smaller of equally similar ones first (to ten digits)."""
-    by = Window.partitionBy("x").orderBy(F.desc(F.round("s", 10)), "y")
+    by = Window.partitionBy("x").orderBy(F.desc(F.round("s", DIGITS)), "y")
     return similar.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
 
 
+def _blocked(ratings: DataFrame) -> DataFrame:
+    """user, n (squared norm), w (its ratings), block. Users with one dearest item stand in the same blocks, as far as a
+    block of BLOCK users holds them, so blocks differ in what they hold."""
+    r = ratings.select("user", "item", F.col("rating").cast("double").alias("v"))
+    rows = kept(r.groupBy("user").agg(F.sum(F.col("v") * F.col("v")).alias("n"), F.collect_list(F.struct("item", "v")).alias("w"), F.max_by("item", F.struct(F.abs("v"), "item")).alias("dearest")).filter("n > 0"))
+    cells = max(1, rows.count() // BLOCK)
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("dearest"), F.lit(cells)))
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    rows = rows.join(F.broadcast(parts) if cells <= BLOCK else parts, "cell")
+    return rows.select("user", "n", "w", F.concat_ws("/", "cell", F.pmod(F.xxhash64("user"), F.col("parts"))).alias("block"))
+
+
+def _bounds(x: DataFrame, y: DataFrame, kind: str) -> DataFrame:
+    """q, r, bound: no user of block q is more similar to one of block r than that. Blocks whose users can only have
+    cosine 0 are left out. From each block's largest shares of each item and its shortest and longest row."""
+
+    def largest(rows: DataFrame, name: str, value: str) -> DataFrame:
+        each = rows.select(F.col("block").alias(name), "n", F.explode("w").alias("w"))
+        return each.groupBy(name, "w.item").agg(F.max(F.abs(F.col("w.v")) / F.sqrt("n")).alias(value))
+
+    cosine = largest(x, "q", "a").join(largest(y, "r", "b"), "item").groupBy("q", "r").agg(F.least(F.lit(1.0), F.sum(F.col("a") * F.col("b"))).alias("c"))
+    if kind == "cosine":
+        return cosine.select("q", "r", F.col("c").alias("bound"))
+    ends = lambda rows, name: rows.groupBy(F.col("block").alias(name)).agg(F.sqrt(F.min("n")).alias(f"{name}0"), F.sqrt(F.max("n")).alias(f"{name}1"))
+    both = ends(x, "q").join(ends(y, "r")).join(cosine, ["q", "r"], "left")  # of blocks, not of users
+    apart = F.greatest(F.lit(0.0), F.col("q0") - F.col("r1"), F.col("r0") - F.col("q1"))
+    squared = F.greatest(apart * apart, F.pow("q0", F.lit(2)) + F.pow("r0", F.lit(2)) - 2 * F.coalesce("c", F.lit(0.0)) * F.col("q1") * F.col("r1"))
+    return both.select("q", "r", (1 / (1 + F.sqrt(squared))).alias("bound"))
+
+
+def _matched(x: DataFrame, y: DataFrame, pairs: DataFrame, n: int, kind: str) -> DataFrame:
+    """x, y, s, q: for each pair of blocks (q, r) the n most similar users of r to each user of q, as a product of two
+    matrices; all other similarities stay in the task."""
+    kinds = dict(x.dtypes)
+
+    def fold(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def side(mark: int):
+            rows = table.filter(pc.equal(table["side"], mark)).combine_chunks().sort_by("user")
+            lists = rows["w"].combine_chunks()
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+            return rows["user"], rows["n"].to_numpy(), owner, flat.field("item"), flat.field("v").to_numpy()
+
+        (xu, xn, xo, xi, xv), (yu, yn, yo, yi, yv) = side(0), side(1)
+        codes = pa.chunked_array([xi, yi]).combine_chunks().dictionary_encode().indices.to_numpy()
+        a, b = codes[: len(xi)], codes[len(xi) :]
+        dot = np.zeros((len(xn), len(yn)))
+        for first in range(0, int(codes.max()) + 1, 1024):  # items at once
+            m, k = np.zeros((len(xn), 1024)), np.zeros((len(yn), 1024))
+            i, j = (a >= first) & (a < first + 1024), (b >= first) & (b < first + 1024)
+            np.add.at(m, (xo[i], a[i] - first), xv[i])
+            np.add.at(k, (yo[j], b[j] - first), yv[j])
+            dot += m @ k.T
+        s = dot / np.sqrt(xn[:, None] * yn[None]) if kind == "cosine" else 1 / (1 + np.sqrt(np.maximum(0, xn[:, None] + yn[None] - 2 * dot)))
+        order = np.rint(s * 10.0**DIGITS).astype(np.int64)  # of equal ones the first, as users stand in order
+        out = (order == 10**DIGITS) | (s == 0)
+        order = order * len(yn) - np.arange(len(yn))[None]
+        order[out] = -(1 << 62)
+        best = np.argpartition(-order, min(n, len(yn)) - 1, axis=1)[:, :n]
+        row = np.repeat(np.arange(len(xn)), best.shape[1])
+        held = ~out[row, best.ravel()]
+        row, best = row[held], best.ravel()[held]
+        return pa.table({"x": xu.take(pa.array(row)), "y": yu.take(pa.array(best)), "s": pa.array(s[row, best]), "q": pa.array([table["q"][0].as_py()] * len(row), pa.string())})
+
+    pairs = pairs.select("q", "r")
+    side = lambda rows, name, mark: pairs.join(rows.withColumnRenamed("block", name), name).select("q", "r", F.lit(mark).alias("side"), "user", "n", "w")
+    met = side(x, "q", 0).unionByName(side(y, "r", 1))
+    return met.groupBy("q", "r").applyInArrow(fold, f"x {kinds['user']}, y {kinds['user']}, s double, q string")
+
+
+def nearest_users(ratings: DataFrame, n: int = 10, kind: str = "cosine", queries: DataFrame | None = None) -> DataFrame:
+    """x, y, s, rank: the n most similar users y of ratings to each user x of queries (ratings, unless given), the smaller
+    of equally similar ones first. Users that are alike exactly (similarity 1, to ten digits) and those of cosine 0
+    don't count.
+
+    Exact: a first round compares each block of users with the one that promises most; the pairs of blocks whose bound
+    shows that they can't improve any user's n best aren't compared at all, the others in a second round."""
+    y = kept(_blocked(ratings))
+    x = y if queries is None else kept(_blocked(queries))
+    bounds = kept(_bounds(x, y, kind))
+    first = Window.partitionBy("q").orderBy(F.desc(F.col("q") == F.col("r")), F.desc("bound"), "r")
+    chosen = bounds.withColumn("turn", F.row_number().over(first)).filter("turn = 1")
+    found = kept(_matched(x, y, chosen, n, kind))
+    worst = found.groupBy("q", "x").agg(F.count("*").alias("have"), F.min("s").alias("least")).groupBy("q").agg(F.count("*").alias("served"), F.min("have").alias("have"), F.min("least").alias("least"))
+    users = x.groupBy(F.col("block").alias("q")).agg(F.count("*").alias("users"))
+    reached = users.join(worst, "q", "left").select("q", F.when((F.col("served") == F.col("users")) & (F.col("have") >= n), F.col("least")).otherwise(float("-inf")).alias("least"))
+    rest = bounds.join(chosen.select("q", "r"), ["q", "r"], "left_anti").join(reached, "q").filter(F.col("bound") >= F.col("least") - 1e-9)
+    return top(found.drop("q").unionByName(_matched(x, y, rest, n, kind).drop("q")), n)
+
+
 def unrated(scores: DataFrame, ratings: DataFrame) -> DataFrame:
     return scores.join(ratings.select("user", "item"), ["user", "item"], "left_anti")
 
 
-def user_cf(ratings: DataFrame, n: int = 10, kind: str = "cosine") -> DataFrame:
+def user_cf(ratings: DataFrame, n: int = 10, kind: str = "cosine", queries: DataFrame | None = None) -> DataFrame:
     """user, item, score of items that the user hasn't rated: the mean of the n most similar users' ratings, weighted
-    by similarity, unrated as 0. Users that are alike exactly (similarity 1, to ten digits) don't count."""
-    near = top(similarities(ratings, "user", "item", kind).filter(F.round("s", 10) < 1), n)
+    by similarity, unrated as 0. Users that are alike exactly (similarity 1, to ten digits) don't count. The users of
+    `queries` (those of ratings, unless given) are served from the users of ratings."""
+    near = kept(nearest_users(ratings, n, kind, queries))
     whole = near.groupBy("x").agg(F.sum("s").alias("t"))
     sums = near.join(ratings.select(F.col("user").alias("y"), "item", "rating"), "y").groupBy("x", "item").agg(F.sum(F.col("s") * F.col("rating")).alias("r"))
-    return unrated(sums.join(whole, "x").select(F.col("x").alias("user"), "item", F.try_divide("r", "t").alias("score")), ratings)
+    return unrated(sums.join(whole, "x").select(F.col("x").alias("user"), "item", F.try_divide("r", "t").alias("score")), ratings if queries is None else queries)
 
 
-def item_cf(ratings: DataFrame, n: int = 10, kind: str = "cosine") -> DataFrame:
-    """user, item, score: each item's n most similar others lend their ratings, weighted by similarity and divided by
-    the sum of all n similarities, whether the user rated them or not."""
-    near = top(similarities(ratings, "item", "user", kind), n)
-    whole = near.groupBy("x").agg(F.sum("s").alias("t"))
-    sums = near.join(ratings.select(F.col("item").alias("y"), "user", "rating"), "y").groupBy("x", "user").agg(F.sum(F.col("s") * F.col("rating")).alias("r"))
-    return unrated(sums.join(whole, "x").select("user", F.col("x").alias("item"), F.try_divide("r", "t").alias("score")), ratings)
+def item_neighbours(ratings: DataFrame, n: int = 10, kind: str = "cosine") -> DataFrame:
+    """x, y, s, rank: the n most similar items y of each item x; a table that can be written once and serve any users."""
+    return top(similarities(ratings, "item", "user", kind), n)
+
+
+def fold_in(near: DataFrame, queries: DataFrame) -> DataFrame:
+    """user, item, score for the users of queries, also unseen ones, from item_neighbours(): an item that the user rated
+    lends its rating to its n neighbours, weighted by similarity; an item's score is divided by the sum of the
+    similarities of all items whose neighbour it is, whether the user rated them or not."""
+    whole = near.groupBy("y").agg(F.sum("s").alias("t"))
+    sums = near.join(queries.select(F.col("item").alias("x"), "user", "rating"), "x").groupBy("y", "user").agg(F.sum(F.col("s") * F.col("rating")).alias("r"))
+    return unrated(sums.join(whole, "y").select("user", F.col("y").alias("item"), F.try_divide("r", "t").alias("score")), queries)
+
+
+def item_cf(ratings: DataFrame, n: int = 10, kind: str = "cosine", queries: DataFrame | None = None) -> DataFrame:
+    """user, item, score of fold_in() for the users of queries (those of ratings, unless given)."""
+    return fold_in(item_neighbours(ratings, n, kind), ratings if queries is None else queries)
 
 
 def recommend(scores: DataFrame, n: int = 5) -> DataFrame:
     """user, item, score, rank: the n best scores above 0 of each user; the smaller item of equal ones first."""
-    by = Window.partitionBy("user").orderBy(F.desc(F.round("score", 10)), "item")
+    by = Window.partitionBy("user").orderBy(F.desc(F.round("score", DIGITS)), "item")
     return scores.filter("score > 0").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)

@@ -154,7 +154,7 @@ def rec_item_topn(spark, d):
     return recommend.top(recommend.similarities(ratings(spark, d), "item", "user"), 5).select("x", "y", "rank")
 
 
-ITEM = f"{NEAR}, w AS (SELECT x, sum(s) AS t FROM near GROUP BY 1), f AS (SELECT r.u AS user, near.x AS item, sum(s * v) / max(t) AS score FROM near JOIN r ON r.i = near.y JOIN w ON w.x = near.x GROUP BY ALL), g AS (SELECT f.* FROM f ANTI JOIN r ON r.u = f.user AND r.i = f.item)"
+ITEM = f"{NEAR}, w AS (SELECT y, sum(s) AS t FROM near GROUP BY 1), f AS (SELECT r.u AS user, near.y AS item, sum(s * v) / max(t) AS score FROM near JOIN r ON r.i = near.x JOIN w ON w.y = near.y GROUP BY ALL), g AS (SELECT f.* FROM f ANTI JOIN r ON r.u = f.user AND r.i = f.item)"
 
 
 @query(f'WITH {ITEM} SELECT "user", item, round(score, 6) AS score FROM g')
@@ -175,6 +175,29 @@ def rec_user_cf(spark, d):
     return recommend.user_cf(ratings(spark, d), 10).select("user", "item", F.round("score", 6).alias("score"))
 
 
+#: Suppliers as users that the ratings don't know: how often they delivered a brand, 5 at most.
+R0 = "q AS (SELECT l_suppkey AS u, p_brand AS i, least(count(*), 5)::DOUBLE AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0 GROUP BY ALL)"
+
+
+def unseen(spark, d):
+    li, p = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0"), table(spark, d, "part")
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("user"), F.col("p_brand").alias("item")).agg(F.least(F.count("*"), F.lit(5)).cast("double").alias("rating"))
+
+
+@query(f"""WITH {NEAR}, {R0}, w AS (SELECT y, sum(s) AS t FROM near GROUP BY 1), f AS (SELECT q.u AS user, near.y AS item, sum(s * v) / max(t) AS score FROM near JOIN q ON q.i = near.x JOIN w ON w.y = near.y GROUP BY ALL)
+SELECT "user", item, round(score, 6) AS score FROM f ANTI JOIN q ON q.u = f.user AND q.i = f.item""")
+def rec_item_fold_in(spark, d):
+    return recommend.item_cf(ratings(spark, d), 5, queries=unseen(spark, d)).select("user", "item", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {R}, {R0}, n AS (SELECT u, sum(v * v) AS n FROM r GROUP BY 1), m AS (SELECT u, sum(v * v) AS n FROM q GROUP BY 1), t AS (SELECT a.u AS x, b.u AS y, sum(a.v * b.v) AS dot FROM q a JOIN r b ON a.i = b.i GROUP BY ALL),
+s AS (SELECT m.u AS x, n.u AS y, 1 / (1 + sqrt(greatest(0, m.n + n.n - 2 * coalesce(dot, 0)))) AS s FROM m CROSS JOIN n LEFT JOIN t ON t.x = m.u AND t.y = n.u), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 10) DESC, y) AS rank FROM s WHERE round(s, 10) < 1), near AS (SELECT * FROM k WHERE rank <= 10),
+w AS (SELECT x, sum(s) AS t FROM near GROUP BY 1), f AS (SELECT near.x AS user, r.i AS item, sum(s * v) / max(t) AS score FROM near JOIN r ON r.u = near.y JOIN w ON w.x = near.x GROUP BY ALL)
+SELECT "user", item, round(score, 6) AS score FROM f ANTI JOIN q ON q.u = f.user AND q.i = f.item""")
+def rec_user_fold_in(spark, d):
+    return recommend.user_cf(ratings(spark, d), 10, "distance", unseen(spark, d)).select("user", "item", F.round("score", 6).alias("score"))
+
+
 # images, sources, streams
 
 @query("SELECT p_partkey, (11 * (p_size * 5) + 16 * (p_partkey % 256) + 5 * 100) / 32 AS gray FROM part")

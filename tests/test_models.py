@@ -160,6 +160,47 @@ def test_ratings_of_four_users(spark):
     assert all((u, i) not in scores for u, r in enumerate(matrix) for i, v in enumerate(r) if v)
 
 
+@pytest.mark.parametrize("kind", ["cosine", "distance"])
+def test_nearest_users_agree_with_all_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(recommend, "BLOCK", 4)
+    draw = np.random.default_rng(4)
+    x = np.where(draw.random((40, 12)) < 0.3, draw.integers(1, 6, (40, 12)), 0).astype(float)
+    x[7], x[8], x[20:24] = x[3], 2 * x[3], [0] * 10 + [5, 1]
+    frame = lambda rows: spark.createDataFrame([(u, f"i{i}", float(v)) for u, r in rows for i, v in enumerate(r) if v], "user int, item string, rating double")
+    seen, other = frame(list(enumerate(x))), frame([(100 + u, x[u]) for u in range(0, 40, 3)])
+    for queries, known in ((None, {u: x[u] for u in range(40)}), (other, {100 + u: x[u] for u in range(0, 40, 3)})):
+        wanted = set()
+        for u, a in known.items():
+            found = []
+            for v, b in enumerate(x):
+                if a.any() and b.any():
+                    s = a @ b / np.sqrt((a @ a) * (b @ b)) if kind == "cosine" else 1 / (1 + np.sqrt(max(0, a @ a + b @ b - 2 * a @ b)))
+                    found.append((-round(s, 10), v)) if 0 < round(s, 10) < 1 else None
+            wanted |= {(u, v, i + 1) for i, (_, v) in enumerate(sorted(found)[:3])}
+        assert {(r.x, r.y, r["rank"]) for r in recommend.nearest_users(seen, 3, kind, queries).collect()} == wanted
+
+
+def test_blocks_that_cannot_help_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "BLOCK", 5)
+    rows = [(100 * g + u, f"{g}/{i}", float(1 + (u * i) % 5)) for g in range(8) for u in range(5) for i in range(4)]
+    seen = spark.createDataFrame(rows, "user int, item string, rating double")
+    met = []
+    real = recommend._matched
+    monkeypatch.setattr(recommend, "_matched", lambda x, y, pairs, *a: met.append(pairs.count()) or real(x, y, pairs, *a))
+    assert recommend.nearest_users(seen, 2).filter("floor(x / 100) <> floor(y / 100)").count() == 0
+    blocks = recommend._blocked(seen).select("block").distinct().count()
+    assert met[0] == blocks and sum(met) < blocks * blocks / 2
+
+
+def test_unseen_users_are_served_by_a_stored_table(spark, tmp_path):
+    seen = spark.createDataFrame([(u, i, float(v)) for u, r in enumerate([[4, 0, 3, 0], [0, 2, 0, 0], [3, 0, 3, 4], [5, 0, 0, 0]]) for i, v in enumerate(r) if v], "user int, item int, rating double")
+    recommend.item_neighbours(seen, 2).write.parquet(str(tmp_path / "near"))
+    near = spark.read.parquet(str(tmp_path / "near"))
+    s = {(r.x, r.y): r.s for r in near.collect()}
+    scores = {(r.user, r.item): r.score for r in recommend.fold_in(near, spark.createDataFrame([(9, 0, 2.0), (8, 1, 5.0)], "user int, item int, rating double")).collect()}
+    assert scores[9, 3] == pytest.approx(2 * s[0, 3] / (s[0, 3] + s[2, 3])) and all(u == 9 for u, _ in scores)
+
+
 def test_outliers_score_high(spark):
     df = spark.createDataFrame([(i, float(i % 10)) for i in range(200)] + [(200, 1000.0)], "id int, x double")
     model = isolation.IsolationForest(15, 64, 1).fit(df, ["x"], "id")
