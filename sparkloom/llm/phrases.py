@@ -2,8 +2,8 @@
 
 Documents are dealt into SHARDS shards that are scanned in turns, cyclically. All lengths are counted in the same scans: words
 from the first scan on, a longer phrase from the scan after both of its subphrases (without the last and without the first
-word) have reached the threshold so far. Each phrase is counted for one full cycle, so its count is exact; scans go on until
-the last phrase has completed its cycle.
+word) have reached the threshold so far. Each phrase is counted for one full cycle, so its count is exact, and leaves the
+table of open counts then; scans go on until the last phrase has completed its cycle.
 
 What has reached the threshold is told to the scans by a table of SLOTS bytes: the place of a phrase's hash holds the scan from
 which on phrases around it are counted. Phrases that share a place only make others begin earlier, for a full cycle too."""
@@ -14,13 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BASE, BYTE, LOWER, discard, mix, powers, read, save
+from sparkloom.llm.common import BASE, BYTE, LOWER, discard, mix, powers, read, save, union_all
 
-SHARDS = 4
+SHARDS = 2
 #: Bytes of the table of scans, whatever the input's size: a power of 2.
-SLOTS = 1 << 22
-#: Words that a task counts at once, and bytes of texts that it joins for that.
-TOGETHER, JOINED = 1 << 20, 1 << 23
+SLOTS = 1 << 24
+#: Words that a task counts at once, bytes of texts that it joins for that, and words that it hashes at once.
+TOGETHER, JOINED, HASHED = 1 << 21, 1 << 24, 1 << 15
 LONGEST, LEAST, PERCENT, SCALE, FIRST = 4, 30, 80, 2_000_000, 2000
 #: Parts of a language in which its first phrases are found before they meet.
 PARTS = 64
@@ -31,7 +31,7 @@ GAP = ENDS.copy()
 GAP[[0x20, 0x09]] = True
 #: A second odd multiplier, for digests that are independent of the first.
 OTHER = 0xD1B54A32D192ED03
-COLUMNS = "lang string, k int, phrase string, n long, h long"
+COLUMNS = "lang string, k int, begin int, phrase string, n long, h long"
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,53 +43,66 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A hash of each word; data begins with the first one."""
-    place = np.arange(len(data)) - np.repeat(first, np.diff(first, append=len(data)))
-    value = np.where(GAP[data], np.uint64(0), BYTE[data] * powers(int((end - first).max()), base)[np.minimum(place, (end - first).max() - 1)])
-    return mix(np.add.reduceat(value, first) + (end - first).astype(np.uint64))
+    """A hash of each word, from differences of prefix sums over HASHED words at once."""
+    out = np.empty(len(first), np.uint64)
+    for at in range(0, len(first), HASHED):
+        a, b = first[at : at + HASHED], end[at : at + HASHED]
+        part = data[a[0] : b[-1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE[part] * powers(len(part), base), out=sums[1:])
+        out[at : at + HASHED] = mix((sums[b - a[0]] - sums[a - a[0]]) * powers(len(part) + 1, pow(base, -1, 1 << 64))[a - a[0]] + (b - a).astype(np.uint64))
+    return out
 
 
 def counted(data: np.ndarray, seed: int, scan: int, slots: np.ndarray, shards: int):
-    """(k, words of each phrase as columns of word numbers, counts, hashes, texts of words) of the phrases of a language's
-    text that this scan counts, once for each run of TOGETHER words."""
+    """(k, words of each phrase as columns of word numbers, counts, hashes, scans in which they began, texts of words) of the
+    phrases of a language's text that this scan counts, once for each run of TOGETHER words."""
     first, end, piece = word_spans(data)
     for at in range(0, len(first), TOGETHER):
         own = min(TOGETHER, len(first) - at)
         to = min(at + own + LONGEST - 1, len(first))  # phrases may reach beyond the run
         a, b = first[at:to] - first[at], end[at:to] - first[at]
         part, pieces = data[first[at] : end[to - 1]], piece[at:to]
-        h, check = (word_hashes(part, a, b, base) for base in (BASE, OTHER))
-        _, one, number = np.unique(h, return_index=True, return_inverse=True)
-        if (check[one][number] != check).any():  # two words with one hash
-            _, one, number = np.unique(np.stack([h, check]), axis=1, return_index=True, return_inverse=True)
-            number = number.reshape(-1)
-        texts = [part[x:y].tobytes() for x, y in zip(a[one], b[one], strict=True)]
-        before = grown = mix(h + np.uint64(seed))  # hashes of the phrases of k - 1 and k words that begin at each word
-        for k in range(1, LONGEST + 1):
-            if k == 1:
-                here = np.arange(own if scan < shards else 0)
-            else:
-                begins = slots[(before & np.uint64(len(slots) - 1)).astype(np.int64)]
-                active = np.maximum(begins[:-1], begins[1:]).astype(np.int64)
-                n = max(len(h) - k + 1, 0)
-                grown = mix(grown[:-1] * np.uint64(BASE) + mix(h[k - 1 :]))
-                here = np.flatnonzero((active <= scan) & (scan < active + shards) & (pieces[:n] == pieces[k - 1 :]))
-                here = here[here < own]
-            before = grown
+        h = word_hashes(part, a, b, BASE)
+        grown = mix(h + np.uint64(seed))  # hashes of the phrases of k words that begin at each word
+        chosen, involved = [], np.zeros(len(h), bool)
+        if scan < shards:
+            chosen.append((1, np.arange(own), grown, np.zeros(own, np.int64)))
+            involved[:] = True
+        for k in range(2, LONGEST + 1):
+            begins = slots[(grown & np.uint64(len(slots) - 1)).astype(np.int64)]  # of the phrases of k - 1 words
+            n = max(len(h) - k + 1, 0)
+            begin = np.maximum(begins[:-1], begins[1:])[:n]
+            here = np.flatnonzero((begin <= scan) & (begin > scan - shards) & (pieces[:n] == pieces[len(pieces) - n :]))
+            here = here[here < own]
+            grown = mix(grown[:-1] * np.uint64(BASE) + mix(h[k - 1 :]))
             if len(here):
-                key, size = number[here], len(texts)
-                for j in range(1, k):
-                    if size * len(texts) >= 1 << 62:
-                        found, key = np.unique(key, return_inverse=True)
-                        size = len(found)
-                    key, size = key * len(texts) + number[here + j], size * len(texts)
-                _, where, n = np.unique(key, return_index=True, return_counts=True)
-                where = here[where]
-                yield k, [number[where + j] for j in range(k)], n, grown[where].view(np.int64), texts
+                chosen.append((k, here, grown, begin[here].astype(np.int64)))
+                for j in range(k):
+                    involved[here + j] = True
+        if not chosen:
+            continue
+        seen = np.flatnonzero(involved)
+        check = word_hashes(part, a, b, OTHER)[seen]
+        _, one, of_seen = np.unique(h[seen], return_index=True, return_inverse=True)
+        if (check[one][of_seen] != check).any():  # two words with one hash
+            _, one, of_seen = np.unique(np.stack([h[seen], check]), axis=1, return_index=True, return_inverse=True)
+        number = np.zeros(len(h), np.int64)
+        number[seen] = of_seen.reshape(-1)
+        texts = [part[x:y].tobytes() for x, y in zip(a[seen[one]], b[seen[one]], strict=True)]
+        for k, here, grown, begin in chosen:
+            key, size = number[here], len(texts)
+            for j in range(1, k):
+                if size * len(texts) >= 1 << 62:
+                    found, key = np.unique(key, return_inverse=True)
+                    size = len(found)
+                key, size = key * len(texts) + number[here + j], size * len(texts)
+            _, where, n = np.unique(key, return_index=True, return_counts=True)
+            yield k, [number[here[where] + j] for j in range(k)], n, grown[here[where]].view(np.int64), begin[where], texts
 
 
 def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS) -> DataFrame:
-    """lang, k, phrase, n, h of the phrases that this scan counts in a shard (lang, text): summed over it."""
+    """COLUMNS of the phrases that this scan counts in a shard (lang, text), once for each batch of texts."""
     held = shard.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches):
@@ -100,11 +113,11 @@ def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS
 
         def flush(lang: str, texts: list[bytes]):
             data = LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-            for k, words, n, h, known in counted(data, zlib.crc32(lang.encode()) << 20, scan, held.value, shards):
+            for k, words, n, h, begin, known in counted(data, zlib.crc32(lang.encode()) << 20, scan, held.value, shards):
                 known = pa.array(known, pa.binary()).cast(pa.string())
                 phrase = pc.binary_join_element_wise(*[known.take(pa.array(w)) for w in words], " ") if k > 1 else known.take(pa.array(words[0]))
                 size = len(phrase)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), phrase, pa.array(n.astype(np.int64)), pa.array(h)], ["lang", "k", "phrase", "n", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), pa.array(begin.astype(np.int32)), phrase, pa.array(n.astype(np.int64)), pa.array(h)], ["lang", "k", "begin", "phrase", "n", "h"])
 
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
@@ -119,32 +132,36 @@ def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS
         for lang, texts in waiting.items():
             yield from flush(lang, texts)
 
-    found = shard.select("lang", "text").mapInArrow(run, COLUMNS)
-    return found.groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"))
+    return shard.select("lang", "text").mapInArrow(run, COLUMNS)
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """lang, k, phrase, n: exact counts of all words and of all phrases of 2 to 4 words that occur `least` times or more.
+def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(lang, k, phrase, n: exact counts of the words and phrases of up to 4 words that occur `least` times or more; lang,
+    n_words: all words of each language).
 
     docs has lang and text; null languages are `und`, null texts are empty. Each row counts, also repeated ones."""
     dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
     dealt = save(dealt.sortWithinPartitions("shard"), "shards")
-    begins, scan, done = np.full(slots, 255, np.uint8), 0, None
+    begins, scan, counts, finished, words = np.full(slots, 255, np.uint8), 0, None, [], None
     while scan < shards or (begins[begins < 255].astype(np.int64) + shards > scan).any():
-        part = scanned(dealt.filter(F.col("shard") == scan % shards), scan, begins, shards)
-        merged = part if done is None else part.unionByName(done).groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"))
-        before, done = done, save(merged, "counts")
+        rows = scanned(dealt.filter(F.col("shard") == scan % shards), scan, begins, shards)
+        if counts is not None:
+            rows = rows.unionByName(counts.filter(F.col("begin") > scan - shards))
+        before, counts = counts, save(rows.groupBy("lang", "k", "begin", "phrase", "h").agg(F.sum("n").alias("n")), "counts")
         if before is not None:
             discard(before)
-        marks = done.filter((F.col("n") >= least) & (F.col("k") < LONGEST)).select(F.col("h").bitwiseAND(slots - 1).alias("p"))
-        marks = marks.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).collect()  # at most slots / 64 rows
+        marks = counts.filter((F.col("n") >= least) & (F.col("k") < LONGEST)).select(F.col("h").bitwiseAND(slots - 1).alias("p"))
+        marks = marks.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()  # at most slots / 64 rows
+        done = counts.filter(F.col("begin") == scan - shards + 1)
+        finished.append(save(done.filter(F.col("n") >= least).select("lang", "k", "phrase", "n"), "finished"))
+        if scan == shards - 1:
+            words = save(done.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n_words")), "words")
         scan += 1
-        if marks:
-            words = np.zeros(slots // 64, np.uint64)
-            words[[r.i for r in marks]] = np.array([r.b for r in marks], np.int64).view(np.uint64)
-            reached = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-            begins[reached & (begins == 255)] = scan
-    return done.filter((F.col("k") == 1) | (F.col("n") >= least)).drop("h")
+        reached = np.zeros(slots // 64, np.uint64)
+        reached[marks["i"].to_numpy()] = marks["b"].to_numpy().view(np.uint64)
+        begins[np.unpackbits(reached.view(np.uint8), bitorder="little").astype(bool) & (begins == 255)] = scan
+    discard(counts)
+    return union_all(finished), words
 
 
 def first_of(rows: DataFrame, first: int, *order) -> DataFrame:
@@ -159,10 +176,8 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, fi
 
     a is the phrase's count, l and r those of the two parts of its lowest-scoring cut, n all words of the language. Phrases
     that a longer one with `percent` of their occurrences holds are left out. Empty tables give no rows."""
-    counts = save(phrase_counts(docs, least, shards, slots), "phrases")
-    words = counts.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n_words"))
+    counts, words = phrase_counts(docs, least, shards, slots)
     phrases = counts.filter("k > 1").select("lang", "k", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
-    text = lambda w, first, size: F.array_join(F.slice(w, first, size), " ")
     cuts = phrases.select("lang", "phrase", "a", F.explode(F.expr("transform(sequence(1, k - 1), i -> struct(i as cut, array_join(slice(w, 1, i), ' ') as left, array_join(slice(w, i + 1, k - i), ' ') as right))")).alias("c")).select("lang", "phrase", "a", "c.*")
     part = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     cuts = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"])
