@@ -10,6 +10,8 @@ which on phrases around it are counted. Phrases that share a place only make oth
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ GAP = ENDS.copy()
 GAP[[0x20, 0x09]] = True
 #: A second odd multiplier, for digests that are independent of the first.
 OTHER = 0xD1B54A32D192ED03
-COLUMNS = "lang string, k int, begin int, phrase string, n long, h long"
+#: A language, a tab and a phrase. The empty phrase stands for all words.
+COLUMNS = "key string, begin int, n long"
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,8 +58,8 @@ def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, base: int)
 
 
 def counted(data: np.ndarray, seed: int, scan: int, slots: np.ndarray, shards: int):
-    """(k, words of each phrase as columns of word numbers, counts, hashes, scans in which they began, texts of words) of the
-    phrases of a language's text that this scan counts, once for each run of TOGETHER words."""
+    """(words of each phrase as columns of word numbers, counts, scans in which they began, texts of words) of the phrases of
+    a language's text that this scan counts, once for each run of TOGETHER words."""
     first, end, piece = word_spans(data)
     for at in range(0, len(first), TOGETHER):
         own = min(TOGETHER, len(first) - at)
@@ -67,7 +70,7 @@ def counted(data: np.ndarray, seed: int, scan: int, slots: np.ndarray, shards: i
         grown = mix(h + np.uint64(seed))  # hashes of the phrases of k words that begin at each word
         chosen, involved = [], np.zeros(len(h), bool)
         if scan < shards:
-            chosen.append((1, np.arange(own), grown, np.zeros(own, np.int64)))
+            chosen.append((1, np.arange(own), np.zeros(own, np.int32)))
             involved[:] = True
         for k in range(2, LONGEST + 1):
             begins = slots[(grown & np.uint64(len(slots) - 1)).astype(np.int64)]  # of the phrases of k - 1 words
@@ -77,7 +80,7 @@ def counted(data: np.ndarray, seed: int, scan: int, slots: np.ndarray, shards: i
             here = here[here < own]
             grown = mix(grown[:-1] * np.uint64(BASE) + mix(h[k - 1 :]))
             if len(here):
-                chosen.append((k, here, grown, begin[here].astype(np.int64)))
+                chosen.append((k, here, begin[here].astype(np.int32)))
                 for j in range(k):
                     involved[here + j] = True
         if not chosen:
@@ -90,7 +93,7 @@ def counted(data: np.ndarray, seed: int, scan: int, slots: np.ndarray, shards: i
         number = np.zeros(len(h), np.int64)
         number[seen] = of_seen.reshape(-1)
         texts = [part[x:y].tobytes() for x, y in zip(a[seen[one]], b[seen[one]], strict=True)]
-        for k, here, grown, begin in chosen:
+        for k, here, begin in chosen:
             key, size = number[here], len(texts)
             for j in range(1, k):
                 if size * len(texts) >= 1 << 62:
@@ -98,7 +101,24 @@ def counted(data: np.ndarray, seed: int, scan: int, slots: np.ndarray, shards: i
                     size = len(found)
                 key, size = key * len(texts) + number[here + j], size * len(texts)
             _, where, n = np.unique(key, return_index=True, return_counts=True)
-            yield k, [number[here[where] + j] for j in range(k)], n, grown[here[where]].view(np.int64), begin[where], texts
+            yield [number[here[where] + j] for j in range(k)], n, begin[where], texts
+
+
+def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """The hashes by which counted() knows phrases (words with a space between them)."""
+    data = np.frombuffer("\n".join(phrases).encode(), np.uint8)
+    first, end, piece = word_spans(data)
+    h = word_hashes(data, first, end, BASE)
+    begin = np.searchsorted(piece, np.arange(len(phrases) + 1))
+    grown = mix(h[begin[:-1]] + np.array([seed_of(x) for x in langs], np.uint64))
+    for j in range(1, LONGEST):
+        more = np.flatnonzero(begin[:-1] + j < begin[1:])
+        grown[more] = mix(grown[more] * np.uint64(BASE) + mix(h[begin[:-1][more] + j]))
+    return grown
+
+
+def seed_of(lang: str) -> int:
+    return zlib.crc32(lang.encode()) << 20
 
 
 def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS) -> DataFrame:
@@ -106,18 +126,20 @@ def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS
     held = shard.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches):
-        import zlib
-
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        def batch_of(key, begin, n):
+            return pa.RecordBatch.from_arrays([key, pa.array(begin, pa.int32()), pa.array(n, pa.int64())], ["key", "begin", "n"])
+
         def flush(lang: str, texts: list[bytes]):
             data = LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-            for k, words, n, h, begin, known in counted(data, zlib.crc32(lang.encode()) << 20, scan, held.value, shards):
+            if scan < shards:
+                yield batch_of(pa.array([f"{lang}\t"]), [0], [len(word_spans(data)[0])])
+            for words, n, begin, known in counted(data, seed_of(lang), scan, held.value, shards):
                 known = pa.array(known, pa.binary()).cast(pa.string())
-                phrase = pc.binary_join_element_wise(*[known.take(pa.array(w)) for w in words], " ") if k > 1 else known.take(pa.array(words[0]))
-                size = len(phrase)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), pa.array(begin.astype(np.int32)), phrase, pa.array(n.astype(np.int64)), pa.array(h)], ["lang", "k", "begin", "phrase", "n", "h"])
+                parts = [known.take(pa.array(w)) for w in words]
+                yield batch_of(pc.binary_join_element_wise(pa.scalar(f"{lang}\t"), pc.binary_join_element_wise(*parts, " "), ""), begin, n)
 
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
@@ -135,33 +157,48 @@ def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS
     return shard.select("lang", "text").mapInArrow(run, COLUMNS)
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(lang, k, phrase, n: exact counts of the words and phrases of up to 4 words that occur `least` times or more; lang,
-    n_words: all words of each language).
+def reached(counts: DataFrame, slots: int) -> np.ndarray:
+    """Which places of the table of scans the phrases of counts (lang, phrase) have: a bitmap, whose parts Spark puts together."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            p = (phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist()) & np.uint64(slots - 1)).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(p)], ["p"])
+
+    marks = counts.select("lang", "phrase").mapInArrow(run, "p long")
+    marks = marks.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()  # at most slots / 64 rows
+    words = np.zeros(slots // 64, np.uint64)
+    words[marks["i"].to_numpy()] = marks["b"].to_numpy().view(np.uint64)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """lang, k, phrase, n: exact counts of the phrases of up to 4 words that occur `least` times or more, and with k = 0 and
+    an empty phrase of all words of the language.
 
     docs has lang and text; null languages are `und`, null texts are empty. Each row counts, also repeated ones."""
     dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
     dealt = save(dealt.sortWithinPartitions("shard"), "shards")
-    begins, scan, counts, finished, words = np.full(slots, 255, np.uint8), 0, None, [], None
+    begins, scan, counts, finished = np.full(slots, 255, np.uint8), 0, None, []
+    phrase = F.substring_index("key", "\t", -1)  # no word holds a tab
+    named = [F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("k"), phrase.alias("phrase"), "n"]
     while scan < shards or (begins[begins < 255].astype(np.int64) + shards > scan).any():
         rows = scanned(dealt.filter(F.col("shard") == scan % shards), scan, begins, shards)
         if counts is not None:
             rows = rows.unionByName(counts.filter(F.col("begin") > scan - shards))
-        before, counts = counts, save(rows.groupBy("lang", "k", "begin", "phrase", "h").agg(F.sum("n").alias("n")), "counts")
+        found = rows.groupBy("key", "begin").agg(F.sum("n").alias("n"))
+        complete = F.col("begin") == scan - shards + 1
+        before, counts = counts, save(found.filter(~complete | (F.col("n") >= least) | F.endswith("key", F.lit("\t"))), "counts")
         if before is not None:
             discard(before)
-        marks = counts.filter((F.col("n") >= least) & (F.col("k") < LONGEST)).select(F.col("h").bitwiseAND(slots - 1).alias("p"))
-        marks = marks.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()  # at most slots / 64 rows
-        done = counts.filter(F.col("begin") == scan - shards + 1)
-        finished.append(save(done.filter(F.col("n") >= least).select("lang", "k", "phrase", "n"), "finished"))
-        if scan == shards - 1:
-            words = save(done.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n_words")), "words")
+        finished.append(save(counts.filter(complete).select(*named), "finished"))
+        marks = reached(counts.filter(F.col("n") >= least).select(*named).filter(F.col("k").between(1, LONGEST - 1)), slots)
         scan += 1
-        reached = np.zeros(slots // 64, np.uint64)
-        reached[marks["i"].to_numpy()] = marks["b"].to_numpy().view(np.uint64)
-        begins[np.unpackbits(reached.view(np.uint8), bitorder="little").astype(bool) & (begins == 255)] = scan
+        begins[marks & (begins == 255)] = scan
     discard(counts)
-    return union_all(finished), words
+    return union_all(finished)
 
 
 def first_of(rows: DataFrame, first: int, *order) -> DataFrame:
@@ -176,7 +213,8 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, fi
 
     a is the phrase's count, l and r those of the two parts of its lowest-scoring cut, n all words of the language. Phrases
     that a longer one with `percent` of their occurrences holds are left out. Empty tables give no rows."""
-    counts, words = phrase_counts(docs, least, shards, slots)
+    counts = phrase_counts(docs, least, shards, slots)
+    words = counts.filter("k = 0").select("lang", F.col("n").alias("n_words"))
     phrases = counts.filter("k > 1").select("lang", "k", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = phrases.select("lang", "phrase", "a", F.explode(F.expr("transform(sequence(1, k - 1), i -> struct(i as cut, array_join(slice(w, 1, i), ' ') as left, array_join(slice(w, i + 1, k - i), ' ') as right))")).alias("c")).select("lang", "phrase", "a", "c.*")
     part = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))

@@ -130,7 +130,7 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     text = np.frombuffer(b"one two one two three", np.uint8)
     real = phrases.word_hashes
     monkeypatch.setattr(phrases, "word_hashes", lambda *a: real(*a) if a[3] == phrases.OTHER else np.zeros(len(a[1]), np.uint64))
-    found = {tuple(texts[w[i]] for w in words): int(n[i]) for k, words, n, _, _, texts in phrases.counted(text, 0, 0, np.full(64, 255, np.uint8), 1) for i in range(len(n))}
+    found = {tuple(texts[w[i]] for w in words): int(n[i]) for words, n, _, texts in phrases.counted(text, 0, 0, np.full(64, 255, np.uint8), 1) for i in range(len(n))}
     assert found == {(b"one",): 2, (b"two",): 2, (b"three",): 1}
 
 
