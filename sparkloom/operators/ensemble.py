@@ -6,11 +6,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, total
+from sparkloom.operators.keep import discard, written
 from sparkloom.operators.tree import DecisionTree, Growth, TreeModel, grow
+from sparkloom.operators.walk import Walker
 
 #: Shares of a Poisson(1) count up to 0, 1, 2, ...: how often a bootstrap sample holds a row.
 POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
@@ -25,10 +28,6 @@ def bootstrap_weight(key: str, tree: Column, seed: int) -> Column:
     return out.cast("double")
 
 
-def _mean(arrays: Sequence[Column], width: int) -> Column:
-    return F.array(*[total([F.get(a, F.lit(i)) for a in arrays]) / float(len(arrays)) for i in range(width)])
-
-
 @dataclass
 class ForestModel:
     trees: list[TreeModel]
@@ -43,14 +42,32 @@ class ForestModel:
     def unit(self, i: int) -> Column:
         return self.trees[i].predict_proba() if self.classes else self.trees[i].predict()
 
+    def _values(self) -> np.ndarray:
+        """Of every node of all trees: the shares of the classes, or the value."""
+        return np.array([t.proba(n.nid) if self.classes else [t.output(n.nid)] for t in self.trees for n in t.nodes], float)
+
     def predict_proba(self) -> Column:
-        return _mean([self.unit(i) for i in range(len(self.trees))], len(self.classes))
+        """Mean of the trees' shares, from one walk through all of them."""
+        return F.transform(Walker(self.trees).summed(self._values()), lambda x: x / float(len(self.trees)))
 
     def predict(self) -> Column:
         """Class of the largest mean probability (the first of equal ones), or mean value."""
         if self.classes:
             return F.get(F.array(*[F.lit(c) for c in self.classes]), argmax(self.predict_proba()))
-        return total([self.unit(i) for i in range(len(self.trees))]) / float(len(self.trees))
+        return F.get(Walker(self.trees).summed(self._values()), F.lit(0)) / float(len(self.trees))
+
+    def by_unit(self) -> Column:
+        """Each tree's own prediction: an array of classes or of values."""
+        if not self.classes:
+            return Walker(self.trees).each(self._values()[:, 0])
+        best = np.array([float(t.classes.index(t.output(n.nid))) for t in self.trees for n in t.nodes])
+        names = F.array(*[F.lit(c) for c in self.classes])
+        return F.transform(Walker(self.trees).each(best), lambda i: F.get(names, i.cast("int")))
+
+    def paths(self) -> Column:
+        """The numbers of the nodes that a row passes in each tree, from the root on: an array of arrays."""
+        spark_paths = F.array(*[F.array(*[F.array(*[F.lit(i).cast("long") for i in t.path(n.nid)]) for n in t.nodes]) for t in self.trees])
+        return F.zip_with(spark_paths, Walker(self.trees).nodes(), lambda paths, at: F.get(paths, at.cast("int")))
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         return df.withColumn(prediction, self.predict())
@@ -58,21 +75,20 @@ class ForestModel:
     def out_of_bag(self, df: DataFrame, label: str) -> DataFrame:
         """unit, n, score: each tree on the rows that its sample lacks (accuracy, or R squared), and unit -1 for all
         trees together, each row judged by the trees that lack it."""
-        lacks = [bootstrap_weight(self.key, F.lit(t), self.seed) == 0 for t in self.numbers]
-        y = F.col(label)
+        lacks = F.transform(F.array(*[F.lit(t) for t in self.numbers]), lambda t: bootstrap_weight(self.key, t, self.seed) == 0)
+        y = F.col(label).cast("string" if self.classes else "double")
+        rows = df.withColumns({"_lacks": lacks, "_y": y, "_each": self.by_unit()})
+        rows = rows.withColumn("_sum", Walker(self.trees).summed(self._values(), mask=F.col("_lacks")))
+        if self.classes:
+            whole = F.get(F.array(*[F.lit(c) for c in self.classes]), argmax(F.col("_sum")))
+        else:
+            whole = F.get("_sum", F.lit(0)) / F.size(F.filter("_lacks", lambda x: x))
+        per = F.zip_with("_lacks", "_each", lambda lack, p: F.when(lack, p))
+        every = F.concat(F.array(F.when(F.exists("_lacks", lambda x: x), whole)), per)
+        judged = rows.select("_y", F.posexplode(every).alias("unit", "p")).filter("p is not null").withColumn("unit", F.col("unit") - 1)
         if self.classes:
-            y = y.cast("string")
-            per = [F.struct(F.lit(i).alias("unit"), F.when(lack, (tree.predict() == y).cast("double")).alias("hit")) for i, (lack, tree) in enumerate(zip(lacks, self.trees, strict=True))]
-            votes = [F.when(lack, tree.predict_proba()) for lack, tree in zip(lacks, self.trees, strict=True)]
-            summed = F.array(*[total([F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)) for v in votes]) for i in range(len(self.classes))])
-            any_ = F.exists(F.array(*lacks), lambda x: x)
-            whole = F.struct(F.lit(-1).alias("unit"), F.when(any_, (F.get(F.array(*[F.lit(c) for c in self.classes]), argmax(summed)) == y).cast("double")).alias("hit"))
-            return df.select(F.explode(F.array(*per, whole)).alias("x")).select("x.*").filter("hit is not null").groupBy("unit").agg(F.count("*").alias("n"), F.avg("hit").alias("score"))
-        values = [F.when(lack, tree.predict()) for lack, tree in zip(lacks, self.trees, strict=True)]
-        per = [F.struct(F.lit(i).alias("unit"), v.alias("p"), y.cast("double").alias("y")) for i, v in enumerate(values)]
-        mean = F.try_divide(total([F.coalesce(v, F.lit(0.0)) for v in values]), total([lack.cast("double") for lack in lacks]))
-        rows = df.select(F.explode(F.array(*per, F.struct(F.lit(-1).alias("unit"), mean.alias("p"), y.cast("double").alias("y")))).alias("x")).select("x.*").filter("p is not null")
-        return rows.groupBy("unit").agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum((F.col("y") - F.col("p")) ** 2), F.var_pop("y") * F.count("y"))).alias("score"))
+            return judged.groupBy("unit").agg(F.count("*").alias("n"), F.avg((F.col("p") == F.col("_y")).cast("double")).alias("score"))
+        return judged.groupBy("unit").agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum((F.col("_y") - F.col("p")) ** 2), F.var_pop("_y") * F.count("_y"))).alias("score"))
 
 
 class RandomForest:
@@ -98,12 +114,25 @@ def score(model, df: DataFrame, label: str) -> float:
 
 
 def _subset_scores(model: ForestModel, test: DataFrame, label: str, subsets: Sequence[Sequence[int]]) -> list[float]:
-    """Scores of sub-forests in one pass over the test set."""
-    made = []
-    for s in subsets:
-        p, y = model.subset(s).predict(), F.col(label)
-        made.append(F.avg((p == y.cast("string")).cast("double")) if model.classes else 1 - F.try_divide(F.sum((y - p) ** 2), F.var_pop(y) * F.count(y)))
-    return list(test.agg(*[m.alias(f"s{i}") for i, m in enumerate(made)]).first())
+    """Scores of sub-forests in one pass over the test set, from one walk through all trees."""
+    which = [list(s) for s in subsets]
+    classes = bool(model.classes)
+
+    def fold(at, values):
+        out = np.empty((len(at), len(which)))
+        for i, trees in enumerate(which):
+            mean = sum(values[at[:, t]] for t in trees) / float(len(trees))
+            out[:, i] = mean.argmax(1) if classes else mean[:, 0]
+        return out
+
+    p = test.select(F.col(label).alias("y"), F.posexplode(Walker(model.trees).column(fold, model._values(), "double")).alias("i", "p"))
+    if classes:
+        hit = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("p").cast("int")) == F.col("y").cast("string")
+        scores = p.groupBy("i").agg(F.avg(hit.cast("double")))
+    else:
+        scores = p.groupBy("i").agg(1 - F.try_divide(F.sum((F.col("y") - F.col("p")) ** 2), F.var_pop("y") * F.count("y")))
+    found = {r[0]: r[1] for r in scores.collect()}  # one row for each subset
+    return [found.get(i) for i in range(len(which))]
 
 
 def select_by_oob(model: ForestModel, train: DataFrame, test: DataFrame, label: str) -> ForestModel:
@@ -155,13 +184,16 @@ class BoostModel:
     gradient: bool
 
     def scores(self) -> Column:
+        """Weighted sums of the units, from one walk through all trees."""
         if self.gradient:
-            width = len(self.classes) if self.classes else 1
-            return F.array(*[total([w[k] * u[k].predict() for u, w in zip(self.units, self.weights, strict=True)], self.start) for k in range(width)])
+            width = len(self.weights[0]) if self.weights else len(self.classes) if self.classes else 1
+            if not self.units:
+                return F.array(*[F.lit(self.start)] * width)
+            rows = [[w[k] * t.output(n.nid) if i == k else 0.0 for i in range(width)] for u, w in zip(self.units, self.weights, strict=True) for k, t in enumerate(u) for n in t.nodes]
+            return Walker([t for u in self.units for t in u]).summed(np.array(rows, float), self.start)
         whole = sum(self.weights)
-        if self.classes:
-            return F.array(*[total([(w / whole) * F.get(u[0].predict_proba(), F.lit(i)) for u, w in zip(self.units, self.weights, strict=True)]) for i in range(len(self.classes))])
-        return F.array(total([(w / whole) * u[0].predict() for u, w in zip(self.units, self.weights, strict=True)]))
+        rows = [[w / whole * x for x in (u[0].proba(n.nid) if self.classes else [u[0].output(n.nid)])] for u, w in zip(self.units, self.weights, strict=True) for n in u[0].nodes]
+        return Walker([u[0] for u in self.units]).summed(np.array(rows, float))
 
     def predict(self) -> Column:
         return F.get(F.array(*[F.lit(c) for c in self.classes]), argmax(self.scores())) if self.classes else F.get(self.scores(), F.lit(0))
@@ -179,10 +211,10 @@ class AdaBoost:
         self.tree = DecisionTree(criterion, depth_max=depth_max or (3 if self.regression else 1), **how)
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> BoostModel:
-        """Weights follow from the units so far, so no weighted table is carried from round to round."""
+        """Each round writes the rows with their new weights, so its plan is that of one unit."""
         classes = None if self.regression else sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().collect())
         y = F.col(label).cast("double" if self.regression else "string")
-        rows = df.withColumn("_w", F.lit(1.0))
+        rows = written(df.select(*dict.fromkeys([*features, label])).withColumn("_w", F.lit(1.0)))
         units, weights = [], []
         for _ in range(self.rounds):
             model = self.tree.fit(rows, features, label, "_w")
@@ -199,7 +231,8 @@ class AdaBoost:
                 break
             units.append([model])
             weights.append(alpha)
-            rows = rows.withColumn("_w", reweighted(F.col("_w"), alpha, e, self.regression) * F.lit(row[2] / row[1]))
+            rows = written(rows.withColumn("_w", reweighted(F.col("_w"), alpha, e, self.regression) * F.lit(row[2] / row[1])), rows)
+        discard(rows)
         return BoostModel(units, weights, classes, 0.0, False) if units else BoostModel([[model]], [1.0], classes, 0.0, False)
 
 
@@ -212,22 +245,26 @@ class GradientBoosting:
         self.how = Growth("variance", depth_max=depth_max, **how)
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> BoostModel:
+        """Each round adds its trees to the scores and writes them, so its plan is that of one round."""
         classes = None if self.regression else sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().collect())
         targets = [F.col(label).cast("double")] if self.regression else [(F.col(label).cast("string") == c).cast("double") for c in classes]
         start = 0.0 if self.regression else 1 / len(classes)
         model = BoostModel([], [], classes, start, True)
+        state = written(df.select(*dict.fromkeys([*features, label])).withColumn("_f", F.array(*[F.lit(start)] * len(targets))))
         for _ in range(self.rounds):
-            scores = model.scores() if model.units else F.array(*[F.lit(start)] * len(targets))
-            rows = df.select(*features, F.posexplode(F.array(*[self.rate * (t - F.get(scores, F.lit(k))) for k, t in enumerate(targets)])).alias("_k", "_r"))
+            left = [self.rate * (t - F.get("_f", F.lit(k))) for k, t in enumerate(targets)]
+            rows = state.select(*features, F.posexplode(F.array(*left)).alias("_k", "_r"))
             trees = grow(rows, features, "_r", self.how, tree="_k", trees=len(targets))
-            p = None
-            for k, t in enumerate(trees):
-                p = (F if p is None else p).when(F.col("_k") == k, t.predict())
-            sums = {r["_k"]: r for r in rows.groupBy("_k").agg(F.sum(F.col("_r") * p).alias("rp"), F.sum(p * p).alias("pp"), F.max(F.abs("_r")).alias("most")).collect()}
-            if all(r.most == 0 for r in sums.values()):
+            p = F.array(*[t.predict() for t in trees])
+            each = state.select(F.posexplode(F.arrays_zip(F.array(*left).alias("r"), p.alias("p"))).alias("_k", "x")).select("_k", "x.r", "x.p")
+            sums = {r["_k"]: r for r in each.groupBy("_k").agg(F.sum(F.col("r") * F.col("p")).alias("rp"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.max(F.abs("r")).alias("most")).collect()}
+            if not sums or all(r.most == 0 for r in sums.values()):
                 break
             model.units.append(trees)
             model.weights.append([line_search(sums[k].rp, sums[k].pp) for k in range(len(targets))])
+            added = F.array(*[F.lit(float(w)) for w in model.weights[-1]])
+            state = written(state.withColumn("_f", F.zip_with("_f", F.zip_with(added, p, lambda w, x: w * x), lambda f, x: f + x)), state)
+        discard(state)
         return model
 
 

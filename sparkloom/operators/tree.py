@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import entropy, gini, total
+from sparkloom.operators.keep import discard, written
+from sparkloom.operators.walk import Walker
 from sparkloom.validate import columns as check_columns
 from sparkloom.validate import continuity, no_nulls, of_type
 
@@ -81,18 +83,46 @@ def sum_columns(label: str, weight: Column, classes: Sequence[str] | None) -> li
     return [F.sum(F.when(F.col(label).cast("string") == c, weight).otherwise(0.0)) for c in classes]
 
 
-def split_scan(values: DataFrame, keys: Sequence[str], sums: Sequence[str], criterion: str) -> DataFrame:
-    """keys, score, threshold, n_left, left, thresholds (how many there are): the best binary split of each key's rows, from values (keys, value, n, sums).
+def thresholds(values: DataFrame, keys: Sequence[str], sums: Sequence[str], classes: bool, screen: bool = True, tables: list | None = None) -> DataFrame:
+    """keys, value, after, n_left, l_<sum>, t_<sum>, thresholds for each place between neighbouring values of a key, from
+    values (keys, value, n, sums): the sums up to the place and of all, and how many places there are.
+
+    Prefix sums have two levels: values lie in ranges of (keys, value), which tasks sort and sum up by themselves; the
+    totals of ranges, of which there are few, are carried over to the ranges behind. So no task sees a whole feature.
+    With screen (for classes), places between two values that have one and the same class are left out, also where
+    they lie between two ranges: no such place is the best. The ranges are a written table; callers that discard it
+    after use pass a list that gets it."""
+    names = ["n", *sums]
+    held = [F.when(F.col(s) > 0, 1).otherwise(0) for s in sums]
+    only = F.when(total(held) == 1.0, total([i * h for i, h in enumerate(held)])).otherwise(-1.0) if classes and screen else F.lit(-1.0)
+    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(values.select(*keys, "value", *names, only.alias("only")).repartitionByRange(ranges, *keys, "value").withColumn("range", F.spark_partition_id()))
+    if tables is not None:
+        tables.append(rows)
+    across = Window.partitionBy(*keys).orderBy("range")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "range").agg(F.count("*").alias("m"), F.min(F.struct("value", "only")).alias("first"), *[F.sum(c).alias(c) for c in names])
+    ends = ends.select(*[F.col(k).alias(f"its {k}") for k in [*keys, "range"]], F.lead("first").over(across).alias("next"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in names], *[F.sum(s).over(Window.partitionBy(*keys)).alias(f"t_{s}") for s in sums], (F.sum("m").over(Window.partitionBy(*keys)) - 1).alias("thresholds"))
+    inside = Window.partitionBy(*keys, "range").orderBy("value")
+    along = inside.rowsBetween(Window.unboundedPreceding, 0)
+    scan = rows.select(*keys, "range", "value", "only", F.lead(F.struct("value", "only")).over(inside).alias("following"), *[F.sum(c).over(along).alias(f"l_{c}") for c in names])
+    scan = scan.join(ends, [F.col(k) == F.col(f"its {k}") for k in [*keys, "range"]]).withColumn("following", F.coalesce("following", "next")).filter("following is not null")
+    scan = scan.filter("only < 0 or only <> following.only") if classes and screen else scan
+    sides = [(F.col(f"l_{c}") + F.col(f"b_{c}")).alias("n_left" if c == "n" else f"l_{c}") for c in names]
+    return scan.select(*keys, "value", F.col("following.value").alias("after"), *sides, *[f"t_{s}" for s in sums], "thresholds")
+
+
+def split_scan(values: DataFrame, keys: Sequence[str], sums: Sequence[str], criterion: str, screen: bool = True, tables: list | None = None) -> DataFrame:
+    """keys, score, threshold, n_left, left, thresholds (how many there are), scored (how many were compared): the best
+    binary split of each key's rows, from values (keys, value, n, sums).
 
     Thresholds lie midway between neighbouring values; of equal scores (to ten digits) the lowest threshold wins."""
-    by = Window.partitionBy(*keys)
-    along = by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    scan = values.select(*keys, "value", F.lead("value").over(by.orderBy("value")).alias("after"), F.sum("n").over(along).alias("n_left"), *[F.sum(s).over(along).alias(f"l_{s}") for s in sums], *[F.sum(s).over(by).alias(f"t_{s}") for s in sums]).filter("after is not null")
+    scan = thresholds(values, keys, sums, criterion != "variance", screen, tables)
     criterion = "entropy" if criterion in ("id3", "c45") else criterion
     (wl, il), (wr, ir) = (impurity_column(x, criterion) for x in ([F.col(f"l_{s}") for s in sums], [F.col(f"t_{s}") - F.col(f"l_{s}") for s in sums]))
     score = F.round(F.try_divide(wl * il + wr * ir, wl + wr), 10)
-    best = scan.groupBy(*keys).agg(F.min(F.struct(score.alias("score"), ((F.col("value") + F.col("after")) / 2).alias("threshold"), "n_left", F.array(*[F.col(f"l_{s}") for s in sums]).alias("left"))).alias("x"), F.count("*").alias("thresholds"))
-    return best.select(*keys, "x.*", "thresholds")
+    best = scan.groupBy(*keys).agg(F.min(F.struct(score.alias("score"), ((F.col("value") + F.col("after")) / 2).alias("threshold"), "n_left", F.array(*[F.col(f"l_{s}") for s in sums]).alias("left"))).alias("x"), F.first("thresholds").alias("thresholds"), F.count("*").alias("scored"))
+    return best.select(*keys, "x.*", "thresholds", "scored")
 
 
 class TreeModel:
@@ -280,16 +310,16 @@ def grow(df: DataFrame, features: Sequence[str], label: str, how: Growth, weight
                 todo[t, nid] = how.allowed(features, t, node)
         if not todo:
             break
-        at = None
-        for t in sorted({t for t, _ in todo}):
-            at = (F if at is None else at).when(F.col("_tree") == t, models[t].route())
-        here = base.withColumn("_node", at).filter(F.struct("_tree", "_node").isin([F.struct(F.lit(t).alias("_tree"), F.lit(n).alias("_node")) for t, n in todo]) if len(todo) > 1 else (F.col("_tree") == next(iter(todo))[0]) & (F.col("_node") == next(iter(todo))[1]))
+        here = base.withColumn("_node", route_of(models, [t for t, _ in todo])).filter(F.struct("_tree", "_node").isin([F.struct(F.lit(t).alias("_tree"), F.lit(n).alias("_node")) for t, n in todo]) if len(todo) > 1 else (F.col("_tree") == next(iter(todo))[0]) & (F.col("_node") == next(iter(todo))[1]))
         keys, found, cats = ["_tree", "_node", "_feature"], {}, {}
         used = {f for fs in todo.values() for f in fs}
         if some := [f for f in numbers if f in used]:
             long_ = here.select("_tree", "_node", label, "_w", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in some])).alias("x")).select("_tree", "_node", label, "_w", F.col("x.f").alias("_feature"), F.col("x.v").alias("value"))
             values = long_.groupBy(*keys, "value").agg(F.count("*").alias("n"), *made)
-            found = {(r["_tree"], r["_node"], r["_feature"]): r for r in split_scan(values, keys, sums, measure).collect()}
+            tables: list[DataFrame] = []
+            found = {(r["_tree"], r["_node"], r["_feature"]): r for r in split_scan(values, keys, sums, measure, tables=tables).collect()}
+            for t in tables:
+                discard(t)
         if some := [f for f in labels if f in used]:
             long_ = here.select("_tree", "_node", label, "_w", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in some])).alias("x")).select("_tree", "_node", label, "_w", F.col("x.f").alias("_feature"), F.col("x.v").alias("value"))
             for r in long_.groupBy(*keys, "value").agg(F.count("*").alias("n"), *made).limit(MAX_CATEGORIES * len(todo) * len(some) + 1).collect():
@@ -313,6 +343,20 @@ def grow(df: DataFrame, features: Sequence[str], label: str, how: Growth, weight
     return models
 
 
+#: Up to so many nodes rows find theirs by an expression, beyond by a walk through arrays.
+EXPRESSION = 200
+
+
+def route_of(models: list[TreeModel], which: list[int]) -> Column:
+    """The node that a row has reached in its tree (_tree), for the trees in which."""
+    if sum(len(models[t].nodes) for t in set(which)) > EXPRESSION:
+        return F.get(Walker(models).nodes(), F.col("_tree")).cast("int")
+    at = None
+    for t in sorted(set(which)):
+        at = (F if at is None else at).when(F.col("_tree") == t, models[t].route())
+    return at
+
+
 def divisions(values: list[tuple], how: Growth, measure: str):
     """(parts, ...) that a discrete feature offers; a part is (op, value, n, sums)."""
     add = lambda rows: tuple(map(sum, zip(*(r[2] for r in rows), strict=True)))
@@ -416,8 +460,8 @@ def prune_rep(model: TreeModel, test: DataFrame, label: str) -> TreeModel:
 
 def prune_pep(model: TreeModel, penalty: float = 0.5) -> TreeModel:
     """Pessimistic: from the root down, cut where the errors as a leaf are within one standard error of the subtree's,
-    both in counts and with `penalty` for each leaf. No test set."""
-    cuts, queue = set(), [0]
+    both in counts and with `penalty` for each leaf; never at the root. No test set."""
+    cuts, queue = set(), list(model.nodes[0].childs)
     scale = lambda n: model.nodes[n].sample_n / max(sum(model.nodes[n].sums), 1e-300)
     while queue:
         at = queue.pop(0)

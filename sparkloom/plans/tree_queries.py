@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
@@ -165,11 +164,10 @@ p AS (SELECT value, a, b, lead(value) OVER (ORDER BY value) AS nxt, lead(a) OVER
 SELECT (value + nxt) / 2 AS threshold FROM p WHERE nxt IS NOT NULL AND NOT (a = b AND na = nb AND a = na)""")
 def tree_split_candidates(spark, d):
     """Boundaries where the label changes; no others can be best."""
-    x = table(spark, d, "lineitem").select(F.col("l_quantity").alias("value"), F.expr("CASE WHEN l_quantity > 25 THEN 'b' WHEN l_quantity > 10 THEN 'c' ELSE 'd' END").alias("kind"))
-    v = x.groupBy("value").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
-    w = Window.partitionBy(F.lit(0)).orderBy("value")  # distinct values only
-    p = v.select("value", "a", "b", F.lead("value").over(w).alias("next"), F.lead("a").over(w).alias("na"), F.lead("b").over(w).alias("nb"))
-    return p.filter("next is not null and not (a = b and na = nb and a = na)").select(((F.col("value") + F.col("next")) / 2).alias("threshold"))
+    x = table(spark, d, "lineitem").select(F.col("l_quantity").alias("value"), F.expr("CASE WHEN l_quantity > 25 THEN 'b' WHEN l_quantity > 10 THEN 'c' ELSE 'd' END").alias("kind"), F.lit("l_quantity").alias("feature"))
+    made = [c.alias(s) for c, s in zip(tree.sum_columns("kind", F.lit(1.0), ["b", "c", "d"]), ("s0", "s1", "s2"), strict=True)]
+    found = tree.thresholds(x.groupBy("feature", "value").agg(F.count("*").alias("n"), *made), ["feature"], ["s0", "s1", "s2"], True)
+    return found.select(((F.col("value") + F.col("after")) / 2).alias("threshold"))
 
 
 def fixed() -> TreeModel:
