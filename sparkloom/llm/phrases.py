@@ -22,7 +22,7 @@ SHARDS = 2
 #: Bytes of the table of scans, whatever the input's size: a power of 2.
 SLOTS = 1 << 24
 #: Words that a task counts at once, bytes of texts that it joins for that, and words that it hashes at once.
-TOGETHER, JOINED, HASHED = 1 << 21, 1 << 24, 1 << 15
+TOGETHER, JOINED, HASHED = 1 << 20, 1 << 23, 1 << 15
 LONGEST, LEAST, PERCENT, SCALE, FIRST = 4, 30, 80, 2_000_000, 2000
 #: Parts of a language in which its first phrases are found before they meet.
 PARTS = 64
@@ -147,7 +147,7 @@ def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 waiting.setdefault(lang, []).append(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 sizes[lang] = sizes.get(lang, 0) + len(waiting[lang][-1])
-                if sizes[lang] >= JOINED or sum(sizes.values()) >= 4 * JOINED:
+                if sizes[lang] >= JOINED or sum(sizes.values()) >= 2 * JOINED:
                     lang = max(sizes, key=sizes.get)
                     yield from flush(lang, waiting.pop(lang))
                     del sizes[lang]
