@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, dot, doubles, number, sigmoid, softmax
+from sparkloom.operators.keep import kept, shared_folder
 from sparkloom.operators.optimizers import Optimizer
 
 TINY = 1e-10
@@ -29,11 +31,30 @@ def activate(z: np.ndarray, kind: str, slope: float = 0.01) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+ACTIVATIONS, COSTS = ("identity", "sigmoid", "tanh", "relu", "softmax"), ("mse", "ce", "log")
+#: Pairs of output and cost whose gradient by the output's input is output - target.
+PLAIN = {("identity", "mse"), ("sigmoid", "ce"), ("softmax", "log")}
+
+
 def slope_of(a: np.ndarray, kind: str, slope: float = 0.01) -> np.ndarray:
-    """Derivative by the layer's input, from its output."""
+    """Derivative by the layer's input, from its output, of the kinds that work on each neuron by itself."""
     return {"identity": lambda: np.ones_like(a), "sigmoid": lambda: a * (1 - a), "tanh": lambda: 1 - a * a, "relu": lambda: np.where(a > 0, 1.0, slope)}[kind]()
 
 
+def through(g: np.ndarray, a: np.ndarray, kind: str, slope: float = 0.01) -> np.ndarray:
+    """The gradient by a layer's input from g, that by its output a: times the Jacobian, which softmax has in full."""
+    return a * (g - (g * a).sum(1, keepdims=True)) if kind == "softmax" else g * slope_of(a, kind, slope)
+
+
+def cost_slope(a: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """The gradient of each row's cost by the output."""
+    if kind == "mse":
+        return a - y
+    if kind == "ce":
+        return (1 - y) / (1 - a + TINY) - y / (a + TINY)
+    return -y / (a + TINY)
+
+
 def costs(a: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
     """Of each row: mse (half the squared error), ce (cross entropy of each output) or log (of the true class)."""
     if kind == "mse":
@@ -45,47 +66,61 @@ def costs(a: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
 
 @dataclass
 class Network:
-    """weights[i] is (inputs + 1) x outputs, the constant's row first. out is identity, sigmoid or softmax."""
+    """weights[i] is (inputs + 1) x outputs, the constant's row first. hidden is one activation or one for each hidden layer,
+    out that of the last; any of ACTIVATIONS. cost is one of COSTS, by default the usual one for the output."""
 
     weights: list[np.ndarray]
-    hidden: str
+    hidden: str | Sequence[str]
     out: str
     classes: list[str] | None
     relu_slope: float = 0.01
+    cost: str | None = None
+
+    def __post_init__(self) -> None:
+        if isinstance(self.hidden, str):
+            self.hidden = [self.hidden] * (len(self.weights) - 1)
+        self.hidden = list(self.hidden)
+        if len(self.hidden) != len(self.weights) - 1 or not {*self.hidden, self.out} <= set(ACTIVATIONS) or self.cost not in (None, *COSTS):
+            raise ValueError(f"one of {ACTIVATIONS} for each layer and one of {COSTS}")
 
     @property
     def cost_kind(self) -> str:
-        return {"identity": "mse", "sigmoid": "ce", "softmax": "log"}[self.out]
+        return self.cost or {"identity": "mse", "sigmoid": "ce", "softmax": "log"}.get(self.out, "mse")
+
+    @property
+    def kinds(self) -> list[str]:
+        return [*self.hidden, self.out]
 
     def forward(self, x: np.ndarray, weights: list[np.ndarray] | None = None, masks: list | None = None) -> list[np.ndarray]:
-        layers = [x]
-        weights = weights or self.weights
-        for i, w in enumerate(weights):
-            last = i == len(weights) - 1
-            a = activate(layers[-1] @ w[1:] + w[0], self.out if last else self.hidden, self.relu_slope)
-            layers.append(a if last or not masks else a * masks[i])
-        return layers
+        return self._layers(x, weights or self.weights, masks)[0]
+
+    def _layers(self, x: np.ndarray, weights: list[np.ndarray], masks: list | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Every layer's output after and before the mask."""
+        layers, plain = [x], [x]
+        for i, (w, kind) in enumerate(zip(weights, self.kinds, strict=True)):
+            plain.append(activate(layers[-1] @ w[1:] + w[0], kind, self.relu_slope))
+            layers.append(plain[-1] if i == len(weights) - 1 or not masks else plain[-1] * masks[i])
+        return layers, plain
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weights: list[np.ndarray] | None = None, masks: list | None = None) -> tuple[list[np.ndarray], float]:
-        """Sums over the rows of the cost's gradients, and of the cost. The three pairings of output and cost all have
-        the delta a - y."""
+        """Sums over the rows of the cost's gradients, and of the cost."""
         weights = weights or self.weights
-        layers = self.forward(x, weights, masks)
-        delta, out = layers[-1] - y, []
+        layers, plain = self._layers(x, weights, masks)
+        a = layers[-1]
+        delta = a - y if (self.out, self.cost_kind) in PLAIN else through(cost_slope(a, y, self.cost_kind), a, self.out, self.relu_slope)
+        out = []
         for i in reversed(range(len(weights))):
             out.append(np.vstack([delta.sum(0), layers[i].T @ delta]))
             if i:
-                delta = (delta @ weights[i][1:].T) * slope_of(layers[i], self.hidden, self.relu_slope)
-                if masks:
-                    delta = delta * masks[i - 1]
-        return out[::-1], float(costs(layers[-1], y, self.cost_kind).sum())
+                g = delta @ weights[i][1:].T
+                delta = through(g * masks[i - 1] if masks else g, plain[i], self.hidden[i - 1], self.relu_slope)
+        return out[::-1], float(costs(a, y, self.cost_kind).sum())
 
-    def output(self, point: str) -> Column:
-        """The output layer as an expression over an array column."""
+    def output(self, point: str, layer: int | None = None) -> Column:
+        """A layer as an expression over an array column: the last one, or the one of that number (1 is the first hidden)."""
         a = F.col(point)
-        for i, w in enumerate(self.weights):
+        for w, kind in list(zip(self.weights, self.kinds, strict=True))[:layer]:
             z = F.array(*[dot(a, doubles(w[1:, j])) + number(w[0, j]) for j in range(w.shape[1])])
-            kind = self.out if i == len(self.weights) - 1 else self.hidden
             a = {"identity": lambda z=z: z, "sigmoid": lambda z=z: F.transform(z, sigmoid), "tanh": lambda z=z: F.transform(z, F.tanh), "relu": lambda z=z: F.transform(z, lambda v: F.when(v > 0, v).otherwise(self.relu_slope * v)), "softmax": lambda z=z: softmax(z)}[kind]()
         return a
 
@@ -106,12 +141,12 @@ class Network:
         return df.withColumn(prediction, self.predict(point))
 
     def to_json(self) -> str:
-        return json.dumps({"weights": [w.tolist() for w in self.weights], "hidden": self.hidden, "out": self.out, "classes": self.classes, "relu_slope": self.relu_slope})
+        return json.dumps({"weights": [w.tolist() for w in self.weights], "hidden": self.hidden, "out": self.out, "classes": self.classes, "relu_slope": self.relu_slope, "cost": self.cost})
 
     @staticmethod
     def from_json(text: str) -> Network:
         x = json.loads(text)
-        return Network([np.array(w) for w in x["weights"]], x["hidden"], x["out"], x["classes"], x["relu_slope"])
+        return Network([np.array(w) for w in x["weights"]], x["hidden"], x["out"], x["classes"], x["relu_slope"], x.get("cost"))
 
     def save(self, spark, path: str) -> None:
         spark.createDataFrame([(self.to_json(),)], "model string").write.text(path)
@@ -129,13 +164,18 @@ def start_weights(sizes: Sequence[int], seed: int) -> list[np.ndarray]:
 
 @dataclass
 class MLP:
-    """sizes: neurons of the hidden layers. share of the rows in each step, by hash of key, seed and step; keep is the
-    share of hidden neurons that dropout leaves on, one draw for each step. The rate falls by `attenuation` when the
-    cost rises; training ends after `patience` checks without a better cost. monitor is called with each history row.
-    fit() again goes on from the present weights."""
+    """sizes: neurons of the hidden layers, hidden their activation (or one for each). out and cost are by default those of
+    the task: softmax (sigmoid without use_softmax) or identity, with the cost that fits.
+
+    With `batch`, training runs over `epochs`: each takes every row once, in batches of about so many rows, the last one with
+    the rest. Without it each of `steps` takes `share` of the rows, by hash of key, seed and step. keep is the share of
+    hidden neurons that dropout leaves on, one draw for each step. The rate falls when the cost rises, by `attenuation` to
+    the power of the rises in a row and `attenuations` times at most. Training ends after `patience` checks without a better
+    cost or, with test rows, after so many epochs whose score on them is below the best. monitor is called with each
+    history row. fit() again goes on from the present weights."""
 
     sizes: Sequence[int] = (16,)
-    hidden: str = "sigmoid"
+    hidden: str | Sequence[str] = "sigmoid"
     regression: bool = False
     use_softmax: bool = True
     optimizer: Optimizer = field(default_factory=lambda: Optimizer("adam", 0.01))
@@ -149,43 +189,164 @@ class MLP:
     monitor: Callable[[dict], None] | None = None
     network: Network | None = None
     history: list[dict] = field(default_factory=list)
+    batch: int | None = None
+    epochs: int = 10
+    out: str | None = None
+    cost: str | None = None
+    attenuations: int | None = None
+
+    def _rows(self, df: DataFrame, key: str, point: str, label: str) -> DataFrame:
+        return df.select(F.col(key).alias("key"), F.col(point).cast("array<double>").alias("x"), F.col(label).cast("double" if self.regression else "string").alias("y"))
 
-    def fit(self, df: DataFrame, key: str, point: str, label: str) -> Network:
-        rows = df.select(F.col(key).alias("key"), F.col(point).cast("array<double>").alias("x"), F.col(label).cast("double" if self.regression else "string").alias("y"))
+    def fit(self, df: DataFrame, key: str, point: str, label: str, test: DataFrame | None = None) -> Network:
+        rows = self._rows(df, key, point, label)
         width = len(rows.select("x").first()[0])
         if self.network is None:
             classes = None if self.regression else sorted(r[0] for r in rows.select("y").distinct().collect())
-            out = "identity" if self.regression else "softmax" if self.use_softmax else "sigmoid"
-            self.network = Network(start_weights([width, *self.sizes, 1 if self.regression else len(classes)], self.seed), self.hidden, out, classes)
-        net, draw = self.network, np.random.default_rng(self.seed + 1)
-        flat = lambda ws: np.concatenate([w.ravel() for w in ws])
-        ends = np.cumsum([w.size for w in net.weights])[:-1]
-        unflat = lambda t: [p.reshape(w.shape) for p, w in zip(np.split(t, ends), net.weights, strict=True)]
-        best, least, since = flat(net.weights), np.inf, 0
-        penalty = flat([np.vstack([np.zeros(w.shape[1]), np.ones(w[1:].shape)]) for w in net.weights])
-        theta = best
+            out = self.out or ("identity" if self.regression else "softmax" if self.use_softmax else "sigmoid")
+            self.network = Network(start_weights([width, *self.sizes, 1 if self.regression else len(classes)], self.seed), self.hidden, out, classes, cost=self.cost)
+        self._penalty = self._flat([np.vstack([np.zeros(w.shape[1]), np.ones(w[1:].shape)]) for w in self.network.weights])
+        self._draw = np.random.default_rng(self.seed + 1)
+        self._rises = self._attenuated = 0
+        return self._in_epochs(rows, self._rows(test, key, point, label) if test is not None else None) if self.batch else self._in_steps(rows)
+
+    @staticmethod
+    def _flat(ws: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in ws])
+
+    def _unflat(self, t: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([w.size for w in self.network.weights])[:-1]
+        return [p.reshape(w.shape) for p, w in zip(np.split(t, ends), self.network.weights, strict=True)]
+
+    def _l2(self, theta: np.ndarray, n: int) -> float:
+        return 0.5 * self.l2 * float((self._penalty * theta * theta).sum()) / n
+
+    def _gradient(self, rows: DataFrame, theta: np.ndarray) -> tuple[np.ndarray, float, int]:
+        """Mean gradient and cost with the penalty, and rows, at the optimizer's point."""
+        at = self.optimizer.point(theta)
+        masks = [(self._draw.random(n) < self.keep) / self.keep for n in self.sizes] if self.keep < 1 else None
+        g, cost, n = gradient_sums(rows, self.network, self._unflat(at), masks)
+        return (g / n + self.l2 * self._penalty * at / n, cost / n + self._l2(at, n), n) if n else (g, cost, n)
+
+    def _note(self, row: dict) -> None:
+        self.history.append(row)
+        if self.monitor:
+            self.monitor(row)
+
+    def _attenuate(self, rose: bool) -> None:
+        self._rises = self._rises + 1 if rose else 0
+        if rose and self.attenuation < 1 and (self.attenuations is None or self._attenuated < self.attenuations):
+            self.optimizer.rate *= self.attenuation**self._rises
+            self._attenuated += 1
+
+    def _in_steps(self, rows: DataFrame) -> Network:
+        net, rows = self.network, kept(rows)
+        theta = best = self._flat(net.weights)
+        least, since, last = np.inf, 0, np.inf
         for step in range(self.steps):
-            at = self.optimizer.point(theta)
-            masks = [(draw.random(n) < self.keep) / self.keep for n in self.sizes] if self.keep < 1 else None
             chosen = rows if self.share >= 1 else rows.filter(F.pmod(F.xxhash64(F.lit(self.seed), F.lit(step), "key"), F.lit(1 << 20)) < int(self.share * (1 << 20)))
-            g, cost, n = gradient_sums(chosen, net, unflat(at), masks)
+            g, value, n = self._gradient(chosen, theta)
             if not n:
                 continue
-            value = cost / n + 0.5 * self.l2 * float((penalty * at * at).sum()) / n
-            self.history.append({"step": step, "cost": value, "rate": self.optimizer.rate})
-            if self.monitor:
-                self.monitor(self.history[-1])
+            self._note({"step": step, "cost": value, "rate": self.optimizer.rate})
             if not np.isfinite(value):
                 break
             best, least, since = (theta, value, 0) if value < least else (best, least, since + 1)
-            if since and self.attenuation < 1:
-                self.optimizer.rate *= self.attenuation
+            self._attenuate(value > last)
+            last = value
             if since >= self.patience:
                 break
-            theta = self.optimizer.step(theta, g / n + self.l2 * penalty * at / n)
-        net.weights = unflat(best if self.share >= 1 and self.keep >= 1 else theta)
+            theta = self.optimizer.step(theta, g)
+        net.weights = self._unflat(best if self.share >= 1 and self.keep >= 1 else theta)
         return net
 
+    def _in_epochs(self, rows: DataFrame, test: DataFrame | None) -> Network:
+        """Rows lie in parts by hash of seed and key, one folder each, so a step reads its own rows only. Each epoch takes the
+        parts in another order and cuts them into batches."""
+        net = self.network
+        test = kept(test) if test is not None else None
+        n = rows.count()
+        parts = max(1, min(PARTS, PARTS_IN_BATCH * n // self.batch))
+        table = in_parts(rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(self.seed), "key"), F.lit(parts)).cast("int")))
+        in_batch = max(1, round(self.batch * parts / n)) if n else 1
+        theta, best, since, last = self._flat(net.weights), -np.inf, 0, np.inf
+        for epoch in range(self.epochs):
+            order = np.random.default_rng([self.seed, epoch]).permutation(parts).tolist()
+            used = 0
+            for at in range(0, parts, in_batch):
+                g, _, m = self._gradient(table.filter(F.col("_part").isin(order[at : at + in_batch])), theta)
+                used += m
+                if m:
+                    theta = self.optimizer.step(theta, g)
+            net.weights = self._unflat(theta)
+            cost, score, _ = assessed(table, net)
+            row = {"epoch": epoch, "rows": used, "cost": cost + self._l2(theta, max(n, 1)), "score": score, "rate": self.optimizer.rate}
+            if test is not None:
+                row["test_cost"], row["test_score"], _ = assessed(test, net)
+            self._note(row)
+            if not np.isfinite(row["cost"]) or row["cost"] == 0:
+                break
+            self._attenuate(row["cost"] > last)
+            last = row["cost"]
+            if test is not None:
+                best, since = (row["test_score"], 0) if row["test_score"] >= best else (best, since + 1)
+                if since >= self.patience:
+                    break
+        discard_parts(table)
+        return net
+
+
+#: Folders of rows at most, and those that make up a batch at least, as far as that allows.
+PARTS, PARTS_IN_BATCH = 256, 4
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """rows as a written table with a folder for each _part; large parts are written by several tasks."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    rows.repartition("_part", F.pmod(F.xxhash64("key"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS)))).write.partitionBy("_part").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def discard_parts(table: DataFrame) -> None:
+    spark = table.sparkSession
+    for path in {f.split("/_part=")[0] for f in table.inputFiles() if "/_part=" in f}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def assessed(rows: DataFrame, net: Network) -> tuple[float, float, int]:
+    """(mean cost, score, rows): the score is accuracy, or R squared."""
+    names = ["n", "cost", "hits", "y", "yy", "rest"]
+
+    def run(batches):
+        import pandas as pd
+
+        sums = np.zeros(len(names))
+        for pdf in batches:
+            if len(pdf):
+                x, y = net_input(pdf, net)
+                a = net.forward(x)[-1]
+                hits = (a.argmax(1) == y.argmax(1)).sum() if net.classes else 0
+                sums += [len(pdf), costs(a, y, net.cost_kind).sum(), hits, *((y.sum(), (y * y).sum(), ((a - y) ** 2).sum()) if not net.classes else (0, 0, 0))]
+        yield pd.DataFrame([sums], columns=names)
+
+    found = rows.select("x", "y").mapInPandas(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+    n = found.n or 0.0
+    if not n:
+        return 0.0, 0.0, 0
+    spread = found.yy - found.y**2 / n
+    return found.cost / n, found.hits / n if net.classes else 1 - found.rest / spread if spread else 0.0, int(n)
+
+
+def net_input(pdf, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Points and targets of a batch of rows (x, y); a class is a unit vector."""
+    x = np.stack(pdf["x"].to_numpy()).astype(float)
+    if not net.classes:
+        return x, pdf["y"].to_numpy(float)[:, None]
+    place = {c: i for i, c in enumerate(net.classes)}
+    return x, np.eye(len(net.classes))[[place[v] for v in pdf["y"]]]
+
 
 def gradient_sums(rows: DataFrame, net: Network, weights: list[np.ndarray], masks: list | None = None) -> tuple[np.ndarray, float, int]:
     """(gradient, cost, rows), each summed over rows (x, y): tasks return one vector each, Spark adds them up."""
@@ -197,12 +358,7 @@ def gradient_sums(rows: DataFrame, net: Network, weights: list[np.ndarray], mask
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
-            if net.classes:
-                place = {c: i for i, c in enumerate(net.classes)}
-                y = np.eye(len(net.classes))[[place[v] for v in pdf["y"]]]
-            else:
-                y = pdf["y"].to_numpy(float)[:, None]
+            x, y = net_input(pdf, net)
             g, c = net.gradients(x, y, weights, masks)
             total, cost, n = total + np.concatenate([v.ravel() for v in g]), cost + c, n + len(pdf)
         yield pd.DataFrame({"i": np.arange(len(total) + 2), "v": [*total, cost, n]})

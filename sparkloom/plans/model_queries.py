@@ -328,6 +328,27 @@ def mlp_backprop_step(spark, d):
     return spark.createDataFrame([tuple(round(float(v), 6) for v in last)], "bias double, h1 double, h2 double")
 
 
+@query(f"""WITH o AS (SELECT *, o1 / (o1 + o2) AS a, o2 / (o1 + o2) AS b FROM {OUT}), g AS (SELECT *, a * ((a - hi) - (a * (a - hi) + b * (b - 1 + hi))) AS delta FROM o)
+SELECT round(avg(delta), 8) AS bias, round(avg(delta * h1), 8) AS h1, round(avg(delta * h2), 8) AS h2 FROM g""")
+def mlp_softmax_mse_step(spark, d):
+    """The last layer's gradients for the first class when softmax is trained on squared errors, through its Jacobian."""
+    x = points(spark, d).select(F.col("p").alias("x"), F.when(F.col("hi") == 1, "a").otherwise("b").alias("y"))
+    net = mlp.Network([W1, W2], "tanh", "softmax", ["a", "b"], cost="mse")
+    g, _, n = mlp.gradient_sums(x, net, net.weights)
+    last = g[W1.size :].reshape(W2.shape)[:, 0] / n
+    return spark.createDataFrame([tuple(round(float(v), 8) for v in last)], "bias double, h1 double, h2 double")
+
+
+@query("SELECT (epoch - 1)::INTEGER AS epoch, (SELECT count(*) FROM events WHERE event_id % 5 > 0) AS n_rows, true AS better FROM range(1, 4) AS t(epoch)")
+def mlp_epochs(spark, d):
+    """Every epoch takes every row once, and the last one scores over 0.9 on rows held out."""
+    rows = points(spark, d).withColumn("y", F.when(F.col("p")[0] > 0.5, "hi").otherwise("lo"))
+    n = rows.filter("event_id % 5 > 0").count()
+    net = mlp.MLP((4,), "tanh", optimizer=Optimizer("adam", 0.2), seed=5, batch=n // 6, epochs=3)
+    net.fit(rows.filter("event_id % 5 > 0"), "event_id", "p", "y", rows.filter("event_id % 5 = 0"))
+    return spark.createDataFrame([(r["epoch"], r["rows"], net.history[-1]["test_score"] > 0.9) for r in net.history], "epoch int, n_rows long, better boolean")
+
+
 def trained(spark, d, optimizer, **how):
     rows = points(spark, d).withColumn("y", F.when(F.col("p")[0] > 0.5, "hi").otherwise("lo"))
     net = mlp.MLP((4,), "tanh", optimizer=optimizer, steps=8, seed=5, **how).fit(rows, "event_id", "p", "y")
@@ -399,3 +420,11 @@ def mesh_predict(spark, d):
     model = linear.LinearModel(["l_quantity", "l_discount"], np.array([0.5, 0.1, -2.0]))
     points = mesh.around(table(spark, d, "lineitem"), "l_quantity", "l_discount", 21)
     return mesh.grid_predict(points, F.round(model.predict(), 6)).select("i", "j", "z")
+
+
+@query("""WITH b AS (SELECT min(l_quantity) - 0.2 AS x0, max(l_quantity) + 0.2 AS x1, min(l_discount) - 0.2 AS y0, max(l_discount) + 0.2 AS y1 FROM lineitem)
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(tanh(-0.2 + 0.25 * (x0 + i * ((x1 - x0) / 20)) + 0.4 * (y0 + j * ((y1 - y0) / 20))), 6) AS z FROM b, range(21) AS a(i), range(21) AS c(j)""")
+def mesh_neuron(spark, d):
+    """The output of the second hidden neuron on a mesh around the rows."""
+    points = mesh.around(table(spark, d, "lineitem"), "l_quantity", "l_discount", 21).withColumn("p", F.array("l_quantity", "l_discount"))
+    return mesh.grid_predict(points, F.round(NET.output("p", 1)[1], 6)).select("i", "j", "z")

@@ -122,6 +122,62 @@ def test_mlp_gradient_is_the_slope_of_the_cost():
             assert (moved[0] - moved[1]) / 2e-5 == pytest.approx(g[layer][i, j], rel=1e-3, abs=1e-5)
 
 
+@pytest.mark.parametrize("out", mlp.ACTIVATIONS)
+@pytest.mark.parametrize("cost", mlp.COSTS)
+@pytest.mark.parametrize("masked", [False, True])
+def test_gradients_of_all_pairs_of_output_and_cost(out, cost, masked):
+    draw = np.random.default_rng(7)
+    hidden = ("tanh", "softmax", "relu", "sigmoid")
+    sizes = [3, 4, 3, 4, 3, 2]
+    weights = [np.vstack([draw.random(b), draw.normal(size=(a, b))]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+    if out in ("identity", "tanh", "relu"):  # outputs between 0 and 1, where logarithms exist
+        weights[-1] = np.vstack([np.full(2, 0.4), np.abs(draw.normal(size=(3, 2))) * 0.03])
+    net = mlp.Network(weights, hidden, out, ["a", "b"], cost=cost)
+    x, y = draw.normal(size=(5, 3)), np.eye(2)[draw.integers(0, 2, 5)]
+    masks = [(draw.random(n) < 0.7) / 0.7 for n in sizes[1:-1]] if masked else None
+    g, _ = net.gradients(x, y, masks=masks)
+    for i, w in enumerate(weights):
+        for at in np.ndindex(*w.shape):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = [v.copy() for v in weights]
+                moved[i][at] += step
+                ends.append(mlp.costs(net.forward(x, moved, masks)[-1], y, cost).sum())
+            assert g[i][at] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_layers_and_costs_are_checked():
+    with pytest.raises(ValueError):
+        mlp.Network([np.ones((2, 1))], ["tanh"], "sigmoid", None)
+    with pytest.raises(ValueError):
+        mlp.Network([np.ones((2, 1))], "tanh", "sigmoid", None, cost="hinge")
+
+
+def test_every_epoch_takes_every_row_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 13), float(i % 7)], "ab"[i % 13 > 6]) for i in range(203)], "k int, x array<double>, y string").repartition(3)
+    taken: list[list] = []
+    real = mlp.gradient_sums
+    monkeypatch.setattr(mlp, "gradient_sums", lambda r, *a: taken.append(sorted(x.key for x in r.select("key").collect())) or real(r, *a))
+    net = mlp.MLP((3,), "tanh", optimizer=Optimizer("adam", 0.1), batch=60, epochs=2, seed=3, l2=0.01)
+    net.fit(rows, "k", "x", "y", rows.limit(50))
+    each = len(taken) // 2
+    assert each in (3, 4) and [r["rows"] for r in net.history] == [203, 203] and "test_score" in net.history[0]
+    for epoch in (taken[:each], taken[each:]):
+        assert sorted(sum(epoch, [])) == list(range(203))
+    assert taken[:each] != taken[each:]
+
+
+def test_training_ends_when_test_rows_are_served_no_better(spark):
+    rows = spark.createDataFrame([(i, [float(i % 10)], "ab"[i % 10 > 4]) for i in range(100)], "k int, x array<double>, y string")
+    swapped = rows.withColumn("y", F.translate("y", "ab", "ba"))
+    net = mlp.MLP((3,), "tanh", optimizer=Optimizer("adam", 0.1), batch=50, epochs=30, seed=1, patience=2)
+    net.fit(rows, "k", "x", "y", swapped)
+    assert len(net.history) < 30 and net.history[-1]["score"] > net.history[-1]["test_score"]
+    fast = mlp.MLP((3,), "tanh", optimizer=Optimizer("sgd", 1e3), steps=6, attenuation=0.5, attenuations=2, patience=99)
+    fast.fit(rows, "k", "x", "y")
+    assert fast.optimizer.rate >= 1e3 * 0.5**4
+
+
 def test_mlp_saves_and_goes_on(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i % 2), float(i // 2 % 2)], "ab"[(i % 2) ^ (i // 2 % 2)]) for i in range(40)], "id int, x array<double>, y string")
     trainer = mlp.MLP((6,), "tanh", optimizer=Optimizer("adam", 0.2), steps=15, seed=1)
