@@ -9,11 +9,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, dot, doubles, linear_kernel, number, polynomial_kernel, rbf_kernel, total
-from sparkloom.operators.keep import kept
+from sparkloom.operators.keep import discard, kept, written
 
 
 def gram(a: np.ndarray, b: np.ndarray, kernel: str, shift: float, degree: int, sigma: float) -> np.ndarray:
@@ -60,10 +60,16 @@ def solve(k: np.ndarray, y: np.ndarray, p: np.ndarray, c: float, tol: float, ste
     return alpha, float(np.mean(ends)) if ends else 0.0
 
 
+#: So many support vectors become an expression. Beyond, their matrix is sent to the tasks up to so many bytes; larger sets stay
+#: a table, whose blocks of rows meet the blocks of the rows to score.
+EXPRESSION, SENT, BLOCK = 32, 64 << 20, 4096
+
+
 @dataclass
 class SVMModel:
     """vectors: for each classifier its support vectors, their signed weights alpha * y, and b. mode: binary, ovr,
-    tree (classes halved again and again) or regression."""
+    tree (classes halved again and again) or regression. table: the support vectors (g, weight, x) where they are too many
+    for vectors, which then hold b alone; such a model scores with score(), or transform() with a key."""
 
     vectors: list[tuple[np.ndarray, np.ndarray, float]]
     classes: list[str] | None
@@ -73,19 +79,70 @@ class SVMModel:
     shift: float
     degree: int
     sigma: float
+    table: DataFrame | None = None
 
     def kernel_column(self, a: Column, b: Column) -> Column:
         return {"linear": lambda: linear_kernel(a, b), "poly": lambda: polynomial_kernel(a, b, self.shift, self.degree), "rbf": lambda: rbf_kernel(a, b, self.sigma)}[self.kernel]()
 
     def decision(self, point: Column, which: int = 0) -> Column:
-        """sum(alpha y K(x, support vector)) + b; a linear kernel needs only the normal vector."""
+        """sum(alpha y K(x, support vector)) + b; a linear kernel needs only the normal vector, many vectors are multiplied
+        with Arrow batches of rows."""
+        if self.table is not None:
+            raise ValueError("the support vectors are a table: use score(), or transform() with a key")
         x, weight, b = self.vectors[which]
         if self.kernel == "linear":
             w = weight @ x if len(x) else np.zeros(0)
             return dot(point, doubles(w)) + b if len(w) else number(b)
+        if len(x) > EXPRESSION:
+            return self._product(point, x, weight, b)
         rows = F.array(*[F.struct(doubles(v).alias("v"), number(a).alias("a")) for v, a in zip(x, weight, strict=True)])
         return F.aggregate(rows, number(b), lambda s, r: s + r["a"] * self.kernel_column(point, r["v"])) if len(x) else number(b)
 
+    def _product(self, point: Column, x: np.ndarray, weight: np.ndarray, b: float) -> Column:
+        held, how = SparkSession.getActiveSession().sparkContext.broadcast((x, weight)), (self.kernel, self.shift, self.degree, self.sigma)
+
+        @F.arrow_udf("double")
+        def run(points):
+            import pyarrow as pa
+
+            x, weight = held.value
+            rows = points.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1)
+            return pa.array(np.concatenate([products(rows[i : i + 1024], x, weight, *how) for i in range(0, len(rows), 1024)] or [np.zeros(0)]) + b)
+
+        return run(point.cast("array<double>"))
+
+    def score(self, df: DataFrame, key: str, point: str) -> DataFrame:
+        """key, u: the decision values of all classifiers, from products of blocks of rows with blocks of support vectors.
+        key must be unique."""
+        rows = df.select(F.col(key).alias("key"), F.col(point).cast("array<double>").alias("x"))
+        if self.table is None:
+            return rows.select(F.col("key").alias(key), F.array(*[self.decision(F.col("x"), i) for i in range(len(self.vectors))]).alias("u"))
+        held = self.table
+        n, m = (max(1, -(-t.count() // BLOCK)) for t in (rows, held))
+        rows = rows.withColumn("i", F.pmod(F.xxhash64("key"), F.lit(n))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        held = held.withColumn("j", F.pmod(F.xxhash64("g", "x"), F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        met = rows.select("i", "j", "key", "x", F.lit(None).cast("int").alias("g"), F.lit(None).cast("double").alias("weight")).unionByName(held.select("i", "j", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "x", "g", "weight"))
+        how, count = (self.kernel, self.shift, self.degree, self.sigma), len(self.vectors)
+
+        def one(table):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            ours = pc.is_null(table["g"])
+            matrix = lambda t: t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            mine, theirs = table.filter(ours), table.filter(pc.invert(ours))
+            g, weight, u = theirs["g"].to_numpy(), theirs["weight"].to_numpy(), np.zeros((len(mine), count))
+            if len(mine) and len(theirs):
+                a, b = matrix(mine), matrix(theirs)
+                for c in np.unique(g).tolist():
+                    u[:, c] = products(a, b[g == c], weight[g == c], *how)
+            return pa.table({"key": mine["key"], **{f"u{c}": pa.array(u[:, c]) for c in range(count)}})
+
+        kind = rows.schema["key"].dataType.simpleString()
+        parts = met.groupBy("i", "j").applyInArrow(one, ", ".join([f"key {kind}", *(f"u{c} double" for c in range(count))]))
+        sums = parts.groupBy("key").agg(*[F.sum(f"u{c}").alias(f"u{c}") for c in range(count)])
+        return sums.select(F.col("key").alias(key), F.array(*[F.col(f"u{c}") + float(v[2]) for c, v in enumerate(self.vectors)]).alias("u"))
+
     def scores(self, point: Column) -> Column:
         """For ovr and binary the decision values by class."""
         if self.mode == "binary":
@@ -93,25 +150,38 @@ class SVMModel:
             return F.array(-u, u)
         return F.array(*[self.decision(point, i) for i in range(len(self.vectors))])
 
-    def predict(self, point: str) -> Column:
-        """Regression value; the class of the largest score (the first of equal ones), or the one that the tree ends
-        in. A decision of 0 or more is the second class."""
-        x = F.col(point)
+    def _label(self, u) -> Column:
+        """From u(which), the decision values: the regression value; the class of the largest score (the first of equal ones),
+        or the one that the tree ends in. A decision of 0 or more is the second class."""
         if self.mode == "regression":
-            return self.decision(x)
-        names = F.array(*[F.lit(c) for c in self.classes])
-        if self.mode in ("binary", "ovr"):
-            return F.get(names, argmax(self.scores(x))) if self.mode == "ovr" else F.when(self.decision(x) >= 0, self.classes[1]).otherwise(self.classes[0])
+            return u(0)
+        if self.mode == "binary":
+            return F.when(u(0) >= 0, self.classes[1]).otherwise(self.classes[0])
+        if self.mode == "ovr":
+            return F.get(F.array(*[F.lit(c) for c in self.classes]), argmax(F.array(*[u(i) for i in range(len(self.vectors))])))
 
         def walk(at: int) -> Column:
             left, right, go_left, go_right = self.splits[at]
             end = lambda side, go: F.lit(self.classes[side[0]]) if len(side) == 1 else walk(go)
-            return F.when(self.decision(x, at) >= 0, end(right, go_right)).otherwise(end(left, go_left))
+            return F.when(u(at) >= 0, end(right, go_right)).otherwise(end(left, go_left))
 
         return walk(0)
 
-    def transform(self, df: DataFrame, point: str, prediction: str = "prediction") -> DataFrame:
-        return df.withColumn(prediction, self.predict(point))
+    def predict(self, point: str) -> Column:
+        return self._label(lambda which: self.decision(F.col(point), which))
+
+    def transform(self, df: DataFrame, point: str, prediction: str = "prediction", key: str | None = None) -> DataFrame:
+        if self.table is None:
+            return df.withColumn(prediction, self.predict(point))
+        if key is None:
+            raise ValueError("the support vectors are a table: name a unique key")
+        scored = self.score(df, key, point).select(F.col(key).alias("_key"), self._label(lambda which: F.get("u", F.lit(which))).alias(prediction))
+        return df.join(scored, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def products(a: np.ndarray, b: np.ndarray, weight: np.ndarray, kernel: str, shift: float, degree: int, sigma: float) -> np.ndarray:
+    """sum(weight K(a, b)) for each row of a."""
+    return gram(a, b, kernel, shift, degree, sigma) @ weight if len(a) else np.zeros(0)
 
 
 def split_classes(k: int) -> list[tuple[list[int], list[int], int, int]]:
@@ -175,14 +245,15 @@ class SVM:
             return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "x": [points[held].ravel().tolist()], "weight": [weight[held].tolist()], "b": [b]})
 
         if len(x.select("key").head(self.most + 1)) > self.most:
-            return SVMModel(self.in_rounds(long_, regression), classes, mode, splits, self.kernel, self.shift, self.degree, self.sigma)
+            vectors, table = self.in_rounds(long_, regression)
+            return SVMModel(vectors, classes, mode, splits, self.kernel, self.shift, self.degree, self.sigma, table)
         made = {r.g: r for r in long_.groupBy("g").applyInPandas(one, "g int, x array<double>, weight array<double>, b double").collect()}
         width = len(x.select("x").first()[0])
         vectors = [(np.array(made[g].x, float).reshape(-1, width), np.array(made[g].weight, float), made[g].b) for g in sorted(made)]
         return SVMModel(vectors, classes, mode, splits, self.kernel, self.shift, self.degree, self.sigma)
 
-    def in_rounds(self, long_: DataFrame, regression: bool) -> list[tuple[np.ndarray, np.ndarray, float]]:
-        """The vectors of every classifier g over all rows (key, x, g, y). A round takes the `most` multipliers whose
+    def in_rounds(self, long_: DataFrame, regression: bool) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], DataFrame | None]:
+        """The vectors of every classifier g over all rows (key, x, g, y), as a table where they are over SENT bytes. A round takes the `most` multipliers whose
         pairs violate the conditions most, solves them in a task for each g and carries the others' gradients on."""
         c, kernel, tol, steps, how, most = self.c, self.kernel, self.tol, self.steps, (self.shift, self.degree, self.sigma), max(2, self.most)
         both = [F.struct(F.lit(1.0).alias("s"), (self.eps - F.col("y")).alias("p")), F.struct(F.lit(-1.0).alias("s"), (self.eps + F.col("y")).alias("p"))]
@@ -230,21 +301,27 @@ class SVM:
             before.unpersist()
         if apart:
             warnings.warn(f"not at the optimum after {self.rounds} rounds", stacklevel=3)
+        table = None
         weights = state.groupBy("g", "row").agg(F.first("x").alias("x"), F.sum(F.col("s") * F.col("alpha")).alias("weight")).filter("abs(weight) > 1e-9")
         if kernel == "linear":
             sums = weights.select("g", "weight", F.posexplode("x").alias("i", "x")).groupBy("g", "i").agg(F.sum(F.col("weight") * F.col("x")).alias("w")).collect()
             held = {g: [(1.0, [r.w for r in sorted((r for r in sums if r.g == g), key=lambda r: r.i)])] for g in {r.g for r in sums}}
         else:
-            held = {}
-            for r in weights.orderBy("g", "row").collect():
-                held.setdefault(r.g, []).append((r.weight, r.x))
+            held, weights = {}, written(weights)
+            size = weights.agg(F.coalesce(F.sum(8 * F.size("x") + 16), F.lit(0))).first()[0]
+            if size > SENT:
+                table = weights.select("g", "weight", "x")
+            else:
+                for r in weights.orderBy("g", "row").collect():
+                    held.setdefault(r.g, []).append((r.weight, r.x))
+                discard(weights)
         out = []
         for g, r in sorted(ends.items()):
             found = [e for e in (r.high, r.low) if e is not None]
             b = r.free if r.free is not None else float(np.mean(found)) if found else 0.0
             rows = held.get(g, [])
             out.append((np.array([x for _, x in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 1)), np.array([a for a, _ in rows], float), b))
-        return out
+        return out, table
 
 
 def made(df: DataFrame) -> DataFrame:

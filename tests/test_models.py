@@ -101,6 +101,39 @@ def test_svm_learns_from_more_rows_than_a_task_solves(spark, kernel, mode):
     assert found[0] == pytest.approx(found[1], abs=0.05)
 
 
+def test_many_support_vectors_are_multiplied(spark):
+    draw = np.random.default_rng(9)
+    vectors, weight = draw.normal(size=(50_000, 3)), draw.normal(size=50_000) / 1000
+    x = draw.normal(size=(40, 3))
+    rows = spark.createDataFrame([(i, list(map(float, p))) for i, p in enumerate(x)], "id int, x array<double>")
+    for kernel in ("rbf", "poly"):
+        wanted = svm.gram(x, vectors, kernel, 1.0, 2, 1.5) @ weight + 0.25
+        sent = svm.SVMModel([(vectors, weight, 0.25)], ["a", "b"], "binary", [], kernel, 1.0, 2, 1.5)
+        out = rows.select("id", sent.decision(F.col("x")).alias("u"))
+        assert [r.u for r in out.orderBy("id").collect()] == pytest.approx(wanted) and len(out._jdf.queryExecution().toString()) < 5000
+    table = spark.createDataFrame([(i % 2, float(w), list(map(float, v))) for i, (w, v) in enumerate(zip(weight[:9000], vectors[:9000], strict=True))], "g int, weight double, x array<double>")
+    none = np.zeros((0, 3)), np.zeros(0)
+    held = svm.SVMModel([(*none, 0.5), (*none, -0.5)], ["a", "b"], "ovr", [], "rbf", 1.0, 3, 1.5, table)
+    k = svm.gram(x, vectors[:9000], "rbf", 1.0, 3, 1.5)
+    wanted = np.stack([k[:, g::2] @ weight[g:9000:2] + (0.5 - g) for g in (0, 1)], 1)
+    assert np.array([r.u for r in held.score(rows, "id", "x").orderBy("id").collect()]) == pytest.approx(wanted)
+    assert [r.prediction for r in held.transform(rows, "x", key="id").orderBy("id").collect()] == ["ab"[i] for i in wanted.argmax(1)]
+    with pytest.raises(ValueError):
+        held.transform(rows, "x")
+
+
+def test_a_model_whose_vectors_stay_a_table(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(150, 2))
+    df = spark.createDataFrame([(i, list(map(float, p)), "in" if p @ p < 1.2 else "out") for i, p in enumerate(x)], "id int, x array<double>, y string")
+    plain = svm.SVM(1.0, "rbf", most=100).fit(df, "id", "x", "y")
+    monkeypatch.setattr(svm, "SENT", 0)
+    large = svm.SVM(1.0, "rbf", most=100).fit(df, "id", "x", "y")
+    assert large.table is not None and plain.table is None
+    u = [[r.u[0] for r in m.score(df, "id", "x").orderBy("id").collect()] for m in (plain, large)]
+    assert u[0] == pytest.approx(u[1])
+
+
 def test_svm_classes_keep_whole_names_in_a_tree(spark):
     df = spark.createDataFrame([(i, [float(i % 4) * 3, 0.1 * (i // 4)], ["north", "east", "south", "west"][i % 4]) for i in range(24)], "id int, x array<double>, y string")
     model = svm.SVM(10.0, "rbf", "tree").fit(df, "id", "x", "y")
