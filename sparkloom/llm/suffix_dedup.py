@@ -2,8 +2,8 @@
 
 Not every suffix is sorted. Each string of LENGTH bytes has an anchor, the place of its smallest hash of K bytes, which
 depends on the string alone: equal strings have equal anchors. The starts whose strings share one anchor are a cell,
-about 85 on average. Cells whose bytes are equal elsewhere, by a polynomial and a cryptographic digest, are repeated as a
-whole and one of them stands for all. Of the different cells of one anchor, the texts after and before their anchors are
+about 85 on average. Cells whose bytes are equal elsewhere, by 128 bits of BLAKE2b, are repeated as a whole and one of
+them stands for all; no cell's bytes are compared for that. Of the different cells of one anchor, the texts after and before their anchors are
 sorted by a merge sort, which compares by the longest common extension, found by binary search over polynomial prefix
 hashes; common extensions of neighbours are verified on the bytes, and runs of them say which strings are equal.
 
@@ -28,6 +28,8 @@ PART = 1 << 22
 PLACE_BITS = np.uint64(23)
 #: Cells that are compared at once in a task; groups with more are split.
 TOGETHER = 8_000
+#: A cell with over HOT copies is known to all tasks, so that these copies needn't meet; if there are MOST_HOT such at most.
+HOT, MOST_HOT = 1_000, 100_000
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -66,8 +68,9 @@ def cells(data: np.ndarray) -> tuple[np.ndarray, ...]:
         place = anchor[first] - first
         whole = cell_hashes(sums, first, size, place)
         begin = first + at
-        check = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), (begin + size - 1 + LENGTH).tolist(), strict=True)])
-        out.append((g[anchor[first]], whole, np.frombuffer(check, np.uint64), begin, size, place))
+        check = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), (begin + size - 1 + LENGTH).tolist(), strict=True)])
+        low, high = np.frombuffer(check, np.uint64).reshape(-1, 2).T
+        out.append((g[anchor[first]], whole ^ high, low, begin, size, place))
     return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.zeros(0, t) for t in (np.uint64,) * 3 + (np.int64,) * 3)
 
 
@@ -270,7 +273,14 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = save(again.groupBy("h", "e", "f", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("row", "cell")).alias("x")), "cells")
     first = F.shiftright("cell", 16)
     starts = F.shiftright("cell", 8).bitwiseAND(255) - 1
-    whole = again.join(kinds.filter("n > 1").select("h", "e", "f"), ["h", "e", "f"]).select("row", first.alias("first"), (first + starts).alias("last"))
+    cell = ["h", "e", "f"]
+    hot = kinds.filter(F.col("n") > HOT).select(cell)
+    if 0 < hot.count() <= MOST_HOT:
+        less = again.join(F.broadcast(hot), cell, "left_anti").join(kinds.filter(F.col("n").between(2, HOT)).select(cell), cell)
+        whole = again.join(F.broadcast(hot), cell, "left_semi").unionByName(less)
+    else:
+        whole = again.join(kinds.filter("n > 1").select(cell), cell)
+    whole = whole.select("row", first.alias("first"), (first + starts).alias("last"))
     texts = save(rows.select("row", "text").join(again.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]), "texts")
     apart = kinds.filter("mixed").select(F.col("h").alias("g"), "x.row", "x.cell")
     wide = F.substring(F.col("text").cast("binary"), (first + 1).cast("int"), (starts + LENGTH).cast("int"))

@@ -9,8 +9,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import manifest, phrases, token_counts
-from tests.llm.test_operators import awkward, prose
+from sparkloom.llm import manifest, phrases, suffix_dedup, token_counts
+from tests.llm.test_operators import awkward, prose, removed
 
 
 @pytest.fixture(scope="module")
@@ -203,3 +203,14 @@ def test_manifest(spark, monkeypatch):
         assert sorted([tuple(r) for r in manifest.op13_merkle_manifest(spark, "").collect()], key=key) == sorted(brute_manifest(few), key=key)
     docs = docs.limit(0)
     assert manifest.op13_merkle_manifest(spark, "").count() == 0
+
+
+# 8
+
+@pytest.mark.parametrize(("hot", "most"), [(1, 100), (2, 100), (1, 0)])
+def test_copies_of_hot_cells_are_all_removed(spark, monkeypatch, hot, most):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MOST_HOT", most)
+    texts = [*[prose(900, 120)] * 5, prose(901, 100), prose(901, 100), prose(902, 90) + prose(900, 120)[100:500], prose(903, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup.report(df).orderBy("doc_id").collect()] == [int(g.sum()) for g in removed([t.encode() for t in texts])]
