@@ -206,10 +206,11 @@ def img_gray(spark, d):
     return table(spark, d, "part").select("p_partkey", C.gray(pixel).alias("gray"))
 
 
-@query("SELECT * FROM (VALUES (1.5::DOUBLE, 2::INTEGER), (3.25, 4), (-1.0, 0)) AS t(a, b)")
+@query("SELECT p_partkey, p_size, p_retailprice FROM part")
 def io_whitespace(spark, d):
-    lines = [("1.5\t\t2",), ("  3.25 4 ",), ("",), ("-1.0 \t 0",)]
-    return tables.split_whitespace(tables.literal(spark, lines, "value string"), "a double, b int")
+    """Parts as lines with white space of all kinds around their numbers, read again."""
+    lines = table(spark, d, "part").select(F.concat(F.lit("  "), F.concat_ws("\t\t", "p_partkey", F.concat_ws(" \t ", "p_size", "p_retailprice"))).alias("value"))
+    return tables.split_whitespace(lines, "p_partkey long, p_size int, p_retailprice double")
 
 
 @query("SELECT * FROM (VALUES ('r_regionkey', 'int', true), ('r_name', 'string', true)) AS t(name, type, nullable)")

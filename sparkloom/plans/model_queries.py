@@ -63,7 +63,28 @@ def ada_weights_round1(spark, d):
     return w.join(F.broadcast(w.agg(F.sum("w").alias("t")))).select("wrong", "n", F.round(F.col("w") / F.col("t"), 6).alias("share"))
 
 
-@query()
+def _stumps_sql(rounds: int) -> str:
+    """Stumps on quantity and discount by weighted gini, each on the rows as the ones before have weighted them."""
+    names, out = "abc", [f"r0 AS (SELECT {KIND} AS kind, l_quantity AS q, l_discount AS d, 1.0::DOUBLE AS w FROM lineitem)"]
+    best = lambda side: "CASE " + " ".join(f"WHEN {c}{side} >= greatest({', '.join(x + side for x in names)}) THEN '{c}'" for c in names) + " END"
+    gini = lambda side, n: f"{n} * (1 - {' - '.join(f'({c}{side} / {n}) ** 2' for c in names)})"
+    for r in range(rounds):
+        sums = ", ".join(f"sum(CASE WHEN kind = '{c}' THEN w ELSE 0.0 END) AS {c}" for c in names)
+        out.append(f"v{r} AS (SELECT f, v, {sums} FROM (SELECT kind, w, unnest(['q', 'd']) AS f, unnest([q, d]) AS v FROM r{r}) GROUP BY f, v)")
+        out.append(f"s{r} AS (SELECT f, v, lead(v) OVER o AS nxt, {', '.join(f'sum({c}) OVER o AS {c}l, sum({c}) OVER t - sum({c}) OVER o AS {c}r' for c in names)} FROM v{r} WINDOW o AS (PARTITION BY f ORDER BY v), t AS (PARTITION BY f))")
+        out.append(f"z{r} AS (SELECT *, al + bl + cl AS nl, ar + br + cr AS nr FROM s{r} WHERE nxt IS NOT NULL)")
+        out.append(f"b{r} AS (SELECT *, (v + nxt) / 2 AS cut, {best('l')} AS pl, {best('r')} AS pr FROM z{r} ORDER BY round(({gini('l', 'nl')} + {gini('r', 'nr')}) / (nl + nr), 10), f DESC, v LIMIT 1)")
+        out.append(f"p{r} AS (SELECT x.*, (CASE WHEN f = 'q' THEN x.q ELSE x.d END) <= cut AS lower, kind <> CASE WHEN (CASE WHEN f = 'q' THEN x.q ELSE x.d END) <= cut THEN pl ELSE pr END AS wrong FROM r{r} x, b{r})")
+        out.append(f"e{r} AS (SELECT ln((1 - e) / e) + ln(2.0) AS alpha, n / t AS again FROM (SELECT sum(w * wrong::INTEGER) / sum(w) AS e, count(*) AS n, sum(w) AS t FROM p{r}))")
+        out.append(f"r{r + 1} AS (SELECT kind, q, d, w * exp(alpha * wrong::INTEGER) * again AS w FROM p{r}, e{r})")
+    side = lambda r: f"(CASE WHEN b{r}.f = 'q' THEN x.q ELSE x.d END) <= b{r}.cut"
+    score = lambda c: " + ".join(f"e{r}.alpha * CASE WHEN {side(r)} THEN b{r}.{c}l / b{r}.nl ELSE b{r}.{c}r / b{r}.nr END" for r in range(rounds))
+    models = ", ".join(f"b{r}, e{r}" for r in range(rounds))
+    return f"""WITH {', '.join(out)}, y AS (SELECT kind, {', '.join(f'{score(c)} AS {c}' for c in names)} FROM r0 x, {models})
+SELECT kind, CASE WHEN a >= greatest(a, b, c) THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS prediction, count(*) AS n FROM y GROUP BY 1, 2"""
+
+
+@query(_stumps_sql(3))
 def ada_fit_predict(spark, d):
     rows = lines(spark, d)
     model = ensemble.AdaBoost(3).fit(rows, ["l_quantity", "l_discount"], "kind")
@@ -96,6 +117,16 @@ def gbdt_regression(spark, d):
     return model.transform(rows).agg(F.round(1 - F.sum((F.col("y") - F.col("prediction")) ** 2) / (F.var_pop("y") * F.count("y")), 4).alias("r2"))
 
 
+@query("""WITH x AS (SELECT CASE WHEN l_quantity > 25 THEN 10.0 ELSE 0.0 END + CASE WHEN l_discount > 0.05 THEN 3.0 ELSE 0.0 END AS y, l_quantity > 25 AS q, l_discount > 0.05 AS t FROM lineitem),
+f AS (SELECT *, avg(y) OVER (PARTITION BY q) AS f1 FROM x), g AS (SELECT *, avg(y - f1) OVER (PARTITION BY t) AS p2 FROM f), w AS (SELECT sum((y - f1) * p2) / sum(p2 * p2) AS w FROM g)
+SELECT round(f1 + w * p2, 6) AS prediction, count(*) AS n FROM g, w GROUP BY 1""")
+def gbdt_two_stumps(spark, d):
+    """Two rounds of boosted stumps on a target that is a sum of two steps."""
+    rows = table(spark, d, "lineitem").withColumn("y", F.expr("CASE WHEN l_quantity > 25 THEN 10.0D ELSE 0.0D END + CASE WHEN l_discount > 0.05 THEN 3.0D ELSE 0.0D END"))
+    model = ensemble.GradientBoosting(2, regression=True, depth_max=1).fit(rows, ["l_quantity", "l_discount"], "y")
+    return model.transform(rows).groupBy(F.round("prediction", 6).alias("prediction")).agg(F.count("*").alias("n"))
+
+
 # regression
 
 XY = ["l_quantity", "l_discount"]
@@ -382,21 +413,41 @@ def mlp_regression(spark, d):
     return net.transform(rows, "p").agg(F.round(F.sqrt(F.avg((F.col("t") - F.col("prediction")) ** 2)), 2).alias("rmse"))
 
 
-# optimizers, on x^2 + 50 y^2 from (1.2, 0.8)
+# optimizers, on half the mean of (x - discount)^2 + 50 (y - tax)^2 over the rows, from (1.2, 0.8)
+
+MEANS = "m AS (SELECT avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem)"
+
 
-@query("""WITH RECURSIVE s AS (SELECT 0 AS i, 1.2::DOUBLE AS x, 0.8::DOUBLE AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 'momentum' AS name UNION ALL SELECT i + 1, x + 0.9 * vx - 0.006 * 2 * x, y + 0.9 * vy - 0.006 * 100 * y, 0.9 * vx - 0.006 * 2 * x, 0.9 * vy - 0.006 * 100 * y, name FROM s WHERE i < 20),
-n AS (SELECT 0 AS i, 1.2::DOUBLE AS x, 0.8::DOUBLE AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 'nesterov' AS name UNION ALL SELECT i + 1, x + 0.9 * vx - 0.006 * 2 * (x + 0.9 * vx), y + 0.9 * vy - 0.006 * 100 * (y + 0.9 * vy), 0.9 * vx - 0.006 * 2 * (x + 0.9 * vx), 0.9 * vy - 0.006 * 100 * (y + 0.9 * vy), name FROM n WHERE i < 20)
-SELECT 'sgd' AS name, i, round(1.2 * (1 - 0.006 * 2) ** i, 6) AS x, round(0.8 * (1 - 0.006 * 100) ** i, 6) AS y FROM range(21) AS r(i) UNION ALL SELECT name, i, round(x, 6), round(y, 6) FROM s UNION ALL SELECT name, i, round(x, 6), round(y, 6) FROM n""")
+def slope(spark, d):
+    """The loss's gradient, from the rows' means."""
+    m = table(spark, d, "lineitem").agg(F.avg("l_discount"), F.avg("l_tax")).first()
+    return lambda t: np.array([t[0] - m[0], 50 * (t[1] - m[1])])
+
+
+def _descent(name: str, ahead: str) -> str:
+    step = lambda v, x, scale, mean: f"0.9 * {v} - 0.006 * {scale} * ({x}{ahead.format(v)} - {mean})"
+    return f"""{name} AS (SELECT 0 AS i, 1.2::DOUBLE AS x, 0.8::DOUBLE AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM m UNION ALL
+SELECT i + 1, x + {step('vx', 'x', 1, 'd')}, y + {step('vy', 'y', 50, 't')}, {step('vx', 'x', 1, 'd')}, {step('vy', 'y', 50, 't')} FROM {name}, m WHERE i < 20)"""
+
+
+@query(f"""WITH RECURSIVE {MEANS}, {_descent('momentum', '')}, {_descent('nesterov', ' + 0.9 * {}')},
+sgd AS (SELECT 0 AS i, 1.2::DOUBLE AS x, 0.8::DOUBLE AS y FROM m UNION ALL SELECT i + 1, x - 0.006 * (x - d), y - 0.006 * 50 * (y - t) FROM sgd, m WHERE i < 20)
+SELECT name, i::BIGINT AS i, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT 'sgd' AS name, i, x, y FROM sgd UNION ALL SELECT 'momentum', i, x, y FROM momentum UNION ALL SELECT 'nesterov', i, x, y FROM nesterov)""")
 def opt_quadratic_trace(spark, d):
-    gradient = lambda t: np.array([2 * t[0], 100 * t[1]])
+    gradient = slope(spark, d)
     rows = [(n, i, float(round(p[0], 6)), float(round(p[1], 6))) for n in ("sgd", "momentum", "nesterov") for i, p in enumerate(minimise(gradient, np.array([1.2, 0.8]), Optimizer(n, 0.006), 20))]
     return spark.createDataFrame(rows, "name string, i long, x double, y double")
 
 
-@query()
+@query("SELECT unnest(['sgd', 'momentum', 'nesterov', 'adagrad', 'rmsprop', 'adadelta', 'adam', 'adamax', 'nadam']) AS name, count(*) AS n, true AS lower FROM lineitem")
 def opt_all(spark, d):
-    gradient = lambda t: np.array([2 * t[0], 100 * t[1]])
-    return spark.createDataFrame([(n, float(p[0] ** 2 + 50 * p[1] ** 2)) for n in NAMES for p in [minimise(gradient, np.array([1.2, 0.8]), Optimizer(n, 1.0 if n == "adadelta" else 0.006), 100)[-1]]], "name string, value double")
+    """All optimizers come down from the start's loss, over so many rows."""
+    rows, gradient = table(spark, d, "lineitem"), slope(spark, d)
+    n, start = rows.count(), np.array([1.2, 0.8])
+    loss = lambda p: 0.5 * ((F.col("l_discount") - float(p[0])) ** 2 + 50 * (F.col("l_tax") - float(p[1])) ** 2)
+    ends = {name: minimise(gradient, start, Optimizer(name, 1.0 if name == "adadelta" else 0.006), 100)[-1] for name in NAMES}
+    found = rows.agg(F.avg(loss(start)).alias("start"), *[F.avg(loss(p)).alias(name) for name, p in ends.items()]).first()
+    return spark.createDataFrame([(name, n, found[name] < found.start) for name in NAMES], "name string, n long, lower boolean")
 
 
 # isolation forest

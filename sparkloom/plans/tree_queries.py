@@ -222,9 +222,30 @@ def words(spark, d):
     return lines(spark, d).select("kind", "l_returnflag", "l_linestatus", F.when(F.col("l_quantity") > 25, "large").otherwise("small").alias("size"), F.when(F.col("l_discount") < 0.05, "low").otherwise("high").alias("cut"), "l_tax")
 
 
-@query()
+def _leaf_sql() -> str:
+    """The rows of each leaf of an ID3 tree of depth 2 on three words: a node splits on the word of the largest gain (the
+    first of equal ones), unless it is pure."""
+    names = ["l_returnflag", "size", "cut"]
+    h = "-sum(n / w * log2(n / w))"
+
+    def level(rows: str, out: str) -> str:
+        return f"""l_{out} AS (SELECT node, kind, unnest(['{"', '".join(names)}']) AS f, unnest([{', '.join(names)}]) AS v FROM {rows}),
+k_{out} AS (SELECT node, f, v, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY node, f, v) AS w FROM l_{out} GROUP BY node, f, v, kind),
+v_{out} AS (SELECT node, f, v, w, {h} AS h FROM k_{out} GROUP BY node, f, v, w), i_{out} AS (SELECT node, f, round(sum(w * h) / sum(w), 10) AS below, count(*) AS parts FROM v_{out} GROUP BY node, f),
+p_{out} AS (SELECT node, count(DISTINCT kind) AS kinds FROM {rows} GROUP BY 1),
+b_{out} AS (SELECT node, f FROM i_{out} JOIN p_{out} USING (node) WHERE parts > 1 AND kinds > 1 QUALIFY row_number() OVER (PARTITION BY node ORDER BY below, list_position(['{"', '".join(names)}'], f)) = 1),
+{out} AS (SELECT r.* EXCLUDE (node), CASE WHEN b.f IS NULL THEN r.node ELSE r.node || '/' || b.f || '=' || CASE b.f {' '.join(f"WHEN '{n}' THEN {n}" for n in names)} END END AS node FROM {rows} r LEFT JOIN b_{out} b ON b.node = r.node)"""
+
+    return f"""WITH a AS (SELECT {KIND} AS kind, l_returnflag, CASE WHEN l_quantity > 25 THEN 'large' ELSE 'small' END AS size, CASE WHEN l_discount < 0.05 THEN 'low' ELSE 'high' END AS cut, '' AS node FROM lineitem),
+{level('a', 'd1')}, {level('d1', 'd2')}, c AS (SELECT node, kind, count(*) AS n FROM d2 GROUP BY node, kind)
+SELECT sum(n)::BIGINT AS sample_n, arg_min(kind, (-n, kind)) AS output FROM c GROUP BY node"""
+
+
+@query(_leaf_sql())
 def tree_id3(spark, d):
-    return nodes(DecisionTree("id3", depth_max=3).fit(words(spark, d), ["l_returnflag", "size", "cut"], "kind"), spark)
+    """The leaves of a tree of depth 2."""
+    model = DecisionTree("id3", depth_max=2).fit(words(spark, d), ["l_returnflag", "size", "cut"], "kind")
+    return model.to_df(spark).filter("is_leaf").select("sample_n", F.col("label").alias("output"))
 
 
 @query()
@@ -232,10 +253,15 @@ def tree_c45(spark, d):
     return nodes(DecisionTree("c45", depth_max=3).fit(words(spark, d), ["l_returnflag", "size", "cut", "l_tax"], "kind"), spark)
 
 
-@query()
+@query("""WITH x AS (SELECT p_type AS v, CASE WHEN p_type LIKE '%E%' OR p_size > 45 THEN 1 ELSE 0 END AS y FROM part),
+g AS (SELECT v, count(*) AS n, sum(y) AS s, row_number() OVER (ORDER BY v) - 1 AS i FROM x GROUP BY 1), t AS (SELECT sum(n) AS n, sum(s) AS s, count(*) AS k FROM g),
+p AS (SELECT mask, sum(n) AS n, sum(s) AS s FROM range(1, (SELECT 1 << (k - 1) FROM t)::BIGINT) AS r(mask), g WHERE (mask >> i) & 1 = 1 GROUP BY 1),
+q AS (SELECT mask, p.n, p.s, t.n - p.n AS m, t.s - p.s AS u, round((p.n * (1 - (p.s / p.n) ** 2 - (1 - p.s / p.n) ** 2) + (t.n - p.n) * (1 - ((t.s - p.s) / (t.n - p.n)) ** 2 - (1 - (t.s - p.s) / (t.n - p.n)) ** 2)) / t.n, 10) AS score FROM p, t),
+b AS (SELECT * FROM q ORDER BY score, mask LIMIT 1)
+SELECT 0 AS nid, n::BIGINT AS sample_n, CASE WHEN 2 * s >= n THEN 'x' ELSE 'y' END AS output FROM t UNION ALL SELECT 1, n::BIGINT, CASE WHEN 2 * s >= n THEN 'x' ELSE 'y' END FROM b UNION ALL SELECT 2, m::BIGINT, CASE WHEN 2 * u >= m THEN 'x' ELSE 'y' END FROM b""")
 def tree_best_split_subsets(spark, d):
     x = table(spark, d, "part").withColumn("y", F.expr("CASE WHEN p_type LIKE '%E%' OR p_size > 45 THEN 'x' ELSE 'y' END"))
-    return nodes(DecisionTree("gini", depth_max=1, subsets=True).fit(x, ["p_type"], "y"), spark)
+    return nodes(DecisionTree("gini", depth_max=1, subsets=True).fit(x, ["p_type"], "y"), spark).select("nid", "sample_n", "output")
 
 
 def noisy(spark, d):
