@@ -198,15 +198,16 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     first = save(confirmed(likely(stars, classes, percent / 100, errors), texts, words, percent), "links")
     found = components(first)
 
-    labelled = lambda: buckets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"))
+    labelled = lambda rows: rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"))
     heavy = (F.col("n") * F.col("n") - F.col("within")) / 2 > F.col("n") * PAIRS_PER_MEMBER
     counted = lambda rows: rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")).filter("labels > 1")
     joined = lambda more: components(found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    for turn in range(TURNS):
-        crowded = save(counted(labelled()).filter(heavy).select("key"), "crowded")
+    inside = labelled(buckets)
+    for turn in range(TURNS):  # over the rows of crowded buckets alone, which only get fewer
+        crowded = save(counted(inside).filter(heavy).select("key"), "crowded")
         if crowded.isEmpty():
             break
-        inside = save(labelled().join(crowded, "key"), "crowd")
+        inside = save(inside.join(crowded, "key"), "crowd")
         other = inside.groupBy("key").agg(F.min_by(F.struct("rep", "n_shingles", "label"), F.xxhash64(F.lit(turn), "rep")).alias("o"))
         near_other = inside.join(other, "key").filter((F.col("label") != F.col("o.label")) & apart(F.col("n_shingles"), F.col("o.n_shingles")))
         tried = near_other.select(F.greatest("rep", "o.rep").alias("a"), F.least("rep", "o.rep").alias("b")).distinct()
@@ -214,8 +215,9 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
         if more.isEmpty():
             break
         found = joined(more)
+        inside = labelled(inside.drop("label"))
 
-    placed = labelled()
+    placed = save(labelled(buckets), "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     members = save(placed.join(save(mixed, "mixed"), "key"), "members")
     alone = own_shingles(texts, members.select(F.col("rep").alias("doc_id")).distinct(), words)

@@ -188,11 +188,15 @@ def all_blocks(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "doc_id long, first long, n_words long, key long, check long")
 
 
-def parts(batch, size: int = 500):
-    """(ids, texts) of a batch, so many rows at once."""
+def parts(batch, size: int = 1 << 20):
+    """(ids, texts) of a batch, so many bytes at once, or one longer text."""
     texts = utf8(batch.column(1))
-    for at in range(0, len(texts), size):
-        yield batch.column(0)[at : at + size], texts[at : at + size]
+    total = np.cumsum([0, *map(len, texts)])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+        yield batch.column(0)[at:end], texts[at:end]
+        at = end
 
 
 def repeated_ids(pa, ids, counts: list[int]):
