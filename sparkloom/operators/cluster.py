@@ -79,29 +79,25 @@ def block_pairs(df: DataFrame, key: str, point: str, group: str | None, fold, sc
 
     Pairs meet in one orientation only, and a row never meets itself (nan). Distances are computed block against
     block, and pairs leave a block only as rows of what fold returns. The number of pairs grows with the square of
-    the rows. With eps only those that can be within eps need meet: rows lie in cells of that width along the two
-    coordinates that vary most, and a difference in one coordinate is no more than the distance, so cells meet their
-    neighbours alone. A cell with many rows is dealt out in several blocks."""
+    the rows. With eps only blocks that can have rows within eps of each other meet: a block holds rows around one of
+    PIVOTS rows, in a ring about it, and knows its rows' least and largest distance to each pivot; where two blocks are
+    further apart than eps in the distances to any pivot, so are all their rows, by the triangle inequality."""
     rows = df.select(F.col(key).alias("key"), F.col(point).cast("array<double>").alias("point"), (F.col(group) if group else F.lit(0)).alias("group"))
-    axes = _widest(rows) if eps else []
-    rows = rows.withColumn("cell", F.array(*[F.floor(F.get("point", F.lit(i)) / float(eps)).cast("long") for i in axes]).cast("array<long>"))
-    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n"))
-    rows = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")))
-    met = counts.withColumn("other", F.col("cell"))
-    beside = lambda i, step: F.transform("other", lambda x, at: F.when(at == i, x + step).otherwise(x))
-    for i in range(len(axes)):
-        met = met.withColumn("other", F.explode(F.array(*[beside(i, step) for step in (-1, 0, 1)])))
-    sizes = rows.select(F.col("cell").alias("other"), F.col("n").alias("m")).distinct()
-    met = met.join(sizes, "other").filter(F.col("cell") <= F.col("other"))
-    met = met.select("cell", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"), "m").select("cell", "other", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
-    met = met.filter((F.col("cell") != F.col("other")) | (F.col("i") <= F.col("j"))).withColumn("task", F.struct("cell", "i", "other", "j"))
-    side = lambda cell, block, mark: rows.join(met.select(F.col(cell).alias("cell"), F.col(block).alias("block"), "task"), ["cell", "block"]).select("task", "key", "point", "group", F.lit(mark).alias("side"))
+    if eps:
+        rows, met = _ringed(rows, eps)
+    else:
+        n = max(1, -(-rows.count() // BLOCK))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)))
+        blocks = rows.sparkSession.range(n)
+        met = blocks.select(F.col("id").alias("i")).join(blocks.select(F.col("id").alias("j")), F.col("i") <= F.col("j"))
+    met = met.withColumn("task", F.struct("i", "j"))
+    side = lambda block, mark: rows.join(met.select(F.col(block).alias("block"), "task"), "block").select("task", "key", "point", "group", F.lit(mark).alias("side"))
 
     def run(pdf):
         import pandas as pd
 
         task = pdf["task"].iloc[0]
-        one = (list(task["cell"]), task["i"]) == (list(task["other"]), task["j"])
+        one = task["i"] == task["j"]
         a, b = (pdf[pdf["side"] == m].sort_values("key").reset_index(drop=True) for m in (0, 1))
         x, y = (np.stack(s["point"].to_numpy()).astype(float) for s in (a, b))
         d = np.empty((len(x), len(y)))
@@ -111,13 +107,38 @@ def block_pairs(df: DataFrame, key: str, point: str, group: str | None, fold, sc
             d[np.tril_indices(len(d))] = np.nan
         return pd.DataFrame(fold(a[["key", "group"]], b[["key", "group"]], d))
 
-    return side("cell", "i", 0).union(side("other", "j", 1)).groupBy("task").applyInPandas(run, schema)
-
-
-def _widest(rows: DataFrame, most: int = 2) -> list[int]:
-    """Numbers of the coordinates that vary most."""
-    spread = rows.select(F.posexplode("point").alias("i", "x")).groupBy("i").agg(F.variance("x").alias("v")).orderBy(F.desc("v"), "i").limit(most).collect()
-    return [r.i for r in spread]
+    return side("i", 0).union(side("j", 1)).groupBy("task").applyInPandas(run, schema)
+
+
+#: Rows whose distances to all others tell blocks apart, and rings about each at most; fuller rings hold several blocks.
+PIVOTS, RINGS = 8, 32
+
+
+def _ringed(rows: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """(key, point, group, block), and the pairs of blocks (i, j) that can have rows within eps of each other."""
+    pivots = [list(map(float, r.point)) for r in rows.orderBy(F.xxhash64("key"), "key").limit(PIVOTS).select("point").collect()]
+    if not pivots:
+        return rows.withColumn("block", F.lit(0).cast("long")), rows.sparkSession.createDataFrame([], "i long, j long")
+    rows = kept(rows.withColumn("far", F.array(*[distance(F.col("point"), doubles(p)) for p in pivots])))
+    rows = rows.withColumn("pivot", F.array_position("far", F.array_min("far")).cast("int") - 1)
+    own = F.get("far", F.col("pivot"))
+    counts = {r.pivot: r.n for r in rows.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row for each pivot
+    parts = {p: -(-n // BLOCK) for p, n in counts.items()}
+    parts = {p: min(RINGS, n) for p, n in parts.items()}
+    most = max(parts.values())
+    cuts = {r[0]: r[1] for r in rows.groupBy("pivot").agg(F.percentile_approx(own, [i / most for i in range(1, most)] or [1.0], 100 * most)).collect()} if most > 1 else {}
+    ring = F.lit(0)
+    for p, n in parts.items():
+        if n > 1:  # every so many of the finest cuts
+            chosen = sorted({cuts[p][round(i * most / n) - 1] for i in range(1, n)})
+            ring = F.when(F.col("pivot") == p, F.size(F.filter(F.array(*[F.lit(float(c)) for c in chosen]), lambda c, at=own: c < at))).otherwise(ring)
+    rows = rows.withColumn("ring", F.col("pivot") * RINGS + ring)
+    full = rows.groupBy("ring").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))  # PIVOTS * RINGS rows at most
+    rows = rows.join(F.broadcast(full), "ring").withColumn("block", F.shiftleft(F.col("ring").cast("long"), 32) + F.pmod(F.xxhash64("key"), F.col("parts")))
+    ends = lambda name, mark: rows.groupBy(F.col("block").alias(name)).agg(*[f(F.get("far", F.lit(i))).alias(f"{mark}{i}_{end}") for i in range(len(pivots)) for end, f in (("low", F.min), ("high", F.max))])
+    apart = F.greatest(*[x for i in range(len(pivots)) for x in (F.col(f"a{i}_low") - F.col(f"b{i}_high"), F.col(f"b{i}_low") - F.col(f"a{i}_high"))])
+    met = ends("i", "a").join(ends("j", "b"), F.col("i") <= F.col("j")).filter(apart <= eps * (1 + 1e-9) + 1e-12)  # of blocks, not of rows
+    return rows.select("key", "point", "group", "block"), met.select("i", "j")
 
 
 def davies_bouldin(df: DataFrame, point: str, group: str) -> DataFrame:

@@ -440,6 +440,20 @@ def test_neighbours_in_cells_are_all_neighbours(spark, monkeypatch, eps):
     assert sorted(found) == [(i, j) for i in range(62) for j in range(62) if i != j and d[i, j] <= eps]
 
 
+def test_blocks_that_are_apart_do_not_meet(spark, monkeypatch):
+    from sparkloom.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", 10)
+    draw = np.random.default_rng(2)
+    x = np.concatenate([c + draw.normal(size=(40, 20)) for c in draw.normal(size=(6, 20)) * 30])
+    rows = spark.createDataFrame([(i, p.tolist(), 0) for i, p in enumerate(x)], "key long, point array<double>, group int")
+    placed, met = cluster._ringed(rows, 4.0)
+    blocks = placed.select("block").distinct().count()
+    assert blocks >= 20 and met.count() < blocks * blocks / 4 and placed.count() == 240
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert cluster.DBSCAN(4.0).neighbours(rows, "key", "point").count() == int((d <= 4.0).sum()) - 240
+
+
 def test_description_length_counts_against_thresholds(spark):
     """The number and the name separate the classes equally well, but the number has many thresholds to name."""
     from sparkloom.operators import tree
