@@ -18,8 +18,8 @@ BANDS = 64
 WORD_GAP = r"[^\p{L}\p{N}]+"
 #: At most so many bits in the bitmap, whatever the number of short texts.
 MAX_BITS = 1 << 21
-#: The short texts' bands are broadcast up to so many rows, and shuffled beyond.
-MAX_BROADCAST_ROWS = 500_000
+#: The short texts' bands and shingles are broadcast up to so many rows and bytes, and shuffled beyond.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def shingle_hashes(df: DataFrame, words: int, *keep: str) -> DataFrame:
@@ -74,7 +74,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int =
     signed = windows.select("doc_id", "class", "first_word", "hits", F.posexplode(signature("s")).alias("band", "key"))
     bands = items.select("item_id", "class", F.posexplode(signature("s")).alias("band", "key"))
     texts = items.select("item_id", F.col("s").alias("of_item"), F.col("n").alias("n_item"))
-    if items.count() * BANDS <= MAX_BROADCAST_ROWS:
+    if items.count() * BANDS <= MAX_BROADCAST_ROWS and 8 * total <= MAX_BROADCAST_BYTES:
         bands, texts = F.broadcast(bands), F.broadcast(texts)
     found = signed.join(bands, ["class", "band", "key"]).join(texts, "item_id").withColumn("evidence", F.array_intersect("hits", "of_item")).withColumn("n_found", F.size("evidence"))
     best = found.filter(F.col("n_found") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_found") / F.col("n_item"), "n_item", "n_found", -F.col("first_word"), *(["evidence"] if evidence else []))).alias("x"))
