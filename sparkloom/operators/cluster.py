@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import doubles, number, squared_distance
-from sparkloom.operators.keep import kept
+from sparkloom.operators.keep import discard, kept, written
 from sparkloom.operators.stats import jaccard  # noqa: F401  the outer metric
 
 #: Rows of a block: pairwise work is done block against block.
@@ -290,33 +290,45 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class Agglomerative:
-    """Average linkage on few rows (`most` at most): the merges are sequential, so one task does them."""
+    """Average linkage in rounds: all pairs of clusters that are each other's nearest merge at once, which gives the same
+    tree as one merge at a time. Between two clusters the table of pairs holds the sum and number of their rows' distances,
+    so a merge is a sum of pairs; it has as many rows as there are pairs, by the nature of the method."""
 
-    def __init__(self, k: int, most: int = 2000) -> None:
-        self.k, self.most = k, most
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def merges(self, df: DataFrame, key: str, point: str) -> DataFrame:
+        """a, b, height, turn: the tree; cluster b joins cluster a, each named by its smallest key."""
+        kind = dict(df.dtypes)[key]
+
+        def fold(a, b, d):
+            x, y = np.nonzero(~np.isnan(d))
+            one, two = a["key"].to_numpy()[x], b["key"].to_numpy()[y]
+            return {"a": np.minimum(one, two), "b": np.maximum(one, two), "s": d[x, y], "n": np.ones(len(x))}
+
+        pairs = written(block_pairs(df, key, point, None, fold, f"a {kind}, b {kind}, s double, n double"))
+        found, turn = [], 0
+        while not pairs.isEmpty():
+            way = F.struct((F.col("s") / F.col("n")).alias("d"), "a", "b")  # no two pairs have one
+            ends = pairs.select(way.alias("way"), F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.min("way").alias("way"))
+            chosen = written(ends.groupBy("way").agg(F.count("*").alias("n")).filter("n = 2").select("way.a", "way.b", F.col("way.d").alias("height"), F.lit(turn).alias("turn")))
+            found.append(chosen)
+            moved = chosen.select(F.col("b").alias("old"), F.col("a").alias("new"))
+            named = lambda rows, c: rows.join(moved, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")  # noqa: E731, B023
+            merged = named(named(pairs, "a"), "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            pairs, turn = written(merged, pairs), turn + 1
+        discard(pairs)
+        empty = df.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("height"), F.lit(0).alias("turn")).limit(0)
+        for part in found:
+            empty = empty.unionByName(part)
+        return empty
 
     def fit_predict(self, df: DataFrame, key: str, point: str) -> DataFrame:
-        """key, prediction: labels 0 .. k - 1, in order of each cluster's smallest key."""
-        if df.count() > self.most:
-            raise ValueError(f"average linkage is for {self.most} rows at most")
-        k, kind = self.k, dict(df.dtypes)[key]
-
-        def merge(pdf):
-            import pandas as pd
-
-            pdf = pdf.sort_values("key")
-            x = np.stack(pdf["point"].to_numpy()).astype(float)
-            d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(2)))
-            np.fill_diagonal(d, np.inf)
-            size, owner = np.ones(len(x)), np.arange(len(x))
-            for _ in range(len(x) - k):
-                a, b = sorted(np.unravel_index(np.argmin(d), d.shape))
-                d[a] = d[:, a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-                d[a, a] = np.inf
-                d[b] = d[:, b] = np.inf
-                size[a] += size[b]
-                owner[owner == b] = a
-            return pd.DataFrame({"key": pdf["key"], "prediction": np.unique(owner, return_inverse=True)[1]})
-
-        rows = df.select(F.col(key).alias("key"), F.col(point).alias("point")).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, f"key {kind}, prediction int")
-        return rows.withColumnRenamed("key", key)
+        """key, prediction: labels 0 .. k - 1, in order of each cluster's smallest key. The lowest merges are taken until k
+        clusters are left."""
+        n = df.count()
+        lowest = self.merges(df, key, point).orderBy("height", "turn", "a").limit(max(0, n - self.k))
+        edges = kept(lowest.select("a", "b").union(lowest.select("b", "a")))
+        labels = kept(smallest_reachable(df.select(F.col(key).alias("node")), edges))
+        names = [r[0] for r in labels.select("component").distinct().orderBy("component").collect()]  # k at most
+        return labels.select(F.col("node").alias(key), (F.array_position(F.array(*[F.lit(c) for c in names]), F.col("component")) - 1).cast("int").alias("prediction"))

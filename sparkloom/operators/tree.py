@@ -190,6 +190,25 @@ class TreeModel:
         check_columns(df, sorted(self.features()))
         return df.withColumn(prediction, self.predict())
 
+    def matched(self) -> Column:
+        """Whether a row reaches a leaf; one with an unknown category or a null may not."""
+        return ~self.route().isin([n.nid for n in self.nodes if n.childs]) if len(self.nodes) > 1 else F.lit(True)
+
+    def transform_filled(self, df: DataFrame, key: str, prediction: str = "prediction", seed: int = 0) -> DataFrame:
+        """As transform(), but rows that reach no leaf get a class drawn from those predicted for the others, in proportion to
+        their numbers (from the root's shares if there are no others), by a hash of seed and key: the draw doesn't depend
+        on partitions."""
+        check_columns(df, sorted(self.features()))
+        rows = df.withColumn(prediction, F.when(self.matched(), self.predict()))
+        counts = dict(rows.groupBy(prediction).agg(F.count("*")).filter(F.col(prediction).isNotNull()).collect())  # one row for each class
+        shares = [counts.get(c, 0) for c in self.classes] if counts else self.proba(0)
+        u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
+        drawn, below = F.lit(self.classes[max(i for i, n in enumerate(shares) if n)]), sum(shares)
+        for c, n in reversed(list(zip(self.classes, shares, strict=True))):
+            below -= n
+            drawn = F.when(u < (below + n) / sum(shares), c).otherwise(drawn) if n else drawn
+        return rows.withColumn(prediction, F.coalesce(prediction, drawn))
+
     def flow_to(self, df: DataFrame, nid: int) -> DataFrame:
         """The rows that pass through a node. The conditions are plain predicates, so scans can use them."""
         for step in self.path(nid)[1:]:

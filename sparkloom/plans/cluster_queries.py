@@ -122,6 +122,12 @@ def clu_agglomerative(spark, d):
     return cluster.Agglomerative(5).fit_predict(means, "k", "x").groupBy("prediction").agg(F.count("*").alias("n"))
 
 
+@query("SELECT 5 AS clusters, count(*) AS n FROM embeddings")
+def clu_agglomerative_rows(spark, d):
+    """Over all rows: how many clusters there are and how many rows they hold."""
+    return cluster.Agglomerative(5).fit_predict(points(spark, d), "vec_id", "x").agg(F.countDistinct("prediction").cast("int").alias("clusters"), F.count("*").alias("n"))
+
+
 # recommendation: customers rate brands by how often they buy them, 5 at most
 
 R = "r AS (SELECT o_custkey AS u, p_brand AS i, least(count(*), 5)::DOUBLE AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)"

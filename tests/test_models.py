@@ -454,6 +454,25 @@ def test_blocks_that_are_apart_do_not_meet(spark, monkeypatch):
     assert cluster.DBSCAN(4.0).neighbours(rows, "key", "point").count() == int((d <= 4.0).sum()) - 240
 
 
+def test_linkage_in_rounds_is_linkage_by_steps(spark, monkeypatch):
+    from sparkloom.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", 9)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(30, 3)) + draw.integers(0, 3, (30, 1)) * 3
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    groups = [[i] for i in range(30)]
+    while len(groups) > 4:
+        a, b = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: d[np.ix_(groups[p[0]], groups[p[1]])].mean())
+        groups[b] += groups.pop(a)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "k long, p array<double>")
+    found: dict[int, list] = {}
+    for r in cluster.Agglomerative(4).fit_predict(rows, "k", "p").collect():
+        found.setdefault(r.prediction, []).append(r.k)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups)) and sorted(found) == [0, 1, 2, 3]
+    assert cluster.Agglomerative(1).fit_predict(rows.limit(1), "k", "p").count() == 1
+
+
 def test_description_length_counts_against_thresholds(spark):
     """The number and the name separate the classes equally well, but the number has many thresholds to name."""
     from sparkloom.operators import tree

@@ -197,3 +197,16 @@ def test_unit_scores_of_a_regression_forest(spark):
     chosen = ensemble.select_by_oob(model, rows, rows, "y")
     best = max(ensemble.score(model.subset(s), rows, "y") for s in [sorted(range(4), key=lambda i: (-found[i].score, i))[: n + 1] for n in range(4)])
     assert abs(ensemble.score(chosen, rows, "y") - best) < 1e-9
+
+
+def test_rows_that_match_nothing_are_filled_in_proportion(spark):
+    rows = spark.createDataFrame([(i, "rgb"[i % 3], "abb"[i % 3]) for i in range(300)], "id int, c string, y string")
+    model = DecisionTree("id3").fit(rows, ["c"], "y")
+    more = rows.unionByName(spark.createDataFrame([(1000 + i, "new" if i % 2 else None, "?") for i in range(2000)], rows.schema))
+    one, two = ({r.id: r.prediction for r in model.transform_filled(more.repartition(n), "id", seed=4).collect()} for n in (1, 5))
+    assert one == two and all(one[i] == "abb"[i % 3] for i in range(300))
+    drawn = [one[1000 + i] for i in range(2000)]
+    assert set(drawn) == {"a", "b"} and abs(drawn.count("a") / 2000 - 1 / 3) < 0.04
+    assert one != {r.id: r.prediction for r in model.transform_filled(more, "id", seed=5).collect()}
+    alone = model.transform_filled(more.filter("id >= 1000"), "id").groupBy("prediction").count().collect()
+    assert {r.prediction for r in alone} == {"a", "b"}
