@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from sparkloom.llm.common import BASE, BYTE, LOWER, discard, mix, powers, read,
 SHARDS = 2
 #: Bytes of the table of scans, whatever the input's size: a power of 2.
 SLOTS = 1 << 24
-#: Words that a task counts at once, bytes of texts that it joins for that, and words that it hashes at once.
-TOGETHER, JOINED, HASHED = 1 << 20, 1 << 23, 1 << 15
+#: Words that a task counts at once, bytes of texts that it joins for that, words that it hashes and rows that it sends at once.
+TOGETHER, JOINED, HASHED, SENT = 1 << 19, 1 << 22, 1 << 15, 1 << 16
 LONGEST, LEAST, PERCENT, SCALE, FIRST = 4, 30, 80, 2_000_000, 2000
 #: Parts of a language in which its first phrases are found before they meet.
 PARTS = 64
@@ -121,9 +122,8 @@ def seed_of(lang: str) -> int:
     return zlib.crc32(lang.encode()) << 20
 
 
-def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS) -> DataFrame:
-    """COLUMNS of the phrases that this scan counts in a shard (lang, text), once for each batch of texts."""
-    held = shard.sparkSession.sparkContext.broadcast(slots)
+def scanned(shard: DataFrame, scan: int, held: Broadcast, shards: int = SHARDS) -> DataFrame:
+    """COLUMNS of the phrases that this scan counts in a shard (lang, text), once for each batch of texts. held: the slots."""
 
     def run(batches):
         import pyarrow as pa
@@ -139,7 +139,9 @@ def scanned(shard: DataFrame, scan: int, slots: np.ndarray, shards: int = SHARDS
             for words, n, begin, known in counted(data, seed_of(lang), scan, held.value, shards):
                 known = pa.array(known, pa.binary()).cast(pa.string())
                 parts = [known.take(pa.array(w)) for w in words]
-                yield batch_of(pc.binary_join_element_wise(pa.scalar(f"{lang}\t"), pc.binary_join_element_wise(*parts, " "), ""), begin, n)
+                for a in range(0, len(n), SENT):
+                    some = pc.binary_join_element_wise(*[p.slice(a, SENT) for p in parts], " ")
+                    yield batch_of(pc.binary_join_element_wise(pa.scalar(f"{lang}\t"), some, ""), begin[a : a + SENT], n[a : a + SENT])
 
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
@@ -185,12 +187,14 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slo
     phrase = F.substring_index("key", "\t", -1)  # no word holds a tab
     named = [F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("k"), phrase.alias("phrase"), "n"]
     while scan < shards or (begins[begins < 255].astype(np.int64) + shards > scan).any():
-        rows = scanned(dealt.filter(F.col("shard") == scan % shards), scan, begins, shards)
+        held = dealt.sparkSession.sparkContext.broadcast(begins)
+        rows = scanned(dealt.filter(F.col("shard") == scan % shards), scan, held, shards)
         if counts is not None:
             rows = rows.unionByName(counts.filter(F.col("begin") > scan - shards))
         found = rows.groupBy("key", "begin").agg(F.sum("n").alias("n"))
         complete = F.col("begin") == scan - shards + 1
         before, counts = counts, save(found.filter(~complete | (F.col("n") >= least) | F.endswith("key", F.lit("\t"))), "counts")
+        held.unpersist()  # workers let go of it
         if before is not None:
             discard(before)
         finished.append(save(counts.filter(complete).select(*named), "finished"))
