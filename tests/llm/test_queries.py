@@ -96,3 +96,17 @@ def test_pipeline_stages_agree_with_brute_force(spark, odd_docs, tmp_path):
     assert out.filter("piece = 0").count() == odd_docs.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_module_that_is_missing_inside_is_an_error(monkeypatch):
+    import importlib
+    import sys
+
+    import sparkloom.llm
+
+    for name in ("__spark_entry__", "sparkloom.llm.queries"):
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.delattr(sparkloom.llm, "queries", raising=False)
+    monkeypatch.setitem(sys.modules, "sparkloom.llm.warc", None)
+    with pytest.raises(ModuleNotFoundError):
+        importlib.import_module("__spark_entry__")
