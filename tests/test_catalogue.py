@@ -32,3 +32,33 @@ def test_query_gives_rows(spark, name):
 
 def test_flagship(spark):
     assert flagship(spark, DIR).count() >= 3
+
+
+def fresh_entry():
+    import importlib
+    import sys
+
+    sys.modules.pop("__spark_entry__", None)
+    return importlib.import_module("__spark_entry__")
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    import sys
+
+    for name in ("sparkloom.llm", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    entry = fresh_entry()
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+    monkeypatch.undo()
+    fresh_entry()
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sparkloom.operators.keep import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+    assert shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "hdfs:///shared"), sparkContext=context)) == "hdfs:///shared"
