@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import all_columns, components, hashed_shingles, hashed_words, mix, read, save, utf8
+from sparkloom.llm.common import all_columns, components, hashed_shingles, hashed_words, mix, read, save, union_all, utf8
 
 #: 24 bands of 4 registers: a pair with Jaccard similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 BANDS, ROWS = 24, 4
@@ -18,6 +18,8 @@ PARITY = 512
 #: A bucket may make so many pairs per member before its members are linked to further ones in turns, at most so many, and
 #: it is dealt out in blocks of about so many members.
 PAIRS_PER_MEMBER, TURNS, BLOCK = 64, 8, 512
+#: A turn that gives a link for fewer than one in so many rows is the last one.
+WORTH = 16
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -202,7 +204,7 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     heavy = (F.col("n") * F.col("n") - F.col("within")) / 2 > F.col("n") * PAIRS_PER_MEMBER
     counted = lambda rows: rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")).filter("labels > 1")
     joined = lambda more: components(found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    inside = labelled(buckets)
+    inside, links = labelled(buckets), []
     for turn in range(TURNS):  # over the rows of crowded buckets alone, which only get fewer
         crowded = save(counted(inside).filter(heavy).select("key"), "crowded")
         if crowded.isEmpty():
@@ -212,10 +214,14 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
         near_other = inside.join(other, "key").filter((F.col("label") != F.col("o.label")) & apart(F.col("n_shingles"), F.col("o.n_shingles")))
         tried = near_other.select(F.greatest("rep", "o.rep").alias("a"), F.least("rep", "o.rep").alias("b")).distinct()
         more = save(confirmed(likely(tried, classes, percent / 100, errors), texts, words, percent), "links")
-        if more.isEmpty():
+        links.append(more)
+        if more.count() * WORTH < inside.count():
             break
-        found = joined(more)
-        inside = labelled(inside.drop("label"))
+        of = lambda c: inside.select(F.col("rep").alias(c), F.col("label").alias(f"label_{c}")).distinct()  # noqa: E731, B023
+        merged = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        inside = inside.join(merged.select(F.col("node").alias("label"), "component"), "label", "left").select("key", "rep", "n_shingles", F.coalesce("component", "label").alias("label"))
+    if links:
+        found = joined(union_all(links))
 
     placed = save(labelled(buckets), "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
