@@ -23,7 +23,7 @@ SHARDS = 2
 #: Bytes of the table of scans, whatever the input's size: a power of 2.
 SLOTS = 1 << 24
 #: Words that a task counts at once, bytes of texts that it joins for that, words that it hashes and rows that it sends at once.
-TOGETHER, JOINED, HASHED, SENT = 1 << 19, 1 << 22, 1 << 15, 1 << 16
+TOGETHER, JOINED, HASHED, SENT = 1 << 18, 1 << 21, 1 << 15, 1 << 16
 LONGEST, LEAST, PERCENT, SCALE, FIRST = 4, 30, 80, 2_000_000, 2000
 #: Parts of a language in which its first phrases are found before they meet.
 PARTS = 64
