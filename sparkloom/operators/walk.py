@@ -93,7 +93,7 @@ class Walker:
             return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
 
         columns = [F.col(f"`{f}`").cast("double") for f in self.numbers] + [F.col(f"`{f}`").cast("string") for f in self.labels]
-        return run(*columns, extra if masked else F.monotonically_increasing_id())  # the last one also says how many rows there are
+        return run(*columns, extra if masked else F.lit(0))  # the last one also says how many rows there are
 
     def nodes(self) -> Column:
         """array<bigint>: for each tree the number of its node that the row ends in."""

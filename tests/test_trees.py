@@ -210,3 +210,13 @@ def test_rows_that_match_nothing_are_filled_in_proportion(spark):
     assert one != {r.id: r.prediction for r in model.transform_filled(more, "id", seed=5).collect()}
     alone = model.transform_filled(more.filter("id >= 1000"), "id").groupBy("prediction").count().collect()
     assert {r.prediction for r in alone} == {"a", "b"}
+
+
+def test_forests_score_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 10), "ab"[i % 10 > 4]) for i in range(60)], "id int, x double, y string")
+    model = ensemble.RandomForest(3, depth_max=3, features_use="all", seed=1).fit(rows, ["x"], "y", "id")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = model.transform(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).filter("prediction = y").count() >= 55
