@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.keep import kept
+from sparkloom.operators.keep import kept, written
 
-#: Rows of a block: similarities of users are computed block against block.
+#: Rows of a block (eight times as many, where there are many blocks): similarities of users are computed block against block.
 BLOCK = 2048
 #: Similarities are compared to so many digits.
 DIGITS = 10
@@ -36,14 +36,31 @@ def top(similar: DataFrame, n: int) -> DataFrame:
     return similar.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
 
 
-def _blocked(ratings: DataFrame) -> DataFrame:
-    """user, n (squared norm), w (its ratings), block. Users with one dearest item stand in the same blocks, as far as a
-    block of BLOCK users holds them, so blocks differ in what they hold."""
+def _profiles(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user, profile), and a row for each profile: user, n (squared norm), w (its ratings), dearest. A profile stands for all
+    users with the same ratings and is named by the smallest of them: whoever is similar to one is so to all."""
     r = ratings.select("user", "item", F.col("rating").cast("double").alias("v"))
-    rows = kept(r.groupBy("user").agg(F.sum(F.col("v") * F.col("v")).alias("n"), F.collect_list(F.struct("item", "v")).alias("w"), F.max_by("item", F.struct(F.abs("v"), "item")).alias("dearest")).filter("n > 0"))
-    cells = max(1, rows.count() // BLOCK)
+    rows = r.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("item", "v"))).alias("w"), F.sum(F.col("v") * F.col("v")).alias("n")).filter("n > 0")
+    rows = written(rows.select("user", "w"))
+    same = written(rows.groupBy("w").agg(F.min("user").alias("user")))
+    members = rows.join(same.withColumnRenamed("user", "profile"), "w").select("user", "profile")
+    norm = F.aggregate("w", F.lit(0.0), lambda t, x: t + x["v"] * x["v"])
+    dearest = F.array_max(F.transform("w", lambda x: F.struct(F.abs(x["v"]).alias("v"), x["item"].alias("item"))))["item"]
+    return written(members), same.select("user", norm.alias("n"), "w", dearest.alias("dearest"))
+
+
+def _blocked(ratings: DataFrame) -> DataFrame:
+    """user, n, w, block of the profiles. Those with one dearest item stand in the same blocks, as far as a block holds
+    them, so blocks differ in what they hold."""
+    return _dealt(_profiles(ratings)[1])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    count = rows.count()
+    size = max(BLOCK, min(8 * BLOCK, count // 16))  # a block meets many others, so more rows need larger blocks
+    cells = max(1, count // size)
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("dearest"), F.lit(cells)))
-    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
     rows = rows.join(F.broadcast(parts) if cells <= BLOCK else parts, "cell")
     return rows.select("user", "n", "w", F.concat_ws("/", "cell", F.pmod(F.xxhash64("user"), F.col("parts"))).alias("block"))
 
@@ -85,23 +102,35 @@ def _matched(x: DataFrame, y: DataFrame, pairs: DataFrame, n: int, kind: str) ->
         (xu, xn, xo, xi, xv), (yu, yn, yo, yi, yv) = side(0), side(1)
         codes = pa.chunked_array([xi, yi]).combine_chunks().dictionary_encode().indices.to_numpy()
         a, b = codes[: len(xi)], codes[len(xi) :]
-        dot = np.zeros((len(xn), len(yn)))
-        for first in range(0, int(codes.max()) + 1, 1024):  # items at once
-            m, k = np.zeros((len(xn), 1024)), np.zeros((len(yn), 1024))
-            i, j = (a >= first) & (a < first + 1024), (b >= first) & (b < first + 1024)
-            np.add.at(m, (xo[i], a[i] - first), xv[i])
-            np.add.at(k, (yo[j], b[j] - first), yv[j])
-            dot += m @ k.T
-        s = dot / np.sqrt(xn[:, None] * yn[None]) if kind == "cosine" else 1 / (1 + np.sqrt(np.maximum(0, xn[:, None] + yn[None] - 2 * dot)))
-        order = np.rint(s * 10.0**DIGITS).astype(np.int64)  # of equal ones the first, as users stand in order
-        out = (order == 10**DIGITS) | (s == 0)
-        order = order * len(yn) - np.arange(len(yn))[None]
-        order[out] = -(1 << 62)
-        best = np.argpartition(-order, min(n, len(yn)) - 1, axis=1)[:, :n]
-        row = np.repeat(np.arange(len(xn)), best.shape[1])
-        held = ~out[row, best.ravel()]
-        row, best = row[held], best.ravel()[held]
-        return pa.table({"x": xu.take(pa.array(row)), "y": yu.take(pa.array(best)), "s": pa.array(s[row, best]), "q": pa.array([table["q"][0].as_py()] * len(row), pa.string())})
+        starts = range(0, int(codes.max()) + 1, 1024)  # items at once
+        order_of = np.argsort(xo, kind="stable")
+        xo, a, xv = xo[order_of], a[order_of], xv[order_of]
+
+        def matrix(owner, code, v, rows: int, first: int):
+            m, held = np.zeros((rows, 1024)), (code >= first) & (code < first + 1024)
+            np.add.at(m, (owner[held], code[held] - first), v[held])
+            return m
+
+        whole = matrix(yo, b, yv, len(yn), 0) if len(starts) == 1 else None
+        found = []
+        for at in range(0, len(xn), 256):
+            some = slice(*np.searchsorted(xo, [at, at + 256]))
+            norms = xn[at : at + 256, None]
+            dot = np.zeros((len(norms), len(yn)))
+            for first in starts:
+                dot += matrix(xo[some] - at, a[some], xv[some], len(norms), first) @ (matrix(yo, b, yv, len(yn), first) if whole is None else whole).T
+            s = dot / np.sqrt(norms * yn[None]) if kind == "cosine" else 1 / (1 + np.sqrt(np.maximum(0, norms + yn[None] - 2 * dot)))
+            order = np.rint(s * 10.0**DIGITS).astype(np.int64)  # of equal ones the first, as users stand in order
+            out = (order == 10**DIGITS) | (s == 0)
+            order = order * len(yn) - np.arange(len(yn))[None]
+            order[out] = -(1 << 62)
+            best = np.argpartition(-order, min(n, len(yn)) - 1, axis=1)[:, :n]
+            row = np.repeat(np.arange(len(norms)), best.shape[1])
+            held = ~out[row, best.ravel()]
+            row, best = row[held], best.ravel()[held]
+            found.append((row + at, best, s[row, best]))
+        row, best, s = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"x": xu.take(pa.array(row)), "y": yu.take(pa.array(best)), "s": pa.array(s), "q": pa.array([table["q"][0].as_py()] * len(row), pa.string())})
 
     pairs = pairs.select("q", "r")
     side = lambda rows, name, mark: pairs.join(rows.withColumnRenamed("block", name), name).select("q", "r", F.lit(mark).alias("side"), "user", "n", "w")
@@ -114,10 +143,30 @@ def nearest_users(ratings: DataFrame, n: int = 10, kind: str = "cosine", queries
     of equally similar ones first. Users that are alike exactly (similarity 1, to ten digits) and those of cosine 0
     don't count.
 
+    Users with the same ratings are served as one profile, so work grows with the number of different profiles.
     Exact: a first round compares each block of users with the one that promises most; the pairs of blocks whose bound
     shows that they can't improve any user's n best aren't compared at all, the others in a second round."""
-    y = kept(_blocked(ratings))
-    x = y if queries is None else kept(_blocked(queries))
+    members, near, _ = _served(ratings, n, kind, queries)
+    return members.join(near.withColumnRenamed("x", "profile"), "profile").select(F.col("user").alias("x"), "y", "s", "rank")
+
+
+def _served(ratings: DataFrame, n: int, kind: str, queries: DataFrame | None) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    """(user, profile) of those to serve; x, y, s, rank, profile: the n users y, of a profile, that serve profile x; and the
+    profiles of those to serve and of the others."""
+    givers, given = _profiles(ratings)
+    members, asked = (givers, given) if queries is None else _profiles(queries)
+    near = _nearest_profiles(asked, given, n, kind, queries is None)
+    # the n best users are among the first n users of the n best profiles
+    first = Window.partitionBy("profile").orderBy("user")
+    some = givers.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= n).select("user", "profile")
+    users = near.select("x", F.col("y").alias("profile"), "s").join(some, "profile").select("x", F.col("user").alias("y"), "s", "profile")
+    return members, kept(top(users, n)), (asked, given)
+
+
+def _nearest_profiles(asked: DataFrame, given: DataFrame, n: int, kind: str, same: bool) -> DataFrame:
+    """x, y, s, rank: the n most similar of the given profiles to each of those asked for."""
+    y = kept(_dealt(given))
+    x = y if same else kept(_dealt(asked))
     bounds = kept(_bounds(x, y, kind))
     first = Window.partitionBy("q").orderBy(F.desc(F.col("q") == F.col("r")), F.desc("bound"), "r")
     chosen = bounds.withColumn("turn", F.row_number().over(first)).filter("turn = 1")
@@ -137,10 +186,13 @@ def user_cf(ratings: DataFrame, n: int = 10, kind: str = "cosine", queries: Data
     """user, item, score of items that the user hasn't rated: the mean of the n most similar users' ratings, weighted
     by similarity, unrated as 0. Users that are alike exactly (similarity 1, to ten digits) don't count. The users of
     `queries` (those of ratings, unless given) are served from the users of ratings."""
-    near = kept(nearest_users(ratings, n, kind, queries))
+    members, near, (asked, given) = _served(ratings, n, kind, queries)
     whole = near.groupBy("x").agg(F.sum("s").alias("t"))
-    sums = near.join(ratings.select(F.col("user").alias("y"), "item", "rating"), "y").groupBy("x", "item").agg(F.sum(F.col("s") * F.col("rating")).alias("r"))
-    return unrated(sums.join(whole, "x").select(F.col("x").alias("user"), "item", F.try_divide("r", "t").alias("score")), ratings if queries is None else queries)
+    rated = lambda rows, name: rows.select(F.col("user").alias(name), F.explode("w").alias("w")).select(name, "w.item", "w.v")
+    lent = near.groupBy("x", "profile").agg(F.sum("s").alias("s"))
+    sums = lent.join(rated(given, "profile"), "profile").groupBy("x", "item").agg(F.sum(F.col("s") * F.col("v")).alias("r"))
+    scores = sums.join(whole, "x").select("x", "item", F.try_divide("r", "t").alias("score")).join(rated(asked, "x"), ["x", "item"], "left_anti")
+    return members.join(scores.withColumnRenamed("x", "profile"), "profile").select("user", "item", "score")
 
 
 def item_neighbours(ratings: DataFrame, n: int = 10, kind: str = "cosine") -> DataFrame:

@@ -281,6 +281,27 @@ def test_blocks_that_cannot_help_are_not_compared(spark, monkeypatch):
     assert met[0] == blocks and sum(met) < blocks * blocks / 2
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_copies_of_users_are_compared_once(spark, monkeypatch, other):
+    """Users with the same ratings are one row of a block, and each of them can serve others."""
+    monkeypatch.setattr(recommend, "BLOCK", 4)
+    draw = np.random.default_rng(8)
+    x = np.tile(np.where(draw.random((10, 6)) < 0.5, draw.integers(1, 6, (10, 6)), 0).astype(float), (7, 1))
+    x[:, 0] += x.sum(1) == 0
+    seen = spark.createDataFrame([(u, i, float(v)) for u, r in enumerate(x) for i, v in enumerate(r) if v], "user int, item int, rating double")
+    compared = []
+    real = recommend._matched
+    monkeypatch.setattr(recommend, "_matched", lambda a, b, *rest: compared.append(a.count()) or real(a, b, *rest))
+    found = {(r.user, r.item): r.score for r in recommend.user_cf(seen, 3, "distance", seen if other else None).collect()}
+    s = 1 / (1 + np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)))
+    wanted = {}
+    for u in range(len(x)):
+        near = sorted((-round(s[u, v], 10), v) for v in range(len(x)) if round(s[u, v], 10) < 1)[:3]
+        for i in np.flatnonzero((x[u] == 0) & (x[[v for _, v in near]].sum(0) > 0)):
+            wanted[u, int(i)] = sum(s[u, v] * x[v, i] for _, v in near) / sum(s[u, v] for _, v in near)
+    assert found == pytest.approx(wanted) and max(compared) == 10
+
+
 def test_unseen_users_are_served_by_a_stored_table(spark, tmp_path):
     seen = spark.createDataFrame([(u, i, float(v)) for u, r in enumerate([[4, 0, 3, 0], [0, 2, 0, 0], [3, 0, 3, 4], [5, 0, 0, 0]]) for i, v in enumerate(r) if v], "user int, item int, rating double")
     recommend.item_neighbours(seen, 2).write.parquet(str(tmp_path / "near"))
