@@ -97,7 +97,7 @@ def clu_compact_separation(spark, d):
 
 @query(f"WITH {E}, {PAIR} SELECT vec_id, coalesce(n, 0) AS n, coalesce(n, 0) >= 2 AS core FROM e LEFT JOIN (SELECT a, count(*) AS n FROM p WHERE d <= 1.15 GROUP BY 1) ON a = vec_id")
 def clu_dbscan_core_counts(spark, d):
-    return cluster.DBSCAN(1.15, 2).fit_predict(points(spark, d), "vec_id", "x").select("vec_id", F.col("n").cast("long").alias("n"), "core")
+    return cluster.DBSCAN(1.15, 2).cores(points(spark, d), "vec_id", "x").select("vec_id", F.col("n").cast("long").alias("n"), "core")
 
 
 @query(f"""WITH RECURSIVE {E}, {PAIR}, near AS (SELECT * FROM p WHERE d <= 1.15), core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 2),

@@ -475,6 +475,35 @@ def test_blocks_that_are_apart_do_not_meet(spark, monkeypatch):
     assert cluster.DBSCAN(4.0).neighbours(rows, "key", "point").count() == int((d <= 4.0).sum()) - 240
 
 
+def test_pairs_stay_where_blocks_meet(spark, monkeypatch):
+    """DBSCAN over many blocks, with copies, noise, border rows and distances of exactly eps; blocks hand on rows, not pairs."""
+    from sparkloom.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", 30)
+    monkeypatch.setattr(cluster, "TILE", (8, 16))
+    draw = np.random.default_rng(7)
+    x = np.concatenate([draw.normal(size=(60, 2)) / 4, np.repeat([[1e3 + 1, 0.25]], 40, 0), 1e3 + draw.normal(size=(20, 2)) * 3, [[-50.0, 0.0], [-49.5, 0.0], [-49.0, 0.0]]])
+    keys = draw.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in zip(keys, x, strict=True)], "k long, p array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = (d <= 0.5) & ~np.eye(len(x), dtype=bool)
+    core, label = near.sum(1) >= 2, np.array(keys)
+    for _ in range(len(x)):
+        label = np.array([min([label[i], *label[near[i] & core]]) if core[i] else label[i] for i in range(len(x))])
+    wanted = {}
+    for i, k in enumerate(keys):
+        around = sorted((d[i, j], keys[j], int(label[j])) for j in np.flatnonzero(near[i] & core))
+        wanted[k] = (int(near[i].sum()), int(label[i]) if core[i] else around[0][2] if around else -1)
+    handed = []
+    real = cluster.written
+    monkeypatch.setattr(cluster, "written", lambda *a: handed.append(real(*a)) or handed[-1])
+    assert {r.k: (r.n, r.prediction) for r in cluster.DBSCAN(0.5, 2).fit_predict(df, "k", "p").collect()} == wanted
+    assert max(t.count() for t in handed) < near.sum() / 2
+    labelled = spark.createDataFrame([(k, -1 if k % 3 == 0 else k % 3) for k in keys], "k long, prediction long")
+    order = lambda i: min((d[i, j], keys[j]) for j in range(len(x)) if keys[j] % 3)[1] % 3
+    assert {r.k: r.prediction for r in cluster.DBSCAN(0.5).noise_to_nearest(df, labelled, "k", "p").collect()} == {k: k % 3 or order(i) for i, k in enumerate(keys)}
+
+
 def test_linkage_in_rounds_is_linkage_by_steps(spark, monkeypatch):
     from sparkloom.operators import cluster
 
