@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import argmax, dot, doubles, linear_kernel, number, polynomial_kernel, rbf_kernel, total
-from sparkloom.operators.keep import discard, kept, written
+from sparkloom.operators.keep import discard, written
 
 
 def gram(a: np.ndarray, b: np.ndarray, kernel: str, shift: float, degree: int, sigma: float) -> np.ndarray:
@@ -259,7 +259,12 @@ class SVM:
         both = [F.struct(F.lit(1.0).alias("s"), (self.eps - F.col("y")).alias("p")), F.struct(F.lit(-1.0).alias("s"), (self.eps + F.col("y")).alias("p"))]
         terms = F.array(*both) if regression else F.array(F.struct(F.col("y").alias("s"), F.lit(-1.0).alias("p")))
         state = long_.withColumn("row", F.monotonically_increasing_id()).withColumn("t", F.explode(terms)).select("g", "row", "x", "t.s", F.lit(0.0).alias("alpha"), F.col("t.p").alias("grad"))
-        state = made(state)
+        context = state.sparkSession.sparkContext
+        # a table of few files is dealt out, or one task would carry all gradients on; row stays as it is now
+        first = written(state)
+        state = written(first.repartition(max(context.defaultParallelism, -(-first.count() // 50_000)), "g", "row"), first)
+        # a linear kernel carries one normal vector on instead of all the rows that moved
+        carry = (lambda step, points: ((step @ points)[None], np.ones(1))) if kernel == "linear" else (lambda step, points: (points, step))
         v = -F.col("s") * F.col("grad")
         up = ((F.col("s") > 0) & (F.col("alpha") < c)) | ((F.col("s") < 0) & (F.col("alpha") > 0))
         low = ((F.col("s") > 0) & (F.col("alpha") > 0)) | ((F.col("s") < 0) & (F.col("alpha") < c))
@@ -285,20 +290,32 @@ class SVM:
                 chosen = chosen.union(part)
             moves = {r.g: (dict(zip(zip(r.row, r.s, strict=True), r.alpha, strict=True)), np.array(r.step), np.array(r.x, float).reshape(len(r.step), -1)) for r in chosen.dropDuplicates(["g", "row", "s"]).groupBy("g").applyInPandas(one, "g int, row array<long>, s array<double>, alpha array<double>, step array<double>, x array<double>").collect() if r.step}
 
-            def carried(batches, moves=moves):
-                for pdf in batches:
-                    alpha, grad = pdf["alpha"].to_numpy(float).copy(), pdf["grad"].to_numpy(float).copy()
-                    for g, (new, step, points) in moves.items():
-                        at = np.flatnonzero(pdf["g"].to_numpy() == g)
-                        if len(at):
-                            here = pdf.iloc[at]
-                            s = here["s"].to_numpy(float)
-                            grad[at] += s * (gram(np.stack(here["x"].to_numpy()).astype(float), points, kernel, *how) @ step)
-                            alpha[at] = [new.get(k, a) for k, a in zip(zip(here["row"], s, strict=True), alpha[at], strict=True)]
-                    yield pdf.assign(alpha=alpha, grad=grad)
-
-            before, state = state, made(state.mapInPandas(carried, state.schema))
-            before.unpersist()
+            sent = context.broadcast({g: (np.array([k for k, _ in new]), np.array([k for _, k in new]), np.array(list(new.values())), *carry(step, points)) for g, (new, step, points) in moves.items()})
+
+            def carried(batches, sent=sent):
+                import pyarrow as pa
+
+                for batch in batches:
+                    column = lambda name, at=batch: at.column(name).to_numpy(zero_copy_only=False)
+                    alpha, grad, s, g_of, row = column("alpha").copy(), column("grad").copy(), column("s"), column("g"), column("row")
+                    points = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    for g, (rows, sides, new, against, step) in sent.value.items():
+                        at = np.flatnonzero(g_of == g)
+                        for some in np.array_split(at, -(-len(at) // 1024)) if len(at) else ():
+                            grad[some] += s[some] * (gram(points[some], against, kernel, *how) @ step)
+                        for side in (-1.0, 1.0):
+                            known, values = rows[sides == side], new[sides == side]
+                            if len(known) and len(at):
+                                order = np.argsort(known)
+                                known, values = known[order], values[order]
+                                mine = at[s[at] == side]
+                                place = np.minimum(np.searchsorted(known, row[mine]), len(known) - 1)
+                                hit = known[place] == row[mine]
+                                alpha[mine[hit]] = values[place[hit]]
+                    yield pa.RecordBatch.from_arrays([{"alpha": pa.array(alpha), "grad": pa.array(grad)}.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
+
+            state = written(state.mapInArrow(carried, state.schema), state)
+            sent.unpersist()
         if apart:
             warnings.warn(f"not at the optimum after {self.rounds} rounds", stacklevel=3)
         table = None
@@ -315,6 +332,7 @@ class SVM:
                 for r in weights.orderBy("g", "row").collect():
                     held.setdefault(r.g, []).append((r.weight, r.x))
                 discard(weights)
+        discard(state)
         out = []
         for g, r in sorted(ends.items()):
             found = [e for e in (r.high, r.low) if e is not None]
@@ -324,13 +342,6 @@ class SVM:
         return out, table
 
 
-def made(df: DataFrame) -> DataFrame:
-    """kept(), at once."""
-    out = kept(df)
-    out.count()
-    return out
-
-
 def argmax_of(text: Column, classes: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in classes]), text).cast("int") - 1
 
