@@ -127,10 +127,8 @@ def blocks(data: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
     place = cuts(hashed_shingles(words, WORDS)) if len(words) >= WORDS else np.zeros(0, np.int64)
     then = np.searchsorted(place, place + STEP)
     first, end = place[then < len(place)], place[then[then < len(place)]] + WORDS - 1
-    near = np.zeros(len(words) + 1, np.int32)
-    np.add.at(near, np.clip(spots - AROUND, 0, len(words)), 1)
-    np.add.at(near, np.clip(spots + AROUND, 0, len(words)), -1)
-    near = np.cumsum(near) > 0
+    size = len(words) + 1
+    near = np.cumsum(np.bincount(np.clip(spots - AROUND, 0, len(words)), minlength=size) - np.bincount(np.clip(spots + AROUND, 0, len(words)), minlength=size)) > 0
     held = near[first] & near[np.maximum(end - 1, 0)]
     first, end = first[held], end[held]
     if not len(first):
@@ -247,6 +245,50 @@ def repeats(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "first", "n_words", "paragraph", "cluster", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.first").alias("keeper_first"), (~here).alias("removed"))
 
 
+def merged(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of spans of a text that touch: text, first, last of each, and the run of each span. Spans ascend by text and first."""
+    step = int(last.max(initial=0)) + 3
+    far = np.maximum.accumulate(text * step + last)
+    new = np.concatenate([[True], (text * step + first)[1:] > far[:-1] + 1])[: len(first)]
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(first))[: len(at)] - 1
+    return text[at], first[at], far[end] - text[at] * step, np.cumsum(new) - 1
+
+
+def passages(ids, units, passage: int) -> list:
+    """Of Arrow columns of doc_ids and lists of units (first, last, removed, keeper): the columns of report(), for the
+    documents that have passages."""
+    import pyarrow as pa
+
+    flat = units.flatten()
+    long_ = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+    sizes = units.value_lengths().to_numpy(zero_copy_only=False)
+    text, first, last, removed = np.repeat(np.arange(len(units)), sizes), long_("first"), long_("last"), long_("removed").astype(bool)
+    order = np.lexsort((last, first, text))
+    text, first, last, removed = text[order], first[order], last[order], removed[order]
+    of, start, end, run = merged(text, first, last)
+    held = end - start + 1 >= passage
+    inside = held[run]
+    docs, n_passages = np.unique(of[held], return_counts=True)
+    gone = inside & removed
+    of, start, end, _ = merged(text[gone], first[gone], last[gone])
+    n_removed = np.bincount(of, end - start + 1, len(units)).astype(np.int64)[docs]
+    spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["first", "last"])
+    keeper = flat.field("keeper").take(pa.array(order))
+    known = inside & keeper.is_valid().to_numpy(zero_copy_only=False)
+    text, keeper = text[known], keeper.filter(pa.array(known)).to_numpy(zero_copy_only=False)
+    order = np.lexsort((keeper, text))
+    text, keeper = text[order], keeper[order]
+    once = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(keeper) != 0)])[: len(text)]
+    text, keeper = text[once], keeper[once].astype(np.int64)
+    edges = lambda places: np.searchsorted(places, np.append(docs, len(units)))
+    lists = lambda places, values: pa.ListArray.from_arrays(pa.array(edges(places), pa.int32()), values)
+    at = edges(text)
+    some = at[1:] > at[:-1]
+    class_id = pa.array(np.append(keeper, 0)[at[:-1]], pa.int64(), mask=~some)
+    return [ids.take(pa.array(docs)), class_id, pa.array(n_passages, pa.int64()), pa.array(n_removed, pa.int64()), lists(of, spans), lists(text, pa.array(keeper, pa.int64()))]
+
+
 def report(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """One row for each document: doc_id, class_id, n_passages, n_removed, removed, shared_with.
 
@@ -257,31 +299,11 @@ def report(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     empty and blank texts have no passages. Rows that repeat a doc_id are one document; so are rows without one."""
     listed = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", (F.col("first") + F.col("n_words") - 1).alias("last"), "removed", "keeper")).alias("units"))
 
-    def merged(spans: list[tuple]) -> list[list]:
-        """Runs [first, last, units] of spans (first, last, ...) that touch."""
-        out: list[list] = []
-        for span in sorted(spans, key=lambda s: s[:2]):
-            if out and span[0] <= out[-1][1] + 1:
-                out[-1][1] = max(out[-1][1], span[1])
-                out[-1][2].append(span)
-            else:
-                out.append([span[0], span[1], [span]])
-        return out
-
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                runs = [r for r in merged([(u["first"], u["last"], u["removed"], u["keeper"]) for u in found]) if r[1] - r[0] + 1 >= passage]
-                if runs:
-                    inside = [u for r in runs for u in r[2]]
-                    gone = [{"first": a, "last": b} for a, b, _ in merged([u for u in inside if u[2]])]
-                    keepers = sorted({u[3] for u in inside if u[3] is not None})
-                    rows.append({"doc_id": doc, "class_id": keepers[0] if keepers else None, "n_passages": len(runs), "n_removed": sum(s["last"] - s["first"] + 1 for s in gone), "removed": gone, "shared_with": keepers})
-            kind = pa.schema([("doc_id", pa.int64()), ("class_id", pa.int64()), ("n_passages", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("shared_with", pa.list_(pa.int64()))])
-            yield pa.RecordBatch.from_pylist(rows, kind)
+            yield pa.RecordBatch.from_arrays(passages(batch.column(0), batch.column(1), passage), ["doc_id", "class_id", "n_passages", "n_removed", "removed", "shared_with"])
 
     spans = "array<struct<first:long,last:long>>"
     found = listed.mapInArrow(run, f"doc_id long, class_id long, n_passages long, n_removed long, removed {spans}, shared_with array<long>")

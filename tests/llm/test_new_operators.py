@@ -214,3 +214,30 @@ def test_copies_of_hot_cells_are_all_removed(spark, monkeypatch, hot, most):
     texts = [*[prose(900, 120)] * 5, prose(901, 100), prose(901, 100), prose(902, 90) + prose(900, 120)[100:500], prose(903, 200)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.n_removed for r in suffix_dedup.report(df).orderBy("doc_id").collect()] == [int(g.sum()) for g in removed([t.encode() for t in texts])]
+
+
+def test_passages_of_a_batch_are_merged_at_once():
+    """Units that touch are one run; short runs don't count; documents without passages and units without keeper are there too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.llm import substring_dedup
+
+    draw = np.random.default_rng(2)
+    unit = lambda f, n, gone, keeper: {"first": f, "last": f + n, "removed": gone, "keeper": keeper}
+    drawn = [[unit(int(draw.integers(0, 60)), int(draw.integers(0, 9)), bool(draw.random() < 0.6), None if draw.random() < 0.3 else int(draw.integers(-3, 5))) for _ in range(draw.integers(0, 12))] for _ in range(200)]
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("removed", pa.bool_()), ("keeper", pa.int64())]))
+    ids = pa.array([9, *(None if i == 5 else i for i in range(200))], pa.int64()).slice(1)
+    found = substring_dedup.passages(ids, pa.array([[unit(0, 50, True, 1)], *drawn], kind).slice(1), 6)
+    wanted = []
+    for i, units in enumerate(drawn):
+        covered = {w for u in units for w in range(u["first"], u["last"] + 1)}
+        runs = lambda words: [(w, min(v for v in range(w, 99) if v + 1 not in words)) for w in sorted(words) if w - 1 not in words]
+        held = [r for r in runs(covered) if r[1] - r[0] + 1 >= 6]
+        inside = [u for u in units if any(a <= u["first"] <= b for a, b in held)]
+        gone = runs({w for u in inside if u["removed"] for w in range(u["first"], u["last"] + 1)})
+        keepers = sorted({u["keeper"] for u in inside if u["keeper"] is not None})
+        if held:
+            wanted.append((None if i == 5 else i, keepers[0] if keepers else None, len(held), sum(b - a + 1 for a, b in gone), [{"first": a, "last": b} for a, b in gone], keepers))
+    assert list(zip(*(c.to_pylist() for c in found), strict=True)) == wanted
+    assert [len(c) for c in substring_dedup.passages(ids[:0], pa.array([], kind), 6)] == [0] * 6
