@@ -575,6 +575,52 @@ def test_linkage_in_rounds_is_linkage_by_steps(spark, monkeypatch):
     assert cluster.Agglomerative(1).fit_predict(rows.limit(1), "k", "p").count() == 1
 
 
+@pytest.mark.parametrize("least", [6, 2000])
+def test_average_linkage_stores_few_pairs(spark, monkeypatch, least):
+    """Many clusters keep their nearest one, not a table of pairs; copies, clusters over several blocks, the whole tree."""
+    monkeypatch.setattr(cluster, "LEFT", 5, raising=False)
+    monkeypatch.setattr(cluster, "LEAST", least)
+    monkeypatch.setattr(cluster, "BLOCK", 12)
+    sizes, written = [], cluster.written
+
+    def counted(df, before=None):
+        out = written(df, before)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "written", counted)
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(40, 3)) + draw.integers(0, 3, (40, 1)) * 2
+    x[[7, 20, 33]] = x[4]
+    x[30] = x[11]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    groups, heights = [[i] for i in range(40)], []
+    while len(groups) > 1:
+        h, a, b = min((d[np.ix_(groups[i], groups[j])].mean(), j, i) for i in range(len(groups)) for j in range(i))
+        heights.append(h)
+        groups[a] += groups.pop(b)
+        if len(groups) == 4:
+            wanted = sorted(map(sorted, groups))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "k long, p array<double>").repartition(5)
+    model = cluster.Agglomerative(4)
+    tree = model.merges(rows, "k", "p")
+    monkeypatch.setattr(model, "merges", lambda *_: tree)
+    assert np.allclose(sorted(r.height for r in tree.collect()), heights)
+    assert max(sizes) <= 40
+    found: dict[int, list] = {}
+    for r in model.fit_predict(rows, "k", "p").collect():
+        found.setdefault(r.prediction, []).append(r.k)
+    assert sorted(map(sorted, found.values())) == wanted
+
+
+def test_average_linkage_of_equal_distances(spark, monkeypatch):
+    """On a grid nearly all nearest clusters are tied; each round still merges."""
+    monkeypatch.setattr(cluster, "LEFT", 3, raising=False)
+    rows = spark.createDataFrame([(i, [i % 5 * 0.1, i // 5 * 0.1, 0.7]) for i in range(25)], "k long, p array<double>")
+    found = cluster.Agglomerative(1).merges(rows, "k", "p").collect()
+    assert len(found) == 24 and len({r.b for r in found}) == 24 and all(r.a < r.b for r in found)
+
+
 def test_description_length_counts_against_thresholds(spark):
     """The number and the name separate the classes equally well, but the number has many thresholds to name."""
     from sparkloom.operators import tree
