@@ -77,6 +77,11 @@ def lines(data: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 def normal(data: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The words in lower case (A-Z) with one space between them, and the place of each word in that, then its end."""
     gap = SPACE[data]
+    if len(data) and not gap[0] and not (gap[1:] & gap[:-1]).any():  # as it is
+        text = LOWER[data]
+        text[gap] = 32
+        at = np.flatnonzero(gap) + 1
+        return text.tobytes(), np.concatenate([[0], at] if gap[-1] else [[0], at, [len(text) + 1]])
     held = ~gap | np.concatenate([[False], ~gap[:-1]])[: len(data)]
     text = LOWER[data[held]]
     text[gap[held]] = 32
@@ -142,7 +147,7 @@ def distinct(shingles: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np
     start = np.cumsum(n) - n
     line = np.repeat(np.arange(len(n)), n)
     values = shingles[np.arange(n.sum()) - np.repeat(start - first, n)]
-    order = np.lexsort((values, line))
+    order = np.argsort(values ^ mix(line.astype(np.uint64)))  # equal ones of a line in a row
     new = np.concatenate([[True], (np.diff(line[order]) != 0) | (np.diff(values[order]) != 0)])
     low = np.array([np.minimum.reduceat((values ^ (seed >> np.uint64(7))) * seed, start) for seed in SEEDS])
     return np.bincount(line[order][new], minlength=len(n)), low
@@ -201,25 +206,36 @@ def repeated_ids(pa, ids, counts: list[int]):
     return ids.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
 
 
-def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id (a line's key) and its words, for the keys in wanted (doc_id)."""
+def paragraph_texts(docs: DataFrame, wanted: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id (a line's key) and its words, for the keys in wanted (doc_id): from the one document and word that places
+    (key, id, first) name for each, so other documents are not cut into lines again."""
+    spots = places.join(wanted.withColumnRenamed("doc_id", "key"), "key", "left_semi").groupBy("id").agg(F.collect_list("first").alias("first"), F.collect_list("key").alias("keys"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             keys, texts = [], []
-            for data in utf8(batch.column(0)):
+            offsets, spot, key = batch.column(1).offsets.to_numpy(), *(batch.column(c).values.to_numpy(zero_copy_only=False) for c in (1, 2))
+            for i, data in enumerate(utf8(batch.column(0))):
+                at_first, asked = spot[offsets[i] : offsets[i + 1]], key[offsets[i] : offsets[i + 1]]
                 words, at = hashed_words(data)
                 first, end = lines(data, words, at)
-                held = np.flatnonzero(end - first >= LEAST + WORDS - 1)
-                if len(held):
+                first, end = first[end > first], end[end > first]
+                line = np.searchsorted(first, at_first)
+                there = line < len(first)  # a doc_id can have several texts
+                line, at_first, asked = line[there], at_first[there], asked[there]
+                found = digests(words, first[line], end[line])
+                line = line[(first[line] == at_first) & (found == asked)]
+                if len(line):
                     text, edge = normal(data)
-                    keys += digests(words, first[held], end[held]).tolist()
-                    texts += [text[a:b] for a, b in zip(edge[first[held]].tolist(), (edge[end[held]] - 1).tolist(), strict=True)]
+                    keys += digests(words, first[line], end[line]).tolist()
+                    texts += [text[a:b] for a, b in zip(edge[first[line]].tolist(), (edge[end[line]] - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return docs.select("text").mapInArrow(run, "doc_id long, text string").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = known.join(spots, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "first", "keys")
+    return near.mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id", "text"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -234,7 +250,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     groups = lines_.groupBy("key", "check").agg(F.count("*").alias("n"), place, F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     groups = save(groups.unionByName(equal).withColumn("paragraph", F.col("n_shingles") > 0), "groups")
     banded = groups.filter(f"n_shingles >= {LEAST}").select(F.col("key").alias("rep"), "n_shingles", "sketch")
-    alike = linked(banded, lambda wanted: paragraph_texts(docs, wanted), WORDS, PERCENT, ROWS, ERRORS)
+    places = groups.filter(f"n_shingles >= {LEAST}").select("key", F.col("keeper.doc_id").alias("id"), F.col("keeper.first").alias("first"))
+    alike = linked(banded, lambda wanted: paragraph_texts(docs, wanted, places), WORDS, PERCENT, ROWS, ERRORS)
     clusters = groups.drop("sketch").join(alike.withColumnRenamed("node", "key").withColumn("paragraph", F.lit(True)), ["key", "paragraph"], "left").withColumn("cluster", F.coalesce("component", F.xxhash64("key", "check")))
     sizes = clusters.groupBy("cluster", "paragraph").agg(F.sum("n").alias("total"), F.min("keeper").alias("kept")).filter("total > 1")
     known = save(clusters.join(sizes, ["cluster", "paragraph"]).select("key", "check", "paragraph", "cluster", F.col("kept").alias("keeper")), "clusters")

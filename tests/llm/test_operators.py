@@ -725,3 +725,18 @@ def test_trees_locate_edits(spark):
     df = merkle.trees(df, "c", "c", *[c for c in df.columns if c[:2] in ("a_", "b_")])
     row = df.select(merkle.edits("a", "b").alias("e"), merkle.likeness("a", "b").alias("ab"), merkle.likeness("a", "c").alias("ac"), (F.col("a_root") == F.col("c_root")).alias("same")).first()
     assert row.e.sections == [2] and row.e.paragraphs == [17] and 0.9 < row.ab < 1 and row.ac == 1 and row.same
+
+
+def test_op3_fetches_the_wanted_lines_only(spark):
+    """A line's words come from the one place that is named; other lines with its key and other documents are not cut."""
+    from sparkloom.llm import substring_dedup as sd
+
+    line = "one two  three four five six seven EIGHT"
+    docs = spark.createDataFrame([(1, f"short\n{line}\nalpha beta gamma delta epsilon zeta eta theta"), (1, "other text"), (2, line), (3, None)], "doc_id long, text string")
+    rows = sd.all_paragraphs(docs).filter("n_shingles > 3").collect()
+    key = next(r.key for r in rows if r.doc_id == 2)
+    assert [r.first for r in rows if r.key == key and r.doc_id == 1] == [1]
+    wanted = spark.createDataFrame([(key,)], "doc_id long")
+    places = spark.createDataFrame([(key, 1, 1), (key + 1, 1, 9), (key, 2, 5)], "key long, id long, first long")
+    found = sd.paragraph_texts(docs, wanted, places).collect()
+    assert [(r.doc_id, r.text) for r in found] == [(key, "one two three four five six seven eight")]
