@@ -190,9 +190,11 @@ def linked(classes: DataFrame, texts_of, words: int, percent: int, rows: int = R
     banded = classes.select("rep", "n_shingles", F.posexplode("sketch").alias("i", "v")).select("rep", "n_shingles", F.xxhash64("i", F.col("v").bitwiseAND((1 << 16 * rows) - 1 if rows < ROWS else -1)).alias("key"))
     full = banded.select("key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     full = save(full, "full")  # a written side lets Spark split the join's hot keys
-    buckets = save(banded.join(full, "key"), "buckets")
+    buckets = save(banded.join(full.hint("shuffle_hash"), "key"), "buckets")
     star = save(buckets.groupBy("key").agg(F.min("rep").alias("star")), "stars")
-    texts = save(texts_of(buckets.select(F.col("rep").alias("doc_id")).distinct()), "texts")
+    reps = save(buckets.select("rep").distinct(), "reps")
+    texts = save(texts_of(reps.withColumnRenamed("rep", "doc_id")), "texts")
+    classes = save(classes.join(reps.hint("shuffle_hash"), "rep", "left_semi"), "met")  # the others are in no pair
 
     apart = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     sized = classes.select(F.col("rep").alias("star"), F.col("n_shingles").alias("n_star")).distinct()

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import INVERSE, LOWER, SPACE, hashed_shingles, hashed_words, mix, powers, read, save, utf8
+from sparkloom.llm.common import INVERSE, PLAIN, hashed_shingles, mix, plain_words, powers, read, save, utf8
 from sparkloom.llm.near_dedup import compressed, linked
 
 WORDS, PERCENT = 5, 80
@@ -40,16 +40,19 @@ PASSAGE = 20
 #: Shingles in whose each run an anchor lies: as many as a run of 50 words has. Blocks are cut so many words around anchors.
 SPARSE = 50 - WORDS + 1
 AROUND = SPARSE + WORDS
+#: Bytes of texts that are cut together.
+TOGETHER = 1 << 18
 
 
-def cuts(shingles: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def cuts(shingles: np.ndarray, window: int = WINDOW, room: np.ndarray | None = None) -> np.ndarray:
     """The places of the smallest hash in each run of `window` shingles. Hashes that agree in all but their last 20
-    bits count as equal, and of equal ones the first is taken."""
+    bits count as equal, and of equal ones the first is taken. room: of each shingle's first word, how many words its
+    text has from there on; runs that reach into the next text don't count."""
     if len(shingles) < window:
         return np.zeros(0, np.int64)
     if len(shingles) > 1 << 20:  # in parts, so that a place has 20 bits
         step = (1 << 20) - window + 1
-        return np.unique(np.concatenate([at + cuts(shingles[at : at + (1 << 20)], window) for at in range(0, len(shingles) - window + 1, step)]))
+        return np.unique(np.concatenate([at + cuts(shingles[at : at + (1 << 20)], window, None if room is None else room[at:]) for at in range(0, len(shingles) - window + 1, step)]))
     bits = np.uint64(20)
     key = np.full(-(-len(shingles) // window) * window, 2**64 - 1, np.uint64)
     key[: len(shingles)] = (shingles >> bits << bits) | np.arange(len(shingles), dtype=np.uint64)
@@ -58,7 +61,9 @@ def cuts(shingles: np.ndarray, window: int = WINDOW) -> np.ndarray:
     up = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     n = len(shingles) - window + 1
     low = np.minimum(up[:n], down[window - 1 : window - 1 + n]) & ((np.uint64(1) << bits) - np.uint64(1))
-    return low[np.concatenate([[True], low[1:] != low[:-1]])].astype(np.int64)
+    if room is not None:
+        low = low[room[:n] >= window + WORDS - 1]
+    return low[np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]].astype(np.int64)
 
 
 def digests(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -74,72 +79,86 @@ def lines(data: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return edges[:-1], edges[1:]
 
 
-def normal(data: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The words in lower case (A-Z) with one space between them, and the place of each word in that, then its end."""
-    gap = SPACE[data]
-    if len(data) and not gap[0] and not (gap[1:] & gap[:-1]).any():  # as it is
-        text = LOWER[data]
-        text[gap] = 32
-        at = np.flatnonzero(gap) + 1
-        return text.tobytes(), np.concatenate([[0], at] if gap[-1] else [[0], at, [len(text) + 1]])
-    held = ~gap | np.concatenate([[False], ~gap[:-1]])[: len(data)]
-    text = LOWER[data[held]]
-    text[gap[held]] = 32
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap[held]]).astype(np.int8)) < 0)
-    return text.tobytes(), np.append(edge, len(text) + (not len(gap) or not gap[-1]))
+class Joined:
+    """Texts as one, each with a line's end behind it, so that all are cut at once. edge: the first word of each text, then
+    the number of words."""
 
+    def __init__(self, texts: list[np.ndarray]):
+        raw = b"\n".join([*texts, b""])
+        self.data, self.text = np.frombuffer(raw, np.uint8), raw.translate(PLAIN)
+        self.words, self.at, self.end = plain_words(self.text)
+        self.edge = np.searchsorted(self.at, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        self.letters = np.concatenate([[0], np.cumsum(self.end - self.at)])
 
-def checks(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join([blake2b(text[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64)
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """From each word, also those that reach into the next text; the room of each for cuts()."""
+        found = hashed_shingles(self.words, WORDS) if len(self.words) >= WORDS else np.zeros(0, np.uint64)
+        return found, (np.repeat(self.edge[1:], np.diff(self.edge)) - np.arange(len(self.words)))[: len(found)]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and end word of each line that has words."""
+        first, end = lines(self.data, self.words, self.at)
+        return first[end > first], end[end > first]
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The texts that words are in."""
+        return np.searchsorted(self.edge, words, "right") - 1
+
+    def spelled(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The words of runs in lower case (A-Z) with one space between them."""
+        if not len(first):
+            return []
+        a, b = self.at[first], self.end[end - 1]
+        found = [self.text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        for i in np.flatnonzero(b - a != self.letters[end] - self.letters[first] + end - first - 1).tolist():
+            found[i] = b" ".join(found[i].split())
+        return found
+
+    def checks(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in self.spelled(first, end)]), np.int64)
 
 
 def paragraphs(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Of the lines of texts: text, first word, number of words, number of shingles, two digests of the words, and registers
     (zero for lines of fewer than LEAST shingles). Anchors follow: text, first word, no words, no shingles, hash, 0."""
-    found: list[tuple] = []
-    runs, size = [], 0
-    for i, data in enumerate(texts):
-        words, at = hashed_words(data)
-        if not len(words):
-            continue
-        first, end = lines(data, words, at)
-        first, end = first[end > first], end[end > first]
-        shingles = hashed_shingles(words, WORDS)
-        text, edge = normal(data)
-        n = np.maximum(end - first - WORDS + 1, 0)
-        place = cuts(shingles, SPARSE)
-        found.append((i, first, end - first, n, size + first, digests(words, first, end), checks(text, edge[first], edge[end] - 1), place, shingles[place].view(np.int64)))
-        runs.append(shingles)
-        size += len(shingles)
-    if not found:
+    all_ = Joined(texts)
+    first, end = all_.lines()
+    if not len(first):
         return (*(np.zeros(0, np.int64) for _ in range(6)), np.zeros((0, BANDS), np.int64))
-    first, n_words, n, at, key, check, place, value = (np.concatenate([f[i] for f in found]) for i in range(1, 9))
-    text = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+    shingles, room = all_.shingles()
+    n = np.maximum(end - first - WORDS + 1, 0)
     sketch = np.zeros((len(first), BANDS), np.int64)
     long_ = np.flatnonzero(n)
     n_shingles = np.ones(len(first), np.int64)
     if len(long_):
-        n_shingles[long_], low = distinct(np.concatenate(runs), at[long_], n[long_])
+        n_shingles[long_], low = distinct(shingles, first[long_], n[long_])
         sketch[long_] = compressed(low).T.copy().view(np.int64)
-    anchors = np.repeat([f[0] for f in found], [len(f[7]) for f in found])
+    place = cuts(shingles, SPARSE, room)
     none = np.zeros(len(place), np.int64)
-    return tuple(np.concatenate(x) for x in ((text, anchors), (first, place), (n_words, none), (n_shingles, none), (key, value), (check, none), (sketch, np.zeros((len(place), BANDS), np.int64))))
+    text, anchors = all_.of(first), all_.of(place)
+    found = (text, anchors), (first - all_.edge[text], place - all_.edge[anchors]), (end - first, none), (n_shingles, none), (digests(all_.words, first, end), shingles[place].view(np.int64)), (all_.checks(first, end), none), (sketch, np.zeros((len(place), BANDS), np.int64))
+    return tuple(np.concatenate(x) for x in found)
 
 
 def blocks(data: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
     """First word, number of words and two digests of the blocks of a text that lie near the spots (words)."""
-    words, _ = hashed_words(data)
-    place = cuts(hashed_shingles(words, WORDS)) if len(words) >= WORDS else np.zeros(0, np.int64)
-    then = np.searchsorted(place, place + STEP)
-    first, end = place[then < len(place)], place[then[then < len(place)]] + WORDS - 1
-    size = len(words) + 1
-    near = np.cumsum(np.bincount(np.clip(spots - AROUND, 0, len(words)), minlength=size) - np.bincount(np.clip(spots + AROUND, 0, len(words)), minlength=size)) > 0
+    return blocks_of([data], spots, np.array([len(spots)]))[1:]
+
+
+def blocks_of(texts: list[np.ndarray], spots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """blocks() of several texts at once, of which each has so many of the spots, and before them the text of each block."""
+    all_ = Joined(texts)
+    shingles, room = all_.shingles()
+    place = cuts(shingles, WINDOW, room)
+    then, text = np.searchsorted(place, place + STEP), all_.of(place)
+    held = np.append(text, -1)[then] == text
+    first, end, text = place[held], place[then[held]] + WORDS - 1, text[held]
+    low, high = np.repeat(all_.edge[:-1], counts), np.repeat(all_.edge[1:], counts)
+    marks = lambda words: np.bincount(np.clip(low + words, low, high), minlength=len(all_.words) + 1)
+    near = np.cumsum(marks(spots - AROUND) - marks(spots + AROUND)) > 0
     held = near[first] & near[np.maximum(end - 1, 0)]
-    first, end = first[held], end[held]
-    if not len(first):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    text, edge = normal(data)
-    return first, end - first, digests(words, first, end), checks(text, edge[first], edge[end] - 1)
+    first, end, text = first[held], end[held], text[held]
+    return text, first - all_.edge[text], end - first, digests(all_.words, first, end), all_.checks(first, end)
 
 
 def distinct(shingles: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,37 +192,38 @@ def all_paragraphs(docs: DataFrame) -> DataFrame:
 def all_blocks(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """doc_id, first, n_words, key, check of the blocks near anchors (doc_id, first, key) that are repeated."""
     again = anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    spots = anchors.join(save(again, "again"), "key", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("first").alias("spots"))
+    spots = anchors.join(save(again, "again").hint("shuffle_hash"), "key", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("first").alias("spots"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found, at = [], batch.column(1)
-            offsets, values = at.offsets.to_numpy(), at.values.to_numpy(zero_copy_only=False)
-            for i, data in enumerate(utf8(batch.column(2))):
-                found.append(blocks(data, values[offsets[i] : offsets[i + 1]]))
-            columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([repeated_ids(pa, batch.column(0), [len(f[0]) for f in found]), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "first", "n_words", "key", "check"])
+            offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
+            texts = utf8(batch.column(2))
+            for a, b in ranges(texts):
+                text, *columns = blocks_of(texts[a:b], values[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + text)), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "first", "n_words", "key", "check"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = known.join(spots, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "spots", "text")
+    near = known.join(spots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "spots", "text")
     return near.mapInArrow(run, "doc_id long, first long, n_words long, key long, check long")
 
 
-def parts(batch, size: int = 1 << 20):
-    """(ids, texts) of a batch, so many bytes at once, or one longer text."""
-    texts = utf8(batch.column(1))
+def ranges(texts: list[np.ndarray], size: int = TOGETHER):
+    """(from, to) of texts that have so many bytes together, or of one longer text."""
     total = np.cumsum([0, *map(len, texts)])
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
-        yield batch.column(0)[at:end], texts[at:end]
+        yield at, end
         at = end
 
 
-def repeated_ids(pa, ids, counts: list[int]):
-    return ids.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+def parts(batch, size: int = TOGETHER):
+    """(ids, texts) of a batch, so many bytes at once, or one longer text."""
+    texts = utf8(batch.column(1))
+    for a, b in ranges(texts, size):
+        yield batch.column(0)[a:b], texts[a:b]
 
 
 def paragraph_texts(docs: DataFrame, wanted: DataFrame, places: DataFrame) -> DataFrame:
@@ -215,26 +235,22 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame, places: DataFrame) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            keys, texts = [], []
             offsets, spot, key = batch.column(1).offsets.to_numpy(), *(batch.column(c).values.to_numpy(zero_copy_only=False) for c in (1, 2))
-            for i, data in enumerate(utf8(batch.column(0))):
-                at_first, asked = spot[offsets[i] : offsets[i + 1]], key[offsets[i] : offsets[i + 1]]
-                words, at = hashed_words(data)
-                first, end = lines(data, words, at)
-                first, end = first[end > first], end[end > first]
-                line = np.searchsorted(first, at_first)
-                there = line < len(first)  # a doc_id can have several texts
-                line, at_first, asked = line[there], at_first[there], asked[there]
-                found = digests(words, first[line], end[line])
-                line = line[(first[line] == at_first) & (found == asked)]
-                if len(line):
-                    text, edge = normal(data)
-                    keys += digests(words, first[line], end[line]).tolist()
-                    texts += [text[a:b] for a, b in zip(edge[first[line]].tolist(), (edge[end[line]] - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+            texts = utf8(batch.column(0))
+            for a, b in ranges(texts):
+                all_, asked = Joined(texts[a:b]), key[offsets[a] : offsets[b]]
+                first, end = all_.lines()
+                low, high = (np.repeat(x, np.diff(offsets[a : b + 1])) for x in (all_.edge[:-1], all_.edge[1:]))
+                word = low + spot[offsets[a] : offsets[b]]
+                line = np.searchsorted(first, word)
+                there = (np.append(first, -1)[line] == word) & (word < high)  # a doc_id can have several texts
+                line, asked = line[there], asked[there]
+                there = digests(all_.words, first[line], end[line]) == asked
+                line, asked = line[there], asked[there]
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(all_.spelled(first[line], end[line]), pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = known.join(spots, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "first", "keys")
+    near = known.join(spots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "first", "keys")
     return near.mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id", "text"])
 
 
@@ -252,12 +268,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     banded = groups.filter(f"n_shingles >= {LEAST}").select(F.col("key").alias("rep"), "n_shingles", "sketch")
     places = groups.filter(f"n_shingles >= {LEAST}").select("key", F.col("keeper.doc_id").alias("id"), F.col("keeper.first").alias("first"))
     alike = linked(banded, lambda wanted: paragraph_texts(docs, wanted, places), WORDS, PERCENT, ROWS, ERRORS)
-    clusters = groups.drop("sketch").join(alike.withColumnRenamed("node", "key").withColumn("paragraph", F.lit(True)), ["key", "paragraph"], "left").withColumn("cluster", F.coalesce("component", F.xxhash64("key", "check")))
-    sizes = clusters.groupBy("cluster", "paragraph").agg(F.sum("n").alias("total"), F.min("keeper").alias("kept")).filter("total > 1")
-    known = save(clusters.join(sizes, ["cluster", "paragraph"]).select("key", "check", "paragraph", "cluster", F.col("kept").alias("keeper")), "clusters")
+    alike = alike.withColumnRenamed("node", "key").hint("shuffle_hash")
+    met = groups.filter(f"n_shingles >= {LEAST}").drop("sketch").join(alike, "key", "left").filter("n > 1 or component is not null")
+    met = save(met, "met")
+    # only classes that are linked with others need another look at their cluster
+    sizes = met.filter("component is not null").groupBy("component").agg(F.sum("n").alias("total"), F.min("keeper").alias("kept")).filter("total > 1")
+    linked_ = met.drop("keeper").join(sizes.withColumnRenamed("kept", "keeper"), "component").withColumn("cluster", F.col("component"))
+    alone = groups.filter(f"n > 1 and n_shingles < {LEAST}").unionByName(met.filter("component is null"), allowMissingColumns=True).withColumn("cluster", F.xxhash64("key", "check"))
+    known_columns = ["key", "check", "paragraph", "cluster", "keeper"]
+    known = save(linked_.select(known_columns).union(alone.select(known_columns)), "clusters")
     placed = ["doc_id", "first", "n_words", "key", "check"]
     found = lines_.select(*placed, F.lit(True).alias("paragraph")).union(cut.select(*placed, F.lit(False)))
-    out = found.join(known, ["key", "check", "paragraph"])
+    out = found.join(known.hint("shuffle_hash"), ["key", "check", "paragraph"])
     here = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("first") == F.col("keeper.first"))
     return out.select("doc_id", "first", "n_words", "paragraph", "cluster", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.first").alias("keeper_first"), (~here).alias("removed"))
 
@@ -306,6 +328,34 @@ def passages(ids, units, passage: int) -> list:
     return [ids.take(pa.array(docs)), class_id, pa.array(n_passages, pa.int64()), pa.array(n_removed, pa.int64()), lists(of, spans), lists(text, pa.array(keeper, pa.int64()))]
 
 
+def by_document(batches):
+    """(doc_ids, lists of their rows' other columns) of Arrow batches that are sorted by doc_id, their first column."""
+    import pyarrow as pa
+
+    def whole(rows, starts):
+        one = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        flat = pa.StructArray.from_arrays(one.columns[1:], one.schema.names[1:])
+        return one.column(0).take(pa.array(starts)), pa.ListArray.from_arrays(pa.array([*starts, len(flat)], pa.int32()), flat)
+
+    held, starts, size, last = [], [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0)
+        known, value = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        new = np.concatenate([[last != (known[0], value[0])], (value[1:] != value[:-1]) | (known[1:] != known[:-1])])
+        at, last = np.flatnonzero(new), (known[-1], value[-1])
+        if len(at) and (held or at[-1]):  # the document that the batch ends with can go on in the next one
+            end = int(at[-1])
+            rows, begun = [*held, batch.slice(0, end)] if end else held, [*starts, *(size + at[:-1]).tolist()]
+            yield whole(rows, begun)
+            held, starts, size = [batch.slice(end)], [0], batch.num_rows - end
+        else:
+            held, starts, size = [*held, batch], starts or [0], size + batch.num_rows
+    if held:
+        yield whole(held, starts)
+
+
 def report(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """One row for each document: doc_id, class_id, n_passages, n_removed, removed, shared_with.
 
@@ -314,16 +364,16 @@ def report(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     class_id is the smallest of them; a document without passages is its own class. n_removed counts the passages' words that are kept
     elsewhere and removed lists their spans (first, last word). A passage repeated inside a document counts too. Null,
     empty and blank texts have no passages. Rows that repeat a doc_id are one document; so are rows without one."""
-    listed = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", (F.col("first") + F.col("n_words") - 1).alias("last"), "removed", "keeper")).alias("units"))
+    units = repeats(docs).select("doc_id", "first", (F.col("first") + F.col("n_words") - 1).alias("last"), "removed", "keeper")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(passages(batch.column(0), batch.column(1), passage), ["doc_id", "class_id", "n_passages", "n_removed", "removed", "shared_with"])
+        for ids, lists in by_document(batches):
+            yield pa.RecordBatch.from_arrays(passages(ids, lists, passage), ["doc_id", "class_id", "n_passages", "n_removed", "removed", "shared_with"])
 
     spans = "array<struct<first:long,last:long>>"
-    found = listed.mapInArrow(run, f"doc_id long, class_id long, n_passages long, n_removed long, removed {spans}, shared_with array<long>")
+    found = units.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"doc_id long, class_id long, n_passages long, n_removed long, removed {spans}, shared_with array<long>")
     every = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
     zero = lambda c, kind: F.coalesce(c, F.lit(0).cast("long") if kind == "long" else F.array().cast(kind)).alias(c)
     return every.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), zero("n_passages", "long"), zero("n_removed", "long"), zero("removed", spans), zero("shared_with", "array<long>"))

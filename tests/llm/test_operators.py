@@ -740,3 +740,45 @@ def test_op3_fetches_the_wanted_lines_only(spark):
     places = spark.createDataFrame([(key, 1, 1), (key + 1, 1, 9), (key, 2, 5)], "key long, id long, first long")
     found = sd.paragraph_texts(docs, wanted, places).collect()
     assert [(r.doc_id, r.text) for r in found] == [(key, "one two three four five six seven eight")]
+
+
+def test_op3_cuts_texts_together(monkeypatch):
+    """Many texts are hashed at once, with what each gives alone: nothing reaches from one text into the next."""
+    from sparkloom.llm import substring_dedup as sd
+
+    texts = ["", prose(1, 80), "a b c", " \n\n", f"{prose(2, 300)}\n{prose(3, 9)}  \r\n\t{prose(4, 60)}", "one two three four", prose(1, 80), "É\x0bÉ  x\n", *(prose(50 + i, 5 * i) for i in range(40)), ""]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    runs = []
+    monkeypatch.setattr(sd, "hashed_shingles", lambda words, k, f=sd.hashed_shingles: runs.append(len(words)) or f(words, k))
+    places = lambda columns, of: sorted(zip(of(columns[0]), *(x.tolist() for x in columns[1:]), strict=True))
+    found = places(sd.paragraphs(data), lambda text: text.tolist())
+    assert len(runs) == 1
+    assert found == sorted(x for i, d in enumerate(data) for x in places(sd.paragraphs([d]), lambda text, i=i: [i] * len(text)))
+    spots = [np.arange(i % 3, 400 * (i % 4), 150) for i in range(len(data))]
+    runs.clear()
+    found = places(sd.blocks_of(data, np.concatenate(spots), np.array([len(s) for s in spots])), lambda text: text.tolist())
+    assert len(runs) == 1 and len(found) > 100
+    assert found == sorted((i, *map(int, x)) for i, d in enumerate(data) for x in zip(*sd.blocks(d, spots[i]), strict=True))
+
+
+def test_op3_gathers_the_rows_of_a_document_across_batches():
+    """Rows are sorted by doc_id, null first; a document can go on over several batches."""
+    import pyarrow as pa
+
+    from sparkloom.llm import substring_dedup as sd
+
+    ids = [None, None, -3, 0, 0, 0, 0, 0, 0, 0, 4, 5, 5, 9]
+    rows = pa.table({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(range(len(ids)), pa.int64())})
+    wanted = {d: [{"first": i} for i, x in enumerate(ids) if x == d] for d in ids}
+    for cut in ([14], [1, 13], [2, 1, 3, 2, 2, 4], [1] * 14, [3, 0, 7, 4]):
+        ends = np.cumsum(cut)
+        batches = [b for e, n in zip(ends, cut, strict=True) for b in rows.slice(e - n, n).to_batches() or [pa.RecordBatch.from_pylist([], rows.schema)]]
+        found = [x for keys, lists in sd.by_document(iter(batches)) for x in zip(keys.to_pylist(), lists.to_pylist(), strict=True)]
+        assert found == list(wanted.items()), cut
+    assert list(sd.by_document(iter([]))) == []
+
+
+def test_op3_gathers_no_lists_in_aggregates(spark, docs):
+    """A list for each document in a hash aggregate falls back to sorting them; the rows are sorted at once instead."""
+    plan = substring_dedup.report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SortMergeJoin [key" not in plan
