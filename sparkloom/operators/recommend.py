@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.cluster import product, true_places
 from sparkloom.operators.keep import kept, written
 
-#: Rows of a block (eight times as many, where there are many blocks): similarities of users are computed block against block.
+#: Rows of a block (up to 32 times as many, where there are many blocks): similarities of users are computed block against block.
 BLOCK = 2048
+#: Rows of either side, and items, of the products that a task holds at once; numbers of a side that it keeps; pairs that wait at most.
+TILE, ITEMS, CELLS, MANY = (256, 2048), 1024, 1 << 23, 1 << 21
 #: Similarities are compared to so many digits.
 DIGITS = 10
 
@@ -57,7 +60,7 @@ def _blocked(ratings: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame) -> DataFrame:
     count = rows.count()
-    size = max(BLOCK, min(8 * BLOCK, count // 16))  # a block meets many others, so more rows need larger blocks
+    size = max(BLOCK, min(32 * BLOCK, count // 8))  # a block meets many others, so more rows need larger blocks
     cells = max(1, count // size)
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("dearest"), F.lit(cells)))
     parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
@@ -83,59 +86,201 @@ def _bounds(x: DataFrame, y: DataFrame, kind: str) -> DataFrame:
     return both.select("q", "r", (1 / (1 + F.sqrt(squared))).alias("bound"))
 
 
-def _matched(x: DataFrame, y: DataFrame, pairs: DataFrame, n: int, kind: str) -> DataFrame:
-    """x, y, s, q: for each pair of blocks (q, r) the n most similar users of r to each user of q, as a product of two
-    matrices; all other similarities stay in the task."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """block, held: the rows (user, n, w) of each block as one Arrow stream, so that a pair of blocks is sent as two values."""
+
+    def one(table):
+        import pyarrow as pa
+
+        lists = table["w"].combine_chunks()
+        flat = lists.flatten()
+        item = flat.field("item")
+        users = pa.table({"user": table["user"], "n": table["n"], "size": pa.array(np.diff(lists.offsets.to_numpy()))})
+        held = []
+        for part in (users, pa.table({"item": item.dictionary_encode(), "v": flat.field("v")})):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(part.combine_chunks())
+            held.append(sink.getvalue().to_pybytes())
+        return pa.table({"block": [table["block"][0].as_py()], "users": held[:1], "rated": held[1:]})
+
+    return written(rows.select("block", "user", "n", "w").groupBy("block").applyInArrow(one, "block string, users binary, rated binary"))
+
+
+def _opened(users: bytes, rated: bytes) -> tuple:
+    """user, n, owner, item, v of a block that _packed() made; owner is the row's number."""
+    import pyarrow as pa
+
+    people, flat = pa.ipc.open_stream(users).read_all(), pa.ipc.open_stream(rated).read_all().combine_chunks()
+    owner = np.repeat(np.arange(len(people)), people["size"].to_numpy())
+    item = flat["item"].combine_chunks()
+    return people["user"].combine_chunks(), people["n"].to_numpy(), owner, item.dictionary_decode() if len(item) else item.cast(item.type.value_type), flat["v"].to_numpy()
+
+
+class Nearest:
+    """The n best rows of y for each row of x, both as _opened() gives them. Single-precision products look for those that can
+    be among them, each of which is then settled in double precision; only n are held for each row."""
+
+    def __init__(self, x: tuple, y: tuple, n: int, kind: str) -> None:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        (self.xu, self.xn, xo, xi, xv), (self.yu, self.yn, yo, yi, yv) = x, y
+        self.n, self.cosine = n, kind == "cosine"
+        codes = pa.chunked_array([xi, yi]).combine_chunks().dictionary_encode().indices.to_numpy()
+        self.width = int(codes.max()) + 1
+        self.x, self.y = (self._rows(*r) for r in ((xo, codes[: len(xi)], xv, len(self.xn)), (yo, codes[len(xi) :], yv, len(self.yn))))
+        ints = pa.types.is_integer(self.yu.type)
+        self.rank = self.yu.to_numpy() if ints else pc.rank(self.yu, tiebreaker="dense").to_numpy().astype(np.int64)
+        self.positive = len(xv) == 0 or len(yv) == 0 or min(xv.min(), yv.min()) >= 0
+        top = max(self.xn.max(initial=0), self.yn.max(initial=0))
+        self.kind = np.float32 if top < 1e30 and (self.cosine or top > 1e-25) else np.float64
+        # what the rounding of single products, of their sum and of their parts can amount to at most
+        self.margin = 4 * (self.width + 8) * float(np.finfo(self.kind).eps) * (1.0 if self.cosine else 3 * top)
+
+    @staticmethod
+    def _rows(owner, code, v, count: int) -> tuple:
+        """The entries in order of their rows, and where each row's begin."""
+        order = np.argsort(owner, kind="stable")
+        return code[order], v[order], np.searchsorted(owner[order], np.arange(count + 1))
+
+    def _matrix(self, side: tuple, first: int, last: int, low: int, high: int) -> np.ndarray:
+        """The rows first .. last with the items low .. high."""
+        code, v, starts = side
+        a, b = starts[first], starts[last]
+        owner = np.repeat(np.arange(last - first), np.diff(starts[first : last + 1]))
+        code, v = code[a:b], v[a:b]
+        held = (code >= low) & (code < high)
+        m = np.zeros((last - first, high - low))
+        np.add.at(m, (owner[held], code[held] - low), v[held])
+        return m
+
+    def _some(self, side: tuple, norms: np.ndarray, first: int, last: int, ours: bool) -> list[np.ndarray]:
+        out = []
+        for low in range(0, self.width, ITEMS):
+            m = self._matrix(side, first, last, low, min(self.width, low + ITEMS))
+            if self.cosine:
+                m /= np.sqrt(norms[first:last, None])
+            elif ours:
+                m *= 2
+            out.append(m.astype(self.kind))
+        return out
+
+    def _settled(self, row: np.ndarray, column: np.ndarray, ours: list, theirs: list, at: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """row, column, s, order of the pairs that count."""
+        parts = []
+        for some in np.array_split(np.arange(len(row)), -(-len(row) // 65_536)) if len(row) else ():
+            r, c = row[some], column[some]
+            both = [(a[r - at], b[c - to]) for a, b in zip(ours, theirs, strict=True)]
+            if self.cosine:
+                s = sum(np.einsum("ij,ij->i", a, b) for a, b in both) / np.sqrt(self.xn[r] * self.yn[c])
+            else:  # by differences, so that equal rows are at no distance
+                s = 1 / (1 + np.sqrt(sum(np.einsum("ij,ij->i", d, d) for d in (a - b for a, b in both))))
+            order = np.rint(s * 10.0**DIGITS).astype(np.int64)
+            held = (order != 10**DIGITS) & (s != 0)
+            parts.append((r[held], c[held], s[held], order[held]))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int))
+
+    def _exact(self, side: tuple, first: int, last: int) -> list[np.ndarray]:
+        return [self._matrix(side, first, last, low, min(self.width, low + ITEMS)) for low in range(0, self.width, ITEMS)]
+
+    def _floor(self, order: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """What a single-precision product is at least where the similarity is of that order or a higher one."""
+        s = (order - 1) * 10.0**-DIGITS
+        if self.cosine:
+            return s - self.margin
+        with np.errstate(divide="ignore", over="ignore"):
+            return np.where(s > 0, self.xn[row] - (1 / np.maximum(s, 1e-300) - 1) ** 2 - self.margin, -np.inf)
+
+    def best(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, column, s. least: orders that are known to be reached by n others of each row, or -1 << 62."""
+        known = least > -(1 << 62)
+        floor = np.full(len(self.xn), -np.inf)
+        floor[known] = self._floor(least[known], np.flatnonzero(known))
+        held = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int))]
+        room, waiting = np.empty(TILE[0] * TILE[1], self.kind), 0
+        whole = len(self.xn) * self.width <= CELLS
+        kept_rows: dict[int, tuple[list, list]] = {}
+
+        def sift() -> None:
+            row, column, s, order = (np.concatenate(c) for c in zip(*held, strict=True))
+            by = np.lexsort((self.rank[column], -order, row))
+            row, column, s, order = row[by], column[by], s[by], order[by]
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+            last = place == self.n - 1
+            floor[row[last]] = np.maximum(floor[row[last]], self._floor(order[last], row[last]))
+            held[:] = [tuple(c[place < self.n] for c in (row, column, s, order))]
+
+        # a slice of y is as long as all before it: each lets about n through for a row
+        first, end = 0, min(len(self.yn), 64 if not known.all() else len(self.yn))
+        while first < len(self.yn):
+            for to in range(first, end, TILE[1]):
+                upto = min(end, to + TILE[1])
+                theirs, exact = self._some(self.y, self.yn, to, upto, False), self._exact(self.y, to, upto)
+                shift = None if self.cosine else self.yn[to:upto].astype(self.kind)
+                for at in range(0, len(self.xn), TILE[0]):
+                    after = min(len(self.xn), at + TILE[0])
+                    if at not in kept_rows:
+                        made = self._some(self.x, self.xn, at, after, True), self._exact(self.x, at, after)
+                        if whole:
+                            kept_rows[at] = made
+                    ours, plain = kept_rows[at] if whole else made
+                    u = product(ours[0], theirs[0].T, room)
+                    for a, b in zip(ours[1:], theirs[1:], strict=True):
+                        u += a @ b.T
+                    if shift is not None:
+                        u -= shift
+                    near = u >= np.nextafter(floor[at:after].astype(self.kind), self.kind(-np.inf))[:, None]
+                    if self.positive and self.cosine:
+                        open_ = ~np.isfinite(floor[at:after])
+                        if open_.any():
+                            near[open_] &= u[open_] > 0
+                    found = true_places(near.ravel())
+                    if len(found):
+                        row, column = np.divmod(found, upto - to)
+                        held.append(self._settled(row + at, column + to, plain, exact, at, to))
+                        waiting += len(held[-1][0])
+                        if waiting > MANY:
+                            sift()
+                            waiting = 0
+            sift()
+            waiting = 0
+            first, end = end, min(len(self.yn), 2 * end)
+        row, column, s, order = held[0]
+        keep = order >= least[row]
+        return row[keep], column[keep], s[keep]
+
+
+def _matched(x: DataFrame, y: DataFrame, pairs: DataFrame, n: int, kind: str, packs: tuple[DataFrame, DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """x, y, s, q: for each pair of blocks (q, r) the n most similar users of r to each user of q; all other similarities stay
+    in the task. packs: _packed() of both sides. known: q and a list (x, s) of users that have n others with s or more."""
     kinds = dict(x.dtypes)
+    px, py = packs or (_packed(x), _packed(y))
 
     def fold(table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def side(mark: int):
-            rows = table.filter(pc.equal(table["side"], mark)).combine_chunks().sort_by("user")
-            lists = rows["w"].combine_chunks()
-            flat = lists.flatten()
-            owner = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-            return rows["user"], rows["n"].to_numpy(), owner, flat.field("item"), flat.field("v").to_numpy()
-
-        (xu, xn, xo, xi, xv), (yu, yn, yo, yi, yv) = side(0), side(1)
-        codes = pa.chunked_array([xi, yi]).combine_chunks().dictionary_encode().indices.to_numpy()
-        a, b = codes[: len(xi)], codes[len(xi) :]
-        starts = range(0, int(codes.max()) + 1, 1024)  # items at once
-        order_of = np.argsort(xo, kind="stable")
-        xo, a, xv = xo[order_of], a[order_of], xv[order_of]
-
-        def matrix(owner, code, v, rows: int, first: int):
-            m, held = np.zeros((rows, 1024)), (code >= first) & (code < first + 1024)
-            np.add.at(m, (owner[held], code[held] - first), v[held])
-            return m
-
-        whole = matrix(yo, b, yv, len(yn), 0) if len(starts) == 1 else None
-        found = []
-        for at in range(0, len(xn), 256):
-            some = slice(*np.searchsorted(xo, [at, at + 256]))
-            norms = xn[at : at + 256, None]
-            dot = np.zeros((len(norms), len(yn)))
-            for first in starts:
-                dot += matrix(xo[some] - at, a[some], xv[some], len(norms), first) @ (matrix(yo, b, yv, len(yn), first) if whole is None else whole).T
-            s = dot / np.sqrt(norms * yn[None]) if kind == "cosine" else 1 / (1 + np.sqrt(np.maximum(0, norms + yn[None] - 2 * dot)))
-            order = np.rint(s * 10.0**DIGITS).astype(np.int64)  # of equal ones the first, as users stand in order
-            out = (order == 10**DIGITS) | (s == 0)
-            order = order * len(yn) - np.arange(len(yn))[None]
-            order[out] = -(1 << 62)
-            best = np.argpartition(-order, min(n, len(yn)) - 1, axis=1)[:, :n]
-            row = np.repeat(np.arange(len(norms)), best.shape[1])
-            held = ~out[row, best.ravel()]
-            row, best = row[held], best.ravel()[held]
-            found.append((row + at, best, s[row, best]))
-        row, best, s = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"x": xu.take(pa.array(row)), "y": yu.take(pa.array(best)), "s": pa.array(s), "q": pa.array([table["q"][0].as_py()] * len(row), pa.string())})
-
-    pairs = pairs.select("q", "r")
-    side = lambda rows, name, mark: pairs.join(rows.withColumnRenamed("block", name), name).select("q", "r", F.lit(mark).alias("side"), "user", "n", "w")
-    met = side(x, "q", 0).unionByName(side(y, "r", 1))
-    return met.groupBy("q", "r").applyInArrow(fold, f"x {kinds['user']}, y {kinds['user']}, s double, q string")
+        one = lambda mark: table.filter(pc.equal(table["side"], mark)).combine_chunks()
+        sides = [_opened(*(one(mark)[c][0].as_buffer().to_pybytes() for c in ("users", "rated"))) for mark in (0, 1)]
+        task, told = Nearest(*sides, n, kind), one(2)
+        least = np.full(len(task.xn), -(1 << 62))
+        if len(told):
+            rows = told["known"].combine_chunks().flatten()
+            place = pc.index_in(rows.field("x"), value_set=task.xu).to_numpy(zero_copy_only=False).astype(np.int64)
+            least[place] = np.rint(rows.field("s").to_numpy() * 10.0**DIGITS).astype(np.int64)
+        row, best, s = task.best(least)
+        return pa.table({"x": task.xu.take(pa.array(row)), "y": task.yu.take(pa.array(best)), "s": pa.array(s), "q": pa.array([table["q"][0].as_py()] * len(row), pa.string())})
+
+    pairs, none = pairs.select("q", "r"), F.lit(None).cast(f"array<struct<x:{kinds['user']},s:double>>")
+    side = lambda rows, name, mark: pairs.join(rows.withColumnRenamed("block", name), name).select("q", "r", F.lit(mark).alias("side"), "users", "rated", none.alias("known"))
+    met = side(px, "q", 0).unionByName(side(py, "r", 1))
+    if known is not None:
+        met = met.unionByName(pairs.join(known, "q").select("q", "r", F.lit(2).alias("side"), F.lit(None).cast("binary").alias("users"), F.lit(None).cast("binary").alias("rated"), "known"))
+    # few bytes stand for much work, so their size must not tell in how many tasks they are done
+    parts = max(4 * x.sparkSession.sparkContext.defaultParallelism, min(2048, px.count() * py.count()))
+    return met.repartition(parts, "q", "r").groupBy("q", "r").applyInArrow(fold, f"x {kinds['user']}, y {kinds['user']}, s double, q string")
 
 
 def nearest_users(ratings: DataFrame, n: int = 10, kind: str = "cosine", queries: DataFrame | None = None) -> DataFrame:
@@ -170,12 +315,16 @@ def _nearest_profiles(asked: DataFrame, given: DataFrame, n: int, kind: str, sam
     bounds = kept(_bounds(x, y, kind))
     first = Window.partitionBy("q").orderBy(F.desc(F.col("q") == F.col("r")), F.desc("bound"), "r")
     chosen = bounds.withColumn("turn", F.row_number().over(first)).filter("turn = 1")
-    found = kept(_matched(x, y, chosen, n, kind))
+    py = _packed(y)
+    packs = (py if same else _packed(x)), py
+    found = kept(_matched(x, y, chosen, n, kind, packs))
     worst = found.groupBy("q", "x").agg(F.count("*").alias("have"), F.min("s").alias("least")).groupBy("q").agg(F.count("*").alias("served"), F.min("have").alias("have"), F.min("least").alias("least"))
     users = x.groupBy(F.col("block").alias("q")).agg(F.count("*").alias("users"))
     reached = users.join(worst, "q", "left").select("q", F.when((F.col("served") == F.col("users")) & (F.col("have") >= n), F.col("least")).otherwise(float("-inf")).alias("least"))
     rest = bounds.join(chosen.select("q", "r"), ["q", "r"], "left_anti").join(reached, "q").filter(F.col("bound") >= F.col("least") - 1e-9)
-    return top(found.drop("q").unionByName(_matched(x, y, rest, n, kind).drop("q")), n)
+    full = found.groupBy("q", "x").agg(F.count("*").alias("have"), F.min("s").alias("s")).filter(F.col("have") >= n)
+    known = full.groupBy("q").agg(F.collect_list(F.struct("x", "s")).alias("known"))
+    return top(found.drop("q").unionByName(_matched(x, y, rest, n, kind, packs, known).drop("q")), n)
 
 
 def unrated(scores: DataFrame, ratings: DataFrame) -> DataFrame:

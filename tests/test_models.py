@@ -333,6 +333,46 @@ def test_blocks_that_cannot_help_are_not_compared(spark, monkeypatch):
     assert met[0] == blocks and sum(met) < blocks * blocks / 2
 
 
+def test_pairs_of_blocks_are_dealt_over_tasks(spark, monkeypatch):
+    """Packed blocks have few bytes, which must not put them all into one task."""
+    monkeypatch.setattr(recommend, "BLOCK", 4)
+    seen = spark.createDataFrame([(u, i, float(1 + (u * i + u // 5) % 5)) for u in range(40) for i in range(6)], "user int, item int, rating double")
+    tasks = []
+    real = recommend._matched
+    monkeypatch.setattr(recommend, "_matched", lambda *a: tasks.append((out := real(*a)).rdd.getNumPartitions()) or out)
+    recommend.nearest_users(seen, 3).collect()
+    assert len(tasks) == 2 and min(tasks) >= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("kind", ["cosine", "distance"])
+def test_single_precision_settles_nothing(monkeypatch, kind):
+    """Rows that differ by less than single precision tells, ties, negative ratings, items in several parts, known orders."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(recommend, "ITEMS", 5)
+    monkeypatch.setattr(recommend, "TILE", (7, 16))
+    draw = np.random.default_rng(3)
+    x = np.where(draw.random((150, 12)) < 0.5, draw.integers(1, 6, (150, 12)), 0).astype(float)
+    x[40:80] = x[3] + draw.random((40, 12)) * 1e-3
+    x[90:100, :2] *= -1
+    x[:, 0] += ~x.any(1)
+    row, item = np.nonzero(x)
+    block = pa.array(np.arange(150)), (x * x).sum(1), row, pa.array([f"i{i}" for i in item]), x[row, item]
+    found = {}
+    for least in (np.full(150, -(1 << 62)), None):
+        task = recommend.Nearest(block, block, 6, kind)
+        r, c, s = task.best(known if least is None else least)
+        got = {i: sorted((-round(v, 9), j) for v, j in zip(s[r == i], c[r == i].tolist(), strict=True)) for i in range(150)}
+        known = np.array([np.rint(s[r == i].min() * 1e10) for i in range(150)]).astype(np.int64)
+        found = found or got
+        assert got == found
+    n = (x * x).sum(1)
+    s = x @ x.T / np.sqrt(n[:, None] * n[None]) if kind == "cosine" else 1 / (1 + np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)))
+    for i in range(150):
+        wanted = sorted(-v for v in s[i] if v != 0 and np.rint(v * 1e10) != 10**10)[:6]
+        assert [v for v, _ in found[i]] == pytest.approx(wanted, abs=1e-7)
+
+
 @pytest.mark.parametrize("other", [False, True])
 def test_copies_of_users_are_compared_once(spark, monkeypatch, other):
     """Users with the same ratings are one row of a block, and each of them can serve others."""
