@@ -1,6 +1,7 @@
 """Support vector machines, by sequential minimal optimisation over all rows. Up to `most` rows are solved in one task for
-each classifier. Of more rows, each round solves the ones that violate the optimality conditions most, and Spark keeps
-every row's multiplier and gradient."""
+each classifier. Of more rows, a linear kernel is solved by interior points, whose steps are sums over all rows; for other
+kernels each round solves the rows that violate the optimality conditions most, and Spark keeps every row's multiplier and
+gradient."""
 
 from __future__ import annotations
 
@@ -60,6 +61,61 @@ def solve(k: np.ndarray, y: np.ndarray, p: np.ndarray, c: float, tol: float, ste
     return alpha, float(np.mean(ends)) if ends else 0.0
 
 
+#: A linear kernel over so many features at most is solved by interior points, whose steps need sums of their squares. A step
+#: goes to such a share of the way to the border.
+WIDE, SHORT = 512, 0.995
+
+
+def direction(s, p, u, du, mu: float, a, t, z, v, first=(0.0, 0.0, 0.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a, z and v change where u = x w changes by du, so that z a and v t (t = c - a) become mu; first, the changes of
+    the step without mu, corrects for their products."""
+    low, high = mu - first[0] * first[1], mu + first[0] * first[2]
+    da = (low / a - high / t - s * (u + du) - p) / (z / a + v / t)
+    return da, (low - z * da) / a - z, (high + v * da) / t - v
+
+
+def replay(x: np.ndarray, s: np.ndarray, p: np.ndarray, c: float, path: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, c - a and their multipliers z, v of rows x (the last column is 1) after the steps of a path (w, dw without mu, dw,
+    mu, length). They follow from the path and the row alone, so no step has to store them."""
+    a, t, z, v = np.full(len(x), c / 2), np.full(len(x), c / 2), np.maximum(p, 0) + 1, np.maximum(-p, 0) + 1
+    if path:
+        u, first, du = (x @ np.stack([k[i] for k in path], 1) for i in range(3))
+        for i, (*_, mu, far) in enumerate(path):
+            begun = direction(s, p, u[:, i], first[:, i], 0.0, a, t, z, v)
+            da, dz, dv = direction(s, p, u[:, i], du[:, i], mu, a, t, z, v, begun)
+            a, t, z, v = a + far * da, t - far * da, z + far * dz, v + far * dv
+    return a, t, z, v
+
+
+def reach(a, t, z, v, da, dz, dv) -> float:
+    """The length of a step that stays inside, 1 at most."""
+    return SHORT / max(SHORT, *(float((-d / of).max(initial=0)) for d, of in ((da, a), (-da, t), (dz, z), (dv, v))))
+
+
+def interior(what: str, x: np.ndarray, s: np.ndarray, p: np.ndarray, c: float, path: list, w: np.ndarray, *steps) -> np.ndarray:
+    """One pass of a step at w over some rows; all but the last number are added over the rows, the last is their smallest.
+    newton: x'x / D, both right sides (without mu, times mu), sum(s a x), the complementarity, twice the rows, the squares of
+    the residuals. first: the correction of the right side and the complementarity as a polynomial of the step's length
+    (steps: dw). last: only the length (steps: dw without mu, dw, mu)."""
+    a, t, z, v = replay(x, s, p, c, path)
+    weight, u = 1 / (z / a + v / t), x @ w
+    if what == "newton":
+        apart = s * u + p
+        return np.concatenate([((x * weight[:, None]).T @ x).ravel(), x.T @ (-s * apart * weight), x.T @ (s * (1 / a - 1 / t) * weight), x.T @ (s * a), [z @ a + v @ t, 2.0 * len(x), float(((apart - z + v) ** 2).sum()), 1.0]])
+    da, dz, dv = first = direction(s, p, u, x @ steps[0], 0.0, a, t, z, v)
+    if what == "first":
+        return np.concatenate([x.T @ (-s * (da * dz / a + da * dv / t) * weight), [z @ a + v @ t, dz @ a + z @ da + dv @ t - v @ da, dz @ da - dv @ da, reach(a, t, z, v, *first)]])
+    return np.array([reach(a, t, z, v, *direction(s, p, u, x @ steps[1], steps[2], a, t, z, v, first))])
+
+
+def right_sides(f: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, float]:
+    """From the sums of newton: the matrix, both right sides, the mean complementarity, residual and imbalance."""
+    d = len(w)
+    moved, (gap, n, apart, _) = f[d * d + 2 * d : -4], f[-4:]
+    lag = moved - np.append(w[:-1], 0)
+    return f[: d * d].reshape(d, d) + np.diag(np.append(np.ones(d - 1), 1e-12)), f[d * d : d * d + d] + lag, f[d * d + d : d * d + 2 * d], gap / n, float(np.sqrt(apart / n)), abs(lag[-1]) / n
+
+
 #: So many support vectors become an expression. Beyond, their matrix is sent to the tasks up to so many bytes; larger sets stay
 #: a table, whose blocks of rows meet the blocks of the rows to score.
 EXPRESSION, SENT, BLOCK = 32, 64 << 20, 4096
@@ -245,13 +301,74 @@ class SVM:
             return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "x": [points[held].ravel().tolist()], "weight": [weight[held].tolist()], "b": [b]})
 
         if len(x.select("key").head(self.most + 1)) > self.most:
-            vectors, table = self.in_rounds(long_, regression)
+            width = len(x.select("x").first()[0])
+            vectors, table = (self.in_steps(long_, regression, width), None) if kernel == "linear" and width <= WIDE else self.in_rounds(long_, regression)
             return SVMModel(vectors, classes, mode, splits, self.kernel, self.shift, self.degree, self.sigma, table)
         made = {r.g: r for r in long_.groupBy("g").applyInPandas(one, "g int, x array<double>, weight array<double>, b double").collect()}
         width = len(x.select("x").first()[0])
         vectors = [(np.array(made[g].x, float).reshape(-1, width), np.array(made[g].weight, float), made[g].b) for g in sorted(made)]
         return SVMModel(vectors, classes, mode, splits, self.kernel, self.shift, self.degree, self.sigma)
 
+    def in_steps(self, long_: DataFrame, regression: bool, width: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """The normal vector and b of every classifier g over all rows (key, x, g, y), by interior points with Mehrotra's correction: each
+        of some 25 steps takes three passes, which return sums; the rows are read only."""
+        c, tol, eps, d = self.c, self.tol, self.eps, width + 1
+        rows = written(long_.groupBy("key", "x").agg(F.collect_list(F.struct("g", "y")).alias("t")).select("x", "t"))
+        context = rows.sparkSession.sparkContext
+        rows = written(rows.repartition(max(context.defaultParallelism, -(-rows.count() // 50_000))), rows)
+        groups = sorted(r[0] for r in rows.select(F.explode("t.g")).distinct().collect())
+
+        def over(what: str, todo: dict) -> dict[int, np.ndarray]:
+            def run(batches):
+                import pyarrow as pa
+
+                held = {}
+                for batch in batches:
+                    lists = batch.column("t")
+                    at, flat = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+                    g_of, y_of = flat.field("g").to_numpy(), flat.field("y").to_numpy()
+                    points = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    points = np.column_stack([points, np.ones(len(points))])
+                    for g, more in todo.items():
+                        mine = g_of == g
+                        x, y = points[at[mine]], y_of[mine]
+                        if not len(y):
+                            continue
+                        if regression:
+                            side = np.repeat([1.0, -1.0], len(y))
+                            found = interior(what, np.concatenate([x, x]), side, eps - side * np.r_[y, y], c, *more)
+                        else:
+                            found = interior(what, x, y, -np.ones(len(y)), c, *more)
+                        held[g] = np.append(held[g][:-1] + found[:-1], min(held[g][-1], found[-1])) if g in held else found
+                for g, found in held.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([found.tolist()])], names=["g", "f"])
+
+            told: dict[int, list] = {}
+            for r in rows.mapInArrow(run, "g int, f array<double>").select("g", F.posexplode("f").alias("i", "f")).groupBy("g", "i").agg(F.sum("f").alias("all"), F.min("f").alias("least")).orderBy("g", "i").collect():
+                told.setdefault(r.g, []).append(r)
+            return {g: np.array([r["all"] for r in rs[:-1]] + [rs[-1]["least"]]) for g, rs in told.items()}
+
+        w, paths, open_ = {g: np.zeros(d) for g in groups}, {g: [] for g in groups}, list(groups)
+        for _ in range(self.rounds):
+            sides = {g: right_sides(f, w[g]) for g, f in over("newton", {g: (paths[g], w[g]) for g in open_}).items()}
+            open_ = [g for g in open_ if sides[g][3] > 1e-6 * tol * max(1.0, c) or sides[g][4] > 1e-3 * tol or sides[g][5] > 1e-6 * c]
+            if not open_:
+                break
+            begun = {g: np.linalg.solve(sides[g][0], sides[g][1]) for g in open_}
+            steps = {}
+            for g, f in over("first", {g: (paths[g], w[g], begun[g]) for g in open_}).items():
+                matrix, plain, scaled, mean, *_ = sides[g]
+                left = (f[d] + f[-1] * (f[d + 1] + f[-1] * f[d + 2])) / f[d]
+                mu = mean * max(left, 0.0) ** 3
+                steps[g] = (begun[g], np.linalg.solve(matrix, plain + mu * scaled + f[:d]), mu)
+            for g, f in over("last", {g: (paths[g], w[g], *steps[g]) for g in open_}).items():
+                paths[g].append((w[g], *steps[g], float(f[-1])))
+                w[g] = w[g] + f[-1] * steps[g][1]
+        if open_:
+            warnings.warn(f"not at the optimum after {self.rounds} rounds", stacklevel=3)
+        discard(rows)
+        return [(w[g][None, :-1], np.ones(1), float(w[g][-1])) for g in groups]
+
     def in_rounds(self, long_: DataFrame, regression: bool) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], DataFrame | None]:
         """The vectors of every classifier g over all rows (key, x, g, y), as a table where they are over SENT bytes. A round takes the `most` multipliers whose
         pairs violate the conditions most, solves them in a task for each g and carries the others' gradients on."""

@@ -101,6 +101,22 @@ def test_svm_learns_from_more_rows_than_a_task_solves(spark, kernel, mode):
     assert found[0] == pytest.approx(found[1], abs=0.05)
 
 
+def test_linear_svm_of_many_rows_is_solved_by_sums(spark, monkeypatch):
+    """Few passes over rows that are written once, and the optimum to more digits than rounds would reach."""
+    draw = np.random.default_rng(12)
+    x = draw.normal(size=(400, 3))
+    y = np.where(x @ [1.0, -2.0, 0.5] + draw.normal(size=400) / 2 > 0.3, 1.0, -1.0)
+    df = spark.createDataFrame([(i, p.tolist(), "ab"[int(v > 0)]) for i, (p, v) in enumerate(zip(x, y, strict=True))], "id int, x array<double>, y string").repartition(3)
+    made, real = [], svm.written
+    monkeypatch.setattr(svm, "written", lambda *a: made.append(1) or real(*a))
+    model = svm.SVM(10.0, "linear", most=50).fit(df, "id", "x", "y")
+    (vector,), _, b = model.vectors[0]
+    alpha, wanted = svm.solve(x @ x.T, y, -np.ones(400), 10.0, 1e-7, 200_000)
+    assert vector == pytest.approx((alpha * y) @ x, abs=1e-3) and b == pytest.approx(wanted, abs=1e-3) and len(made) <= 2
+    u = x @ vector + b
+    assert vector @ vector / 2 + 10 * np.maximum(0, 1 - y * u).sum() - (alpha.sum() - (alpha * y) @ x @ x.T @ (alpha * y) / 2) < 1e-3
+
+
 def test_many_support_vectors_are_multiplied(spark):
     draw = np.random.default_rng(9)
     vectors, weight = draw.normal(size=(50_000, 3)), draw.normal(size=50_000) / 1000
